@@ -1,0 +1 @@
+"""Empty on purpose: the feature set is batch only (see README, "Not built")."""
