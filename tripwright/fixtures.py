@@ -35,6 +35,16 @@ _OOF_COLUMNS = (
     ("p", "CAST((flight_id * 7919 + seed * 104729) % 997 AS DOUBLE) / 997"),
     ("threshold", "CAST(20 + (flight_id * 31 + seed) % 5 AS DOUBLE) / 100"),
 )
+# Coarse fingerprints, so that rows match none, one or several schedule years.
+_TRIP_COLUMNS = (
+    ("flight_id", "flight_id"), ("yr", "yr"), ("mo", "mo"),
+    ("tail", "tail % 20"), ("origin", "origin % 5"), ("carrier_code", "carrier_code"),
+    ("dep_block", "CAST((dep_hhmm - dep_hhmm % 600) / 600 AS INT)"),
+    ("arr_block", "CAST((arr_hhmm - arr_hhmm % 600) / 600 AS INT)"),
+    ("airline", "airline"), ("distance", "distance"), ("dom", "dom"), ("dep_hhmm", "dep_hhmm"),
+)
+SCHEDULE_YEARS = (1996, 1997)
+SCHEDULE_MONTHS = 10
 
 
 def _select(columns) -> str:
@@ -45,6 +55,8 @@ VIEW_SQL = {
     "flights": f"SELECT {_select(_FLIGHT_COLUMNS)}\n FROM orders JOIN customer ON o_custkey = c_custkey",
     "oof": f"SELECT {_select(_OOF_COLUMNS)}\n FROM flights CROSS JOIN (VALUES (42),(1),(7)) AS s(seed)\n"
            " WHERE delay IS NOT NULL",
+    "trips": f"SELECT {_select(_TRIP_COLUMNS)}\n FROM flights",
+    "schedule": f"SELECT * FROM trips WHERE yr IN {SCHEDULE_YEARS} AND mo <= {SCHEDULE_MONTHS}",
     "requests": "SELECT event_id, user_id % 4 AS station, ts AS prediction_at FROM events"
                 " WHERE event_type = 'purchase'",
     "reports": "SELECT user_id % 4 AS station, ts AS observed_at, ts + INTERVAL 10 MINUTE AS available_at,"
@@ -79,3 +91,11 @@ def reports(spark: SparkSession, sf: str) -> DataFrame:
     return (table(spark, sf, "events").filter("event_type = 'view'")
             .selectExpr("user_id % 4 AS station", "ts AS observed_at",
                         "ts + INTERVAL 10 MINUTE AS available_at", "value"))
+
+
+def trips(spark: SparkSession, sf: str) -> DataFrame:
+    return flights(spark, sf).selectExpr(*[f"{expr} AS {name}" for name, expr in _TRIP_COLUMNS])
+
+
+def schedule(spark: SparkSession, sf: str) -> DataFrame:
+    return trips(spark, sf).filter(F.col("yr").isin(*SCHEDULE_YEARS) & (F.col("mo") <= SCHEDULE_MONTHS))
