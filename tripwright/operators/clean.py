@@ -6,6 +6,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tripwright.functions import clock, numeric, text
+from tripwright.operators.skew import join_null_safe
 from tripwright.schemas import DROP_PRESETS, MISSING_HOUR, OUTCOME_COLUMNS, TIERS, ELIGIBLE_TIER
 
 IMPUTE_PAIRS = (("carrier_code", "airline"), ("origin", "origin_state"), ("dest", "dest_state"))
@@ -220,11 +221,7 @@ def slot_counts(df: DataFrame, name: str, airport: str, hour: str, *,
     keys = [*date_keys, airport, hour]
     counted = df.filter(F.col(hour) != MISSING_HOUR) if exclude_missing_hour else df
     slots = counted.groupBy(*keys).agg(F.count(F.lit(1)).cast("double").alias(name))
-    right = slots.select(*[F.col(k).alias(f"_k_{k}") for k in keys], name)
-    same = F.lit(True)
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    return df.join(right, same, "left").select(*df.columns, name)
+    return join_null_safe(df, slots, keys, "left").select(*df.columns, name)
 
 
 def traffic_features(df: DataFrame, *, exclude_missing_hour: bool = True, add_missing_flag: bool = True,

@@ -15,11 +15,14 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 BUCKET = "_bucket"
 
 
-def _same(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Column:
+def join_null_safe(left: DataFrame, right: DataFrame, names: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on keys that may be null, keeping the left side's key columns."""
+    renamed = right.select(*[F.col(n).alias(f"_right_{n}") for n in names],
+                           *[c for c in right.columns if c not in names])
     condition = F.lit(True)
-    for name in names:
-        condition = condition & left[name].eqNullSafe(right[name])
-    return condition
+    for n in names:
+        condition = condition & F.col(n).eqNullSafe(F.col(f"_right_{n}"))
+    return left.join(renamed, condition, how).drop(*[f"_right_{n}" for n in names])
 
 
 def carry_in(df: DataFrame, keys: Sequence[str], carried: dict[str, Column], *, bucket: str = BUCKET,
@@ -88,8 +91,8 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[
     span = counted.groupBy(*work).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
                                       F.sum("n").alias("n_values"))
     width = F.when(F.col("_hi") > F.col("_lo"), F.col("_hi") - F.col("_lo")).otherwise(F.lit(1.0))
-    placed = counted.join(span, _same(counted, span, work)).select(
-        *[counted[k] for k in work], "_v", "n", "n_values",
+    placed = join_null_safe(counted, span, work).select(
+        *work, "_v", "n", "n_values",
         F.least(F.floor((F.col("_v") - F.col("_lo")) / width * buckets), F.lit(buckets - 1))
         .cast("int").alias(BUCKET))
 
@@ -103,8 +106,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[
         wanted = wanted | ((rank >= F.col("_before")) & (rank < F.col("_before") + F.col("_in")))
     small = small.filter(wanted).select(*work, BUCKET, "_before")
 
-    hot = placed.join(small, _same(placed, small, [*work, BUCKET])).select(
-        *[placed[k] for k in work], placed[BUCKET], "_v", "n", "n_values", "_before")
+    hot = join_null_safe(placed, small, [*work, BUCKET])
     inside = (Window.partitionBy(*work, BUCKET).orderBy("_v")
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     hot = hot.withColumn("_end", F.sum("n").over(inside) + F.col("_before"))
