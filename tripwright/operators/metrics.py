@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tripwright.functions import numeric
-from tripwright.operators.skew import BUCKET, exact_quantiles, running_totals
+from tripwright.operators.skew import BUCKET, exact_quantile_array, running_totals
 
 CELLS = ("tn", "fp", "fn", "tp")
 # Cell -> (actual class, predicted class).
@@ -82,17 +82,17 @@ def metrics_long(df: DataFrame, keys: Sequence[str], recorded: Sequence[str], de
 
 # ---- calibration bins -------------------------------------------------------
 
-def _complete_bins(binned: DataFrame, keys: Sequence[str], n_bins: int) -> DataFrame:
+def _complete_bins(binned: DataFrame, keys: Sequence[str], n_bins: int, carried: Sequence[str] = ()) -> DataFrame:
     """Per key all bins 0..n_bins-1; empty ones keep n = 0 and null means."""
     stats = F.struct(F.col("bin"), F.struct("n", "mean_probability", "observed_rate"))
-    per_key = binned.groupBy(*keys).agg(F.map_from_entries(F.collect_list(stats)).alias("_bins"))
+    per_key = binned.groupBy(*keys).agg(F.map_from_entries(F.collect_list(stats)).alias("_bins"),
+                                        *[F.any_value(c).alias(c) for c in carried])
     rows = per_key.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(n_bins - 1))))
-    found = F.try_element_at(F.col("_bins"), F.col("bin"))
-    rows = rows.withColumn("_s", found)
+    rows = rows.withColumn("_s", F.try_element_at(F.col("_bins"), F.col("bin")))
     return rows.select(*keys, "bin", F.coalesce(F.col("_s.n"), F.lit(0)).cast("bigint").alias("n"),
                        F.col("_s.mean_probability").alias("mean_probability"),
                        F.col("_s.observed_rate").alias("observed_rate"),
-                       F.abs(F.col("_s.mean_probability") - F.col("_s.observed_rate")).alias("abs_gap"))
+                       F.abs(F.col("_s.mean_probability") - F.col("_s.observed_rate")).alias("abs_gap"), *carried)
 
 
 def equal_width_bins(df: DataFrame, keys: Sequence[str], y: str = "y_true", p: str = "p",
@@ -108,17 +108,16 @@ def equal_frequency_bins(df: DataFrame, keys: Sequence[str], y: str = "y_true",
                          n_bins: int = EQUAL_FREQUENCY) -> DataFrame:
     """Quantile bins; equal probabilities always share one, so ties can leave bins empty."""
     keys = list(keys)
-    edges = exact_quantiles(df, keys, p, {f"_e{k}": k / n_bins for k in range(n_bins + 1)}).drop("n_values")
-    edges = edges.select(*keys, F.array(*[F.col(f"_e{k}") for k in range(n_bins + 1)]).alias("_edges"))
+    edges = exact_quantile_array(df, keys, p, [k / n_bins for k in range(n_bins + 1)])
+    edges = edges.select(*keys, F.col("quantiles").alias("_edges"))
     values = df.groupBy(*keys, p).agg(F.count(F.lit(1)).alias("_n"), F.sum(y).alias("_pos"))
-    joined = values.join(edges, keys) if keys else values.withColumn("_edges", edges.select("_edges").scalar())
+    joined = values.join(edges, keys) if keys else values.withColumn("_edges", edges.scalar())
     interior = F.slice(F.col("_edges"), 2, n_bins - 1)
     index = F.size(F.filter(interior, lambda e: e <= F.col(p)))
     binned = joined.groupBy(*keys, index.alias("bin")).agg(
         F.sum("_n").alias("n"), (F.sum(F.col(p) * F.col("_n")) / F.sum("_n")).alias("mean_probability"),
-        (F.sum("_pos") / F.sum("_n")).alias("observed_rate"))
-    full = _complete_bins(binned, keys, n_bins)
-    full = full.join(edges, keys) if keys else full.withColumn("_edges", edges.select("_edges").scalar())
+        (F.sum("_pos") / F.sum("_n")).alias("observed_rate"), F.any_value("_edges").alias("_edges"))
+    full = _complete_bins(binned, keys, n_bins, ["_edges"])
     return (full.withColumn("lower", F.col("_edges")[F.col("bin")])
             .withColumn("upper", F.col("_edges")[F.col("bin") + 1]).drop("_edges"))
 

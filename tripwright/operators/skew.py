@@ -73,51 +73,56 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("n")))
 
 
-def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], *,
-                    buckets: int = 4096) -> DataFrame:
+def exact_quantile_array(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], *,
+                         buckets: int = 4096) -> DataFrame:
     """Exact linearly interpolated quantiles per key, without sorting a key in one task.
 
     Values are first counted, then spread over equal-width buckets of the key's range;
-    only buckets that hold a wanted rank are ordered. Returns one row per key with a
-    column per entry of ``probs`` plus ``n_values``.
+    only buckets that hold a wanted rank are ordered. Returns the keys, ``n_values`` and
+    the array ``quantiles`` in the order of ``probs``.
     """
     keys = list(keys)
     work = keys or ["_all"]
     counted = value_counts(df, keys, value)
     if not keys:
         counted = counted.withColumn("_all", F.lit(0))
-    v = F.col(value).cast("double")
-    counted = counted.select(*work, v.alias("_v"), "n")
+    counted = counted.select(*work, F.col(value).cast("double").alias("_v"), "n")
     span = counted.groupBy(*work).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
                                       F.sum("n").alias("n_values"))
     width = F.when(F.col("_hi") > F.col("_lo"), F.col("_hi") - F.col("_lo")).otherwise(F.lit(1.0))
-    placed = join_null_safe(counted, span, work).select(
-        *work, "_v", "n", "n_values",
-        F.least(F.floor((F.col("_v") - F.col("_lo")) / width * buckets), F.lit(buckets - 1))
-        .cast("int").alias(BUCKET))
+    bucket = F.least(F.floor((F.col("_v") - F.col("_lo")) / width * buckets), F.lit(buckets - 1)).cast("int")
+    placed = join_null_safe(counted, span, work).select(*work, "_v", "n", "n_values", bucket.alias(BUCKET))
 
-    small = placed.groupBy(*work, BUCKET).agg(F.sum("n").alias("_in"), F.first("n_values").alias("_total"))
+    wanted_probs = F.array(*[F.lit(float(q)) for q in probs])
+
+    def position(q: Column) -> Column:
+        return (F.col("n_values") - 1) * q
+
+    ranks = F.array_distinct(F.flatten(F.transform(
+        wanted_probs, lambda q: F.array(F.floor(position(q)), F.ceil(position(q))))))
+    small = placed.groupBy(*work, BUCKET).agg(F.sum("n").alias("_in"), F.any_value("n_values").alias("n_values"))
     before = Window.partitionBy(*work).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     small = small.withColumn("_before", F.coalesce(F.sum("_in").over(before), F.lit(0)))
-    low = {n: F.floor((F.col("_total") - 1) * F.lit(float(q))) for n, q in probs.items()}
-    high = {n: F.ceil((F.col("_total") - 1) * F.lit(float(q))) for n, q in probs.items()}
-    wanted = F.lit(False)
-    for rank in [*low.values(), *high.values()]:
-        wanted = wanted | ((rank >= F.col("_before")) & (rank < F.col("_before") + F.col("_in")))
-    small = small.filter(wanted).select(*work, BUCKET, "_before")
-
-    hot = join_null_safe(placed, small, [*work, BUCKET])
+    small = small.filter(F.exists(ranks, lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_in"))))
+
+    hot = join_null_safe(placed, small.select(*work, BUCKET, "_before"), [*work, BUCKET])
     inside = (Window.partitionBy(*work, BUCKET).orderBy("_v")
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     hot = hot.withColumn("_end", F.sum("n").over(inside) + F.col("_before"))
+    hits = hot.withColumn("_rank", F.explode(F.filter(
+        ranks, lambda r: (r >= F.col("_end") - F.col("n")) & (r < F.col("_end")))))
+    picked = hits.groupBy(*work, "n_values").agg(
+        F.map_from_entries(F.collect_list(F.struct("_rank", "_v"))).alias("_at"))
+
+    def interpolated(q: Column) -> Column:
+        low = F.element_at("_at", F.floor(position(q)))
+        high = F.element_at("_at", F.ceil(position(q)))
+        return low + (high - low) * (position(q) - F.floor(position(q)))
+
+    return picked.select(*keys, "n_values", F.transform(wanted_probs, interpolated).alias("quantiles"))
 
-    def at(rank: Column) -> Column:
-        return F.max(F.when((rank >= F.col("_end") - F.col("n")) & (rank < F.col("_end")), F.col("_v")))
 
-    position = {n: (F.col("n_values") - 1) * F.lit(float(q)) for n, q in probs.items()}
-    picked = hot.groupBy(*work, "n_values").agg(
-        *[at(F.floor(position[n])).alias(f"_lo_{n}") for n in probs],
-        *[at(F.ceil(position[n])).alias(f"_hi_{n}") for n in probs])
-    result = [(F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}"))
-               * (position[n] - F.floor(position[n]))).alias(n) for n in probs]
-    return picked.select(*keys, "n_values", *result)
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
+    """``exact_quantile_array`` with one named column per quantile."""
+    arrays = exact_quantile_array(df, keys, value, list(probs.values()))
+    return arrays.select(*keys, "n_values", *[F.col("quantiles")[i].alias(n) for i, n in enumerate(probs)])

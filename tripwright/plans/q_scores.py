@@ -158,7 +158,7 @@ def equal_width_bins(spark, sf):
 
 
 _EF_SQL = """edges AS (SELECT seed, quantile_cont(p, [""" + ", ".join(f"{k}::DOUBLE / 15" for k in range(16)) + """]) AS e FROM pred GROUP BY seed),
-placed AS (SELECT pred.*, CAST(len(list_filter(e[2:15], x -> x <= p)) AS INT) AS b FROM pred JOIN edges USING (seed)),
+placed AS (SELECT pred.*, CAST(len(list_filter(e[2:15], lambda x: x <= p)) AS INT) AS b FROM pred JOIN edges USING (seed)),
 ef AS (SELECT seed, b, count(*) AS n, avg(p) AS mp, avg(y_true) AS rate FROM placed GROUP BY seed, b)"""
 
 

@@ -1 +1,199 @@
-"""."""
+"""Sources and sinks: each query writes rows of the given tables and reads them back."""
+from __future__ import annotations
+
+from pyspark.sql import functions as F, types as T
+
+from tripwright import fixtures as fx
+from tripwright.operators.contracts import source_rows
+from tripwright.plans.registry import query
+from tripwright.schemas import REPORT_FIELDS, SOURCE_COLUMNS
+from tripwright.sources import archives, csv_files, ledger, nested
+from tripwright.storage import fresh_path
+
+V = ("flights",)
+
+
+def _source_frame(spark, sf):
+    """Flights under the source CSV's own column names, plus a stale hour column."""
+    rows = fx.flights(spark, sf)
+    have = set(rows.columns)
+    columns = [F.col(short).cast("string").alias(name) if short in have else F.lit("0").alias(name)
+               for name, short in SOURCE_COLUMNS.items()]
+    return rows.select(*columns, F.lit("99").alias("Dep_Hour"))
+
+
+@query("s1_csv_scan", """SELECT CAST(flight_id AS VARCHAR) AS flight_id, mo, dom, CAST(dep_hhmm AS DOUBLE) AS dep_hhmm, CAST(arr_hhmm AS DOUBLE) AS arr_hhmm,
+ CAST(origin AS VARCHAR) AS origin, CAST(distance AS DOUBLE) AS distance, airline, delay FROM flights""", V)
+def csv_scan(spark, sf):
+    path = fresh_path(spark, "trips-csv")
+    _source_frame(spark, sf).write.option("header", True).csv(path)
+    return csv_files.read_trips(spark, path, with_weather=True, columns=[
+        "ID", "Month", "Day_of_Month", "Estimated_Departure_Time", "Estimated_Arrival_Time", "Origin_Airport", "Distance", "Airline", "Delay"])
+
+
+_TEXT_ROWS = ("CAST(flight_id AS {t}) AS id", "CASE WHEN flight_id % 3 = 0 THEN '' WHEN flight_id % 5 <> 0 THEN airline END AS note",
+              "CAST(dep_hhmm AS DOUBLE) AS dep")
+_TEXT_SCHEMA = T.StructType([T.StructField("id", T.StringType()), T.StructField("note", T.StringType()), T.StructField("dep", T.DoubleType())])
+_TEXT_SQL = "SELECT " + ", ".join(c.format(t="VARCHAR") for c in _TEXT_ROWS) + " FROM flights"
+
+
+@query("s2_null_token_csv_scan", _TEXT_SQL, V)
+def null_token_csv_scan(spark, sf):
+    path = fresh_path(spark, "null-token")
+    csv_files.write_null_token(fx.flights(spark, sf).selectExpr(*[c.format(t="STRING") for c in _TEXT_ROWS]), path, order="id")
+    return csv_files.read_null_token(spark, path, _TEXT_SCHEMA)
+
+
+@query("s3_null_token_csv_sink", "SELECT count(*) AS n_rows, count(note) AS notes, count(*) FILTER (note = '') AS blanks, CAST(0 AS BIGINT) AS reserved_values FROM (" + _TEXT_SQL + ")", V)
+def null_token_csv_sink(spark, sf):
+    rows = fx.flights(spark, sf).selectExpr(*[c.format(t="STRING") for c in _TEXT_ROWS])
+    path = fresh_path(spark, "null-token")
+    csv_files.write_null_token(rows, path)
+    back = csv_files.read_null_token(spark, path, _TEXT_SCHEMA)
+    return back.agg(F.count(F.lit(1)).alias("n_rows"), F.count("note").alias("notes"), F.count(F.when(F.col("note") == "", 1)).alias("blanks")
+                    ).withColumn("reserved_values", csv_files.reserved_token_count(rows).scalar())
+
+
+_REPORTS_SQL = """raw AS (SELECT 'ST' || CAST(user_id % 4 AS VARCHAR) AS station, date_trunc('second', ts)::TIMESTAMP AS observed_at, CASE WHEN event_id % 6 = 0 THEN NULL WHEN event_id % 11 = 0 THEN NULL ELSE round(value, 2) END AS tmpf,
+ CASE WHEN event_id % 4 = 0 THEN '' WHEN event_id % 9 = 0 THEN NULL ELSE 'RA' END AS wxcodes, 'req' || CAST(user_id % 4 AS VARCHAR) AS source_request_id FROM events WHERE event_type = 'view')"""
+
+
+def _written_reports(spark, sf):
+    """Report files with comment lines and 'M' tokens, one folder part per station, and their manifest."""
+    events = fx.table(spark, sf, "events").filter("event_type = 'view'")
+    fields = {f: F.lit("M") for f in REPORT_FIELDS}
+    fields["tmpf"] = F.expr("CASE WHEN event_id % 6 = 0 THEN 'M' WHEN event_id % 11 = 0 THEN '' ELSE CAST(round(value, 2) AS STRING) END")
+    fields["wxcodes"] = F.expr("CASE WHEN event_id % 4 = 0 THEN '' WHEN event_id % 9 = 0 THEN 'M' ELSE 'RA' END")
+    values = [F.concat(F.lit("ST"), (F.col("user_id") % 4).cast("string")), F.date_format("ts", "yyyy-MM-dd HH:mm:ss"),
+              *[fields[f] for f in REPORT_FIELDS]]
+    path = fresh_path(spark, "reports")
+    header = ",".join(("station", "valid", *REPORT_FIELDS))
+    line = F.concat_ws(",", *values)
+    # every file starts with a comment and its header, as downloaded report files do
+    body = events.select((F.col("user_id") % 4).alias("batch"), line.alias("value"))
+    parts = body.repartition("batch").sortWithinPartitions("batch")
+
+    def with_header(batches):
+        import pandas as pd
+
+        seen = set()
+        for batch in batches:
+            for key, rows in batch.groupby("batch", sort=False):
+                if key not in seen:
+                    seen.add(key)
+                    yield pd.DataFrame({"batch": [key, key], "value": [f"# station batch {key}", header]})
+                yield rows
+
+    parts.mapInPandas(with_header, "batch bigint, value string").write.partitionBy("batch").text(path)
+    return f"{path}/*"
+
+
+def _manifest(raw):
+    """One entry per file, as a download log would list them."""
+    at = F.col("valid").cast("timestamp_ntz")
+    per_file = raw.groupBy("source_file").agg(
+        F.min("station").alias("_s"), F.count(F.lit(1)).alias("n_rows"), F.min(at).alias("_lo"), F.max(at).alias("_hi"))
+    return per_file.select(
+        "source_file", F.concat(F.lit("req"), F.substring("_s", 3, 1)).alias("request_id"), F.array("_s").alias("stations"),
+        F.col("_lo").alias("window_start"), F.col("_hi").alias("window_end"), "n_rows")
+
+
+@query("s4_observation_archive_scan", f"WITH {_REPORTS_SQL} SELECT station, observed_at, tmpf, wxcodes, source_request_id FROM raw")
+def observation_archive_scan(spark, sf):
+    raw = archives.read_reports(spark, _written_reports(spark, sf))
+    return archives.typed_reports(raw, _manifest(raw)).select("station", "observed_at", "tmpf", "wxcodes", "source_request_id")
+
+
+@query("s4_archive_violations", f"""WITH {_REPORTS_SQL}
+SELECT source_request_id AS request_id, count(*) AS rows_read, count(*) AS rows_expected, CAST(0 AS BIGINT) AS foreign_station, CAST(0 AS BIGINT) AS missing_time, CAST(0 AS BIGINT) AS out_of_window, CAST(0 AS BIGINT) AS non_numeric FROM raw GROUP BY 1""")
+def archive_violations(spark, sf):
+    raw = archives.read_reports(spark, _written_reports(spark, sf))
+    manifest = _manifest(raw)
+    found = archives.archive_violations(raw, manifest)
+    return found.join(manifest.select("source_file", "request_id"), "source_file").drop("source_file")
+
+
+@query("s5_zip_archive_landing", "SELECT flight_id, yr, mo, dom, dep_hhmm, carrier_code, airline FROM flights", V)
+def zip_archive_landing(spark, sf):
+    rows = fx.flights(spark, sf).select("flight_id", "yr", "mo", "dom", "dep_hhmm", "carrier_code", "airline")
+    packed = archives.zip_by_month(rows.withColumn("dep_hhmm", F.col("dep_hhmm").cast("string")), "yr", "mo")
+    landed = fresh_path(spark, "schedules")
+    archives.land_partitioned(archives.unzip_members(packed, rows.schema, "yr", "mo"), landed, ["yr", "mo"])
+    return spark.read.parquet(landed).select(*rows.columns)
+
+
+@query("s6_nested_json_scan", """SELECT 'S' || CAST(s_suppkey AS VARCHAR) AS station, s_name AS name, CASE WHEN s_suppkey % 5 <> 0 THEN CAST(s_suppkey % 170 AS DOUBLE) END AS longitude,
+ CASE WHEN s_suppkey % 5 <> 0 THEN CAST(s_suppkey % 90 AS DOUBLE) END AS latitude FROM supplier""")
+def nested_json_scan(spark, sf):
+    suppliers = fx.table(spark, sf, "supplier").selectExpr(
+        "concat('S', s_suppkey) AS id", "map('name', s_name) AS properties",
+        "named_struct('coordinates', CASE WHEN s_suppkey % 5 <> 0 THEN array(CAST(s_suppkey % 170 AS DOUBLE), CAST(s_suppkey % 90 AS DOUBLE))"
+        " ELSE array(1D) END) AS geometry")
+    path = fresh_path(spark, "stations")
+    # one small collection document per station keeps every file a complete JSON text
+    suppliers.select(F.array(F.struct("id", "properties", "geometry")).alias("features")).write.json(path)
+    raw = spark.read.schema(nested.STATION_COLLECTION).json(path)
+    return nested.explode_stations(raw).select("station", F.element_at("properties", "name").alias("name"), "longitude", "latitude")
+
+
+@query("s7_json_column_decode", """SELECT event_id, CAST(json_extract(props, '$.k') AS DOUBLE) AS k, round(CAST(json_extract(props, '$.k') AS DOUBLE) / 2 + 1, 6) AS list_sum FROM events""")
+def json_column_decode(spark, sf):
+    events = fx.table(spark, sf, "events").select("event_id", nested.decode_scores(F.col("props")).alias("m"))
+    k = F.element_at("m", "k")
+    text = F.to_json(F.array(k / 2, F.lit(1.0)))
+    return events.select("event_id", k.alias("k"), F.round(F.aggregate(
+        nested.decode_list(text), F.lit(0.0), lambda a, x: a + x), 6).alias("list_sum"))
+
+
+@query("s8_sample_prefix", "SELECT flight_id, mo, distance FROM flights ORDER BY flight_id LIMIT 500", V)
+def sample_prefix(spark, sf):
+    return csv_files.sample_prefix(fx.flights(spark, sf).select("flight_id", "mo", "distance"), "flight_id", 500)
+
+
+@query("s9_extract_csv_sink", """SELECT airline, count(*) AS n_rows, round(avg(distance), 6) AS mean_distance, round(avg(distance) / 1e6, 12) AS mean_megamiles FROM flights WHERE airline IS NOT NULL GROUP BY airline""", V)
+def extract_csv_sink(spark, sf):
+    table = fx.flights(spark, sf).filter("airline IS NOT NULL").groupBy("airline").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.avg("distance").alias("mean_distance"), (F.avg("distance") / 1e6).alias("mean_megamiles"))
+    path = fresh_path(spark, "extract")
+    csv_files.write_extract(table, path, order=["airline"])
+    schema = T.StructType([T.StructField("airline", T.StringType()), T.StructField("n_rows", T.LongType()),
+                           T.StructField("mean_distance", T.DoubleType()), T.StructField("mean_megamiles", T.DoubleType())])
+    back = spark.read.schema(schema).option("header", True).csv(path)
+    return back.withColumn("mean_distance", F.round("mean_distance", 6)).withColumn("mean_megamiles", F.round("mean_megamiles", 12))
+
+
+def _ledger(spark, sf):
+    return fx.table(spark, sf, "orders").selectExpr("concat('run', o_custkey % 3) AS run_id", "concat('phase', o_orderkey) AS phase_key",
+                                                    "o_totalprice AS score")
+
+
+@query("s10_ledger_upsert", """SELECT 'run' || CAST(o_custkey % 3 AS VARCHAR) AS run_id, 'phase' || CAST(o_orderkey AS VARCHAR) AS phase_key, CASE WHEN o_orderkey % 10 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS score FROM orders""")
+def ledger_upsert(spark, sf):
+    old = _ledger(spark, sf)
+    folder = fresh_path(spark, "ledger")
+    ledger.write_version(spark, old, folder, 1)
+    rerun = old.filter(F.substring("phase_key", -1, 1) == "0").withColumn("score", F.col("score") + 1)
+    ledger.write_version(spark, ledger.upsert(ledger.latest_version(spark, folder), rerun), folder, 2)
+    return ledger.latest_version(spark, folder).select("run_id", "phase_key", "score")
+
+
+@query("s11_ledger_validated_read", """WITH r AS (SELECT 'run' || CAST(o_custkey % 3 AS VARCHAR) AS run_id, 'phase' || CAST(o_orderkey % 5000 AS VARCHAR) AS phase_key, CASE WHEN o_orderkey % 50 <> 0 THEN o_totalprice END AS score FROM orders)
+SELECT count(*) AS n_rows, (SELECT count(*) FROM (SELECT phase_key FROM r GROUP BY 1 HAVING count(*) > 1)) AS repeated_phases, count(*) FILTER (run_id <> 'run0') AS foreign_runs, count(*) FILTER (score IS NULL) AS malformed_rows FROM r""")
+def ledger_validated_read(spark, sf):
+    rows = fx.table(spark, sf, "orders").selectExpr(
+        "concat('run', o_custkey % 3) AS run_id", "concat('phase', o_orderkey % 5000) AS phase_key", "CASE WHEN o_orderkey % 50 <> 0 THEN o_totalprice END AS score")
+    return ledger.ledger_violations(rows, "run0")
+
+
+@query("s12_ordered_partition_merge", """SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS join_ordinal, value FROM events ORDER BY event_id""")
+def ordered_partition_merge(spark, sf):
+    numbered = source_rows(fx.table(spark, sf, "events").select("event_id", "value"), "event_id").withColumnRenamed("source_row", "join_ordinal")
+    late = numbered.filter("value > 100")
+    rest = numbered.filter("NOT value > 100")
+    return csv_files.ordered_merge([late, rest], "join_ordinal")
+
+
+@query("s12_ordinal_check", "SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS first, count(*) - 1 AS last, CAST(0 AS BIGINT) AS repeated, CAST(0 AS BIGINT) AS misplaced FROM events")
+def ordinal_check(spark, sf):
+    numbered = source_rows(fx.table(spark, sf, "events").select("event_id"), "event_id").withColumnRenamed("source_row", "join_ordinal")
+    return csv_files.ordinal_check(numbered, numbered, "join_ordinal", "event_id")

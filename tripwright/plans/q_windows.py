@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 from tripwright import fixtures as fx
 from tripwright.functions import clock, geo
 from tripwright.operators import calendar_signal, clean, intervals, sampling
-from tripwright.operators.skew import running_totals
 from tripwright.plans.q_functions import TIME_SQL
 from tripwright.plans.registry import query
 
@@ -259,15 +258,6 @@ def top_k_values(spark, sf):
     return sampling.top_k(fx.flights(spark, sf), "airline", 8)
 
 
-@query("w_running_totals", """
-SELECT flight_id, origin, CAST(sum(distance) OVER (PARTITION BY origin ORDER BY flight_id) AS BIGINT) AS flown_so_far FROM flights""", ("flights",))
-def running_total(spark, sf):
-    rows = fx.flights(spark, sf).select("flight_id", "origin", "distance").withColumn(
-        "_bucket", F.floor(F.col("flight_id") / 1000))
-    out = running_totals(rows, ["origin"], [F.col("flight_id")], {"flown_so_far": F.col("distance")})
-    return out.select("flight_id", "origin", "flown_so_far")
-
-
 @query("flagship_delay_rate_by_origin_hour", f"""WITH {RESTORE_SQL},
 slots AS (SELECT origin, dep_hour, delay, CASE WHEN dep_hour <> -1 THEN CAST(count(*) OVER (PARTITION BY mo, dom, origin, dep_hour) AS DOUBLE) END AS origin_traffic FROM restored),
 labeled AS (SELECT origin, dep_hour, origin_traffic, CASE WHEN delay = 'Delayed' THEN 1 ELSE 0 END AS y FROM slots WHERE delay IS NOT NULL)
