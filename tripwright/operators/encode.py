@@ -37,8 +37,8 @@ def inner_holdout(df: DataFrame, within: Sequence[str], label: str = "y", identi
                   fraction: float = 0.2, salt: str = "holdout", name: str = "is_holdout",
                   eligible: Column | None = None) -> DataFrame:
     """Mark a stratified share of each (``within``, class) as holdout; only eligible rows may be chosen."""
-    if not 0 < fraction < 0.5:
-        raise ValueError(f"fraction must lie in (0, 0.5): {fraction}")
+    if not 0 < fraction < 1:
+        raise ValueError(f"fraction must lie in (0, 1): {fraction}")
     usable = F.lit(True) if eligible is None else eligible
     keys = [*within, label]
     marked = df.withColumn("_usable", usable)

@@ -1 +1,169 @@
-"""."""
+"""Model queries. Trees differ from the published runs, so these are checked by rows, not by SQL.
+
+Search sizes are kept small; every fit sees all labeled rows of the given tables.
+"""
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import functions as F
+
+from tripwright import fixtures as fx
+from tripwright.functions import text
+from tripwright.operators import calibrate, clean, encode, metrics, models
+from tripwright.plans.phases import PHASES, build_features
+from tripwright.plans.registry import query
+from tripwright.storage import materialize
+
+SEED, FOLDS = 42, 2
+TREES = (2, 5, 10)
+PARAMS = {"depth": 3, "learning_rate": 0.1, "min_leaf": 20}
+SPEC = PHASES["P6_clean"]
+
+
+def feature_rows(spark, sf):
+    """All rows with the feature set, written once for the fits that follow."""
+    return materialize(build_features(fx.flights(spark, sf), SPEC, keep=("flight_id",)), "features")
+
+
+def folded_features(spark, sf, k=FOLDS):
+    return materialize(encode.stratified_folds(clean.labeled_rows(feature_rows(spark, sf)), k=k, seed=SEED), "folded")
+
+
+def boundaries(spark, sf, folded=None):
+    rows = folded if folded is not None else folded_features(spark, sf)
+    for fold in range(FOLDS):
+        train, valid = models.fold_rows(rows, fold)
+        yield fold, models.inner_boundary(train, valid, seed=SEED, fold=fold, cols=SPEC.categories)
+
+
+def union(frames):
+    return reduce(lambda a, b: a.unionByName(b), frames)
+
+
+def choice_rows(spark, fold, choice):
+    schema = "fold int, params string, log_loss double, chosen boolean, threshold double"
+    chosen = min(range(len(choice.losses)), key=lambda i: choice.losses[i][1])
+    rows = [(fold, ",".join(f"{k}={v}" for k, v in sorted(p.items())), float(loss), i == chosen, choice.threshold)
+            for i, (p, loss) in enumerate(choice.losses)]
+    return spark.createDataFrame(rows, schema)
+
+
+@query("m7_fold_teacher")
+def fold_teacher(spark, sf):
+    rows = feature_rows(spark, sf)
+    folded = encode.stratified_folds(clean.labeled_rows(rows), k=FOLDS, seed=SEED)
+    features = models.feature_columns(rows.drop("delay"))
+    teacher = models.fold_teacher(folded, 0, features, {**PARAMS, "trees": 5}, n_folds=FOLDS)
+    return teacher.score(clean.unlabeled_rows(rows)).select("flight_id", "p")
+
+
+@query("m5_teacher_pseudo_labels")
+def teacher_pseudo_labels(spark, sf):
+    return encode.pseudo_labels(fold_teacher(spark, sf))
+
+
+@query("m8_early_stopped_fit")
+def early_stopped_fit(spark, sf):
+    folded = folded_features(spark, sf)
+    train, valid = models.fold_rows(folded, 0)
+    fitted, scored = models.early_stopped(train, valid, models.feature_columns(train), {**PARAMS, "trees": 10}, fold=0, seed=SEED)
+    return scored.select("flight_id", "p", F.lit(fitted.model.getNumTrees).alias("n_trees"))
+
+
+@query("m9_nested_tree_count_select")
+def nested_tree_count_select(spark, sf):
+    return union(models.select_tree_count(b, PARAMS, TREES).valid.select(F.lit(fold).alias("fold"), "flight_id", "y", "p")
+                 for fold, b in boundaries(spark, sf))
+
+
+@query("m10_prefix_model_scoring")
+def prefix_model_scoring(spark, sf):
+    parts = []
+    for fold, b in boundaries(spark, sf):
+        fitted = models.boosted_trees(b.train, b.features, {**PARAMS, "trees": max(TREES)})
+        losses = models.prefix_losses(models.prefix_scores(fitted, b.holdout, b.features, list(range(1, max(TREES) + 1))))
+        parts.append(losses.withColumn("fold", F.lit(fold)))
+    return union(parts)
+
+
+@query("m11_param_grid_select")
+def param_grid_select(spark, sf):
+    grid = [{**PARAMS, "depth": d, "trees": 5} for d in (2, 4)]
+    return union(choice_rows(spark, fold, models.select_params(b, models.boosted_trees, grid)) for fold, b in boundaries(spark, sf))
+
+
+@query("m12_logistic_model")
+def logistic_model(spark, sf):
+    grid = models.LOGISTIC_GRID[::2]
+    return union(choice_rows(spark, fold, models.select_params(b, models.logistic, grid)) for fold, b in boundaries(spark, sf))
+
+
+@query("m13_random_forest_model")
+def random_forest_model(spark, sf):
+    grid = [{**p, "trees": 20, "depth": 6} for p in models.FOREST_GRID[2:4]]
+    return union(choice_rows(spark, fold, models.select_params(b, models.random_forest, grid)) for fold, b in boundaries(spark, sf))
+
+
+@query("m16_platt_calibration")
+def platt_calibration(spark, sf):
+    rows = fx.oof(spark, sf).withColumnRenamed("y_true", "y")
+    fitted = calibrate.fit_calibrator("platt", rows.filter("fold <> 0"))
+    return fitted.apply(rows.filter("fold = 0")).select("flight_id", "seed", "p")
+
+
+@query("m17_isotonic_calibration")
+def isotonic_calibration(spark, sf):
+    rows = fx.oof(spark, sf).withColumnRenamed("y_true", "y")
+    fitted = calibrate.fit_calibrator("isotonic", rows.filter("fold <> 0"))
+    return fitted.apply(rows.filter("fold = 0")).select("flight_id", "seed", "p")
+
+
+@query("m18_crossfit_scores")
+def crossfit_scores(spark, sf):
+    train, _ = models.fold_rows(folded_features(spark, sf), 0)
+    scored = models.crossfit_scores(train, models.boosted_trees, {**PARAMS, "trees": 5}, k=3, seed=SEED, cols=SPEC.categories)
+    return scored.select("flight_id", "part", "y", "p")
+
+
+@query("m22_feature_importance")
+def feature_importance(spark, sf):
+    fits, features = [], None
+    for _, b in boundaries(spark, sf):
+        features = b.features
+        fits.append(models.boosted_trees(b.train, b.features, {**PARAMS, "trees": 5}))
+    return spark.createDataFrame(models.mean_importance(fits, features), "feature string, importance double")
+
+
+@query("m24_weather_on_off_pair")
+def weather_on_off_pair(spark, sf):
+    """Same rows and folds, without and with report columns; the scores of both side by side."""
+    from tripwright.operators.matching import attach_features
+
+    folded = folded_features(spark, sf)
+    reports = fx.table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("flight_id"), (F.col("o_totalprice") % 100).alias("weather_origin_tmpf"),
+        (F.col("o_totalprice") % 40).alias("weather_origin_sknt"),
+        F.when(F.col("o_orderkey") % 5 != 0, F.col("o_totalprice") % 10).alias("weather_destination_vsby"),
+        (F.col("o_orderkey") % 5 != 0).cast("int").alias("weather_destination_matched"))
+    scored = []
+    for condition, rows in (("weather_off", folded), ("weather_on", attach_features(folded, reports, "flight_id"))):
+        for fold, b in boundaries(spark, sf, rows):
+            choice = models.select_tree_count(b, PARAMS, TREES)
+            scored.append(choice.valid.select(F.lit(condition).alias("condition"), F.lit(fold).alias("fold"), F.col("y").alias("y_true"), "p",
+                                              F.lit(choice.threshold).alias("threshold")))
+    return metrics.score_metrics(metrics.with_prediction(union(scored)), ["condition"])
+
+
+@query("m25_calibration_arm_experiment")
+def calibration_arm_experiment(spark, sf):
+    patterns = fx.flights(spark, sf).select("flight_id", text.time_pattern(F.col("dep_hhmm"), F.col("arr_hhmm")).alias("pattern"))
+    scored = []
+    for fold, b in boundaries(spark, sf):
+        choice = models.select_tree_count(b, PARAMS, TREES)
+        held = materialize(choice.holdout.select("flight_id", "y", "p"), "holdout")
+        valid = materialize(choice.valid.select("flight_id", "y", "p"), "valid")
+        scored.append(calibrate.calibration_arms(held, valid, seed=SEED, fold=fold, shares={"shared": 0.0, "split": 0.5}))
+    rows = union(scored).withColumnRenamed("y", "y_true").join(patterns, "flight_id")
+    expected = [("raw_time_pattern", g) for g in ("both_observed", "departure_missing", "arrival_missing", "both_missing")]
+    return metrics.overlapping_group_metrics(rows, ["arm", "calibrator"], {"raw_time_pattern": F.col("pattern")}, expected)
