@@ -10,6 +10,7 @@ from tripwright.functions.text import ERROR_RULES, first_rule
 from tripwright.operators import clean
 from tripwright.operators.report import count_if
 from tripwright.schemas import MISSING_HOUR
+from tripwright.storage import Settle, unsettled
 
 
 def imputation_accounting(df: DataFrame, key: str = "carrier_code", value: str = "airline", *,
@@ -39,14 +40,15 @@ def imputation_accounting(df: DataFrame, key: str = "carrier_code", value: str =
         & (F.col("unique_residual") == F.col("key_missing") + F.col("key_never_observed") + F.col("key_ambiguous"))))
 
 
-def time_restore_accounting(df: DataFrame, counted: Column | None = None, *, identifier: str = "flight_id") -> DataFrame:
+def time_restore_accounting(df: DataFrame, counted: Column | None = None, *, settle: Settle = unsettled) -> DataFrame:
     """The same identity for hours and the clock gap, with the source of each restored gap."""
     marked = df.withColumn("_counted", F.lit(True) if counted is None else counted)
     before = clean.time_features(clean.with_route(marked), keep_minute=True).withColumns({
         "_dep0": F.col("dep_hour") == MISSING_HOUR, "_arr0": F.col("arr_hour") == MISSING_HOUR})
     before = before.withColumn("_gap0", F.col("duration").isNull()).withColumn("_raw_gap", F.col("duration"))
-    medians = clean.group_medians(before, "route", "duration", "_rm")
-    after = clean.restore_times(before).join(medians, "route", "left")
+    counts = settle(clean.gap_counts(before), "gap-counts")
+    medians = clean.group_medians(counts, name="_rm").drop("n_null")
+    after = clean.restore_times(before, settle=lambda df, stem: counts).join(medians, "route", "left")
     c = F.col("_counted")
     dep1, arr1 = F.col("dep_hour") == MISSING_HOUR, F.col("arr_hour") == MISSING_HOUR
 

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tripwright.functions import clock, numeric, text
 from tripwright.operators.skew import join_null_safe
+from tripwright.storage import Settle, unsettled
 from tripwright.schemas import DROP_PRESETS, MISSING_HOUR, OUTCOME_COLUMNS, TIERS, ELIGIBLE_TIER
 
 IMPUTE_PAIRS = (("carrier_code", "airline"), ("origin", "origin_state"), ("dest", "dest_state"))
@@ -142,16 +143,16 @@ def _fill(df: DataFrame, mapping: DataFrame, key: str, value: str) -> DataFrame:
 
 def impute_cross(df: DataFrame, pairs: Sequence[tuple[str, str]] = IMPUTE_PAIRS, *,
                  bidirectional: bool = False, conflict: str = "unique",
-                 order: str | None = None) -> DataFrame:
+                 order: str | None = None, settle: Settle = unsettled) -> DataFrame:
     """Fill a value from its key (and back) using observed pairs; observed values never change."""
     out = df
     for key, value in pairs:
         if key not in df.columns or value not in df.columns:
             continue
-        source = out
-        out = _fill(source, observed_mapping(source, key, value, conflict, order), key, value)
-        if bidirectional:
-            back = observed_mapping(source, value, key, conflict, order)
+        forward = settle(observed_mapping(out, key, value, conflict, order), "mapping")
+        back = settle(observed_mapping(out, value, key, conflict, order), "mapping") if bidirectional else None
+        out = _fill(out, forward, key, value)
+        if back is not None:
             out = _fill(out, back, value, key)
     return out.select(*df.columns)
 
@@ -174,24 +175,43 @@ def with_route(df: DataFrame) -> DataFrame:
     return df.withColumn("route", text.route_key(F.col("origin"), F.col("dest")))
 
 
-def group_medians(df: DataFrame, group: str, value: str, name: str) -> DataFrame:
-    """Exact median per group. Values are whole minutes of a day, so each group's state is
-    at most 1440 counters and merges map-side."""
-    return df.filter(F.col(group).isNotNull()).groupBy(group).agg(F.median(value).alias(name))
+def gap_counts(df: DataFrame, group: str = "route", value: str = "duration") -> DataFrame:
+    """Rows per (group, value), nulls included. Values are whole minutes of a day, so a group has
+    at most 1441 entries; everything a median needs is in this small table."""
+    return df.groupBy(group, value).agg(F.count(F.lit(1)).alias("n"))
+
+
+def group_medians(counts: DataFrame, group: str = "route", value: str = "duration", name: str = "group_median") -> DataFrame:
+    """Exact median per group, and how many of the group's values are null."""
+    return counts.filter(F.col(group).isNotNull()).groupBy(group).agg(
+        F.percentile(value, F.lit(0.5), F.when(F.col(value).isNotNull(), F.col("n")).otherwise(F.lit(0))).alias(name),
+        F.sum(F.when(F.col(value).isNull(), F.col("n")).otherwise(0)).alias("n_null"))
+
+
+def filled_median(counts: DataFrame, medians: DataFrame, value: str = "duration", name: str = "group_median") -> DataFrame:
+    """One row: the median of the column after the group medians were filled in."""
+    known = counts.filter(F.col(value).isNotNull()).select(F.col(value).alias("v"), "n")
+    added = medians.filter(F.col(name).isNotNull()).select(F.col(name).alias("v"), F.col("n_null").alias("n"))
+    return known.unionByName(added).agg(F.percentile("v", F.lit(0.5), F.col("n")).alias("overall"))
 
 
 def restore_times(df: DataFrame, group: str = "route", *, fill_duration: bool = True,
-                  fill_hours: bool = True) -> DataFrame:
+                  fill_hours: bool = True, settle: Settle = unsettled) -> DataFrame:
     """Fill the gap by route median, then by the median of the filled column; then work the
     one missing clock time out of the other. Rows missing both stay missing."""
     out = df
     if fill_duration:
         columns = out.columns
         if group in columns:
-            out = (out.join(group_medians(df, group, "duration", "_route_median"), group, "left")
-                   .withColumn("duration", F.coalesce("duration", "_route_median")).drop("_route_median"))
-        overall = out.agg(F.median("duration").alias("m"))
-        out = out.withColumn("duration", F.coalesce(F.col("duration"), overall.scalar())).select(*columns)
+            counts = settle(gap_counts(out, group), "gap-counts")
+            medians = group_medians(counts, group)
+            overall = filled_median(counts, medians)
+            out = out.join(medians.drop("n_null"), group, "left").withColumn(
+                "duration", F.coalesce(F.col("duration"), F.col("group_median"), overall.scalar()))
+        else:
+            overall = out.agg(F.median("duration").alias("overall"))
+            out = out.withColumn("duration", F.coalesce(F.col("duration"), overall.scalar()))
+        out = out.select(*columns)
     if fill_hours:
         no_dep = (F.col("dep_hour") == MISSING_HOUR) & (F.col("arr_hour") >= 0)
         no_arr = (F.col("arr_hour") == MISSING_HOUR) & (F.col("dep_hour") >= 0)
@@ -212,7 +232,8 @@ def restore_times(df: DataFrame, group: str = "route", *, fill_duration: bool =
 
 
 def slot_counts(df: DataFrame, name: str, airport: str, hour: str, *,
-                date_keys: Sequence[str] = ("mo", "dom"), exclude_missing_hour: bool = True) -> DataFrame:
+                date_keys: Sequence[str] = ("mo", "dom"), exclude_missing_hour: bool = True,
+                settle: Settle = unsettled) -> DataFrame:
     """Rows of the input in the same (date, airport, hour) slot, the row itself included.
 
     Counted by a combinable aggregate and joined back null-safely, so one crowded slot
@@ -220,19 +241,19 @@ def slot_counts(df: DataFrame, name: str, airport: str, hour: str, *,
     """
     keys = [*date_keys, airport, hour]
     counted = df.filter(F.col(hour) != MISSING_HOUR) if exclude_missing_hour else df
-    slots = counted.groupBy(*keys).agg(F.count(F.lit(1)).cast("double").alias(name))
+    slots = settle(counted.groupBy(*keys).agg(F.count(F.lit(1)).cast("double").alias(name)), name)
     return join_null_safe(df, slots, keys, "left").select(*df.columns, name)
 
 
 def traffic_features(df: DataFrame, *, exclude_missing_hour: bool = True, add_missing_flag: bool = True,
-                     date_keys: Sequence[str] = ("mo", "dom")) -> DataFrame:
+                     date_keys: Sequence[str] = ("mo", "dom"), settle: Settle = unsettled) -> DataFrame:
     out = df
     for name, flag, airport, hour in (("origin_traffic", "origin_hour_missing", "origin", "dep_hour"),
                                       ("dest_traffic", "dest_hour_missing", "dest", "arr_hour")):
         if add_missing_flag:
             out = out.withColumn(flag, (F.col(hour) == MISSING_HOUR).cast("int"))
         out = slot_counts(out, name, airport, hour, date_keys=date_keys,
-                          exclude_missing_hour=exclude_missing_hour)
+                          exclude_missing_hour=exclude_missing_hour, settle=settle)
     return out
 
 

@@ -3,10 +3,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tripwright.operators.skew import BUCKET, exact_quantiles, row_ranks
 from tripwright.schemas import CATEGORICAL
+from tripwright.storage import Settle, unsettled
 
 NA_TOKEN = "MISSING"
 
@@ -65,8 +66,34 @@ def smoothing(n: Column, total: Column, overall: Column, m: float) -> Column:
     return F.when(weight > 0, (F.coalesce(total, F.lit(0)) + m * overall) / weight).otherwise(overall)
 
 
-def key_statistics(fit: DataFrame, key: str, y: str = "y") -> DataFrame:
-    return fit.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(y).alias("_n"), F.sum(y).alias("_s"))
+def encoding_statistics(fit: DataFrame, cols: Sequence[str], y: str = "y", fold: str | None = None) -> DataFrame:
+    """Label counts and sums per (column, key[, fold]) for all columns in one pass over the rows.
+
+    The entry with an empty column name counts all rows; null keys are in no other entry.
+    """
+    entries = [F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("key")) for c in cols]
+    entries.append(F.struct(F.lit("").alias("column"), F.lit("").alias("key")))
+    keep = [y] if fold is None else [y, fold]
+    by = ["column", "key"] if fold is None else ["column", "key", fold]
+    return (fit.select(*keep, F.inline(F.array(*entries))).filter(F.col("key").isNotNull())
+            .groupBy(*by).agg(F.count(y).alias("_n"), F.sum(y).alias("_s")))
+
+
+def _of_column(statistics: DataFrame, column: str) -> DataFrame:
+    return statistics.filter(F.col("column") == column).drop("column")
+
+
+def encode_from(df: DataFrame, statistics: DataFrame, cols: Sequence[str], *, m: float = 20.0,
+                prefix: str = "te_") -> DataFrame:
+    """Encode rows that are not part of the statistics; unseen keys get the overall mean."""
+    overall = _of_column(statistics, "").agg((F.sum("_s") / F.sum("_n")).alias("g")).scalar()
+    out = df
+    for c in cols:
+        totals = _of_column(statistics, c).groupBy(F.col("key").alias("_key")).agg(
+            F.sum("_n").alias("_n"), F.sum("_s").alias("_s"))
+        out = out.join(totals, F.col(c).cast("string") == F.col("_key"), "left").withColumn(
+            f"{prefix}{c}", smoothing(F.col("_n"), F.col("_s"), overall, m)).drop("_key", "_n", "_s")
+    return out
 
 
 def smoothed_target_encode(fit: DataFrame, apply: DataFrame, key: str, y: str = "y", *, m: float = 20.0,
@@ -74,60 +101,58 @@ def smoothed_target_encode(fit: DataFrame, apply: DataFrame, key: str, y: str =
     """Encode ``apply`` from labels of ``fit`` only; unseen keys get the overall mean."""
     if m < 0:
         raise ValueError(f"m must not be negative: {m}")
-    overall = fit.agg(F.avg(y).alias("g")).scalar()
-    joined = apply.join(key_statistics(fit, key, y), key, "left")
-    return joined.select(*apply.columns, smoothing(F.col("_n"), F.col("_s"), overall, m).alias(f"{prefix}{key}"))
+    return encode_from(apply, encoding_statistics(fit, [key], y), [key], m=m, prefix=prefix)
 
 
 def out_of_fold_encode(train: DataFrame, fold: str, cols: Sequence[str], y: str = "y", *, m: float = 20.0,
-                       prefix: str = "te_") -> DataFrame:
+                       prefix: str = "te_", statistics: DataFrame | None = None) -> DataFrame:
     """Encode each training row from the other inner folds: key totals minus the row's own fold.
 
-    One aggregate per column by (key, fold), however many folds there are.
+    One aggregate by (column, key, fold) serves all columns and all folds.
     """
-    k_totals = train.groupBy(fold).agg(F.count(y).alias("_n"), F.sum(y).alias("_s"))
-    everything = k_totals.agg(F.sum("_n").alias("n"), F.sum("_s").alias("s"))
+    stats = encoding_statistics(train, cols, y, fold) if statistics is None else statistics
+    rows = _of_column(stats, "")
+    everything = rows.agg(F.sum("_n").alias("n"), F.sum("_s").alias("s"))
     n_all, s_all = everything.select("n").scalar(), everything.select("s").scalar()
-    means = k_totals.select(F.struct(F.col(fold), F.try_divide(s_all - F.col("_s"), n_all - F.col("_n"))).alias("e"))
+    means = rows.select(F.struct(F.col(fold), F.try_divide(s_all - F.col("_s"), n_all - F.col("_n"))).alias("e"))
     overall = F.element_at(means.agg(F.map_from_entries(F.collect_list("e")).alias("m")).scalar(), F.col(fold))
     out = train.withColumn("_overall", overall)
-    for key in cols:
-        per_fold = (train.filter(F.col(key).isNotNull()).groupBy(key, fold)
-                    .agg(F.count(y).alias("_fn"), F.sum(y).alias("_fs")))
-        totals = per_fold.groupBy(key).agg(F.sum("_fn").alias("_n"), F.sum("_fs").alias("_s"))
-        others = per_fold.join(totals, key).select(
-            key, fold, (F.col("_n") - F.col("_fn")).alias("_n"), (F.col("_s") - F.col("_fs")).alias("_s"))
-        out = out.join(others, [key, fold], "left").withColumn(
-            f"{prefix}{key}", smoothing(F.col("_n"), F.col("_s"), F.col("_overall"), m)).drop("_n", "_s")
+    of_key = Window.partitionBy("key")  # one row per fold
+    for c in cols:
+        others = _of_column(stats, c).select(
+            F.col("key").alias("_key"), F.col(fold).alias("_fold"),
+            (F.sum("_n").over(of_key) - F.col("_n")).alias("_n"), (F.sum("_s").over(of_key) - F.col("_s")).alias("_s"))
+        out = out.join(others, (F.col(c).cast("string") == F.col("_key")) & (F.col(fold) == F.col("_fold")), "left")
+        out = out.withColumn(f"{prefix}{c}", smoothing(F.col("_n"), F.col("_s"), F.col("_overall"), m)).drop(
+            "_key", "_fold", "_n", "_s")
     return out.drop("_overall")
 
 
-def oof_target_encode(train: DataFrame, valid: DataFrame, cols: Sequence[str] = CATEGORICAL, *, y: str = "y",
+def oof_target_encode(train: DataFrame, others: Sequence[DataFrame], cols: Sequence[str] = CATEGORICAL, *, y: str = "y",
                       identifier: str = "flight_id", m: float = 20.0, inner_splits: int = 5, seed: int = 42,
-                      prefix: str = "te_", drop_original: bool = False, extra: DataFrame | None = None
-                      ) -> tuple[DataFrame, DataFrame]:
-    """Encode one outer fold: training rows out-of-fold, validation rows from all training labels.
+                      prefix: str = "te_", drop_original: bool = False, extra: DataFrame | None = None,
+                      settle: Settle = unsettled) -> tuple[DataFrame, list[DataFrame]]:
+    """Encode one outer fold: training rows out-of-fold, each other frame from all training labels.
 
     ``inner_splits=0`` encodes training rows with their own labels included. ``extra`` rows
-    (for example selected pseudo labels) join the training side only.
+    (for example selected pseudo labels) join the training side only. ``settle`` may write
+    the training rows with their inner folds, and the statistics, once for all uses.
     """
     if inner_splits == 1 or inner_splits < 0:
         raise ValueError(f"inner_splits must be 0 or at least 2: {inner_splits}")
     fit = train if extra is None else train.unionByName(extra)
     present = [c for c in cols if c in fit.columns]
-    encoded_valid = valid
-    for key in present:
-        encoded_valid = smoothed_target_encode(fit, encoded_valid, key, y, m=m, prefix=prefix)
     if inner_splits == 0:
-        encoded_train = fit
-        for key in present:
-            encoded_train = smoothed_target_encode(fit, encoded_train, key, y, m=m, prefix=prefix)
+        stats = settle(encoding_statistics(fit, present, y), "statistics")
+        encoded = encode_from(fit, stats, present, m=m, prefix=prefix)
     else:
-        inner = stratified_folds(fit, y, identifier, k=inner_splits, seed=seed, name="_inner")
-        encoded_train = out_of_fold_encode(inner, "_inner", present, y, m=m, prefix=prefix).drop("_inner")
+        inner = settle(stratified_folds(fit, y, identifier, k=inner_splits, seed=seed, name="_inner"), "inner-folds")
+        stats = settle(encoding_statistics(inner, present, y, "_inner"), "statistics")
+        encoded = out_of_fold_encode(inner, "_inner", present, y, m=m, prefix=prefix, statistics=stats).drop("_inner")
+    applied = [encode_from(df, stats, present, m=m, prefix=prefix) for df in others]
     if drop_original:
-        encoded_train, encoded_valid = encoded_train.drop(*present), encoded_valid.drop(*present)
-    return encoded_train, encoded_valid
+        encoded, applied = encoded.drop(*present), [df.drop(*present) for df in applied]
+    return encoded, applied
 
 
 def overlap_count(train: DataFrame, valid: DataFrame, identifier: str = "flight_id") -> DataFrame:
@@ -137,36 +162,38 @@ def overlap_count(train: DataFrame, valid: DataFrame, identifier: str = "flight_
 
 # ---- categories and pseudo labels -------------------------------------------
 
-def vocabulary(df: DataFrame, column: str, na_token: str = NA_TOKEN) -> DataFrame:
-    """(value, code): codes follow the sorted values; missing is a value of its own."""
-    token = F.coalesce(F.col(column).cast("string"), F.lit(na_token))
-    values = (df.select(token.alias("value")).distinct().withColumn("_all", F.lit(0))
-              .withColumn(BUCKET, F.substring("value", 1, 4)))
-    ranked = row_ranks(values, ["_all"], [F.col("value")], "_rank")
-    return ranked.select("value", (F.col("_rank") - 1).cast("int").alias("code"))
+def vocabularies(df: DataFrame, cols: Sequence[str], na_token: str = NA_TOKEN) -> DataFrame:
+    """(column, value, code) of all columns in one pass: codes follow the sorted values, and missing
+    is a value of its own."""
+    entries = [F.struct(F.lit(c).alias("column"), F.coalesce(F.col(c).cast("string"), F.lit(na_token)).alias("value"))
+               for c in cols]
+    values = df.select(F.inline(F.array(*entries))).distinct().withColumn(BUCKET, F.substring("value", 1, 4))
+    ranked = row_ranks(values, ["column"], [F.col("value")], "_rank")
+    return ranked.select("column", "value", (F.col("_rank") - 1).cast("int").alias("code"))
 
 
-def categorical_codes(df: DataFrame, cols: Sequence[str] = CATEGORICAL, na_token: str = NA_TOKEN) -> DataFrame:
-    """Replace text categories by integer codes of the vocabulary of all given rows."""
+def apply_codes(df: DataFrame, words: DataFrame, cols: Sequence[str], na_token: str = NA_TOKEN) -> DataFrame:
     out = df
-    for column in [c for c in cols if c in df.columns]:
-        words = vocabulary(df, column, na_token)
-        token = F.coalesce(F.col(column).cast("string"), F.lit(na_token))
-        out = (out.withColumn("value", token).join(words, "value")
-               .drop("value", column).withColumnRenamed("code", column))
-    return out.select(*df.columns)
-
-
-def missing_codes(df: DataFrame, cols: Sequence[str] = CATEGORICAL, na_token: str = NA_TOKEN) -> DataFrame:
-    """The code each column gave to missing, for columns that have one."""
-    out = None
-    for column in [c for c in cols if c in df.columns]:
-        row = vocabulary(df, column, na_token).filter(F.col("value") == na_token).select(
-            F.lit(column).alias("column"), "code")
-        out = row if out is None else out.unionByName(row)
+    for c in cols:
+        mine = words.filter(F.col("column") == c).select(F.col("value").alias("_value"), F.col("code").alias("_code"))
+        token = F.coalesce(F.col(c).cast("string"), F.lit(na_token))
+        out = out.join(mine, token == F.col("_value"), "left").withColumn(c, F.col("_code")).drop("_value", "_code")
     return out
 
 
+def categorical_codes(df: DataFrame, cols: Sequence[str] = CATEGORICAL, na_token: str = NA_TOKEN, *,
+                      settle: Settle = unsettled) -> DataFrame:
+    """Replace text categories by integer codes of the vocabulary of all given rows."""
+    present = [c for c in cols if c in df.columns]
+    words = settle(vocabularies(df, present, na_token), "vocabularies")
+    return apply_codes(df, words, present, na_token).select(*df.columns)
+
+
+def missing_codes(words: DataFrame, na_token: str = NA_TOKEN) -> DataFrame:
+    """The code each column of a vocabulary table gave to missing, for columns that have one."""
+    return words.filter(F.col("value") == na_token).select("column", "code")
+
+
 def pseudo_labels(scored: DataFrame, p: str = "p", *, low: float = 10.0, high: float = 98.0) -> DataFrame:
     """Confident unlabeled rows with ``pseudo_y``; cut-offs are exact percentiles of the given scores."""
     if not 0 <= low < high <= 100:

@@ -80,19 +80,13 @@ def inner_boundary(train: DataFrame, valid: DataFrame, *, seed: int, fold: int,
     early = [c for c in (*train.columns, *valid.columns) if c.startswith("te_")]
     if early:
         raise ValueError(f"encoded columns are not allowed before the inner split: {sorted(set(early))}")
-    split = encode.inner_holdout(train, [], fraction=fraction, salt=f"holdout:{seed + fold}")
+    split = materialize(encode.inner_holdout(train, [], fraction=fraction, salt=f"holdout:{seed + fold}"), "split")
     inner, holdout = split.filter("NOT is_holdout").drop("is_holdout"), split.filter("is_holdout").drop("is_holdout")
     if pseudo is not None:
         extra = pseudo(inner)
-    encoded, encoded_holdout = encode.oof_target_encode(
-        inner, holdout, cols, m=m, inner_splits=inner_splits, seed=seed, drop_original=drop_original, extra=extra)
-    fit = inner if extra is None else inner.unionByName(extra)
-    encoded_valid = valid
-    present = [c for c in cols if c in valid.columns]
-    for key in present:
-        encoded_valid = encode.smoothed_target_encode(fit, encoded_valid, key, m=m)
-    if drop_original:
-        encoded_valid = encoded_valid.drop(*present)
+    encoded, (encoded_holdout, encoded_valid) = encode.oof_target_encode(
+        inner, [holdout, valid], cols, m=m, inner_splits=inner_splits, seed=seed, drop_original=drop_original,
+        extra=extra, settle=materialize)
     parts = [df.withColumn("part", F.lit(name)) for df, name in
              ((encoded, "train"), (encoded_holdout, "holdout"), (encoded_valid, "valid"))]
     stored = materialize(parts[0].unionByName(parts[1]).unionByName(parts[2], allowMissingColumns=True), "boundary")
@@ -296,11 +290,11 @@ def fold_teacher(folded: DataFrame, fold: int, features: Sequence[str], params:
 def crossfit_scores(train: DataFrame, build: Callable[..., Fitted], params: dict, *, k: int, seed: int,
                     cols: Sequence[str] = ()) -> DataFrame:
     """Out-of-fold scores inside the training rows, encodings redone for every part."""
-    parts = encode.stratified_folds(train, k=k, seed=seed + 20_000, name="_part")
+    parts = materialize(encode.stratified_folds(train, k=k, seed=seed + 20_000, name="_part"), "parts")
     out = None
     for part in range(k):
         rest, own = fold_rows(parts, part, "_part")
-        fit, apply = encode.oof_target_encode(rest, own, cols, seed=seed)
+        fit, (apply,) = encode.oof_target_encode(rest, [own], cols, seed=seed, settle=materialize)
         features = feature_columns(apply)
         scored = build(materialize(fit, "crossfit"), features, params).score(materialize(apply, "crossfit"))
         scored = scored.withColumn("part", F.lit(part))

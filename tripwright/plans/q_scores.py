@@ -389,7 +389,7 @@ def oof_target_encode(spark, sf):
 SELECT flight_id, round(coalesce((s + 20 * g) / (n + 20), g), 9) AS te_airline FROM folded LEFT JOIN s USING (airline), g WHERE fold = 0""", ("flights",))
 def outer_fold_encode(spark, sf):
     rows = folded(spark, sf)
-    _, valid = encode.oof_target_encode(rows.filter("fold <> 0"), rows.filter("fold = 0"), ["airline"])
+    _, (valid,) = encode.oof_target_encode(rows.filter("fold <> 0"), [rows.filter("fold = 0")], ["airline"])
     return rounded(valid, ["te_airline"]).select("flight_id", "te_airline")
 
 

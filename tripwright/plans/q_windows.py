@@ -8,6 +8,7 @@ from tripwright.functions import clock, geo
 from tripwright.operators import calendar_signal, clean, intervals, sampling
 from tripwright.plans.q_functions import TIME_SQL
 from tripwright.plans.registry import query
+from tripwright.storage import materialize
 
 RESTORE_SQL = f"""{TIME_SQL},
 routed AS (SELECT *, CAST(origin AS VARCHAR) || '_' || CAST(dest AS VARCHAR) AS route FROM timed),
@@ -28,7 +29,7 @@ restored AS (SELECT * REPLACE (
 
 def restored_flights(spark, sf):
     rows = clean.with_route(fx.flights(spark, sf))
-    return clean.restore_times(clean.time_features(rows, keep_minute=True))
+    return clean.restore_times(clean.time_features(rows, keep_minute=True), settle=materialize)
 
 
 @query("w1_group_median_fill", f"""WITH {RESTORE_SQL}
@@ -46,7 +47,7 @@ FROM restored"""
 
 @query("w2_slot_counts", _SLOTS, ("flights",))
 def slot_counts(spark, sf):
-    return clean.traffic_features(restored_flights(spark, sf)).select(
+    return clean.traffic_features(restored_flights(spark, sf), settle=materialize).select(
         "flight_id", "origin_hour_missing", "dest_hour_missing", "origin_traffic", "dest_traffic")
 
 
@@ -266,7 +267,7 @@ SELECT origin, dep_hour, count(*) AS n_rows, CAST(sum(y) AS BIGINT) AS n_delayed
  round(count(*) / (SELECT count(*) FROM labeled), 9) AS share_of_population FROM labeled GROUP BY origin, dep_hour""", ("flights",))
 def flagship(spark, sf):
     """Clean, restore, count slots, keep labeled rows, and report delay rates by origin and hour."""
-    rows = clean.slot_counts(restored_flights(spark, sf), "origin_traffic", "origin", "dep_hour")
+    rows = clean.slot_counts(restored_flights(spark, sf), "origin_traffic", "origin", "dep_hour", settle=materialize)
     labeled = clean.labeled_rows(rows)
     table = labeled.groupBy("origin", "dep_hour").agg(
         F.count(F.lit(1)).alias("n_rows"), F.sum("y").alias("n_delayed"),

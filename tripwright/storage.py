@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,3 +30,11 @@ def materialize(df: DataFrame, stem: str) -> DataFrame:
     path = fresh_path(df.sparkSession, stem)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+# How a plan treats an aggregate it uses several times: write it once, or leave it lazy.
+Settle = Callable[[DataFrame, str], DataFrame]
+
+
+def unsettled(df: DataFrame, stem: str) -> DataFrame:
+    return df
