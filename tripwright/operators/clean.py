@@ -247,13 +247,24 @@ def slot_counts(df: DataFrame, name: str, airport: str, hour: str, *,
 
 def traffic_features(df: DataFrame, *, exclude_missing_hour: bool = True, add_missing_flag: bool = True,
                      date_keys: Sequence[str] = ("mo", "dom"), settle: Settle = unsettled) -> DataFrame:
+    """Slot counts at both airports. Both roles are counted in one pass over the rows."""
+    roles = (("origin_traffic", "origin_hour_missing", "origin", "dep_hour"),
+             ("dest_traffic", "dest_hour_missing", "dest", "arr_hour"))
+    entries = [F.struct(F.lit(name).alias("_role"), F.col(airport).cast("string").alias("_airport"),
+                        F.col(hour).alias("_hour")) for name, _, airport, hour in roles]
+    slots = df.select(*date_keys, F.inline(F.array(*entries)))
+    if exclude_missing_hour:
+        slots = slots.filter(F.col("_hour") != MISSING_HOUR)
+    slots = settle(slots.groupBy("_role", *date_keys, "_airport", "_hour")
+                   .agg(F.count(F.lit(1)).cast("double").alias("_n")), "slots")
     out = df
-    for name, flag, airport, hour in (("origin_traffic", "origin_hour_missing", "origin", "dep_hour"),
-                                      ("dest_traffic", "dest_hour_missing", "dest", "arr_hour")):
+    for name, flag, airport, hour in roles:
         if add_missing_flag:
             out = out.withColumn(flag, (F.col(hour) == MISSING_HOUR).cast("int"))
-        out = slot_counts(out, name, airport, hour, date_keys=date_keys,
-                          exclude_missing_hour=exclude_missing_hour, settle=settle)
+        columns = out.columns
+        mine = slots.filter(F.col("_role") == name).select(*date_keys, "_airport", "_hour", F.col("_n").alias(name))
+        keyed = out.withColumn("_airport", F.col(airport).cast("string")).withColumn("_hour", F.col(hour))
+        out = join_null_safe(keyed, mine, [*date_keys, "_airport", "_hour"], "left").select(*columns, name)
     return out
 
 
