@@ -104,7 +104,11 @@ def midnight_distance(value: Column) -> Column:
 
 
 def micros_between(start: Column, end: Column) -> Column:
-    return F.timestamp_diff("MICROSECOND", start, end)
+    """Microseconds on the columns' own clock, whatever the session time zone is."""
+    gap = end - start
+    days, hours, minutes = [F.extract(F.lit(unit), gap).cast("bigint") for unit in ("DAY", "HOUR", "MINUTE")]
+    seconds = (F.extract(F.lit("SECOND"), gap) * 1000000).cast("bigint")
+    return ((days * 24 + hours) * 60 + minutes) * 60000000 + seconds
 
 
 def minutes_between(start: Column, end: Column) -> Column:

@@ -154,8 +154,11 @@ def logistic(train: DataFrame, features: Sequence[str], params: dict, seed: int
         if c in features and f"te_{c}" not in features:
             raise ValueError(f"raw {c} is dropped but te_{c} is missing")
     numeric = [c for c in features if c not in levels and c not in TARGET_ENCODED_ONLY]
-    frequent = {c: train.groupBy(c).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= ONEHOT_MIN_FREQUENCY)
-                .select(F.col(c).alias(f"_f_{c}")) for c in levels}
+    entries = [F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in levels]
+    frequent = None
+    if levels:
+        sizes = train.select(F.inline(F.array(*entries))).groupBy("column", "value").agg(F.count(F.lit(1)).alias("_n"))
+        frequent = materialize(sizes.filter((F.col("_n") >= ONEHOT_MIN_FREQUENCY) & F.col("value").isNotNull()), "levels")
     missing = [F.count(F.when(F.col(c).isNull(), 1)).alias(c) for c in numeric]
     counts = train.agg(F.count(F.lit(1)).alias("_n"), *missing).first()
     # a column without any value cannot be filled by its median
@@ -166,9 +169,9 @@ def logistic(train: DataFrame, features: Sequence[str], params: dict, seed: int
         out = df.withColumns({f"_x_{c}": F.col(c).cast("double") for c in usable}
                              | {f"_m_{c}": F.col(c).isNull().cast("double") for c in flagged})
         for c in levels:
-            kept = frequent[c]
-            out = out.join(kept, F.col(c).eqNullSafe(F.col(f"_f_{c}")), "left").withColumn(
-                f"_l_{c}", F.coalesce(F.col(f"_f_{c}").cast("string"), F.lit("infrequent"))).drop(f"_f_{c}")
+            kept = frequent.filter(F.col("column") == c).select(F.col("value").alias("_value"))
+            out = out.join(kept, F.col(c).cast("string") == F.col("_value"), "left").withColumn(
+                f"_l_{c}", F.coalesce(F.col("_value"), F.lit("infrequent"))).drop("_value")
         return out
 
     stages = [
@@ -186,7 +189,7 @@ def logistic(train: DataFrame, features: Sequence[str], params: dict, seed: int
     stages += [VectorAssembler(inputCols=inputs, outputCol="_features"),
                LogisticRegression(featuresCol="_features", labelCol="y", maxIter=params.get("max_iter", 200),
                                   regParam=1.0 / (params["C"] * counts["_n"]), standardization=False)]
-    model = Pipeline(stages=stages).fit(prepare(train))
+    model = Pipeline(stages=stages).fit(materialize(prepare(train), "prepared"))
     return Fitted(model, lambda df: _probability(model.transform(prepare(df)), df.columns))
 
 
