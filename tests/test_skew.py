@@ -127,3 +127,23 @@ def test_thresholds_reached_equals_counting(spark):
     df = spark.createDataFrame([(p,) for p in ps], "p double")
     for p, n in df.select("p", metrics.thresholds_reached(F.col("p"))).collect():
         assert n == sum(t <= p for t in metrics.THRESHOLDS), p
+
+
+def test_cross_fold_thresholds_without_keys_equal_brute_force(spark):
+    rng = np.random.default_rng(8)
+    data = [(int(rng.random() < 0.3), float(np.round(rng.random(), 3)), int(i % 4)) for i in range(800)]
+    df = spark.createDataFrame(data, "y_true int, p double, fold int")
+
+    def f1(part, th):
+        tp = sum(y == 1 and p >= th for y, p, _ in part)
+        fp = sum(y == 0 and p >= th for y, p, _ in part)
+        fn = sum(y == 1 and p < th for y, p, _ in part)
+        tn = sum(y == 0 and p < th for y, p, _ in part)
+        return ((2 * tp / (2 * tp + fp + fn) if tp + fp + fn else 0) + (2 * tn / (2 * tn + fp + fn) if tn + fp + fn else 0)) / 2
+
+    chosen, summary = metrics.cross_fold_thresholds(df, [])
+    got = dict(rows(chosen, "fold", "threshold"))
+    for fold in range(4):
+        rest = [r for r in data if r[2] != fold]
+        assert got[fold] == max(metrics.THRESHOLDS, key=lambda t: (f1(rest, t), -t))
+    assert summary.first()["naive_f1"] == pytest.approx(max(f1(data, t) for t in metrics.THRESHOLDS))

@@ -266,13 +266,14 @@ def cross_fold_thresholds(df: DataFrame, keys: Sequence[str], fold: str = "fold"
                           p: str = "p") -> tuple[DataFrame, DataFrame]:
     """(per fold threshold chosen on the other folds, summary per key).
 
-    The other folds' counts are the total minus the fold's own, so rows are read once.
+    Rows are read once, into at most 62 counts per fold; the choice works on those counts.
     """
     keys = list(keys)
     counts = threshold_counts(df, [*keys, fold], y, p)
-    folds = counts.select(*keys, fold).distinct().withColumnRenamed(fold, "_for")
-    others = counts.join(folds, keys) if keys else counts.join(folds)
-    others = others.filter(F.col(fold) != F.col("_for")).drop(fold).withColumnRenamed("_for", fold)
+    # each fold's counts serve every other fold of its key
+    every = Window.partitionBy(*keys)
+    others = counts.withColumn("_folds", F.collect_set(fold).over(every)).withColumn("_for", F.explode("_folds"))
+    others = others.filter(F.col(fold) != F.col("_for")).drop(fold, "_folds").withColumnRenamed("_for", fold)
     chosen = best_threshold(sweep(others, [*keys, fold]), [*keys, fold]).drop("macro_f1")
     naive = best_threshold(sweep(counts, keys), keys).select(
         *keys, F.col("threshold").alias("naive_threshold"), F.col("macro_f1").alias("naive_f1"))
@@ -280,5 +281,8 @@ def cross_fold_thresholds(df: DataFrame, keys: Sequence[str], fold: str = "fold"
     nested = own.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in CELLS],
                                     F.median("threshold").alias("deployment_threshold"))
     nested = nested.withColumn("nested_f1", _macro_f1()).drop(*CELLS)
-    summary = nested.join(naive, keys) if keys else nested.join(naive)
+    if keys:
+        summary = nested.join(naive, keys)
+    else:
+        summary = nested.withColumns({c: naive.select(c).scalar() for c in ("naive_threshold", "naive_f1")})
     return chosen, summary.withColumn("optimism", F.col("naive_f1") - F.col("nested_f1"))

@@ -147,6 +147,7 @@ def partial_key_match(spark, sf):
                                       number="airline").drop(*KEYS)
 
 
+# The declared ladder of key subsets, from the full fingerprint to single keys.
 _ALL_KEYS = ["mo", "dom", "tail", "origin", "distance", "carrier_code", "dep_block", "arr_block"]
 LADDER = {
     "L0_full": _ALL_KEYS,

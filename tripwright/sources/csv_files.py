@@ -11,8 +11,8 @@ from tripwright.schemas import CSV_NULL, SOURCE_COLUMNS, SOURCE_SCHEMA
 def read_trips(spark: SparkSession, path: str, *, schema: T.StructType = SOURCE_SCHEMA,
                columns: Sequence[str] | None = None, with_weather: bool = False, short_names: bool = True
                ) -> DataFrame:
-    """Typed scan of the trip CSV. Columns are taken by header name, so files may order them freely
-    and a byte-order mark does no harm; the weather-merged variant's stale hour column is dropped."""
+    """Typed scan of the trip CSV. Columns get their type by header name (the same header in every
+    file), a byte-order mark does no harm, and the weather-merged variant's stale hour is dropped."""
     raw = spark.read.schema(_header_schema(spark, path, schema)).option("header", True).csv(path)
     if with_weather:
         raw = raw.drop("Dep_Hour")
@@ -26,10 +26,7 @@ def read_trips(spark: SparkSession, path: str, *, schema: T.StructType = SOURCE_
 
 
 def _header_schema(spark: SparkSession, path: str, schema: T.StructType) -> T.StructType:
-    """The known types in the order of the file's header; unknown columns stay text.
-
-    Reads header lines only: the schema reader looks at no data row of an all-text scan.
-    """
+    """The known types in the order of the header; unknown columns stay text. Reads the header only."""
     names = spark.read.option("header", True).csv(path).columns
     known = {f.name: f.dataType for f in schema}
     clean = [n.removeprefix("﻿") for n in names]
