@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
-from tripwright.llm import byte_bpe, exact_dedup, mixing, token_counts
+from tripwright.llm import byte_bpe, exact_dedup, language_id, mixing, quality, secrets, token_counts
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -28,12 +28,27 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+@query("op2_quality_classifier")
+def op2(spark, sf_dir):
+    return quality.score_quality(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 @query("op3_byte_bpe")
 def op3(spark, sf_dir):
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return byte_bpe.encode_documents(documents(spark, sf_dir), path, public_tokenizers.PATTERN)
 
 
+@query("op4_language_id")
+def op4(spark, sf_dir):
+    return language_id.language_id(documents(spark, sf_dir))
+
+
+@query("op6_secret_scans")
+def op6(spark, sf_dir):
+    return secrets.scan_secrets(documents(spark, sf_dir))
+
+
 MIX_SQL = """
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
                   md5(concat(coalesce(CAST(doc_id AS VARCHAR), ''), ':mix-1')) AS h FROM documents),
