@@ -1,10 +1,10 @@
 """The registered queries of this subpackage, with comparison SQL where SQL can say it."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-
 import public_tokenizers
-from tripwright.llm import byte_bpe, exact_dedup, language_id, mixing, quality, secrets, token_counts
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from tripwright.llm import byte_bpe, exact_dedup, language_id, mixing, nearest, quality, secrets, token_counts
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -28,6 +28,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+@query("op1_nearest_neighbours")
+def op1(spark, sf_dir):
+    return nearest.nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 @query("op2_quality_classifier")
 def op2(spark, sf_dir):
     return quality.score_quality(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
