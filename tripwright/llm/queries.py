@@ -4,7 +4,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tripwright.llm import byte_bpe, exact_dedup, language_id, mixing, nearest, quality, secrets, token_counts
+from tripwright.llm import byte_bpe, exact_dedup, language_id, mixing, nearest, quality, secrets, substring_dedup, token_counts
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -49,6 +49,12 @@ def op4(spark, sf_dir):
     return language_id.language_id(documents(spark, sf_dir))
 
 
+@query("op5_substring_dedup")
+def op5(spark, sf_dir):
+    kept = substring_dedup.remove_repeats(documents(spark, sf_dir))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("op6_secret_scans")
 def op6(spark, sf_dir):
     return secrets.scan_secrets(documents(spark, sf_dir))
