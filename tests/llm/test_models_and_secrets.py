@@ -111,7 +111,7 @@ def secret_rows():
 
 def test_base_spans_equal_a_plain_scan(spark):
     rows = [*AWKWARD, *secret_rows()]
-    got = secrets.scan_secrets(frame(spark, rows).repartition(4)).collect()
+    got = secrets.span_digests(secrets.scan_secrets(frame(spark, rows).repartition(4))).collect()
     assert len(got) == len(rows)
     texts = {i: t for i, t, *_ in rows if i is not None}
     for r in got:
@@ -125,7 +125,7 @@ def test_base_spans_equal_a_plain_scan(spark):
 def test_base_spans_of_the_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()}
-    for r in secrets.scan_secrets(docs).collect():
+    for r in secrets.span_digests(secrets.scan_secrets(docs)).collect():
         assert r.base_sha256 == hashlib.sha256(",".join(base_spans(texts[r.doc_id])).encode()).hexdigest()
 
 
@@ -135,7 +135,7 @@ def test_random_strings_are_told_from_words(spark):
     secret = ["".join(rng.choices(alphabet, k=44)) for _ in range(60)]
     dull = ["section-" + "-".join(["chapter", "one", "two", "part", "page"]) + f"-{i}" for i in range(60)]
     rows = [(i, f"see {w} here", "en", "a", 1) for i, w in enumerate(secret + dull)]
-    found = {r.doc_id: r.spans for r in secrets.scan_secrets(frame(spark, rows)).collect()}
+    found = {r.doc_id: r.spans for r in secrets.span_digests(secrets.scan_secrets(frame(spark, rows))).collect()}
     assert sum("random:4:48" in found[i] for i in range(60)) >= 54
     assert sum("random" in found[i] for i in range(60, 120)) <= 6
 

@@ -9,14 +9,13 @@ Where no boundary resynchronises inside an overlap (a match longer than the over
 rest of that document is one piece. Decoding joins the bytes of the ids.
 
 Nulls and edges: a null text counts as empty and has no ids (both hashes are those of
-nothing); repeated rows each get a row; ids of a null doc_id come with a null doc_id; an
+nothing); repeated rows each get a row; a null doc_id stays null; an
 empty table gives no rows; other columns are ignored. Strings of special tokens are
 ordinary text.
 """
 from __future__ import annotations
 
 import base64
-import hashlib
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
@@ -47,31 +46,18 @@ def matcher(pattern: str):
     return regex.compile(pattern)
 
 
-def joined(ids: list[int]) -> str:
-    return ",".join(map(str, ids))
-
-
-def sha256(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()
-
-
 def encode_short(rows: DataFrame, path: str, pattern: str) -> DataFrame:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoding(path, pattern)
         for batch in batches:
             for a in range(0, batch.num_rows, PIECE_ROWS):
                 part = batch.slice(a, PIECE_ROWS)
-                counts, digests, decoded = [], [], []
-                for text in part.column(1):
-                    ids = bpe.encode_ordinary(text.as_py())
-                    counts.append(len(ids))
-                    digests.append(sha256(joined(ids).encode()))
-                    decoded.append(sha256(bpe.decode_bytes(ids)))
+                ids = [bpe.encode_ordinary(text.as_py()) for text in part.column(1)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(counts, pa.int64()), pa.array(digests), pa.array(decoded)],
-                    ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                    [part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(map(bpe.decode_bytes, ids), pa.binary())],
+                    ["doc_id", "ids", "decoded"])
 
-    return rows.mapInArrow(encode, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(encode, "doc_id long, ids array<int>, decoded binary")
 
 
 def cut_chunks(rows: DataFrame, chunk: int, overlap: int) -> DataFrame:
@@ -160,28 +146,41 @@ def encode_long(rows: DataFrame, path: str, pattern: str, chunk: int, overlap: i
             for i in range(batch.num_rows):
                 ids = bpe.encode_ordinary(batch.column(3)[i].as_py())
                 one = batch.slice(i, 1)
+                # a piece starts and ends with a match, so its bytes are whole characters
                 yield pa.RecordBatch.from_arrays(
-                    [one.column(0), one.column(1), one.column(2), pa.array([len(ids)], pa.int64()),
-                     pa.array([joined(ids)]), pa.array([bpe.decode_bytes(ids).decode("utf-8")])],
-                    ["row", "doc_id", "piece", "n_tokens", "ids", "decoded"])
+                    [one.column(0), one.column(1), one.column(2), pa.array([ids], pa.list_(pa.int32())),
+                     pa.array([bpe.decode_bytes(ids).decode("utf-8")])], ["row", "doc_id", "piece", "ids", "decoded"])
 
     encoded = pieces.select("row", "doc_id", "piece", "text").mapInArrow(
-        encode, "row long, doc_id long, piece int, n_tokens long, ids string, decoded string")
-    whole = encoded.groupBy("row", "doc_id").agg(
-        F.sum("n_tokens").alias("n_tokens"),
-        F.array_sort(F.collect_list(F.struct("piece", "ids", "decoded"))).alias("pieces"))
-    together = {"ids": F.array_join(F.transform("pieces", lambda p: p["ids"]), ","),
-                "decoded": F.array_join(F.transform("pieces", lambda p: p["decoded"]), "")}
-    return whole.select("doc_id", "n_tokens", *[F.sha2(c, 256).alias(f"{n}_sha256") for n, c in together.items()])
+        encode, "row long, doc_id long, piece int, ids array<int>, decoded string")
+    whole = encoded.groupBy("row", "doc_id").agg(F.array_sort(F.collect_list(F.struct("piece", "ids", "decoded"))).alias("pieces"))
+    return whole.select("doc_id", F.flatten(F.transform("pieces", lambda p: p["ids"])).alias("ids"),
+                        F.array_join(F.transform("pieces", lambda p: p["decoded"]), "").cast("binary").alias("decoded"))
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """Per document: doc_id, n_tokens, ids_sha256 and decoded_sha256."""
+    """Per document: doc_id, its ids, and the bytes that the ids decode to."""
     rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     short = encode_short(rows.filter(F.length("text") <= chunk), path, pattern)
     return short.unionByName(encode_long(rows.filter(F.length("text") > chunk), path, pattern, chunk, overlap))
 
 
-def decode(ids: list[int], path: str, pattern: str) -> bytes:
-    """The bytes of one sequence of ids."""
-    return encoding(path, pattern).decode_bytes(ids)
+def encoding_digests(encoded: DataFrame) -> DataFrame:
+    """Per document: doc_id, n_tokens, ids_sha256 (decimal ids joined by commas) and decoded_sha256."""
+    written = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(written, 256).alias("ids_sha256"),
+                          F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def decode_ids(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
+    """(doc_id, text) of tables that hold (doc_id, ids) alone; ids of no characters become U+FFFD."""
+
+    def text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = encoding(path, pattern)
+        for batch in batches:
+            for a in range(0, batch.num_rows, PIECE_ROWS):
+                part = batch.slice(a, PIECE_ROWS)
+                texts = [bpe.decode_bytes(i or []).decode("utf-8", "replace") for i in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
+
+    return pick(encoded, "doc_id", "ids").mapInArrow(text, "doc_id long, text string")

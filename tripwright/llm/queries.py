@@ -4,7 +4,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tripwright.llm import byte_bpe, exact_dedup, language_id, mixing, nearest, quality, secrets, substring_dedup, token_counts
+from tripwright.llm import byte_bpe, exact_dedup, language_id, minhash_dedup, mixing, nearest, quality, secrets, substring_dedup, token_counts
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -41,7 +41,7 @@ def op2(spark, sf_dir):
 @query("op3_byte_bpe")
 def op3(spark, sf_dir):
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return byte_bpe.encode_documents(documents(spark, sf_dir), path, public_tokenizers.PATTERN)
+    return byte_bpe.encoding_digests(byte_bpe.encode_documents(documents(spark, sf_dir), path, public_tokenizers.PATTERN))
 
 
 @query("op4_language_id")
@@ -49,7 +49,21 @@ def op4(spark, sf_dir):
     return language_id.language_id(documents(spark, sf_dir))
 
 
-@query("op5_substring_dedup")
+SUBSTRING_SQL = """
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+p AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w WHERE len(ws) >= 13),
+k AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY array_to_string(ws[i:i + 12], ' ')) AS first_doc FROM p),
+r AS (SELECT DISTINCT doc_id, i + o AS place FROM k, range(0, 13) AS s(o) WHERE first_doc < doc_id),
+e AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS place FROM w),
+m AS (SELECT doc_id, coalesce(string_agg(word, ' ' ORDER BY place), '') AS kept, count(*) AS n_kept
+      FROM e ANTI JOIN r USING (doc_id, place) GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n_kept, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN m USING (doc_id)
+"""
+
+
+@query("op5_substring_dedup", SUBSTRING_SQL)
 def op5(spark, sf_dir):
     kept = substring_dedup.remove_repeats(documents(spark, sf_dir))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -57,7 +71,7 @@ def op5(spark, sf_dir):
 
 @query("op6_secret_scans")
 def op6(spark, sf_dir):
-    return secrets.scan_secrets(documents(spark, sf_dir))
+    return secrets.span_digests(secrets.scan_secrets(documents(spark, sf_dir)))
 
 
 MIX_SQL = """
@@ -106,3 +120,22 @@ WINDOW g AS (PARTITION BY t)
 @query("op9_exact_dedup", EXACT_SQL)
 def op9(spark, sf_dir):
     return exact_dedup.exact_dedup(documents(spark, sf_dir)).drop("mark")
+
+
+NEAR_SQL = """
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                            'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+p AS (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 2, 1) + 1)) AS i FROM w WHERE len(ws) > 0),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 2], ' ') AS g FROM p),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM c JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * common >= 85 * (a.n + b.n - common)),
+r(doc_id, reached) AS (SELECT doc_id, doc_id FROM w UNION SELECT r.doc_id, l.y FROM r JOIN l ON r.reached = l.x)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, min(reached) AS component_id, w.doc_id = min(reached) AS kept
+FROM w LEFT JOIN n USING (doc_id) JOIN r ON r.doc_id = w.doc_id GROUP BY w.doc_id, n.n
+"""
+
+
+@query("op10_minhash_dedup", NEAR_SQL)
+def op10(spark, sf_dir):
+    return minhash_dedup.near_duplicates(documents(spark, sf_dir), size=3, percent=85).drop("mark")

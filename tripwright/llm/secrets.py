@@ -129,7 +129,7 @@ def dismissal_bins(spans: DataFrame, rate: float = RATE) -> DataFrame:
 
 
 def scan_secrets(docs: DataFrame, rate: float = RATE) -> DataFrame:
-    """Per document: doc_id, n_assign, n_access, n_hex, base_sha256 and spans."""
+    """Per document: doc_id and its spans (kind, start, stop) by start, stop exclusive."""
     p = F.when(F.col("kind") == 3, randomness("numbers", "base"))
     bin_ = F.least(F.lit(BINS), F.floor(-F.log(F.greatest(p, F.lit(1e-300))) * BINS_PER_UNIT)).cast("int")
     spans = materialize(with_numbers(found_spans(docs), "token").select(
@@ -137,18 +137,25 @@ def scan_secrets(docs: DataFrame, rate: float = RATE) -> DataFrame:
     thresholds = dismissal_bins(spans, rate)  # one row per class of length
     judged = spans.join(F.broadcast(thresholds), "length_class", "left").filter(
         "kind is null or kind <> 3 or dismissed_from is null or bin < dismissed_from")
-    one = F.struct(F.col("start"), F.col("kind"), F.col("stop"))
+    one = F.struct("start", F.col("kind").alias("order"), "stop", F.get(F.array(*map(F.lit, KINDS)), F.col("kind")).alias("kind"))
     per_doc = judged.groupBy("row", "doc_id").agg(F.array_sort(F.collect_list(F.when(F.col("kind").isNotNull(), one))).alias("all"))
-    per_doc = per_doc.withColumn("base", F.filter("all", lambda s: s["kind"] < 3))
-    per_doc = per_doc.withColumn("all", F.filter("all", lambda s: (s["kind"] < 3) | ~F.exists(
-        "base", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"]))))
-    names = F.array(*[F.lit(k) for k in KINDS])
+    per_doc = per_doc.withColumn("base", F.filter("all", lambda s: s["order"] < 3))
+    clear = F.filter("all", lambda s: (s["order"] < 3) | ~F.exists("base", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])))
+    return per_doc.select("doc_id", F.transform(clear, lambda s: F.struct(
+        s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"))).alias("spans"))
 
-    def written(spans_: str) -> Column:
-        return F.array_join(F.transform(spans_, lambda s: F.concat_ws(
-            ":", F.get(names, s["kind"]), s["start"].cast("string"), s["stop"].cast("string"))), ",")
 
-    def of_kind(kind: int) -> Column:
-        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{KINDS[kind]}")
+def written(spans: Column) -> Column:
+    """kind:start:stop of every span, comma-joined."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(
+        ":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
 
-    return per_doc.select("doc_id", *map(of_kind, range(3)), F.sha2(written("base"), 256).alias("base_sha256"), written("all").alias("spans"))
+
+def span_digests(scanned: DataFrame) -> DataFrame:
+    """Per document: doc_id, n_assign, n_access, n_hex, base_sha256 and the spans as text."""
+    def of_kind(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    base = F.filter("spans", lambda s: s["kind"] != KINDS[3])
+    return scanned.select("doc_id", *map(of_kind, KINDS[:3]), F.sha2(written(base), 256).alias("base_sha256"),
+                          written(F.col("spans")).alias("spans"))
