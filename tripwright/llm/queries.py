@@ -51,15 +51,15 @@ def op4(spark, sf_dir):
 
 SUBSTRING_SQL = """
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
-p AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w WHERE len(ws) >= 13),
-k AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY array_to_string(ws[i:i + 12], ' ')) AS first_doc FROM p),
-r AS (SELECT DISTINCT doc_id, i + o AS place FROM k, range(0, 13) AS s(o) WHERE first_doc < doc_id),
 e AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS place FROM w),
-m AS (SELECT doc_id, coalesce(string_agg(word, ' ' ORDER BY place), '') AS kept, count(*) AS n_kept
-      FROM e ANTI JOIN r USING (doc_id, place) GROUP BY doc_id)
-SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n_kept, 0) AS BIGINT) AS n_removed,
-       sha256(coalesce(kept, '')) AS kept_sha256
-FROM w LEFT JOIN m USING (doc_id)
+g AS (SELECT doc_id, word, place, string_agg(word, ' ') OVER d AS g, count(*) OVER d AS n FROM e
+      WINDOW d AS (PARTITION BY doc_id ORDER BY place ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING)),
+k AS (SELECT *, n = 13 AND min(doc_id) OVER (PARTITION BY g, n) < doc_id AS repeated FROM g),
+m AS (SELECT doc_id, word, place, bool_or(repeated) OVER (PARTITION BY doc_id ORDER BY place
+             ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS gone FROM k)
+SELECT w.doc_id, count(word) AS n_words, count(word) FILTER (gone) AS n_removed,
+       sha256(coalesce(string_agg(word, ' ' ORDER BY place) FILTER (NOT gone), '')) AS kept_sha256
+FROM w LEFT JOIN m USING (doc_id) GROUP BY w.doc_id
 """
 
 
