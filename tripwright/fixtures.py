@@ -43,8 +43,11 @@ _TRIP_COLUMNS = (
     ("arr_block", "CAST((arr_hhmm - arr_hhmm % 600) / 600 AS INT)"),
     ("airline", "airline"), ("distance", "distance"), ("dom", "dom"), ("dep_hhmm", "dep_hhmm"),
 )
+# All trips serve as the schedule, dealt to two years; a sixth have another tail, so that trips
+# match none, one or both. Only the attribution query checks fewer months than there are.
 SCHEDULE_YEARS = (1996, 1997)
 SCHEDULE_MONTHS = 10
+_SCHEDULE_COLUMNS = {"yr": "CAST(1996 + yr % 2 AS INT)", "tail": "CASE WHEN flight_id % 6 = 0 THEN tail + 100 ELSE tail END"}
 
 
 def _select(columns) -> str:
@@ -56,7 +59,8 @@ VIEW_SQL = {
     "oof": f"SELECT {_select(_OOF_COLUMNS)}\n FROM flights CROSS JOIN (VALUES (42),(1),(7)) AS s(seed)\n"
            " WHERE delay IS NOT NULL",
     "trips": f"SELECT {_select(_TRIP_COLUMNS)}\n FROM flights",
-    "schedule": f"SELECT * FROM trips WHERE yr IN {SCHEDULE_YEARS} AND mo <= {SCHEDULE_MONTHS}",
+    "schedule": f"SELECT * REPLACE ({', '.join(f'{e} AS {n}' for n, e in _SCHEDULE_COLUMNS.items())}) FROM trips",
+    "checked_schedule": f"SELECT * FROM schedule WHERE mo <= {SCHEDULE_MONTHS}",
     "requests": "SELECT event_id, user_id % 4 AS station, ts AS prediction_at FROM events"
                 " WHERE event_type = 'purchase'",
     "reports": "SELECT user_id % 4 AS station, ts AS observed_at, ts + INTERVAL 10 MINUTE AS available_at,"
@@ -98,4 +102,8 @@ def trips(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def schedule(spark: SparkSession, sf: str) -> DataFrame:
-    return trips(spark, sf).filter(F.col("yr").isin(*SCHEDULE_YEARS) & (F.col("mo") <= SCHEDULE_MONTHS))
+    return trips(spark, sf).withColumns({n: F.expr(e) for n, e in _SCHEDULE_COLUMNS.items()})
+
+
+def checked_schedule(spark: SparkSession, sf: str) -> DataFrame:
+    return schedule(spark, sf).filter(F.col("mo") <= SCHEDULE_MONTHS)

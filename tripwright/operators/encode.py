@@ -5,7 +5,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tripwright.operators.skew import BUCKET, exact_quantiles, row_ranks
+from tripwright.operators.skew import BUCKET, exact_quantiles, join_null_safe, row_positions, row_ranks
 from tripwright.schemas import CATEGORICAL
 from tripwright.storage import Settle, unsettled
 
@@ -19,9 +19,9 @@ def _salted(identifier: str, salt: str) -> Column:
 
 
 def _hash_ranks(df: DataFrame, within: Sequence[str], identifier: str, salt: str) -> DataFrame:
-    """``_rank`` by salted hash within the keys; the first three hex digits are the buckets."""
+    """``_rank`` by salted hash within the keys; the first four hex digits are the buckets."""
     hashed = df.withColumn("_h", _salted(identifier, salt))
-    hashed = hashed.withColumn(BUCKET, F.substring("_h", 1, 3))
+    hashed = hashed.withColumn(BUCKET, F.substring("_h", 1, 4))
     return row_ranks(hashed, within, [F.col("_h"), F.col(identifier)], "_rank").drop("_h", BUCKET)
 
 
@@ -47,7 +47,7 @@ def inner_holdout(df: DataFrame, within: Sequence[str], label: str = "y", identi
     sizes = marked.groupBy(*keys).agg(
         F.round(F.count(F.lit(1)) * fraction).alias("_want"), F.count(F.when(F.col("_usable"), 1)).alias("_can"))
     size = F.least(F.col("_want"), F.greatest(F.col("_can") - 1, F.lit(0)))
-    return (ranked.join(sizes, keys)
+    return (join_null_safe(ranked, sizes, keys)
             .withColumn(name, F.col("_usable") & (F.col("_rank") <= size))
             .drop("_usable", "_rank", "_want", "_can"))
 
@@ -155,11 +155,6 @@ def oof_target_encode(train: DataFrame, others: Sequence[DataFrame], cols: Seque
     return encoded, applied
 
 
-def overlap_count(train: DataFrame, valid: DataFrame, identifier: str = "flight_id") -> DataFrame:
-    """Rows present on both sides (must be 0 before encoding)."""
-    return train.join(valid.select(identifier), identifier, "left_semi").agg(F.count(F.lit(1)).alias("overlap"))
-
-
 # ---- categories and pseudo labels -------------------------------------------
 
 def vocabularies(df: DataFrame, cols: Sequence[str], na_token: str = NA_TOKEN) -> DataFrame:
@@ -167,8 +162,8 @@ def vocabularies(df: DataFrame, cols: Sequence[str], na_token: str = NA_TOKEN) -
     is a value of its own."""
     entries = [F.struct(F.lit(c).alias("column"), F.coalesce(F.col(c).cast("string"), F.lit(na_token)).alias("value"))
                for c in cols]
-    values = df.select(F.inline(F.array(*entries))).distinct().withColumn(BUCKET, F.substring("value", 1, 4))
-    ranked = row_ranks(values, ["column"], [F.col("value")], "_rank")
+    values = df.select(F.inline(F.array(*entries))).distinct()
+    ranked = row_positions(values, ["column"], [F.col("value")], "_rank")
     return ranked.select("column", "value", (F.col("_rank") - 1).cast("int").alias("code"))
 
 
@@ -189,16 +184,20 @@ def categorical_codes(df: DataFrame, cols: Sequence[str] = CATEGORICAL, na_token
     return apply_codes(df, words, present, na_token).select(*df.columns)
 
 
-def missing_codes(words: DataFrame, na_token: str = NA_TOKEN) -> DataFrame:
-    """The code each column of a vocabulary table gave to missing, for columns that have one."""
-    return words.filter(F.col("value") == na_token).select("column", "code")
-
+def pseudo_labels(scored: DataFrame, p: str = "p", *, low: float = 10.0, high: float = 98.0,
+                  keys: Sequence[str] = ()) -> DataFrame:
+    """Confident unlabeled rows with ``pseudo_y``; cut-offs are exact percentiles per key.
 
-def pseudo_labels(scored: DataFrame, p: str = "p", *, low: float = 10.0, high: float = 98.0) -> DataFrame:
-    """Confident unlabeled rows with ``pseudo_y``; cut-offs are exact percentiles of the given scores."""
+    Cut-offs that coincide would make one row both classes and are refused at run time.
+    """
     if not 0 <= low < high <= 100:
         raise ValueError(f"need 0 <= low < high <= 100: {low}, {high}")
-    cuts = exact_quantiles(scored, [], p, {"low": low / 100, "high": high / 100})
-    positive = scored.filter(F.col(p) >= cuts.select("high").scalar()).withColumn("pseudo_y", F.lit(1))
-    negative = scored.filter(F.col(p) <= cuts.select("low").scalar()).withColumn("pseudo_y", F.lit(0))
-    return positive.unionByName(negative)
+    cuts = exact_quantiles(scored, keys, p, {"_low": low / 100, "_high": high / 100}).drop("n_values")
+    if keys:
+        marked = join_null_safe(scored, cuts, keys)
+    else:
+        marked = scored.withColumns({c: cuts.select(c).scalar() for c in ("_low", "_high")})
+    same = F.raise_error(F.lit("the cut-offs of both classes coincide")).cast("int")
+    label = (F.when(F.col("_low") == F.col("_high"), same).when(F.col(p) >= F.col("_high"), 1)
+             .when(F.col(p) <= F.col("_low"), 0))
+    return marked.withColumn("pseudo_y", label).filter(F.col("pseudo_y").isNotNull()).drop("_low", "_high")

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tripwright.functions import numeric
-from tripwright.operators.skew import BUCKET, exact_quantile_array, running_totals
+from tripwright.operators.skew import BUCKET, exact_quantile_array, join_null_safe, running_totals
 
 CELLS = ("tn", "fp", "fn", "tp")
 # Cell -> (actual class, predicted class).
@@ -111,7 +111,7 @@ def equal_frequency_bins(df: DataFrame, keys: Sequence[str], y: str = "y_true",
     edges = exact_quantile_array(df, keys, p, [k / n_bins for k in range(n_bins + 1)])
     edges = edges.select(*keys, F.col("quantiles").alias("_edges"))
     values = df.groupBy(*keys, p).agg(F.count(F.lit(1)).alias("_n"), F.sum(y).alias("_pos"))
-    joined = values.join(edges, keys) if keys else values.withColumn("_edges", edges.scalar())
+    joined = join_null_safe(values, edges, keys) if keys else values.withColumn("_edges", edges.scalar())
     interior = F.slice(F.col("_edges"), 2, n_bins - 1)
     index = F.size(F.filter(interior, lambda e: e <= F.col(p)))
     binned = joined.groupBy(*keys, index.alias("bin")).agg(
@@ -179,7 +179,7 @@ def score_metrics(df: DataFrame, keys: Sequence[str], y: str = "y_true", p: str
     ece = expected_calibration_error(equal_width_bins(df, keys, y, p), keys, "ece_10")
     if not keys:
         return out.withColumn("roc_auc", auc.scalar()).withColumn("ece_10", ece.scalar())
-    return out.join(auc, list(keys)).join(ece, list(keys))
+    return join_null_safe(join_null_safe(out, auc, keys), ece, keys)
 
 
 def overlapping_group_metrics(df: DataFrame, keys: Sequence[str], groups: dict[str, Column],
@@ -204,10 +204,10 @@ def overlapping_group_metrics(df: DataFrame, keys: Sequence[str], groups: dict[s
 def score_with_fold_thresholds(df: DataFrame, thresholds: DataFrame, keys: Sequence[str], *, fold: str = "fold",
                                y: str = "y_true", p: str = "p") -> DataFrame:
     """Pooled scores when every fold has its own threshold; adds the mean within-fold AUC."""
-    joined = df.drop("threshold").join(thresholds, [*keys, fold])
+    joined = join_null_safe(df.drop("threshold"), thresholds, [*keys, fold])
     pooled = score_metrics(with_prediction(joined, p), keys, y, p)
     within = roc_auc(df, [*keys, fold], y, p).groupBy(*keys).agg(F.avg("roc_auc").alias("roc_auc_within_fold_mean"))
-    return pooled.join(within, list(keys))
+    return join_null_safe(pooled, within, keys)
 
 
 # ---- thresholds -------------------------------------------------------------
@@ -277,12 +277,12 @@ def cross_fold_thresholds(df: DataFrame, keys: Sequence[str], fold: str = "fold"
     chosen = best_threshold(sweep(others, [*keys, fold]), [*keys, fold]).drop("macro_f1")
     naive = best_threshold(sweep(counts, keys), keys).select(
         *keys, F.col("threshold").alias("naive_threshold"), F.col("macro_f1").alias("naive_f1"))
-    own = sweep(counts, [*keys, fold]).join(chosen, [*keys, fold, "threshold"])
+    own = join_null_safe(sweep(counts, [*keys, fold]), chosen, [*keys, fold, "threshold"])
     nested = own.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in CELLS],
                                     F.median("threshold").alias("deployment_threshold"))
     nested = nested.withColumn("nested_f1", _macro_f1()).drop(*CELLS)
     if keys:
-        summary = nested.join(naive, keys)
+        summary = join_null_safe(nested, naive, keys)
     else:
         summary = nested.withColumns({c: naive.select(c).scalar() for c in ("naive_threshold", "naive_f1")})
     return chosen, summary.withColumn("optimism", F.col("naive_f1") - F.col("nested_f1"))

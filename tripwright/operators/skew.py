@@ -12,6 +12,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tripwright.storage import materialize
+
 BUCKET = "_bucket"
 
 
@@ -30,7 +32,7 @@ def carry_in(df: DataFrame, keys: Sequence[str], carried: dict[str, Column], *,
     """Add to each row the combined value of all earlier (or later) buckets of its key.
 
     ``carried`` maps output names to the column aggregated per bucket. The scanned
-    table has one row per (key, bucket). Keys must not be null.
+    table has one row per (key, bucket). Null keys are keys like any other.
     """
     agg = {"sum": F.sum, "max": F.max, "min": F.min}[combine]
     small = df.groupBy(*keys, bucket).agg(*[agg(c).alias(n) for n, c in carried.items()])
@@ -38,7 +40,7 @@ def carry_in(df: DataFrame, keys: Sequence[str], carried: dict[str, Column], *,
     before = (Window.partitionBy(*keys).orderBy(order)
               .rowsBetween(Window.unboundedPreceding, -1))
     small = small.select(*keys, bucket, *[agg(n).over(before).alias(n) for n in carried])
-    return df.join(small, [*keys, bucket])
+    return join_null_safe(df, small, [*keys, bucket])
 
 
 def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
@@ -61,10 +63,14 @@ def row_ranks(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name:
     return out.withColumn(name, rank.cast("bigint")).drop("_rows_before")
 
 
-def hash_bucket(value: Column, buckets: int = 1024) -> Column:
-    """Bucket by the leading bits of a hash, so that bucket order is hash order."""
-    width = 2 ** 64 // buckets
-    return F.floor(value.cast("decimal(20,0)") / F.lit(width)).cast("int")
+def row_positions(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
+    """1-based row numbers over ``order`` within the keys, for values of any kind and spacing.
+
+    Rows are range-partitioned by keys and order and written once; each partition is a
+    bucket, so no task scans more than one row per partition.
+    """
+    ranged = df.repartitionByRange(*[F.col(k) for k in keys], *order).withColumn(BUCKET, F.spark_partition_id())
+    return row_ranks(materialize(ranged, "ranged"), keys, order, name).drop(BUCKET)
 
 
 def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -74,24 +80,25 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 
 
 def exact_quantile_array(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], *,
-                         buckets: int = 4096) -> DataFrame:
+                         buckets: int = 256) -> DataFrame:
     """Exact linearly interpolated quantiles per key, without sorting a key in one task.
 
-    Values are first counted, then spread over equal-width buckets of the key's range;
-    only buckets that hold a wanted rank are ordered. Returns the keys, ``n_values`` and
-    the array ``quantiles`` in the order of ``probs``.
+    Values are first counted, then cut into buckets at approximate quantiles of the distinct
+    values, so that neither ties nor outliers fill a bucket; only buckets that hold a wanted
+    rank are ordered. Returns the keys, ``n_values`` and the array ``quantiles`` in the order
+    of ``probs``.
     """
     keys = list(keys)
-    work = keys or ["_all"]
-    counted = value_counts(df, keys, value)
-    if not keys:
-        counted = counted.withColumn("_all", F.lit(0))
-    counted = counted.select(*work, F.col(value).cast("double").alias("_v"), "n")
-    span = counted.groupBy(*work).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
-                                      F.sum("n").alias("n_values"))
-    width = F.when(F.col("_hi") > F.col("_lo"), F.col("_hi") - F.col("_lo")).otherwise(F.lit(1.0))
-    bucket = F.least(F.floor((F.col("_v") - F.col("_lo")) / width * buckets), F.lit(buckets - 1)).cast("int")
-    placed = join_null_safe(counted, span, work).select(*work, "_v", "n", "n_values", bucket.alias(BUCKET))
+    counted = value_counts(df, keys, value).select(*keys, F.col(value).cast("double").alias("_v"), "n")
+    cuts = F.percentile_approx("_v", [i / buckets for i in range(1, buckets)], 10_000)
+    span = counted.groupBy(*keys).agg(cuts.alias("_cuts"), F.sum("n").alias("n_values"))
+    if keys:
+        placed = join_null_safe(counted, span, keys)
+    else:  # two scalars instead of a join without a key
+        placed = counted.withColumns({c: span.select(c).scalar() for c in ("_cuts", "n_values")})
+    bucket = F.size(F.filter("_cuts", lambda c: c < F.col("_v")))
+    placed = placed.select(*keys, "_v", "n", "n_values", bucket.alias(BUCKET))
+    work = keys
 
     wanted_probs = F.array(*[F.lit(float(q)) for q in probs])
 

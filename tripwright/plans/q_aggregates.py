@@ -184,7 +184,7 @@ def variance_explained(spark, sf):
 def permutation_p_value(spark, sf):
     days = calendar_signal.decompose(calendar_signal.daily_counts(fx.flights(spark, sf)))
     return calendar_signal.permutation_test(days.select("doy", "residual", "cycle_class"), "residual", "cycle_class", "doy",
-                                            draws=200, seed=42)
+                                            draws=20_000, seed=42)
 
 
 @query("a25_share_shift_z", """

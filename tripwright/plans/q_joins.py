@@ -225,11 +225,10 @@ def hourly_equi_left_join(spark, sf):
 SELECT flight_id, row_number() OVER (ORDER BY flight_id DESC) AS ordinal, distance FROM flights WHERE delay IS NOT NULL""",
        ("flights",))
 def align_by_id(spark, sf):
-    from tripwright.operators.skew import row_ranks
+    from tripwright.operators.skew import row_positions
 
-    ids = (fx.flights(spark, sf).filter("delay IS NOT NULL").select("flight_id")
-           .withColumn("_all", F.lit(0)).withColumn("_bucket", -F.floor(F.col("flight_id") / 4096)))
-    ids = row_ranks(ids, ["_all"], [F.col("flight_id").desc()], "ordinal").select("flight_id", "ordinal")
+    ids = fx.flights(spark, sf).filter("delay IS NOT NULL").select("flight_id")
+    ids = row_positions(ids, [], [F.col("flight_id").desc()], "ordinal").select("flight_id", "ordinal")
     return matching.align_by_id(fx.flights(spark, sf).select("flight_id", "distance"), ids, "flight_id")
 
 
@@ -350,7 +349,7 @@ def typed_table_diff(spark, sf):
 
 
 _SINGLE = f"""truth AS (SELECT *, CASE WHEN n_{YEARS[0]} > 0 THEN {YEARS[0]} ELSE {YEARS[1]} END AS attributed_year FROM matched
- WHERE {_ALL_KNOWN} AND mo <= {fx.SCHEDULE_MONTHS} AND CAST(n_{YEARS[0]} > 0 AS INT) + CAST(n_{YEARS[1]} > 0 AS INT) = 1)"""
+ WHERE {_ALL_KNOWN} AND CAST(n_{YEARS[0]} > 0 AS INT) + CAST(n_{YEARS[1]} > 0 AS INT) = 1)"""
 
 
 def _masking_sql() -> str:
@@ -371,7 +370,7 @@ def _masking_sql() -> str:
 @query("j21_key_masking_diagnostic", _masking_sql(), _VIEWS)
 def key_masking_diagnostic(spark, sf):
     schedule = fx.schedule(spark, sf)
-    rows = clean.complete_rows(fx.trips(spark, sf), KEYS).filter(F.col("mo") <= fx.SCHEDULE_MONTHS)
+    rows = clean.complete_rows(fx.trips(spark, sf), KEYS)
     truth = matching.classify_complete(matching.match_counts_by_year(rows, schedule, KEYS, YEARS), YEARS)
     return matching.masking_diagnostic(truth.filter(F.col("attributed_year").isNotNull()), schedule, KEYS,
                                        VOLATILE, YEARS)
@@ -413,16 +412,20 @@ def expected_record_check(spark, sf):
     return nested.expected_record_failures(records, expected).withColumnRenamed("station_id", "s_suppkey")
 
 
-@query("a42_year_attribution", f"""WITH {_MATCHED}, {_PARTIAL},
+def _in_checked_months(sql: str) -> str:
+    return sql.replace("FROM schedule", "FROM checked_schedule").replace("JOIN schedule", "JOIN checked_schedule")
+
+
+@query("a42_year_attribution", f"""WITH {_in_checked_months(_MATCHED)}, {_in_checked_months(_PARTIAL)},
 hits AS (SELECT *, CAST(n_{YEARS[0]} > 0 AS INT) + CAST(n_{YEARS[1]} > 0 AS INT) AS years FROM matched)
 SELECT flight_id, CASE years WHEN 0 THEN 'complete_checked_no_candidate' WHEN 1 THEN 'complete_single_candidate_year' ELSE 'complete_multi_candidate_year' END AS status,
  years AS candidate_years, CAST(CASE WHEN years = 1 THEN CASE WHEN n_{YEARS[0]} > 0 THEN {YEARS[0]} ELSE {YEARS[1]} END END AS INT) AS attributed_year
  FROM hits WHERE {_ALL_KNOWN} AND mo <= {fx.SCHEDULE_MONTHS}
 UNION ALL SELECT flight_id, CASE n_{YEARS[0]} + n_{YEARS[1]} WHEN 0 THEN 'missing_key_checked_no_candidate' WHEN 1 THEN 'missing_key_single_candidate_year'
   ELSE 'missing_key_multi_candidate_year' END, CAST(n_{YEARS[0]} > 0 AS INT) + CAST(n_{YEARS[1]} > 0 AS INT), NULL FROM partial JOIN trips USING (flight_id) WHERE mo <= {fx.SCHEDULE_MONTHS}
-UNION ALL SELECT flight_id, 'not_checked_month_unavailable', NULL, NULL FROM trips WHERE mo > {fx.SCHEDULE_MONTHS}""", _VIEWS)
+UNION ALL SELECT flight_id, 'not_checked_month_unavailable', NULL, NULL FROM trips WHERE mo > {fx.SCHEDULE_MONTHS}""", (*_VIEWS, "checked_schedule"))
 def year_attribution(spark, sf):
-    return matching.year_attribution(fx.trips(spark, sf), fx.schedule(spark, sf), KEYS, VOLATILE, YEARS,
+    return matching.year_attribution(fx.trips(spark, sf), fx.checked_schedule(spark, sf), KEYS, VOLATILE, YEARS,
                                      number="airline")
 
 

@@ -1,6 +1,8 @@
 """Scores, calibration, thresholds, folds, encodings and run comparisons."""
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from tripwright import fixtures as fx
@@ -8,6 +10,7 @@ from tripwright.functions import text
 from tripwright.operators import clean, compare, contracts, encode, metrics, report
 from tripwright.operators.metrics import CELLS, THRESHOLDS
 from tripwright.plans.registry import query
+from tripwright.storage import materialize
 
 V = ("flights", "oof")
 PRED_SQL = "pred AS (SELECT *, CAST(p >= threshold AS INT) AS prediction FROM oof)"
@@ -360,43 +363,56 @@ def inner_holdout_split(spark, sf):
     return encode.inner_holdout(train, ["outer_fold"])
 
 
-_FIT_SQL = f"{_FOLD_SQL}, fit AS (SELECT * FROM folded WHERE fold <> 0), g AS (SELECT avg(y) AS g FROM fit)"
+_OUTER_SQL = (f"{_FOLD_SQL}, fit AS (SELECT f.*, CAST(o AS INT) AS outer_fold FROM folded f, generate_series(0, 4) AS s(o) WHERE fold <> o), "
+              "g AS (SELECT outer_fold, avg(y) AS g FROM fit GROUP BY outer_fold)")
+
 
+def outer_folds(spark, sf, encoded):
+    """``encoded(training rows, validation rows)`` of every outer fold, stacked with its number."""
+    rows = materialize(folded(spark, sf), "folded")
+    parts = [encoded(rows.filter(F.col("fold") != k), rows.filter(F.col("fold") == k)).withColumn("outer_fold", F.lit(k))
+             for k in range(5)]
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
-@query("m3_smoothed_target_encode", f"""WITH {_FIT_SQL}, s AS (SELECT tail, count(*) AS n, sum(y) AS s FROM fit GROUP BY tail)
-SELECT flight_id, tail, round(coalesce((s + 20 * g) / (n + 20), g), 9) AS te_tail FROM folded LEFT JOIN s USING (tail), g WHERE fold = 0""", ("flights",))
+
+@query("m3_smoothed_target_encode", f"""WITH {_OUTER_SQL}, s AS (SELECT outer_fold, tail, count(*) AS n, sum(y) AS s FROM fit GROUP BY ALL)
+SELECT outer_fold, flight_id, tail, round(coalesce((s + 20 * g) / (n + 20), g), 9) AS te_tail
+FROM (SELECT *, fold AS outer_fold FROM folded) LEFT JOIN s USING (outer_fold, tail) JOIN g USING (outer_fold)""", ("flights",))
 def smoothed_target_encode(spark, sf):
-    rows = folded(spark, sf)
-    out = encode.smoothed_target_encode(rows.filter("fold <> 0"), rows.filter("fold = 0"), "tail")
-    return rounded(out, ["te_tail"]).select("flight_id", "tail", "te_tail")
+    out = outer_folds(spark, sf, lambda train, valid: encode.smoothed_target_encode(train, valid, "tail"))
+    return rounded(out, ["te_tail"]).select("outer_fold", "flight_id", "tail", "te_tail")
 
 
-@query("m4_oof_target_encode", f"""WITH {_FIT_SQL},
-inner_folds AS (SELECT *, CAST((row_number() OVER (PARTITION BY y ORDER BY sha256(CAST(flight_id AS VARCHAR) || ':fold:42'), flight_id) - 1) % 5 AS INT) AS inner_fold FROM fit)
-SELECT a.flight_id, round(any_value(gm.g), 9) AS fold_mean, round((coalesce(sum(b.y), 0) + 20 * any_value(gm.g)) / (count(b.y) + 20), 9) AS te_airline
-FROM inner_folds a LEFT JOIN inner_folds b ON a.airline = b.airline AND a.inner_fold <> b.inner_fold
-JOIN (SELECT f.inner_fold, avg(y) AS g FROM (SELECT DISTINCT inner_fold FROM inner_folds) f JOIN inner_folds o ON o.inner_fold <> f.inner_fold GROUP BY f.inner_fold) gm ON gm.inner_fold = a.inner_fold
-GROUP BY a.flight_id""", ("flights",))
+@query("m4_oof_target_encode", f"""WITH {_OUTER_SQL},
+inner_folds AS (SELECT *, CAST((row_number() OVER (PARTITION BY outer_fold, y ORDER BY sha256(CAST(flight_id AS VARCHAR) || ':fold:42'), flight_id) - 1) % 5 AS INT) AS inner_fold FROM fit)
+SELECT a.outer_fold, a.flight_id, round(any_value(gm.g), 9) AS fold_mean, round((coalesce(sum(b.y), 0) + 20 * any_value(gm.g)) / (count(b.y) + 20), 9) AS te_airline
+FROM inner_folds a LEFT JOIN inner_folds b ON a.outer_fold = b.outer_fold AND a.airline = b.airline AND a.inner_fold <> b.inner_fold
+JOIN (SELECT f.outer_fold, f.inner_fold, avg(y) AS g FROM (SELECT DISTINCT outer_fold, inner_fold FROM inner_folds) f
+      JOIN inner_folds o ON o.outer_fold = f.outer_fold AND o.inner_fold <> f.inner_fold GROUP BY ALL) gm ON gm.outer_fold = a.outer_fold AND gm.inner_fold = a.inner_fold
+GROUP BY a.outer_fold, a.flight_id""", ("flights",))
 def oof_target_encode(spark, sf):
-    train = encode.stratified_folds(folded(spark, sf).filter("fold <> 0"), name="inner_fold")
-    # a column without any value shows the fold mean every unseen key falls back to
-    train = train.withColumn("nothing", F.lit(None).cast("string"))
-    out = encode.out_of_fold_encode(train, "inner_fold", ["airline", "nothing"])
-    return rounded(out.select("flight_id", F.col("te_nothing").alias("fold_mean"), "te_airline"), ["fold_mean", "te_airline"])
+    def encoded(train, _):
+        # a column without any value shows the fold mean every unseen key falls back to
+        inner = materialize(encode.stratified_folds(train, name="inner_fold").withColumn("nothing", F.lit(None).cast("string")), "inner")
+        return encode.out_of_fold_encode(inner, "inner_fold", ["airline", "nothing"])
+
+    out = outer_folds(spark, sf, encoded)
+    return rounded(out.select("outer_fold", "flight_id", F.col("te_nothing").alias("fold_mean"), "te_airline"), ["fold_mean", "te_airline"])
 
 
-@query("m4_outer_fold_encode", f"""WITH {_FIT_SQL}, s AS (SELECT airline, count(*) AS n, sum(y) AS s FROM fit WHERE airline IS NOT NULL GROUP BY airline)
-SELECT flight_id, round(coalesce((s + 20 * g) / (n + 20), g), 9) AS te_airline FROM folded LEFT JOIN s USING (airline), g WHERE fold = 0""", ("flights",))
+@query("m4_outer_fold_encode", f"""WITH {_OUTER_SQL}, s AS (SELECT outer_fold, airline, count(*) AS n, sum(y) AS s FROM fit WHERE airline IS NOT NULL GROUP BY ALL)
+SELECT outer_fold, flight_id, round(coalesce((s + 20 * g) / (n + 20), g), 9) AS te_airline
+FROM (SELECT *, fold AS outer_fold FROM folded) LEFT JOIN s USING (outer_fold, airline) JOIN g USING (outer_fold)""", ("flights",))
 def outer_fold_encode(spark, sf):
-    rows = folded(spark, sf)
-    _, (valid,) = encode.oof_target_encode(rows.filter("fold <> 0"), [rows.filter("fold = 0")], ["airline"])
-    return rounded(valid, ["te_airline"]).select("flight_id", "te_airline")
+    out = outer_folds(spark, sf, lambda train, valid: encode.oof_target_encode(train, [valid], ["airline"], settle=materialize)[1][0])
+    return rounded(out, ["te_airline"]).select("outer_fold", "flight_id", "te_airline")
 
 
-@query("m5_pseudo_label_select", """WITH s AS (SELECT flight_id, p FROM oof WHERE seed = 42), c AS (SELECT quantile_cont(p, 0.10) AS lo, quantile_cont(p, 0.98) AS hi FROM s)
-SELECT flight_id, p, 1 AS pseudo_y FROM s, c WHERE p >= hi UNION ALL SELECT flight_id, p, 0 FROM s, c WHERE p <= lo""", V)
+@query("m5_pseudo_label_select", """WITH c AS (SELECT seed, quantile_cont(p, 0.10) AS lo, quantile_cont(p, 0.98) AS hi FROM oof GROUP BY seed)
+SELECT seed, flight_id, p, 1 AS pseudo_y FROM oof JOIN c USING (seed) WHERE p >= hi
+UNION ALL SELECT seed, flight_id, p, 0 FROM oof JOIN c USING (seed) WHERE p <= lo""", V)
 def pseudo_label_select(spark, sf):
-    return encode.pseudo_labels(fx.oof(spark, sf).filter("seed = 42").select("flight_id", "p"))
+    return encode.pseudo_labels(fx.oof(spark, sf).select("seed", "flight_id", "p"), keys=["seed"])
 
 
 @query("m6_categorical_codes", """WITH t AS (SELECT flight_id, coalesce(airline, 'MISSING') AS a, CAST(tail AS VARCHAR) AS t FROM flights)
@@ -415,17 +431,21 @@ def prediction_rows(spark, sf):
     return contracts.prediction_rows_of_fixture(spark, sf)
 
 
-@query("m21_prediction_contract_check", """WITH bad AS (SELECT * REPLACE (CASE WHEN flight_id % 100 = 0 THEN 1.5 ELSE p END AS p, CASE WHEN flight_id % 60 = 0 THEN 2 ELSE y_true END AS y_true) FROM oof WHERE seed = 42)
-SELECT 'probability_range' AS rule, count(*) FILTER (p > 1) AS violations FROM bad
-UNION ALL SELECT 'binary_values', count(*) FILTER (y_true NOT IN (0, 1)) FROM bad
-UNION ALL SELECT unnest(['null_values', 'run_identity', 'duplicate_id', 'duplicate_source_row', 'negative_source_row', 'threshold_range', 'fold_range', 'tree_count', 'prediction_rule', 'fold_settings', 'row_count', 'folds_present']), 0""", V)
+@query("m21_prediction_contract_check", """WITH bad AS (SELECT * REPLACE (CASE WHEN flight_id % 100 = 0 THEN 1.5 ELSE p END AS p, CASE WHEN flight_id % 60 = 0 THEN 2 ELSE y_true END AS y_true) FROM oof),
+seeds AS (SELECT DISTINCT seed FROM oof)
+SELECT seed, 'probability_range' AS rule, count(*) FILTER (p > 1) AS violations FROM bad GROUP BY seed
+UNION ALL SELECT seed, 'binary_values', count(*) FILTER (y_true NOT IN (0, 1)) FROM bad GROUP BY seed
+UNION ALL SELECT seed, unnest(['null_values', 'run_identity', 'duplicate_id', 'duplicate_source_row', 'negative_source_row', 'threshold_range', 'fold_range', 'tree_count', 'prediction_rule', 'fold_settings', 'row_count', 'folds_present']), 0 FROM seeds""", V)
 def prediction_contract_check(spark, sf):
-    rows = contracts.prediction_rows_of_fixture(spark, sf).filter("seed = 42")
+    rows = contracts.prediction_rows_of_fixture(spark, sf)
     rows = rows.withColumn("probability", F.when(F.col("flight_id") % 100 == 0, 1.5).otherwise(F.col("probability")))
     rows = rows.withColumn("prediction", (F.col("probability") >= F.col("threshold")).cast("int"))
     rows = rows.withColumn("y_true", F.when(F.col("flight_id") % 60 == 0, 2).otherwise(F.col("y_true")))
     n = fx.flights(spark, sf).filter("delay IS NOT NULL").agg(F.count(F.lit(1)).alias("n"))
-    return contracts.prediction_violations(rows, run_id="demo", phase_key="P6_clean", seed=42, n_rows=n.scalar(), n_splits=5)
+    rows = materialize(rows, "predictions")
+    checked = [contracts.prediction_violations(rows.filter(F.col("seed") == seed), run_id="demo", phase_key="P6_clean", seed=seed,
+                                               n_rows=n.scalar(), n_splits=5).withColumn("seed", F.lit(seed)) for seed in fx.SEEDS]
+    return reduce(lambda a, b: a.unionByName(b), checked)
 
 
 # ---- recorded scores --------------------------------------------------------
@@ -514,21 +534,26 @@ _BAND_LOW = "CASE b " + " ".join(f"WHEN {i} THEN {a}::DOUBLE" for i, a in enumer
 _BAND_HIGH = "CASE b " + " ".join(f"WHEN {i} THEN {a}::DOUBLE" for i, a in enumerate(report.BANDS[1:])) + " END"
 
 
-@query("a29_probability_bands", f"""WITH {_FLAGGED_SQL}, banded AS (SELECT pattern, CAST({_BAND_CASE} AS INT) AS b, y_true FROM flagged WHERE seed = 42)
+@query("a29_probability_bands", f"""WITH {_FLAGGED_SQL}, banded AS (SELECT seed || ':' || pattern AS pattern, CAST({_BAND_CASE} AS INT) AS b, y_true FROM flagged)
 SELECT pattern, b AS band, {_BAND_LOW} AS lower, {_BAND_HIGH} AS upper, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY pattern), 9) AS share, round(avg(y_true), 9) AS observed_rate
 FROM banded GROUP BY pattern, b""", V)
 def probability_bands(spark, sf):
-    return rounded(report.probability_bands(flagged(spark, sf).filter("seed = 42"), "pattern"), ["share", "observed_rate"])
+    rows = flagged(spark, sf).withColumn("pattern", F.concat_ws(":", F.col("seed").cast("string"), "pattern"))
+    return rounded(report.probability_bands(rows, "pattern"), ["share", "observed_rate"])
 
 
-_TRACK_SQL = """tagged AS (SELECT 'mo' AS attribute, CAST(mo AS VARCHAR) AS value, y_true, p FROM oof JOIN flights USING (flight_id) WHERE seed = 42
- UNION ALL SELECT 'airline', coalesce(airline, '(missing)'), y_true, p FROM oof JOIN flights USING (flight_id) WHERE seed = 42),
+_TRACK_SQL = """tagged AS (SELECT 'mo_' || seed AS attribute, CAST(mo AS VARCHAR) AS value, y_true, p FROM oof JOIN flights USING (flight_id)
+ UNION ALL SELECT 'airline_' || seed, coalesce(airline, '(missing)'), y_true, p FROM oof JOIN flights USING (flight_id)),
 g AS (SELECT attribute, value, count(*) AS n, avg(y_true) AS observed_rate, avg(p) AS mean_probability FROM tagged GROUP BY ALL HAVING count(*) >= 100)"""
 
 
 def _tracking(spark, sf):
-    rows = fx.oof(spark, sf).filter("seed = 42").join(fx.flights(spark, sf).select("flight_id", "mo", "airline"), "flight_id")
-    return report.base_rate_tracking(rows, ["mo", "airline"], min_rows=100)
+    rows = fx.oof(spark, sf).join(fx.flights(spark, sf).select("flight_id", "mo", "airline"), "flight_id")
+    tables = []
+    for seed in fx.SEEDS:
+        named = rows.filter(F.col("seed") == seed).withColumnsRenamed({c: f"{c}_{seed}" for c in ("mo", "airline")})
+        tables.append(report.base_rate_tracking(named, [f"mo_{seed}", f"airline_{seed}"], min_rows=100))
+    return [reduce(lambda a, b: a.unionByName(b), part) for part in zip(*tables)]
 
 
 @query("a26_base_rate_groups", f"WITH {_TRACK_SQL} SELECT attribute, value, n, round(observed_rate, 9) AS observed_rate, round(mean_probability, 9) AS mean_probability FROM g", V)

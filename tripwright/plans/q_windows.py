@@ -151,7 +151,7 @@ def stratified_round_robin(spark, sf):
 
 # ---- intervals --------------------------------------------------------------
 
-MERGE_SQL = """target AS (SELECT station, prediction_at - INTERVAL 6 HOUR AS a, prediction_at + INTERVAL 2 HOUR AS b FROM requests WHERE event_id % 7 <> 0),
+MERGE_SQL = """target AS (SELECT station, prediction_at - INTERVAL 6 HOUR AS a, prediction_at + INTERVAL 2 HOUR AS b FROM requests),
 flagged AS (SELECT station, a, b, max(b) OVER (PARTITION BY station ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM target),
 islands AS (SELECT station, a, b, sum(CASE WHEN reached IS NULL OR a > reached THEN 1 ELSE 0 END) OVER (PARTITION BY station ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS island FROM flagged),
 merged AS (SELECT station, min(a) AS start, max(b) AS "end" FROM islands GROUP BY station, island)"""
@@ -160,7 +160,7 @@ _NARROW = MERGE_SQL.replace("INTERVAL 6 HOUR", "INTERVAL 40 MINUTE").replace("IN
 
 
 def targets(spark, sf, before="40 MINUTES", after="20 MINUTES"):
-    return fx.requests(spark, sf).filter("event_id % 7 <> 0").selectExpr(
+    return fx.requests(spark, sf).selectExpr(
         "station", f"prediction_at - INTERVAL {before} AS start", f"prediction_at + INTERVAL {after} AS end")
 
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tripwright.operators.report import count_if
-from tripwright.sources.csv_files import text_with_null_token
+from tripwright.sources.csv_files import READ_OPTIONS, text_with_null_token
 from tripwright.schemas import REPORT_FIELDS, REPORT_NUMERIC, REPORT_SCHEMA
 
 
@@ -18,7 +18,7 @@ from tripwright.schemas import REPORT_FIELDS, REPORT_NUMERIC, REPORT_SCHEMA
 def read_reports(spark: SparkSession, path: str) -> DataFrame:
     """All report files under a path as raw text rows: '#' lines are comments, 'M' is null, blank
     stays blank. ``source_file`` keeps where a row came from."""
-    raw = (spark.read.schema(REPORT_SCHEMA).option("header", True).option("comment", "#").csv(path)
+    raw = (spark.read.schema(REPORT_SCHEMA).options(**READ_OPTIONS).option("comment", "#").csv(path)
            .select("*", F.col("_metadata.file_path").alias("source_file")))
     return text_with_null_token(raw, "M")
 

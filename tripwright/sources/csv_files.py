@@ -7,13 +7,17 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tripwright.schemas import CSV_NULL, SOURCE_COLUMNS, SOURCE_SCHEMA
 
+# A quote inside a quoted field is doubled; every file's header must name the schema's columns.
+READ_OPTIONS = {"header": True, "quote": '"', "escape": '"', "enforceSchema": False}
+WRITE_OPTIONS = {"header": True, "quote": '"', "escape": '"'}
+
 
 def read_trips(spark: SparkSession, path: str, *, schema: T.StructType = SOURCE_SCHEMA,
                columns: Sequence[str] | None = None, with_weather: bool = False, short_names: bool = True
                ) -> DataFrame:
     """Typed scan of the trip CSV. Columns get their type by header name (the same header in every
     file), a byte-order mark does no harm, and the weather-merged variant's stale hour is dropped."""
-    raw = spark.read.schema(_header_schema(spark, path, schema)).option("header", True).csv(path)
+    raw = spark.read.schema(_header_schema(spark, path, schema)).options(**READ_OPTIONS).csv(path)
     if with_weather:
         raw = raw.drop("Dep_Hour")
     if columns is not None:
@@ -27,7 +31,7 @@ def read_trips(spark: SparkSession, path: str, *, schema: T.StructType = SOURCE_
 
 def _header_schema(spark: SparkSession, path: str, schema: T.StructType) -> T.StructType:
     """The known types in the order of the header; unknown columns stay text. Reads the header only."""
-    names = spark.read.option("header", True).csv(path).columns
+    names = spark.read.options(**WRITE_OPTIONS).csv(path).columns
     known = {f.name: f.dataType for f in schema}
     clean = [n.removeprefix("﻿") for n in names]
     lost = sorted(set(known) - set(clean))
@@ -47,7 +51,7 @@ def read_null_token(spark: SparkSession, path: str, schema: T.StructType, *,
                     columns: Sequence[str] | None = None) -> DataFrame:
     """CSV in which only the null token is null; blank text stays blank."""
     texts = T.StructType([T.StructField(f.name, T.StringType()) for f in schema])
-    raw = text_with_null_token(spark.read.schema(texts).option("header", True).csv(path), CSV_NULL)
+    raw = text_with_null_token(spark.read.schema(texts).options(**READ_OPTIONS).csv(path), CSV_NULL)
     wanted = [f for f in schema if columns is None or f.name in columns]
     return raw.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in wanted])
 
@@ -66,14 +70,14 @@ def write_null_token(df: DataFrame, path: str, *, order: str | None = None) -> N
         F.raise_error(F.lit(f"{c} holds the reserved null token")).cast("string")) for c in texts})
     if order is not None:
         guarded = guarded.sortWithinPartitions(order)
-    guarded.write.option("header", True).option("nullValue", CSV_NULL).option("emptyValue", "").csv(path)
+    guarded.write.options(**WRITE_OPTIONS).option("nullValue", CSV_NULL).option("emptyValue", "").csv(path)
 
 
 def write_extract(df: DataFrame, path: str, *, order: Sequence[str]) -> None:
     """A small aggregated extract as one LF-only CSV file with ten significant digits."""
     doubles = [f.name for f in df.schema if isinstance(f.dataType, T.DoubleType)]
     shown = df.withColumns({c: F.when(F.col(c).isNotNull(), _short_decimal(F.col(c))) for c in doubles})
-    (shown.orderBy(*order).coalesce(1).write.option("header", True).option("lineSep", "\n").csv(path))
+    (shown.orderBy(*order).coalesce(1).write.options(**WRITE_OPTIONS).option("lineSep", "\n").csv(path))
 
 
 def _short_decimal(value):

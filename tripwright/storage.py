@@ -9,13 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a fresh local folder only where none is set."""
+    """The session's ``spark.checkpoint.dir``. Where none is set, a local master gets a fresh local
+    folder; any other would lose what executors write to their own disks and is refused."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     context_dir = spark.sparkContext.getCheckpointDir()
     if context_dir:
         return context_dir.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     local = tempfile.mkdtemp(prefix="spark-")
     spark.sparkContext.setCheckpointDir(local)
     return local
