@@ -105,3 +105,23 @@ def test_paired_deltas_refuse_other_rows(spark):
 def test_schema_of_prediction_rows_is_checked(labeled):
     with pytest.raises(ValueError):
         contracts.prediction_violations(labeled, run_id="r", phase_key="p", seed=1, n_rows=F.lit(1), n_splits=5)
+
+
+def test_every_declared_variant_builds_and_encodes(spark):
+    from tripwright import fixtures as fx
+    from tripwright.plans.phases import PHASES, build_features, encode_variant
+
+    sf = "/root/testdata/sf0.001"
+    labels = fx.flights(spark, sf).filter("delay IS NOT NULL").selectExpr("flight_id", "CAST(delay = 'Delayed' AS INT) AS y").limit(60)
+    built = {}
+    for key in ("P1", "P2", "P3", "P4_te0", "P5_honest", "P6_legacy"):
+        rows = build_features(fx.flights(spark, sf), PHASES[key], keep=("flight_id",)).join(labels, "flight_id")
+        extra = rows.filter("flight_id % 5 = 1").withColumn("flight_id", -rows["flight_id"]) if key == "P5_honest" else None
+        train, (valid,) = encode_variant(rows.filter("flight_id % 3 <> 0"), [rows.filter("flight_id % 3 = 0")], PHASES[key], seed=42, extra=extra)
+        built[key] = set(train.columns)
+        assert valid.count() + train.count() == 60 + (extra.count() if extra is not None else 0)
+    assert not any(c.startswith("te_") for c in built["P1"] | built["P2"])
+    assert "te_airline" in built["P3"] and "airline" not in built["P3"]
+    assert {"te_airline", "airline"} <= built["P4_te0"] & built["P5_honest"] & built["P6_legacy"]
+    with pytest.raises(ValueError):
+        encode_variant(rows, [], PHASES["P5_honest"], seed=42)

@@ -2,6 +2,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -9,16 +11,45 @@ from tripwright.functions.text import MISSING_LABEL, category
 from tripwright.operators.metrics import CELLS, class_metrics, confusion_counts
 from tripwright.operators.skew import exact_quantiles
 
-_INF = float("inf")
-# Trace precipitation and the bin edges of each report field, [low, high).
-TRACE = 0.0001
-BIN_EDGES = {
-    "tmpf": ("F", (-_INF, 32, 50, 68, 86, _INF)),
-    "sknt": ("knot", (0, 6, 11, 16, 21, 31, _INF)),
-    "vsby": ("mile", (0, 1, 3, 5, 10, _INF)),
-    "p01i": ("inch", (0, 0.05, 0.10, _INF)),
-    "age_minutes": ("minute", (0, 30, 60, 91)),
+@dataclass(frozen=True)
+class Bin:
+    """An interval of measured values; a None bound is open-ended."""
+
+    label: str
+    low: float | None
+    high: float | None
+    kind: str = "value"
+    left_open: bool = False
+    right_closed: bool = False
+
+    def holds(self, value: Column) -> Column:
+        inside = F.lit(True)
+        if self.low is not None:
+            inside = inside & ((value > self.low) if self.left_open else (value >= self.low))
+        if self.high is not None:
+            inside = inside & ((value <= self.high) if self.right_closed else (value < self.high))
+        return inside
+
+
+# The bins of each report field in their order; trace rain is 0.0001 inch.
+FIELD_BINS: dict[str, tuple[Bin, ...]] = {
+    "tmpf": (Bin("< 32 F", None, 32.0), Bin("[32, 50) F", 32.0, 50.0), Bin("[50, 68) F", 50.0, 68.0),
+             Bin("[68, 86) F", 68.0, 86.0), Bin(">= 86 F", 86.0, None)),
+    "sknt": (Bin("0 knot", 0.0, 0.0, "special", right_closed=True), Bin("(0, 6) knot", 0.0, 6.0, left_open=True),
+             Bin("[6, 11) knot", 6.0, 11.0), Bin("[11, 16) knot", 11.0, 16.0), Bin("[16, 21) knot", 16.0, 21.0),
+             Bin("[21, 31) knot", 21.0, 31.0), Bin(">= 31 knot", 31.0, None)),
+    "vsby": (Bin("[0, 1) mile", 0.0, 1.0), Bin("[1, 3) mile", 1.0, 3.0), Bin("[3, 5) mile", 3.0, 5.0),
+             Bin("[5, 10) mile", 5.0, 10.0), Bin(">= 10 mile", 10.0, None)),
+    "p01i": (Bin("0 inch", 0.0, 0.0, "special", right_closed=True),
+             Bin("trace", 0.0001, 0.0001, "special", right_closed=True),
+             Bin("(0.0001, 0.05) inch", 0.0001, 0.05, left_open=True), Bin("[0.05, 0.1) inch", 0.05, 0.1),
+             Bin(">= 0.1 inch", 0.1, None)),
+    "age_minutes": (Bin("[0, 30) minute", 0.0, 30.0), Bin("[30, 60) minute", 30.0, 60.0),
+                    Bin("[60, 90] minute", 60.0, 90.0, right_closed=True)),
 }
+# A measured value this close to a single-point bin is in it.
+POINT_TOLERANCE = 1e-9
+FIELD_MISSING, UNMATCHED = 800, 900
 # Right-open probability bands.
 BANDS = (0.0, 0.10, 0.15, 0.20, 0.25, 0.30, 0.40, 0.50, 1.01)
 
@@ -58,60 +89,42 @@ def rollup_dimensions(df: DataFrame, dimensions: Sequence[str], flag: str) -> Da
 
 # ---- bins -------------------------------------------------------------------
 
-def _number_text(x: float) -> str:
-    return f"{x:g}"
+def _bin(label: str, order: int, kind: str, low: float | None = None, high: float | None = None) -> Column:
+    return F.struct(F.lit(label).alias("bin_label"), F.lit(order).alias("bin_order"), F.lit(kind).alias("bin_kind"),
+                    F.lit(low).cast("double").alias("bin_lower"), F.lit(high).cast("double").alias("bin_upper"))
+
+
+def _refused(message: str) -> Column:
+    """An expression of a bin's type that fails the job."""
+    return F.when(F.raise_error(F.lit(message)).isNotNull(), _bin("", 0, ""))
 
 
 def feature_bin(feature: str, value: Column, matched: Column) -> Column:
     """Exactly one bin per row as struct(label, order, kind, lower, upper).
 
-    Unmatched rows and missing fields have bins of their own; calm wind, no rain and trace
-    rain are reported apart from measured amounts; anything outside every bin raises.
+    A row is matched (1) or not (0): an unknown flag, a value on an unmatched row, and a value
+    outside every bin fail the job. Single-point bins come before the intervals around them.
     """
-    unit, edges = BIN_EDGES[feature]
-
-    def entry(label: str, order: int, kind: str, low: float | None = None, high: float | None = None) -> Column:
-        def edge(x):
-            return F.lit(None if x is None or x in (_INF, -_INF) else float(x)).cast("double")
-        return F.struct(F.lit(label).alias("bin_label"), F.lit(order).alias("bin_order"),
-                        F.lit(kind).alias("bin_kind"), edge(low).alias("bin_lower"), edge(high).alias("bin_upper"))
-
-    rules = [(matched == 0, entry("unmatched", 900, "unmatched")),
-             (value.isNull(), entry("field missing", 800, "field_missing"))]
-    start = 0
-    if feature in ("sknt", "p01i"):
-        rules.append((value == 0, entry(f"0 {unit}", 0, "special", 0, 0)))
-        start = 1
-    if feature == "p01i":
-        rules.append((F.abs(value - TRACE) <= 1e-9, entry("trace", 1, "special", TRACE, TRACE)))
-        start = 2
-    for i, (low, high) in enumerate(zip(edges[:-1], edges[1:])):
-        above = (value > TRACE) if feature == "p01i" and i == 0 else (value >= float(low))
-        shown_low = TRACE if feature == "p01i" and i == 0 else low
-        if low == -_INF:
-            label = f"< {_number_text(high)} {unit}"
-        elif high == _INF:
-            label = f">= {_number_text(low)} {unit}"
-        else:
-            open_left = start > 0 and i == 0
-            label = f"{'(' if open_left else '['}{_number_text(shown_low)}, {_number_text(high)}) {unit}"
-        rules.append((above & (value < float(high)), entry(label, start + i, "value", shown_low, high)))
-    chain = F.when(*rules[0])
-    for condition, result in rules[1:]:
-        chain = chain.when(condition, result)
-    outside = F.raise_error(F.lit(f"{feature}: value outside every bin"))
-    return chain.otherwise(F.when(outside.isNotNull(), rules[0][1]))
+    measured = [(F.abs(value - b.low) <= POINT_TOLERANCE * (b.low > 0)) if b.low == b.high else b.holds(value)
+                for b in FIELD_BINS[feature]]
+    rules = [(matched.isNull() | ~matched.isin(0, 1), _refused(f"{feature}: unknown match flag")),
+             ((matched == 0) & value.isNotNull(), _refused(f"{feature}: an unmatched row has a value")),
+             (matched == 0, _bin("unmatched", UNMATCHED, "unmatched")),
+             (value.isNull(), _bin("field missing", FIELD_MISSING, "field_missing"))]
+    rules += [(holds, _bin(b.label, order, b.kind, b.low, b.high))
+              for order, (b, holds) in enumerate(zip(FIELD_BINS[feature], measured))]
+    return reduce(lambda rest, rule: F.when(rule[0], rule[1]).otherwise(rest), reversed(rules),
+                  _refused(f"{feature}: value outside every bin"))
+
+
+# Which airports have a report: label, order and kind by (origin, destination).
+MATCH_BINS = {(1, 1): ("both airports", 0, "value"), (1, 0): ("origin only", 1, "partial"),
+              (0, 1): ("destination only", 2, "partial"), (0, 0): ("neither", 3, "unmatched")}
 
 
 def matched_status(origin: Column, dest: Column) -> Column:
-    def entry(label: str, order: int, kind: str) -> Column:
-        null = F.lit(None).cast("double")
-        return F.struct(F.lit(label).alias("bin_label"), F.lit(order).alias("bin_order"), F.lit(kind).alias("bin_kind"),
-                        null.alias("bin_lower"), null.alias("bin_upper"))
-    return (F.when((origin == 1) & (dest == 1), entry("both airports", 0, "value"))
-            .when(origin == 1, entry("origin only", 1, "partial"))
-            .when(dest == 1, entry("destination only", 2, "partial"))
-            .otherwise(entry("neither", 3, "unmatched")))
+    return reduce(lambda rest, item: F.when((origin == item[0][0]) & (dest == item[0][1]), _bin(*item[1])).otherwise(rest),
+                  MATCH_BINS.items(), _refused("unknown match flag"))
 
 
 def bins_long(weather: DataFrame, flag: str, *, population: str, roles: Sequence[str] = ("origin", "destination")
@@ -122,7 +135,7 @@ def bins_long(weather: DataFrame, flag: str, *, population: str, roles: Sequence
     """
     entries = [F.struct(F.lit(role).alias("role"), F.lit(f).alias("feature"),
                         feature_bin(f, F.col(f"weather_{role}_{f}"), F.col(f"weather_{role}_matched")).alias("b"))
-               for role in roles for f in BIN_EDGES]
+               for role in roles for f in FIELD_BINS]
     entries.append(F.struct(F.lit("both").alias("role"), F.lit("matched_status").alias("feature"),
                             matched_status(*[F.col(f"weather_{r}_matched") for r in roles]).alias("b")))
     long = weather.select(F.col(flag), F.inline(F.array(*entries))).select(flag, "role", "feature", "b.*")
