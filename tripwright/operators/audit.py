@@ -94,13 +94,21 @@ def traffic_accounting(restored: DataFrame, year: str, counted: Column | None =
 
 
 def table_fingerprint(df: DataFrame, columns: Sequence[str], name: str = "fingerprint") -> DataFrame:
-    """Order-free fingerprint of the listed columns: row count, xor and sum of row hashes.
+    """Order-free fingerprint of the listed columns: row count and two sums of row hash parts.
 
-    Combinable, so no rows are collected; two runs on the same rows give the same text.
+    Each row's values as text, joined by bars (null as backslash N), are hashed by SHA-256;
+    its first and next twelve hex digits are summed. Combinable, so no rows are collected, and
+    any engine that writes the values alike gives the same text; doubles should be scaled to
+    whole numbers first.
     """
-    h = F.xxhash64(*columns)
-    parts = df.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(h).alias("x"), F.sum(h.cast("decimal(38,0)")).alias("s"))
-    text = F.concat_ws(":", F.col("n").cast("string"), F.hex("x"), F.col("s").cast("string"))
+    row = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in columns])
+    hashed = df.select(F.sha2(row, 256).alias("h"))
+
+    def part(start: int) -> Column:
+        return F.sum(F.conv(F.substring("h", start, 12), 16, 10).cast("decimal(38,0)"))
+
+    parts = hashed.agg(F.count(F.lit(1)).alias("n"), part(1).alias("a"), part(13).alias("b"))
+    text = F.concat_ws(":", *[F.coalesce(F.col(c), F.lit(0)).cast("string") for c in ("n", "a", "b")])
     return parts.select(F.col("n").alias("n_rows"), F.sha2(text, 256).alias(name))
 
 

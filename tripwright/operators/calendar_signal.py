@@ -38,11 +38,11 @@ def permutation_test(days: DataFrame, value: str, group: str, identifier: str, *
                      seed: int, quantile: float = 0.999) -> DataFrame:
     """Observed share, how often random relabelling reaches it, and the null's high quantile.
 
-    Each draw re-pairs the days' values with their groups by a hash order; a draw holds one row
-    per day of a year.
+    Each draw re-pairs the days' values with their groups by a hash order of the identifiers,
+    which must be unique; a draw holds one row per day of a year.
     """
     drawn = days.select(identifier, value, group, F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
-    shuffled = Window.partitionBy("draw").orderBy(F.xxhash64("draw", identifier, F.lit(seed)), identifier)
+    shuffled = Window.partitionBy("draw").orderBy(F.sha2(F.concat_ws(":", "draw", identifier, F.lit(str(seed))), 256), identifier)
     fixed = Window.partitionBy("draw").orderBy(identifier)
     ranked = drawn.select("draw", value, group, F.row_number().over(shuffled).alias("_to"),
                           F.row_number().over(fixed).alias("_at"))

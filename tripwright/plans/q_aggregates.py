@@ -180,11 +180,27 @@ def variance_explained(spark, sf):
     return rounded(calendar_signal.variance_explained(days, "residual", "cycle_class"), ["share"])
 
 
-@query("a23_permutation_p_value")
+_SHARE = "(sum(s * s / n) - sum(s) * sum(s) / sum(n)) / (sum(q) - sum(s) * sum(s) / sum(n))"
+
+
+@query("a23_permutation_p_value", f"""WITH {q_windows.DAYS_SQL}, draws AS (SELECT unnest(range(1, 20001)) AS draw),
+ranked AS (SELECT draw, residual, cycle_class, row_number() OVER (PARTITION BY draw ORDER BY sha256(draw || ':' || mo * 100 + dom || ':42')) AS put,
+ row_number() OVER (PARTITION BY draw ORDER BY mo, dom) AS spot FROM r, draws),
+dealt AS (SELECT a.draw, a.cycle_class, b.residual FROM ranked a JOIN ranked b ON a.draw = b.draw AND a.spot = b.put),
+g AS (SELECT draw, cycle_class, sum(residual) AS s, sum(residual * residual) AS q, count(*) AS n FROM dealt GROUP BY ALL),
+t AS (SELECT draw, {_SHARE} AS share FROM g GROUP BY draw),
+own AS (SELECT cycle_class, sum(residual) AS s, sum(residual * residual) AS q, count(*) AS n FROM r GROUP BY ALL),
+o AS (SELECT {_SHARE} AS observed FROM own)
+SELECT round(avg(CASE WHEN share >= observed THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 9) AS p_value, round(quantile_cont(share, 0.999), 9) AS null_quantile,
+ count(*) AS draws, round(any_value(observed), 9) AS observed FROM t, o""", V)
 def permutation_p_value(spark, sf):
     days = calendar_signal.decompose(calendar_signal.daily_counts(fx.flights(spark, sf)))
-    return calendar_signal.permutation_test(days.select("doy", "residual", "cycle_class"), "residual", "cycle_class", "doy",
-                                            draws=20_000, seed=42)
+    return _rounded_test(days)
+
+
+def _rounded_test(days):
+    return rounded(calendar_signal.permutation_test(days.select((F.col("mo") * 100 + F.col("dom")).alias("day"), "residual", "cycle_class"), "residual", "cycle_class", "day",
+                                            draws=20_000, seed=42), ["p_value", "null_quantile", "observed"])
 
 
 @query("a25_share_shift_z", """
@@ -436,9 +452,12 @@ def status_partition_summary(spark, sf):
     return audit.status_summary(rows, ["mo"], ["missing_key", "single", "none"])
 
 
-@query("a43_table_fingerprint")
+@query("a43_table_fingerprint", """WITH h AS (SELECT sha256(flight_id || '|' || seed || '|' || fold || '|' || y_true || '|' || CAST(round(p * 1000000000) AS BIGINT)) AS h FROM oof),
+s AS (SELECT count(*) AS n, sum(CAST('0x' || substr(h, 1, 12) AS HUGEINT)) AS a, sum(CAST('0x' || substr(h, 13, 12) AS HUGEINT)) AS b FROM h)
+SELECT n AS n_rows, sha256(n || ':' || CAST(a AS VARCHAR) || ':' || CAST(b AS VARCHAR)) AS fingerprint FROM s""", ("flights", "oof"))
 def table_fingerprint(spark, sf):
-    return audit.table_fingerprint(fx.oof(spark, sf), ["flight_id", "seed", "fold", "y_true", "p"])
+    rows = fx.oof(spark, sf).withColumn("p", F.round(F.col("p") * 1_000_000_000).cast("bigint"))
+    return audit.table_fingerprint(rows, ["flight_id", "seed", "fold", "y_true", "p"])
 
 
 _LINES = "string_split(text || chr(10) || ' HTTP/1.1 503' || chr(10) || ' timed out', chr(10))"

@@ -1,6 +1,10 @@
-"""Model queries. Trees differ from the published runs, so these are checked by rows, not by SQL.
+"""Model queries over all labeled rows and all five outer folds.
 
-Search sizes are kept small; every fit sees all labeled rows of the given tables.
+Trees differ from the published runs, so scores are not compared with SQL; what SQL can say
+is: every labeled row is scored exactly once, in its own fold, by a probability, and a search
+keeps the first minimum of the losses it recorded. Two settings bound the run time on one
+machine and are parameters of the operators: ``TREES`` (the first two of the declared tree
+counts) and ``FOREST_SIZE``.
 """
 from __future__ import annotations
 
@@ -11,36 +15,31 @@ from pyspark.sql import functions as F
 from tripwright import fixtures as fx
 from tripwright.functions import text
 from tripwright.operators import calibrate, clean, encode, metrics, models
+from tripwright.operators.matching import attach_features
 from tripwright.plans.phases import PHASES, build_features
+from tripwright.plans.q_scores import FOLD_SQL
 from tripwright.plans.registry import query
 from tripwright.storage import materialize
 
-SEED, FOLDS = 42, 2
-TREES = (2, 5, 10)
+SEED, FOLDS = 42, 5
+TREES = models.TREE_COUNTS[:2]
+FOREST_SIZE = {"trees": 20, "depth": 6}
 PARAMS = {"depth": 3, "learning_rate": 0.1, "min_leaf": 20}
 SPEC = PHASES["P6_clean"]
+V = ("flights",)
 
 
-# tables written for one model query serve the others of the same session
-_WRITTEN: dict = {}
-
-
-def once(spark, sf, name, build):
-    key = (spark.sparkContext.applicationId, sf, name)
-    if key not in _WRITTEN:
-        _WRITTEN[key] = build()
-    return _WRITTEN[key]
+def feature_rows(spark, sf):
+    """All rows with the feature set, written once for the fits of one query."""
+    return materialize(build_features(fx.flights(spark, sf), SPEC, keep=("flight_id",)), "features")
 
 
-def feature_rows(spark, sf):
-    """All rows with the feature set, written once for the fits that follow."""
-    return once(spark, sf, "features", lambda: materialize(
-        build_features(fx.flights(spark, sf), SPEC, keep=("flight_id",)), "features"))
+def folded_rows(rows):
+    return materialize(encode.stratified_folds(clean.labeled_rows(rows), k=FOLDS, seed=SEED), "folded")
 
 
 def folded_features(spark, sf):
-    return once(spark, sf, "folded", lambda: materialize(
-        encode.stratified_folds(clean.labeled_rows(feature_rows(spark, sf)), k=FOLDS, seed=SEED), "folded"))
+    return folded_rows(feature_rows(spark, sf))
 
 
 def boundary_of(rows, fold):
@@ -48,115 +47,153 @@ def boundary_of(rows, fold):
     return models.inner_boundary(train, valid, seed=SEED, fold=fold, cols=SPEC.categories)
 
 
-def boundaries(spark, sf):
-    rows = folded_features(spark, sf)
+def boundaries(rows):
     for fold in range(FOLDS):
-        yield fold, once(spark, sf, f"boundary{fold}", lambda: boundary_of(rows, fold))
+        yield fold, boundary_of(rows, fold)
+
+
+def scored_rows(parts):
+    """(fold, flight_id, is_probability) of scored rows, stacked over folds."""
+    return union(scored.select(F.lit(fold).alias("fold"), "flight_id", F.coalesce(F.col("p").between(0, 1), F.lit(False)).alias("is_probability"))
+                 for fold, scored in parts)
+
+
+EACH_ROW_ONCE = f"WITH {FOLD_SQL} SELECT fold, flight_id, true AS is_probability FROM folded"
 
 
 def union(frames):
     return reduce(lambda a, b: a.unionByName(b), frames)
 
 
-def choice_rows(spark, fold, choice):
-    schema = "fold int, params string, log_loss double, chosen boolean, threshold double"
-    chosen = min(range(len(choice.losses)), key=lambda i: choice.losses[i][1])
-    rows = [(fold, ",".join(f"{k}={v}" for k, v in sorted(p.items())), float(loss), i == chosen, choice.threshold)
-            for i, (p, loss) in enumerate(choice.losses)]
-    return spark.createDataFrame(rows, schema)
+def choice_summary(spark, choices):
+    """Per fold: parameter sets tried, how many are marked, and whether the first minimum is."""
+    records = [(fold, i, float(loss), params == choice.params, choice.threshold)
+               for fold, choice in choices for i, (params, loss) in enumerate(choice.losses)]
+    rows = spark.createDataFrame(records, "fold int, place int, loss double, chosen boolean, threshold double")
+    best = F.min(F.struct("loss", "place"))["place"]
+    return rows.groupBy("fold").agg(
+        F.count(F.lit(1)).alias("tried"), F.count(F.when(F.col("chosen"), 1)).alias("chosen"),
+        (best == F.min(F.when(F.col("chosen"), F.col("place")))).alias("first_minimum"),
+        (F.min("threshold").between(0, 1) & (F.min("loss") > 0)).alias("in_range"))
 
 
-@query("m7_fold_teacher")
-def fold_teacher(spark, sf):
+def choice_sql(tried):
+    return f"SELECT CAST(f AS INT) AS fold, CAST({tried} AS BIGINT) AS tried, CAST(1 AS BIGINT) AS chosen, true AS first_minimum, true AS in_range FROM range(0, {FOLDS}) AS s(f)"
+
+
+def teacher_scores(spark, sf):
     rows = feature_rows(spark, sf)
-    folded = encode.stratified_folds(clean.labeled_rows(rows), k=FOLDS, seed=SEED)
+    folded, unlabeled = folded_rows(rows), clean.unlabeled_rows(rows)
     features = models.feature_columns(rows.drop("delay"))
-    teacher = models.fold_teacher(folded, 0, features, {**PARAMS, "trees": 5}, n_folds=FOLDS)
-    return teacher.score(clean.unlabeled_rows(rows)).select("flight_id", "p")
+    for fold in range(FOLDS):
+        teacher = models.fold_teacher(folded, fold, features, {**PARAMS, "trees": TREES[0]}, n_folds=FOLDS)
+        yield fold, teacher.score(unlabeled)
+
+
+@query("m7_fold_teacher", f"SELECT CAST(f AS INT) AS fold, flight_id, true AS is_probability FROM flights, range(0, {FOLDS}) AS s(f) WHERE delay IS NULL", V)
+def fold_teacher(spark, sf):
+    return scored_rows(teacher_scores(spark, sf))
 
 
 @query("m5_teacher_pseudo_labels")
 def teacher_pseudo_labels(spark, sf):
-    return encode.pseudo_labels(fold_teacher(spark, sf))
+    scored = union(s.select(F.lit(fold).alias("fold"), "flight_id", "p") for fold, s in teacher_scores(spark, sf))
+    return encode.pseudo_labels(materialize(scored, "teacher-scores"), keys=["fold"])
 
 
-@query("m8_early_stopped_fit")
+@query("m8_early_stopped_fit", EACH_ROW_ONCE, V)
 def early_stopped_fit(spark, sf):
     folded = folded_features(spark, sf)
-    train, valid = models.fold_rows(folded, 0)
-    fitted, scored = models.early_stopped(train, valid, models.feature_columns(train), {**PARAMS, "trees": 10}, fold=0, seed=SEED)
-    return scored.select("flight_id", "p", F.lit(fitted.model.getNumTrees).alias("n_trees"))
+    parts = []
+    for fold in range(FOLDS):
+        train, valid = models.fold_rows(folded, fold)
+        params = {**PARAMS, "trees": TREES[-1]}
+        parts.append((fold, models.early_stopped(train, valid, models.feature_columns(train), params, fold=fold, seed=SEED)[1]))
+    return scored_rows(parts)
 
 
-@query("m9_nested_tree_count_select")
+@query("m9_nested_tree_count_select", EACH_ROW_ONCE, V)
 def nested_tree_count_select(spark, sf):
-    return union(models.select_tree_count(b, PARAMS, TREES).valid.select(F.lit(fold).alias("fold"), "flight_id", "y", "p")
-                 for fold, b in boundaries(spark, sf))
+    return scored_rows((fold, models.select_tree_count(b, PARAMS, TREES).valid) for fold, b in boundaries(folded_features(spark, sf)))
 
 
-@query("m10_prefix_model_scoring")
+@query("m10_prefix_model_scoring", f"SELECT CAST(f AS INT) AS fold, CAST(t AS INT) AS n_trees, true AS is_loss FROM range(0, {FOLDS}) AS a(f), range(1, {TREES[-1] + 1}) AS b(t)")
 def prefix_model_scoring(spark, sf):
     parts = []
-    for fold, b in boundaries(spark, sf):
-        fitted = models.boosted_trees(b.train, b.features, {**PARAMS, "trees": max(TREES)})
-        losses = models.prefix_losses(models.prefix_scores(fitted, b.holdout, b.features, list(range(1, max(TREES) + 1))))
-        parts.append(losses.withColumn("fold", F.lit(fold)))
+    for fold, b in boundaries(folded_features(spark, sf)):
+        fitted = models.boosted_trees(b.train, b.features, {**PARAMS, "trees": TREES[-1]})
+        losses = models.prefix_losses(models.prefix_scores(fitted, b.holdout, b.features, list(range(1, TREES[-1] + 1))))
+        parts.append(losses.select(F.lit(fold).alias("fold"), "n_trees", (F.col("log_loss") > 0).alias("is_loss")))
     return union(parts)
 
 
-@query("m11_param_grid_select")
+def searched(spark, sf, build, grid):
+    return choice_summary(spark, [(fold, models.select_params(b, build, grid)) for fold, b in boundaries(folded_features(spark, sf))])
+
+
+@query("m11_param_grid_select", choice_sql(4))
 def param_grid_select(spark, sf):
-    grid = [{**PARAMS, "depth": d, "trees": 5} for d in (2, 4)]
-    return union(choice_rows(spark, fold, models.select_params(b, models.boosted_trees, grid)) for fold, b in boundaries(spark, sf))
+    grid = [{**PARAMS, "depth": depth, "trees": trees} for depth in (2, 4) for trees in TREES]
+    return searched(spark, sf, models.boosted_trees, grid)
 
 
-@query("m12_logistic_model")
+@query("m12_logistic_model", choice_sql(len(models.LOGISTIC_GRID)))
 def logistic_model(spark, sf):
-    grid = [{**p, "max_iter": 50} for p in models.LOGISTIC_GRID[1:4:2]]
-    return union(choice_rows(spark, fold, models.select_params(b, models.logistic, grid)) for fold, b in boundaries(spark, sf))
+    return searched(spark, sf, models.logistic, models.LOGISTIC_GRID)
 
 
-@query("m13_random_forest_model")
+@query("m13_random_forest_model", choice_sql(len(models.FOREST_GRID)))
 def random_forest_model(spark, sf):
-    grid = [{**p, "trees": 20, "depth": 6} for p in models.FOREST_GRID[2:4]]
-    return union(choice_rows(spark, fold, models.select_params(b, models.random_forest, grid)) for fold, b in boundaries(spark, sf))
+    return searched(spark, sf, models.random_forest, [{**p, **FOREST_SIZE} for p in models.FOREST_GRID])
+
+
+EACH_SEED_ONCE = "SELECT seed, fold, flight_id, true AS is_probability FROM oof"
 
 
-@query("m16_platt_calibration")
+def calibrated(spark, sf, kind):
+    """Every row by a calibrator fitted on its seed's other folds."""
+    rows = materialize(fx.oof(spark, sf).withColumnRenamed("y_true", "y"), "oof")
+    parts = []
+    for seed in fx.SEEDS:
+        of_seed = rows.filter(F.col("seed") == seed)
+        for fold in range(FOLDS):
+            fitted = calibrate.fit_calibrator(kind, of_seed.filter(F.col("fold") != fold))
+            parts.append(fitted.apply(of_seed.filter(F.col("fold") == fold)))
+    return union(parts).select("seed", "fold", "flight_id", F.coalesce(F.col("p").between(0, 1), F.lit(False)).alias("is_probability"))
+
+
+@query("m16_platt_calibration", EACH_SEED_ONCE, ("flights", "oof"))
 def platt_calibration(spark, sf):
-    rows = fx.oof(spark, sf).withColumnRenamed("y_true", "y")
-    fitted = calibrate.fit_calibrator("platt", rows.filter("fold <> 0"))
-    return fitted.apply(rows.filter("fold = 0")).select("flight_id", "seed", "p")
+    return calibrated(spark, sf, "platt")
 
 
-@query("m17_isotonic_calibration")
+@query("m17_isotonic_calibration", EACH_SEED_ONCE, ("flights", "oof"))
 def isotonic_calibration(spark, sf):
-    rows = fx.oof(spark, sf).withColumnRenamed("y_true", "y")
-    fitted = calibrate.fit_calibrator("isotonic", rows.filter("fold <> 0"))
-    return fitted.apply(rows.filter("fold = 0")).select("flight_id", "seed", "p")
+    return calibrated(spark, sf, "isotonic")
 
 
-@query("m18_crossfit_scores")
+@query("m18_crossfit_scores", f"WITH {FOLD_SQL} SELECT CAST(o AS INT) AS fold, flight_id, true AS is_probability FROM folded, range(0, {FOLDS}) AS s(o) WHERE fold <> o", V)
 def crossfit_scores(spark, sf):
-    train, _ = models.fold_rows(folded_features(spark, sf), 0)
-    scored = models.crossfit_scores(train, models.boosted_trees, {**PARAMS, "trees": 5}, k=3, seed=SEED, cols=SPEC.categories)
-    return scored.select("flight_id", "part", "y", "p")
+    folded = folded_features(spark, sf)
+    parts = []
+    for fold in range(FOLDS):
+        train, _ = models.fold_rows(folded, fold)
+        parts.append((fold, models.crossfit_scores(train, models.boosted_trees, {**PARAMS, "trees": TREES[0]}, k=3, seed=SEED, cols=SPEC.categories)))
+    return scored_rows(parts)
 
 
 @query("m22_feature_importance")
 def feature_importance(spark, sf):
     fits, features = [], None
-    for _, b in boundaries(spark, sf):
+    for _, b in boundaries(folded_features(spark, sf)):
         features = b.features
-        fits.append(models.boosted_trees(b.train, b.features, {**PARAMS, "trees": 5}))
+        fits.append(models.boosted_trees(b.train, b.features, {**PARAMS, "trees": TREES[0]}))
     return spark.createDataFrame(models.mean_importance(fits, features), "feature string, importance double")
 
 
 @query("m24_weather_on_off_pair")
 def weather_on_off_pair(spark, sf):
     """Same rows and folds, without and with report columns; the scores of both side by side."""
-    from tripwright.operators.matching import attach_features
-
     folded = folded_features(spark, sf)
     reports = fx.table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("flight_id"), (F.col("o_totalprice") % 100).alias("weather_origin_tmpf"),
@@ -165,7 +202,7 @@ def weather_on_off_pair(spark, sf):
         (F.col("o_orderkey") % 5 != 0).cast("int").alias("weather_destination_matched"))
     scored = []
     with_reports = attach_features(folded, reports, "flight_id")
-    pairs = [("weather_off", fold, b) for fold, b in boundaries(spark, sf)]
+    pairs = [("weather_off", fold, b) for fold, b in boundaries(folded)]
     pairs += [("weather_on", fold, boundary_of(with_reports, fold)) for fold in range(FOLDS)]
     for condition, fold, b in pairs:
         choice = models.select_tree_count(b, PARAMS, TREES)
@@ -178,7 +215,7 @@ def weather_on_off_pair(spark, sf):
 def calibration_arm_experiment(spark, sf):
     patterns = fx.flights(spark, sf).select("flight_id", text.time_pattern(F.col("dep_hhmm"), F.col("arr_hhmm")).alias("pattern"))
     scored = []
-    for fold, b in boundaries(spark, sf):
+    for fold, b in boundaries(folded_features(spark, sf)):
         choice = models.select_tree_count(b, PARAMS, TREES)
         held = materialize(choice.holdout.select("flight_id", "y", "p"), "holdout")
         valid = materialize(choice.valid.select("flight_id", "y", "p"), "valid")

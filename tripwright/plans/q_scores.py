@@ -228,7 +228,7 @@ def score_with_fold_thresholds(spark, sf):
     return rounded(out, ["macro_f1", "roc_auc_within_fold_mean"]).select("seed", *CELLS, "macro_f1", "roc_auc_within_fold_mean")
 
 
-_BY_FOLD_SQL = f"by_fold AS (SELECT seed, fold, {_LOSS} AS log_loss, avg((p - y_true) * (p - y_true)) AS brier FROM oof GROUP BY seed, fold)"
+_BYFOLD_SQL = f"by_fold AS (SELECT seed, fold, {_LOSS} AS log_loss, avg((p - y_true) * (p - y_true)) AS brier FROM oof GROUP BY seed, fold)"
 
 
 @query("a18_seed_summary", f"""WITH per_seed AS (SELECT seed, {_LOSS} AS log_loss FROM oof GROUP BY seed)
@@ -342,19 +342,19 @@ def threshold_optimism(spark, sf):
 # ---- folds and encodings ----------------------------------------------------
 
 _LABELED_SQL = "labeled AS (SELECT *, CASE WHEN delay = 'Delayed' THEN 1 ELSE 0 END AS y FROM flights WHERE delay IS NOT NULL)"
-_FOLD_SQL = f"""{_LABELED_SQL}, folded AS (SELECT *, CAST((row_number() OVER (PARTITION BY y ORDER BY sha256(CAST(flight_id AS VARCHAR) || ':fold:42'), flight_id) - 1) % 5 AS INT) AS fold FROM labeled)"""
+FOLD_SQL = f"""{_LABELED_SQL}, folded AS (SELECT *, CAST((row_number() OVER (PARTITION BY y ORDER BY sha256(CAST(flight_id AS VARCHAR) || ':fold:42'), flight_id) - 1) % 5 AS INT) AS fold FROM labeled)"""
 
 
 def folded(spark, sf):
     return encode.stratified_folds(clean.labeled_rows(fx.flights(spark, sf)))
 
 
-@query("m1_stratified_folds", f"WITH {_FOLD_SQL} SELECT flight_id, y, fold FROM folded", ("flights",))
+@query("m1_stratified_folds", f"WITH {FOLD_SQL} SELECT flight_id, y, fold FROM folded", ("flights",))
 def stratified_folds(spark, sf):
     return folded(spark, sf).select("flight_id", "y", "fold")
 
 
-@query("m2_inner_holdout_split", f"""WITH {_FOLD_SQL},
+@query("m2_inner_holdout_split", f"""WITH {FOLD_SQL},
 train AS (SELECT flight_id, y, CAST(o AS INT) AS outer_fold FROM folded CROSS JOIN (SELECT unnest(generate_series(0, 4)) AS o) WHERE o <> fold),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY outer_fold, y ORDER BY sha256(CAST(flight_id AS VARCHAR) || ':holdout'), flight_id) AS rn, count(*) OVER (PARTITION BY outer_fold, y) AS n FROM train)
 SELECT outer_fold, flight_id, y, rn <= round(n * 0.2::DOUBLE) AS is_holdout FROM ranked""", ("flights",))
@@ -363,7 +363,7 @@ def inner_holdout_split(spark, sf):
     return encode.inner_holdout(train, ["outer_fold"])
 
 
-_OUTER_SQL = (f"{_FOLD_SQL}, fit AS (SELECT f.*, CAST(o AS INT) AS outer_fold FROM folded f, generate_series(0, 4) AS s(o) WHERE fold <> o), "
+_OUTER_SQL = (f"{FOLD_SQL}, fit AS (SELECT f.*, CAST(o AS INT) AS outer_fold FROM folded f, generate_series(0, 4) AS s(o) WHERE fold <> o), "
               "g AS (SELECT outer_fold, avg(y) AS g FROM fit GROUP BY outer_fold)")
 
 
