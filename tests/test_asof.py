@@ -1,6 +1,8 @@
 """As-of rules by hand: limits, no fallback, null keys, bucket borders."""
 from datetime import datetime, timedelta
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from conftest import rows
@@ -71,3 +73,26 @@ def test_violations_are_counted(spark):
                                  (None, minutes(0), minutes(0), 4)], OBS)
     row = asof.observation_violations(obs).first()
     assert (row["null_keys"], row["available_before_observed"], row["repeated_keys"]) == (1, 1, 1)
+
+
+def test_unsound_observations_are_refused(spark):
+    from datetime import datetime
+
+    def at(minute):
+        return datetime(2024, 1, 1, 10, minute)
+
+    requests = spark.createDataFrame([(1, "A", at(30))], "event_id int, station string, prediction_at timestamp_ntz")
+    kinds = "station string, observed_at timestamp_ntz, available_at timestamp_ntz, value double"
+    good = [("A", at(0), at(5), 1.0)]
+    assert asof.asof_join(requests, spark.createDataFrame(good, kinds)).first().value == 1.0
+    for bad in (("A", at(1), at(5), 2.0), ("A", at(9), at(7), 2.0), (None, at(1), at(6), 2.0), ("A", None, at(6), 2.0), ("A", at(1), None, 2.0)):
+        with pytest.raises(Exception, match="observation|same time"):
+            asof.asof_join(requests, spark.createDataFrame([*good, bad], kinds)).collect()
+
+
+def test_conflicting_reports_can_be_refused(spark):
+    df = spark.createDataFrame([("A", 1, 5.0), ("A", 1, 5.0), ("B", 1, 7.0), ("B", 1, 6.0)], "station string, observed_at int, value double")
+    shown = {r.station: (r.value, r.n_reports, r.n_versions) for r in asof.deduplicate_reports(df).collect()}
+    assert shown == {"A": (5.0, 2, 1), "B": (6.0, 2, 2)}
+    with pytest.raises(Exception, match="differ"):
+        asof.deduplicate_reports(df, refuse_conflicts=True).collect()

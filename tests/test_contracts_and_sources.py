@@ -95,3 +95,12 @@ def test_positions_of_sparse_ids(spark):
     got = skew.row_positions(df, [], [F.col("name").desc()], "place").collect()
     names = sorted((r.name for r in got), reverse=True)
     assert sorted(r.place for r in got) == list(range(1, 1001)) and all(names[r.place - 1] == r.name for r in got)
+
+
+def test_clean_up_removes_what_was_materialized(spark, monkeypatch):
+    monkeypatch.setattr(storage, "_WRITTEN", {})
+    kept = storage.materialize(spark.range(5), "five")
+    file = kept.inputFiles()[0]
+    assert kept.count() == 5 and storage.clean_up(spark) == 1 and storage.clean_up(spark) == 0
+    with pytest.raises(Exception):
+        spark.read.parquet(file).count()

@@ -79,6 +79,7 @@ def main() -> int:
     parser.add_argument("prefix", nargs="*")
     args = parser.parse_args()
     from tripwright.plans import load_registry
+    from tripwright.storage import clean_up
 
     registry = load_registry()
     spark, con = session(), connect(args.sf)
@@ -92,6 +93,7 @@ def main() -> int:
             status, n, note = compare(spark, con, q, args.sf)
         except Exception as exc:
             status, n, note = "ERROR", -1, str(exc)[:1500]
+        clean_up(spark)
         bad += status not in ("ok", "rows")
         print(f"{status:5} {name:45} {n:7} rows {time.time() - start:6.1f}s {note}", flush=True)
     print("bad", bad)

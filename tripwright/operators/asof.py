@@ -37,12 +37,25 @@ def _report_line(reports: DataFrame, by: str, at: str, payload: Sequence[str]) -
         F.col(by).alias("_by"), F.col(at).alias("_ts"), F.struct(*payload).alias("_rep"))
 
 
-def _latest(line: DataFrame) -> DataFrame:
-    """Request rows with the last report at or before them inside their bucket."""
-    seen = (Window.partitionBy("_by", "_bucket").orderBy("_ts", "_side")
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return (line.withColumn("_last", F.last("_rep", ignorenulls=True).over(seen))
-            .filter("_side = 1").select("_req.*", F.col("_last").alias("_rep")))
+def _latest(line: DataFrame, *, unique: bool = False) -> DataFrame:
+    """Request rows with the last report at or before them inside their bucket.
+
+    Reports of one station and time come in the order of their content; with ``unique`` they
+    fail the job where a request comes after them. The order is the one pass's own, so
+    neither costs another shuffle.
+    """
+    order = Window.partitionBy("_by", "_bucket").orderBy("_ts", "_side", "_rep")
+    seen = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = F.last("_rep", ignorenulls=True).over(seen)
+    if unique:
+        before = F.lag(F.struct("_ts", "_side")).over(order)
+        repeated = (F.col("_side") == 0) & (before == F.struct("_ts", "_side"))
+        line = line.withColumn("_repeated", F.coalesce(repeated, F.lit(False)))
+        line = line.withColumn("_last", last).withColumn("_repeated", F.max("_repeated").over(seen))
+        refused = F.raise_error(F.lit("two reports of one station become available at the same time"))
+        shown = F.when(F.col("_repeated"), refused.cast(line.schema["_rep"].dataType)).otherwise(F.col("_last"))
+        return line.filter("_side = 1").select("_req.*", shown.alias("_rep"))
+    return line.withColumn("_last", last).filter("_side = 1").select("_req.*", F.col("_last").alias("_rep"))
 
 
 def _merge(requests_line: DataFrame, report_line: DataFrame) -> DataFrame:
@@ -52,7 +65,7 @@ def _merge(requests_line: DataFrame, report_line: DataFrame) -> DataFrame:
 
 
 def latest_within(requests: DataFrame, reports: DataFrame, *, by: str, request_at: Column, report_at: str,
-                  payload: Sequence[str], max_age_minutes: int, bucket_hours: int = 6) -> DataFrame:
+                  payload: Sequence[str], max_age_minutes: int, bucket_hours: int = 6, unique: bool = False) -> DataFrame:
     """Latest report at or before each request, where older than ``max_age_minutes`` may go unseen.
 
     A report is laid into its own bucket and into every later one its age still reaches,
@@ -62,7 +75,7 @@ def latest_within(requests: DataFrame, reports: DataFrame, *, by: str, request_a
     reach = F.col("_ts") + F.make_dt_interval(mins=F.lit(max_age_minutes))
     line = line.withColumn("_bucket", F.explode(F.sequence(
         _bucket(F.col("_ts"), bucket_hours), _bucket(reach, bucket_hours)))).withColumn("_side", F.lit(0))
-    return _latest(_merge(_request_line(requests, by, request_at, bucket_hours), line))
+    return _latest(_merge(_request_line(requests, by, request_at, bucket_hours), line), unique=unique)
 
 
 def latest_before(requests: DataFrame, reports: DataFrame, *, by: str, request_at: Column, report_at: str,
@@ -96,6 +109,9 @@ def asof_join(requests: DataFrame, observations: DataFrame, *, by: str = "statio
     The report with the greatest availability at or before the cutoff is taken; if it was
     observed more than ``max_age_minutes`` before the cutoff the row stays unmatched, with
     no fallback to another report. Rows with a null station or cutoff stay unmatched.
+
+    Observations without a key or time, available before they were observed, or sharing
+    station and availability fail the job.
     """
     if max_age_minutes <= 0:
         raise ValueError("max_age_minutes must be positive")
@@ -103,8 +119,13 @@ def asof_join(requests: DataFrame, observations: DataFrame, *, by: str = "statio
     if shared or "weather_age_minutes" in {*requests.columns, *observations.columns}:
         raise ValueError(f"request/observation column collision: {sorted(shared)}")
     payload = [c for c in observations.columns if c != by]
-    found = latest_within(requests, observations, by=by, request_at=F.col(cutoff), report_at=available,
-                          payload=payload, max_age_minutes=max_age_minutes, bucket_hours=bucket_hours)
+    sound = F.col(by).isNotNull() & F.col(observed).isNotNull() & (F.col(available) >= F.col(observed))
+    refused = F.raise_error(F.lit("an observation lacks a key or is available before it is observed"))
+    # inside the values, as a filter could be passed by another that drops null keys first
+    checked = observations.withColumns({c: F.when(sound, F.col(c)).otherwise(refused.cast(observations.schema[c].dataType))
+                                        for c in (by, available)})
+    found = latest_within(requests, checked, by=by, request_at=F.col(cutoff), report_at=available, payload=payload,
+                          max_age_minutes=max_age_minutes, bucket_hours=bucket_hours, unique=True)
     limit = max_age_minutes * 60_000_000
     age = clock.micros_between(F.col(f"_rep.{observed}"), F.col(cutoff))
     since_available = clock.micros_between(F.col(f"_rep.{available}"), F.col(cutoff))
@@ -197,10 +218,17 @@ def collection_reason(matched: Column, eligible: Column, cutoff: Column, latest:
             .otherwise(UNEXPECTED))
 
 
-def deduplicate_reports(reports: DataFrame, keys: Sequence[str] = ("station", "observed_at")) -> DataFrame:
-    """Exact duplicates collapse; ``n_reports`` and ``n_versions`` tell repeats from conflicts."""
+def deduplicate_reports(reports: DataFrame, keys: Sequence[str] = ("station", "observed_at"), *,
+                        refuse_conflicts: bool = False) -> DataFrame:
+    """Exact duplicates collapse; ``n_reports`` and ``n_versions`` tell repeats from conflicts.
+
+    Of conflicting versions the least is shown; with ``refuse_conflicts`` they fail the job.
+    """
     content = [c for c in reports.columns if c not in keys]
     versions = reports.groupBy(*keys, *content).agg(F.count(F.lit(1)).alias("_n"))
-    return versions.groupBy(*keys).agg(
-        *[F.first(c).alias(c) for c in content],
-        F.sum("_n").alias("n_reports"), F.count(F.lit(1)).alias("n_versions"))
+    out = versions.groupBy(*keys).agg(F.min(F.struct(*content)).alias("_c"), F.sum("_n").alias("n_reports"),
+                                      F.count(F.lit(1)).alias("n_versions"))
+    if refuse_conflicts:
+        refused = F.raise_error(F.lit("reports of one station and time differ")).cast("boolean")
+        out = out.filter(F.when(F.col("n_versions") == 1, True).otherwise(refused))
+    return out.select(*keys, "_c.*", "n_reports", "n_versions")

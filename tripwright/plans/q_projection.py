@@ -7,7 +7,7 @@ from tripwright import fixtures as fx
 from tripwright.functions import text
 from tripwright.operators import clean
 from tripwright.plans.registry import query
-from tripwright.schemas import OUTCOME_COLUMNS, TIERS
+from tripwright.schemas import TIERS
 
 KEYS = ["mo", "dom", "tail", "origin", "dest", "distance", "carrier_code", "dep_hhmm", "arr_hhmm"]
 _TIER_SQL = "CASE {c} % 6 WHEN 0 THEN '{1}' WHEN 1 THEN '{2}' WHEN 2 THEN '{3}' ELSE '{0}' END"
@@ -94,11 +94,11 @@ def explicit_missing_bucket(spark, sf):
 
 
 @query("p10_forbidden_column_guard", """
-SELECT flight_id, origin, dest FROM flights""", ("flights",))
+SELECT flight_id, origin, dest, 'delay' AS found FROM flights""", ("flights",))
 def forbidden_column_guard(spark, sf):
     rows = fx.flights(spark, sf)
-    allowed = [c for c in rows.columns if c.casefold() not in OUTCOME_COLUMNS]
-    return clean.reject_forbidden_columns(rows.select(*allowed)).select("flight_id", "origin", "dest")
+    found = clean.forbidden_columns(rows)  # the guard names what it would refuse, and passes without it
+    return clean.reject_forbidden_columns(rows.drop(*found)).select("flight_id", "origin", "dest", F.lit(",".join(found)).alias("found"))
 
 
 @query("p11_worst_tier_eligibility", f"""WITH tiers AS (SELECT n_nationkey AS airport, {tier_sql('n_nationkey')} AS tier FROM nation),

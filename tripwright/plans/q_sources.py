@@ -193,7 +193,12 @@ def ordered_partition_merge(spark, sf):
     return csv_files.ordered_merge([late, rest], "join_ordinal")
 
 
-@query("s12_ordinal_check", "SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS first, count(*) - 1 AS last, CAST(0 AS BIGINT) AS repeated, CAST(0 AS BIGINT) AS misplaced FROM events")
+@query("s12_ordinal_check", """WITH e AS (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS o FROM events),
+m AS (SELECT o + CASE WHEN event_id % 100 = 0 THEN 1 ELSE 0 END AS o, count(*) AS n, min(event_id) AS id FROM e GROUP BY 1)
+SELECT CAST(sum(coalesce(n, 0)) AS BIGINT) AS n_rows, min(o) AS first, max(o) AS last, count(*) FILTER (n > 1) AS repeated,
+ count(*) FILTER (id IS DISTINCT FROM event_id) AS misplaced FROM m FULL JOIN e USING (o)""")
 def ordinal_check(spark, sf):
+    """A merge that moved every hundredth row one place down: its neighbours' places repeat, its own is empty."""
     numbered = source_rows(fx.table(spark, sf, "events").select("event_id"), "event_id").withColumnRenamed("source_row", "join_ordinal")
-    return csv_files.ordinal_check(numbered, numbered, "join_ordinal", "event_id")
+    moved = numbered.withColumn("join_ordinal", F.col("join_ordinal") + (F.col("event_id") % 100 == 0).cast("bigint"))
+    return csv_files.ordinal_check(moved, numbered, "join_ordinal", "event_id")

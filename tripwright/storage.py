@@ -28,9 +28,28 @@ def fresh_path(spark: SparkSession, stem: str) -> str:
     return f"{shared_dir(spark)}/tripwright/{stem}-{uuid.uuid4().hex}"
 
 
+# Folders written by each application's ``materialize`` calls, until ``clean_up``.
+_WRITTEN: dict[str, list[str]] = {}
+
+
+def clean_up(spark: SparkSession) -> int:
+    """Remove what this application materialized and say how many folders that were.
+
+    For the owner of the results, once they are stored: frames built on them can't be read
+    any more.
+    """
+    context = spark.sparkContext
+    folders = _WRITTEN.pop(context.applicationId, [])
+    for folder in folders:
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    return len(folders)
+
+
 def materialize(df: DataFrame, stem: str) -> DataFrame:
     """Write once and read back: results that several branches must see identically."""
     path = fresh_path(df.sparkSession, stem)
+    _WRITTEN.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
