@@ -3,6 +3,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 # Words are runs of anything but these six ASCII characters.
@@ -78,3 +81,15 @@ def utf8_slices(sizes: Sequence[int], limit: int) -> list[tuple[int, int]]:
     if start < len(sizes):
         out.append((start, len(sizes)))
     return out
+
+
+def word_codes(words: list[bytes]) -> np.ndarray:
+    """A 64-bit hash of each word; each distinct word is hashed once."""
+    coded = pa.array(words, pa.binary()).dictionary_encode()
+    distinct = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
+    return distinct[coded.indices.to_numpy()] if len(distinct) else np.zeros(0, np.uint64)
+
+
+def multipliers(n: int, seed: int) -> np.ndarray:
+    """Fixed odd 64-bit factors for hashing sequences of word codes."""
+    return np.random.default_rng(seed).integers(0, 2 ** 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tripwright.llm.common import SPACE, apply_copies, pick, text_mark, text_or_empty
+from tripwright.llm.common import apply_copies, pick, text_mark, text_or_empty
 from tripwright.storage import materialize
 
 COUNTERS = 1024

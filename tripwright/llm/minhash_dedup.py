@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tripwright.llm.common import apply_copies, pick, text_mark, text_or_empty, utf8_slices
+from tripwright.llm.common import apply_copies, multipliers, pick, text_mark, text_or_empty, utf8_slices, word_codes
 from tripwright.llm.components import components
 from tripwright.storage import materialize
 
@@ -45,10 +45,6 @@ LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 WIDE = np.uint64(32)
 
 
-def multipliers(n: int, seed: int) -> np.ndarray:
-    return np.random.default_rng(seed).integers(0, 2 ** 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
 def least_matches(coordinates: int, percent: int, miss: float = MISS) -> int:
     """Coordinates that a pair of ``percent`` similarity shares with probability 1 - miss."""
     j, below = percent / 100, 0.0
@@ -59,12 +55,10 @@ def least_matches(coordinates: int, percent: int, miss: float = MISS) -> int:
     return coordinates
 
 
-def word_codes(texts: list[bytes]) -> list[np.ndarray]:
-    """64-bit codes of each text's lower-cased words; each distinct word is hashed once."""
+def codes_of_texts(texts: list[bytes]) -> list[np.ndarray]:
+    """Codes of each text's lower-cased words."""
     words = [t.translate(LOWER).split() for t in texts]
-    coded = pa.array([w for doc in words for w in doc], pa.binary()).dictionary_encode()
-    distinct = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
-    codes = distinct[coded.indices.to_numpy()] if len(distinct) else np.zeros(0, np.uint64)
+    codes = word_codes([w for doc in words for w in doc])
     return np.split(codes, np.cumsum([len(w) for w in words])[:-1])
 
 
@@ -101,7 +95,7 @@ def sketches(docs: DataFrame, size: int, coordinates: int) -> DataFrame:
 
     def sketch(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in texts_in_batches(source, 2):
-            sets = [shingle_set(c, size) for c in word_codes(texts)]
+            sets = [shingle_set(c, size) for c in codes_of_texts(texts)]
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()),
                  pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
@@ -255,7 +249,7 @@ def confirmed(docs: DataFrame, classes: DataFrame, families: DataFrame, size: in
 
     def shingled(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, batch in texts_in_batches(source, 2):
-            sets = [shingle_set(c, size) for c in word_codes(batch)]
+            sets = [shingle_set(c, size) for c in codes_of_texts(batch)]
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()),
                  pa.array([s.tobytes() for s in sets], pa.binary())], ["family", "node", "n", "shingles"])
