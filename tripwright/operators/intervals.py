@@ -114,9 +114,3 @@ def batch_and_shard(demand: DataFrame, *, stations_per_request: int, shard_size:
     return (batches.join(offsets, ["month", "network"])
             .select(ordinal.alias("ordinal"), F.floor(ordinal / shard_size).alias("shard"), "month", "network",
                     "stations", F.size("stations").alias("n_stations")))
-
-
-def networks_per_station(demand: DataFrame) -> DataFrame:
-    """Stations that appear under more than one network (must be empty)."""
-    return (demand.groupBy("station").agg(F.min("network").alias("_a"), F.max("network").alias("_b"))
-            .filter(F.col("_a") != F.col("_b")).select("station"))

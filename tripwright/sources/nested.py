@@ -59,9 +59,3 @@ def expected_record_failures(records: DataFrame, expected: DataFrame, key: str =
     return (problem(rule("require_platform").join(platforms, on, "left_anti"), "missing_platform")
             .unionByName(problem(rule("forbid_platform").join(platforms, on, "left_semi"), "forbidden_platform"))
             .unionByName(problem(rule("require_identifier").join(identifiers, on, "left_anti"), "missing_identifier")))
-
-
-def explode_attempts(requests: DataFrame, key: str, attempts: str = "attempts") -> DataFrame:
-    """One row per attempt; a request without attempts keeps one row with null fields."""
-    return (requests.select(key, F.posexplode_outer(attempts).alias("attempt_no", "a"))
-            .select(key, "attempt_no", "a.*"))
