@@ -26,22 +26,20 @@ no rows; other columns are ignored; texts are read whole.
 """
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from tripwright.llm.common import pick, text_mark, text_or_empty, utf8_slices
+from tripwright.llm.common import multipliers, pick, text_mark, text_or_empty, utf8_slices, word_codes
 
 WINDOW = 13
-BATCH_BYTES = 8 << 20
-GROUP_SUFFIXES = 2_000_000
+BATCH_BYTES = 4 << 20
+GROUP_SUFFIXES = 1_500_000
 SAMPLE_DOCUMENTS, SAMPLE_SUFFIXES = 4000, 48
 LAST_ID = 2 ** 63 - 1
 
@@ -49,17 +47,6 @@ SUFFIXES, BATCH = 0, 1  # what a packed row holds
 PACKED = "kind int, part long, batch long, n long, codes binary, places binary, ids binary, offsets binary, marks binary"
 
 
-def multipliers(n: int, seed: int) -> np.ndarray:
-    return np.random.default_rng(seed).integers(0, 2 ** 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-def word_codes(words: list[bytes]) -> np.ndarray:
-    """A 64-bit hash of each word; each distinct word is hashed once."""
-    coded = pa.array(words, pa.binary()).dictionary_encode()
-    distinct = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
-    return distinct[coded.indices.to_numpy()]
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
     return x ^ (x >> np.uint64(33))
@@ -231,6 +218,22 @@ def numbered(docs: DataFrame) -> DataFrame:
         F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("id"), text_mark().alias("mark"), text_or_empty().alias("text"))
 
 
+def compressed(rows: DataFrame) -> DataFrame:
+    """(id, mark, body): texts as they travel to meet their spans."""
+
+    def press(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd", 3)
+        for batch in source:
+            bodies = [len(b := t.as_buffer()).to_bytes(8, "little") + codec.compress(b, asbytes=True) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bodies, pa.binary())], ["id", "mark", "body"])
+
+    return rows.mapInArrow(press, "id long, mark long, body binary")
+
+
+def expanded(body: bytes) -> bytes:
+    return pa.Codec("zstd").decompress(body[8:], int.from_bytes(body[:8], "little"), asbytes=True)
+
+
 def fit_prefixes(rows: DataFrame, window: int, group_suffixes: int) -> Prefixes:
     """Cut lengths from ``SAMPLE_SUFFIXES`` suffixes of about ``SAMPLE_DOCUMENTS`` documents."""
     documents = rows.count()
@@ -272,8 +275,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, group_suffixes: int =
     def keep(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
             n_words, n_removed, kept = [], [], []
-            for text, starts, stops in zip(batch.column(1), batch.column(2), batch.column(3)):
-                words = text.as_buffer().to_pybytes().split()
+            for body, starts, stops in zip(batch.column(1), batch.column(2), batch.column(3)):
+                words = expanded(body.as_py()).split()
                 total = len(words)
                 for a, b in zip(reversed(starts.as_py() or []), reversed(stops.as_py() or [])):
                     del words[a:b]
@@ -284,6 +287,6 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, group_suffixes: int =
                 [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())],
                 ["id", "n_words", "n_removed", "kept"])
 
-    joined = numbered(docs).join(spans, ["id", "mark"], "left").select("id", "text", "starts", "stops")
+    joined = compressed(numbered(docs)).join(spans, ["id", "mark"], "left").select("id", "body", "starts", "stops")
     done = joined.mapInArrow(keep, "id long, n_words long, n_removed long, kept string")
     return done.select(F.nullif("id", F.lit(LAST_ID)).alias("doc_id"), "n_words", "n_removed", "kept")
