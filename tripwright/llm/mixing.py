@@ -26,7 +26,7 @@ from tripwright.storage import materialize
 
 REPEATS = 3
 SEED = "mix-1"
-BUCKET_ROWS = 16384
+BUCKET_ROWS, MOST_BUCKETS = 2048, 65536
 LATEST = 2.0
 
 
@@ -62,7 +62,7 @@ def source_targets(sizes: DataFrame, repeats: int = REPEATS) -> DataFrame:
 
 
 def parts(rows):
-    return F.greatest(F.lit(1), F.ceil(rows / BUCKET_ROWS))
+    return F.greatest(F.lit(1), F.least(F.lit(MOST_BUCKETS), F.ceil(rows / BUCKET_ROWS)))
 
 
 def mix_sources(docs: DataFrame, repeats: int = REPEATS, seed: str = SEED) -> DataFrame:
@@ -74,7 +74,7 @@ def mix_sources(docs: DataFrame, repeats: int = REPEATS, seed: str = SEED) -> Da
     shuffled = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}")).cast("binary"))
     spot = F.conv(F.substring("shuffled", 1, 4), 16, 10).cast("long")
     queued = (rows.filter("target > 0").withColumn("shuffled", shuffled)
-              .withColumn(BUCKET, F.floor(spot * F.least(F.lit(65536), parts(F.col("source_rows"))) / 65536)))
+              .withColumn(BUCKET, F.floor(spot * parts(F.col("source_rows")) / 65536)))
     queued = running_totals(queued, ["number"], ["shuffled", "doc_id", "size", "row"], {"sent": F.col("size")})
 
     rounds = F.least(F.lit(repeats - 1), F.floor(F.col("target") / F.col("source_size")))
