@@ -38,7 +38,7 @@ from tripwright.storage import materialize
 
 COORDINATES, MISS = 48, 1e-6
 LIST_BLOCK, FAMILY_BLOCK = 1024, 512
-GROUP_ROWS, GROUP_SHINGLES = 20_000, 2_000_000
+GROUP_ROWS, GROUP_SHINGLES = 4_000, 500_000
 BATCH_BYTES = 4 << 20
 STRIPE = 4096
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
