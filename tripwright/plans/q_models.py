@@ -1,8 +1,11 @@
 """Model queries over all labeled rows and all five outer folds.
 
-Trees differ from the published runs, so scores are not compared with SQL; what SQL can say
-is: every labeled row is scored exactly once, in its own fold, by a probability, and a search
-keeps the first minimum of the losses it recorded. Two settings bound the run time on one
+Each ``_result`` query returns what its operator computes: scores, tree counts, losses, chosen
+parameters and thresholds. Trees differ from the published runs, so SQL can't repeat those of
+the tree learners; the calibrated scores of ``m16`` and ``m17`` are compared number for number.
+The query of the same name without ``_result`` holds what SQL can say about any fit: every
+labeled row is scored exactly once, in its own fold, by a probability, and a search keeps the
+first minimum of the losses it recorded. Two settings bound the run time on one
 machine and are parameters of the operators: ``TREES`` (the first two of the declared tree
 counts) and ``FOREST_SIZE``.
 """
@@ -52,10 +55,14 @@ def boundaries(rows):
         yield fold, boundary_of(rows, fold)
 
 
-def scored_rows(parts):
-    """(fold, flight_id, is_probability) of scored rows, stacked over folds."""
-    return union(scored.select(F.lit(fold).alias("fold"), "flight_id", F.coalesce(F.col("p").between(0, 1), F.lit(False)).alias("is_probability"))
-                 for fold, scored in parts)
+def scored_rows(parts, *columns):
+    """(fold, flight_id, p and more columns) of scored rows, stacked over folds."""
+    return union(scored.select(F.lit(fold).alias("fold"), "flight_id", *columns, "p") for fold, scored in parts)
+
+
+def probabilities(scored, *keys):
+    """The keys of scored rows and whether the score is a probability."""
+    return scored.select(*keys, F.coalesce(F.col("p").between(0, 1), F.lit(False)).alias("is_probability"))
 
 
 EACH_ROW_ONCE = f"WITH {FOLD_SQL} SELECT fold, flight_id, true AS is_probability FROM folded"
@@ -65,16 +72,20 @@ def union(frames):
     return reduce(lambda a, b: a.unionByName(b), frames)
 
 
-def choice_summary(spark, choices):
-    """Per fold: parameter sets tried, how many are marked, and whether the first minimum is."""
-    records = [(fold, i, float(loss), params == choice.params, choice.threshold)
+def choice_rows(spark, choices):
+    """One row per fold and parameter set tried, in the order of the grid."""
+    records = [(fold, i, ",".join(f"{k}={v}" for k, v in sorted(params.items())), float(loss), params == choice.params, choice.threshold)
                for fold, choice in choices for i, (params, loss) in enumerate(choice.losses)]
-    rows = spark.createDataFrame(records, "fold int, place int, loss double, chosen boolean, threshold double")
-    best = F.min(F.struct("loss", "place"))["place"]
+    return spark.createDataFrame(records, "fold int, place int, params string, log_loss double, chosen boolean, threshold double")
+
+
+def choice_summary(rows):
+    """Per fold: parameter sets tried, how many are marked, and whether the first minimum is."""
+    best = F.min(F.struct("log_loss", "place"))["place"]
     return rows.groupBy("fold").agg(
         F.count(F.lit(1)).alias("tried"), F.count(F.when(F.col("chosen"), 1)).alias("chosen"),
         (best == F.min(F.when(F.col("chosen"), F.col("place")))).alias("first_minimum"),
-        (F.min("threshold").between(0, 1) & (F.min("loss") > 0)).alias("in_range"))
+        (F.min("threshold").between(0, 1) & (F.min("log_loss") > 0)).alias("in_range"))
 
 
 def choice_sql(tried):
@@ -90,61 +101,100 @@ def teacher_scores(spark, sf):
         yield fold, teacher.score(unlabeled)
 
 
+@query("m7_fold_teacher_result")
+def fold_teacher_result(spark, sf):
+    return scored_rows(teacher_scores(spark, sf))
+
+
 @query("m7_fold_teacher", f"SELECT CAST(f AS INT) AS fold, flight_id, true AS is_probability FROM flights, range(0, {FOLDS}) AS s(f) WHERE delay IS NULL", V)
 def fold_teacher(spark, sf):
-    return scored_rows(teacher_scores(spark, sf))
+    return probabilities(fold_teacher_result(spark, sf), "fold", "flight_id")
 
 
 @query("m5_teacher_pseudo_labels")
 def teacher_pseudo_labels(spark, sf):
-    scored = union(s.select(F.lit(fold).alias("fold"), "flight_id", "p") for fold, s in teacher_scores(spark, sf))
-    return encode.pseudo_labels(materialize(scored, "teacher-scores"), keys=["fold"])
+    return encode.pseudo_labels(materialize(fold_teacher_result(spark, sf), "teacher-scores"), keys=["fold"])
 
 
-@query("m8_early_stopped_fit", EACH_ROW_ONCE, V)
-def early_stopped_fit(spark, sf):
+@query("m8_early_stopped_fit_result")
+def early_stopped_fit_result(spark, sf):
     folded = folded_features(spark, sf)
     parts = []
     for fold in range(FOLDS):
         train, valid = models.fold_rows(folded, fold)
         params = {**PARAMS, "trees": TREES[-1]}
-        parts.append((fold, models.early_stopped(train, valid, models.feature_columns(train), params, fold=fold, seed=SEED)[1]))
-    return scored_rows(parts)
+        fitted, scored = models.early_stopped(train, valid, models.feature_columns(train), params, fold=fold, seed=SEED)
+        parts.append((fold, scored.withColumn("n_trees", F.lit(fitted.model.getNumTrees))))
+    return scored_rows(parts, "y", "n_trees")
+
+
+@query("m8_early_stopped_fit", EACH_ROW_ONCE, V)
+def early_stopped_fit(spark, sf):
+    return probabilities(early_stopped_fit_result(spark, sf), "fold", "flight_id")
+
+
+@query("m9_nested_tree_count_select_result")
+def nested_tree_count_select_result(spark, sf):
+    parts = []
+    for fold, b in boundaries(folded_features(spark, sf)):
+        choice = models.select_tree_count(b, PARAMS, TREES)
+        parts.append((fold, choice.valid.withColumns({"n_trees": F.lit(choice.params["trees"]), "threshold": F.lit(choice.threshold)})))
+    return scored_rows(parts, "y", "n_trees", "threshold")
 
 
 @query("m9_nested_tree_count_select", EACH_ROW_ONCE, V)
 def nested_tree_count_select(spark, sf):
-    return scored_rows((fold, models.select_tree_count(b, PARAMS, TREES).valid) for fold, b in boundaries(folded_features(spark, sf)))
+    return probabilities(nested_tree_count_select_result(spark, sf), "fold", "flight_id")
 
 
-@query("m10_prefix_model_scoring", f"SELECT CAST(f AS INT) AS fold, CAST(t AS INT) AS n_trees, true AS is_loss FROM range(0, {FOLDS}) AS a(f), range(1, {TREES[-1] + 1}) AS b(t)")
-def prefix_model_scoring(spark, sf):
+@query("m10_prefix_model_scoring_result")
+def prefix_model_scoring_result(spark, sf):
     parts = []
     for fold, b in boundaries(folded_features(spark, sf)):
         fitted = models.boosted_trees(b.train, b.features, {**PARAMS, "trees": TREES[-1]})
         losses = models.prefix_losses(models.prefix_scores(fitted, b.holdout, b.features, list(range(1, TREES[-1] + 1))))
-        parts.append(losses.select(F.lit(fold).alias("fold"), "n_trees", (F.col("log_loss") > 0).alias("is_loss")))
+        parts.append(losses.select(F.lit(fold).alias("fold"), "n_trees", "log_loss"))
     return union(parts)
 
 
+@query("m10_prefix_model_scoring", f"SELECT CAST(f AS INT) AS fold, CAST(t AS INT) AS n_trees, true AS is_loss FROM range(0, {FOLDS}) AS a(f), range(1, {TREES[-1] + 1}) AS b(t)")
+def prefix_model_scoring(spark, sf):
+    return prefix_model_scoring_result(spark, sf).select("fold", "n_trees", (F.col("log_loss") > 0).alias("is_loss"))
+
+
 def searched(spark, sf, build, grid):
-    return choice_summary(spark, [(fold, models.select_params(b, build, grid)) for fold, b in boundaries(folded_features(spark, sf))])
+    return choice_rows(spark, [(fold, models.select_params(b, build, grid)) for fold, b in boundaries(folded_features(spark, sf))])
 
 
-@query("m11_param_grid_select", choice_sql(4))
-def param_grid_select(spark, sf):
+@query("m11_param_grid_select_result")
+def param_grid_select_result(spark, sf):
     grid = [{**PARAMS, "depth": depth, "trees": trees} for depth in (2, 4) for trees in TREES]
     return searched(spark, sf, models.boosted_trees, grid)
 
 
+@query("m11_param_grid_select", choice_sql(4))
+def param_grid_select(spark, sf):
+    return choice_summary(param_grid_select_result(spark, sf))
+
+
+@query("m12_logistic_model_result")
+def logistic_model_result(spark, sf):
+    return searched(spark, sf, models.logistic, models.LOGISTIC_GRID)
+
+
 @query("m12_logistic_model", choice_sql(len(models.LOGISTIC_GRID)))
 def logistic_model(spark, sf):
-    return searched(spark, sf, models.logistic, models.LOGISTIC_GRID)
+    return choice_summary(logistic_model_result(spark, sf))
+
+
+@query("m13_random_forest_model_result")
+def random_forest_model_result(spark, sf):
+    return searched(spark, sf, models.random_forest, [{**p, **FOREST_SIZE} for p in models.FOREST_GRID])
 
 
 @query("m13_random_forest_model", choice_sql(len(models.FOREST_GRID)))
 def random_forest_model(spark, sf):
-    return searched(spark, sf, models.random_forest, [{**p, **FOREST_SIZE} for p in models.FOREST_GRID])
+    return choice_summary(random_forest_model_result(spark, sf))
 
 
 EACH_SEED_ONCE = "SELECT seed, fold, flight_id, true AS is_probability FROM oof"
@@ -159,27 +209,72 @@ def calibrated(spark, sf, kind):
         for fold in range(FOLDS):
             fitted = calibrate.fit_calibrator(kind, of_seed.filter(F.col("fold") != fold))
             parts.append(fitted.apply(of_seed.filter(F.col("fold") == fold)))
-    return union(parts).select("seed", "fold", "flight_id", F.coalesce(F.col("p").between(0, 1), F.lit(False)).alias("is_probability"))
+    return union(parts).select("seed", "fold", "flight_id", "p")
+
+
+def to_compare(scored):
+    """Scores to 6 digits; 12 come first, so that sums in another order fall on the same side."""
+    return scored.withColumn("p", F.round(F.round("p", 12), 6))
+
+
+# Newton's steps from 0, one fit per seed and left-out fold, under the penalty b * b / 2.
+NEWTON_STEPS = 12
+_STEP = """k{i} AS MATERIALIZED (
+ SELECT seed, fold, a - (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01) AS a, b - (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) AS b FROM (
+  SELECT seed, fold, a, b, sum(q - y) AS g0, sum((q - y) * z) + b AS g1, sum(q * (1 - q)) AS h00, sum(q * (1 - q) * z) AS h01, sum(q * (1 - q) * z * z) + 1 AS h11
+  FROM (SELECT k.*, d.y, d.z, 1 / (1 + exp(-(k.a + k.b * d.z))) AS q FROM k{before} k JOIN d ON d.seed = k.seed AND d.fold <> k.fold) GROUP BY seed, fold, a, b))"""
+PLATT_SQL = f"""WITH d AS MATERIALIZED (SELECT seed, fold, flight_id, y, ln(q / (1 - q)) AS z FROM (
+  SELECT seed, fold, flight_id, y_true AS y, least(greatest(p, 1e-6::DOUBLE), 1::DOUBLE - 1e-6::DOUBLE) AS q FROM oof)),
+k0 AS (SELECT DISTINCT seed, CAST(f AS INT) AS fold, 0::DOUBLE AS a, 0::DOUBLE AS b FROM oof, range(0, {FOLDS}) AS s(f)),
+{", ".join(_STEP.format(i=i + 1, before=i) for i in range(NEWTON_STEPS))}
+SELECT d.seed, d.fold, flight_id, round(round(1 / (1 + exp(-(a + b * z))), 12), 6) AS p FROM d JOIN k{NEWTON_STEPS} k ON d.seed = k.seed AND d.fold = k.fold"""
+
+# A monotone fit is, at each value, the largest of the least means of runs that hold it; between
+# the fitted values it is a straight line and beyond them constant.
+ISOTONIC_SQL = f"""WITH t AS (SELECT seed, CAST(f AS INT) AS fold, p AS x, sum(y_true) AS s, count(*) AS w FROM oof, range(0, {FOLDS}) AS s(f) WHERE fold <> f GROUP BY ALL),
+c AS MATERIALIZED (SELECT *, row_number() OVER g AS i, sum(s) OVER g AS cs, sum(w) OVER g AS cw FROM t WINDOW g AS (PARTITION BY seed, fold ORDER BY x)),
+m AS (SELECT b.seed, b.fold, b.x, min(CAST(b.cs - a.cs + a.s AS DOUBLE) / CAST(b.cw - a.cw + a.w AS DOUBLE)) OVER (PARTITION BY a.seed, a.fold, a.i ORDER BY b.i DESC) AS v
+      FROM c a JOIN c b ON a.seed = b.seed AND a.fold = b.fold AND a.i <= b.i),
+fit AS MATERIALIZED (SELECT seed, fold, x, max(v) AS v FROM m GROUP BY ALL),
+r AS (SELECT o.seed, o.fold, o.flight_id, CASE WHEN lo.x IS NULL THEN hi.v WHEN hi.x IS NULL OR lo.x = hi.x THEN lo.v ELSE lo.v + (hi.v - lo.v) * (o.p - lo.x) / (hi.x - lo.x) END AS p
+      FROM oof o ASOF LEFT JOIN fit lo ON o.seed = lo.seed AND o.fold = lo.fold AND o.p >= lo.x
+                 ASOF LEFT JOIN fit hi ON o.seed = hi.seed AND o.fold = hi.fold AND o.p <= hi.x)
+SELECT seed, fold, flight_id, round(round(least(greatest(p, 1e-6::DOUBLE), 1::DOUBLE - 1e-6::DOUBLE), 12), 6) AS p FROM r"""
+
+
+@query("m16_platt_calibration_result", PLATT_SQL, ("flights", "oof"))
+def platt_calibration_result(spark, sf):
+    return to_compare(calibrated(spark, sf, "platt"))
 
 
 @query("m16_platt_calibration", EACH_SEED_ONCE, ("flights", "oof"))
 def platt_calibration(spark, sf):
-    return calibrated(spark, sf, "platt")
+    return probabilities(calibrated(spark, sf, "platt"), "seed", "fold", "flight_id")
+
+
+@query("m17_isotonic_calibration_result", ISOTONIC_SQL, ("flights", "oof"))
+def isotonic_calibration_result(spark, sf):
+    return to_compare(calibrated(spark, sf, "isotonic"))
 
 
 @query("m17_isotonic_calibration", EACH_SEED_ONCE, ("flights", "oof"))
 def isotonic_calibration(spark, sf):
-    return calibrated(spark, sf, "isotonic")
+    return probabilities(calibrated(spark, sf, "isotonic"), "seed", "fold", "flight_id")
 
 
-@query("m18_crossfit_scores", f"WITH {FOLD_SQL} SELECT CAST(o AS INT) AS fold, flight_id, true AS is_probability FROM folded, range(0, {FOLDS}) AS s(o) WHERE fold <> o", V)
-def crossfit_scores(spark, sf):
+@query("m18_crossfit_scores_result")
+def crossfit_scores_result(spark, sf):
     folded = folded_features(spark, sf)
     parts = []
     for fold in range(FOLDS):
         train, _ = models.fold_rows(folded, fold)
         parts.append((fold, models.crossfit_scores(train, models.boosted_trees, {**PARAMS, "trees": TREES[0]}, k=3, seed=SEED, cols=SPEC.categories)))
-    return scored_rows(parts)
+    return scored_rows(parts, "part", "y")
+
+
+@query("m18_crossfit_scores", f"WITH {FOLD_SQL} SELECT CAST(o AS INT) AS fold, flight_id, true AS is_probability FROM folded, range(0, {FOLDS}) AS s(o) WHERE fold <> o", V)
+def crossfit_scores(spark, sf):
+    return probabilities(crossfit_scores_result(spark, sf), "fold", "flight_id")
 
 
 @query("m22_feature_importance")
