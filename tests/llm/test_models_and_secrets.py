@@ -140,6 +140,29 @@ def test_random_strings_are_told_from_words(spark):
     assert sum("random" in found[i] for i in range(60, 120)) <= 6
 
 
+def test_random_strings_are_found_where_other_text_is_glued_to_them(spark):
+    rng = random.Random(6)
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    alphabets = [upper + upper.lower() + "0123456789", upper + "234567", upper + upper.lower() + "0123456789+/"]
+    before = ["aws_secret_access_key=", "CLIENT_KEY=", "some/host/path/with/words/", "https://host/path-of-many-words_", "0123456789abcdef01234567-"]
+    rows, tokens = [], []
+    for i in range(90):
+        tokens.append("".join(rng.choices(alphabets[i % 3], k=(20, 32, 40)[i % 3])))
+        rows.append((i, f"see {before[i % 5]}{tokens[i]} here", "en", "a", 1))
+    letters = ["".join(rng.choices(upper + upper.lower(), k=40)) for _ in range(20)]
+    dull = ["some/host/path/with/words/and/more/words/in/it", "CLIENT_NAME=section-chapter-one-two-part-page"] * 20
+    rows += [(100 + i, f"see {w}", "en", "a", 1) for i, w in enumerate(letters + dull)]
+    found = {r.doc_id: r.spans for r in scanned(spark, rows)}
+    assert sum(any(s.kind == "random" and s.start <= 4 + len(before[i % 5]) and s.stop >= 4 + len(before[i % 5]) + len(tokens[i]) for s in found[i])
+               for i in range(90)) >= 72
+    assert sum(any(s.kind == "random" for s in found[100 + i]) for i in range(20)) >= 15
+    assert sum(any(s.kind == "random" for s in found[120 + i]) for i in range(40)) <= 4
+
+
+def scanned(spark, rows):
+    return secrets.scan_secrets(frame(spark, rows)).collect()
+
+
 @pytest.mark.parametrize("text", ["0123456789abcdef" * 4, "aaaaaaaaaaaaaaaaaaaa1"])
 def test_p_values_are_probabilities(spark, text):
     from pyspark.sql import functions as F

@@ -1,15 +1,17 @@
 """Secret scans: fixed patterns, and a battery of randomness tests for the rest.
 
 DataFrame functions only. Base spans come from three patterns. Besides, every run of 20 or
-more characters of an encoding's alphabet that holds letters and digits is a candidate. Its
-encoding (hexadecimal, base 32, alphanumeric, base 64) is inferred from its characters, and
+more characters of an encoding's alphabet that holds a letter is a candidate; ``=`` only ends
+a run. A base span is cut out of a run, and each piece of 20 or more characters is a candidate,
+as are its segments of that length between ``/``, between ``_`` or ``-``, and between any of
+them: a random string glued to words is tested on its own too. A candidate's encoding (hexadecimal, base 32, alphanumeric, base 64) is inferred from its characters, and
 as numbers of that alphabet it takes three tests of the hypothesis that it is random:
 chi-squared uniformity of the alphabet, runs above and below the alphabet's middle, and
 serial correlation. Fisher's sum combines them. Long strings give these tests more power
 than short ones, so a Benjamini-Hochberg threshold is set in each class of length over the
 whole corpus: candidates below it are dismissed as not random, with at most ``RATE`` of the
-dismissals expected to be wrong, and the others are reported as spans of kind ``random``
-where they touch no base span.
+dismissals expected to be wrong, and the others are reported as spans of kind ``random``, without
+those that lie inside another one.
 
 Positions: a text is split by a pattern, and the lengths of the gaps and matches add up to
 code point offsets. P-values of normal deviates use a logistic approximation of the normal
@@ -31,9 +33,10 @@ ASSIGN = (r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss]
 # Runs are maximal, so a pattern that asks for the least length finds the same ones.
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"(?<![0-9a-f])[0-9a-f]{24,}+"
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+=*+"
+SEPARATORS = ("/", "[_-]", "[/_-]")
 KINDS = ("assign", "access", "hex", "random")
-ASSIGN_LEAST = 6
+ASSIGN_LEAST, CANDIDATE_LEAST = 6, 20
 LENGTH_EDGES = (32, 48, 64)
 RATE = 0.05
 BINS_PER_UNIT, BINS = 8, 1600
@@ -70,10 +73,55 @@ def found_spans(docs: DataFrame) -> DataFrame:
     lists = [marker, *[F.coalesce(h, none) for h in (hits(0, ASSIGN, 2), hits(1, ACCESS), hits(2, HEX), hits(3, CANDIDATE))]]
     each = rows.select("row", "doc_id", F.explode(F.concat(*lists)).alias("m")).select("row", "doc_id", "m.*")
     upto = Window.partitionBy("row", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = each.withColumn("stop", F.sum(F.col("gap") + F.col("size")).over(upto))
+    placed = each.repartition("row").withColumn("stop", F.sum(F.col("gap") + F.col("size")).over(upto).cast("int"))
     placed = placed.withColumn("start", F.col("stop") - F.col("size"))
-    return placed.filter(F.col("kind").isNull() | (F.col("kind") != 0) | (F.col("part_size") >= ASSIGN_LEAST)).filter(
-        "kind is null or kind <> 3 or (token rlike '[0-9]' and token rlike '[A-Za-z]')")
+    return placed.filter(F.col("kind").isNull() | (F.col("kind") != 0) | (F.col("part_size") >= ASSIGN_LEAST))
+
+
+def pieces(run: Column, base: Column) -> Column:
+    """What the base spans leave of a run, where it is long enough: (start, token) each."""
+    crossing = F.array_sort(F.filter(base, lambda b: (b["start"] < run["stop"]) & (run["start"] < b["stop"])))
+    ends = F.concat(F.transform(crossing, lambda b: b["start"]), F.array(run["stop"]))
+    left = F.transform(ends, lambda end, i: F.struct(
+        F.array_max(F.concat(F.array(run["start"]), F.transform(F.slice(crossing, 1, i), lambda b: b["stop"]))).alias("start"),
+        end.alias("stop")))
+    long = F.filter(left, lambda x: x["stop"] - x["start"] >= CANDIDATE_LEAST)
+    return F.transform(long, lambda x: F.struct(
+        x["start"].alias("start"), F.substring(run["token"], x["start"] - run["start"] + 1, x["stop"] - x["start"]).alias("token")))
+
+
+def segments(piece: Column, separator: str) -> Column:
+    """The parts of a piece between separators that are long enough."""
+    none = F.array().cast("array<struct<start:int,token:string>>")
+    return F.aggregate(
+        F.split(piece["token"], separator, -1), F.struct(piece["start"].alias("at"), none.alias("out")),
+        lambda done, part: F.struct(
+            (done["at"] + F.length(part) + 1).alias("at"),
+            F.when(F.length(part) >= CANDIDATE_LEAST, F.concat(done["out"], F.array(F.struct(done["at"].alias("start"), part.alias("token")))))
+            .otherwise(done["out"]).alias("out")))["out"]
+
+
+def candidate_spans(found: DataFrame) -> DataFrame:
+    """Base spans, the marker of each document, and all candidates with the run they are of."""
+    is_base, is_run = F.col("kind") < 3, F.col("kind") == 3
+    per_doc = found.groupBy("row", "doc_id").agg(
+        F.collect_list(F.when(is_base, F.struct("start", "stop", "kind"))).alias("base"),
+        F.collect_list(F.when(is_run, F.struct("start", "stop", "token"))).alias("runs"))
+
+    def spans_of(run: Column) -> Column:
+        left = pieces(run, F.col("base"))
+        parts = F.flatten(F.transform(left, lambda x: F.concat(F.array(x), *[segments(x, by) for by in SEPARATORS])))
+        return F.transform(F.array_distinct(parts), lambda x: F.struct(
+            F.lit(3).alias("kind"), x["start"].alias("start"), (x["start"] + F.length(x["token"])).alias("stop"),
+            run["start"].alias("run"), x["token"].alias("token")))
+
+    void = F.lit(None).cast("int")
+    marker = F.array(F.struct(void.alias("kind"), void.alias("start"), void.alias("stop"), void.alias("run"), F.lit(None).cast("string").alias("token")))
+    fixed = F.transform("base", lambda b: F.struct(
+        b["kind"].alias("kind"), b["start"].alias("start"), b["stop"].alias("stop"), void.alias("run"), F.lit(None).cast("string").alias("token")))
+    each = per_doc.select("row", "doc_id", F.explode(F.concat(marker, fixed, F.flatten(F.transform("runs", spans_of)))).alias("m"))
+    return each.select("row", "doc_id", "m.*").filter("kind is null or kind <> 3 or token rlike '[A-Za-z]'").withColumn(
+        "size", F.col("stop") - F.col("start"))
 
 
 def two_sided(z: Column) -> Column:
@@ -132,16 +180,17 @@ def scan_secrets(docs: DataFrame, rate: float = RATE) -> DataFrame:
     """Per document: doc_id and its spans (kind, start, stop) by start, stop exclusive."""
     p = F.when(F.col("kind") == 3, randomness("numbers", "base"))
     bin_ = F.least(F.lit(BINS), F.floor(-F.log(F.greatest(p, F.lit(1e-300))) * BINS_PER_UNIT)).cast("int")
-    spans = materialize(with_numbers(found_spans(docs), "token").select(
-        "row", "doc_id", "kind", "start", "stop", length_class(F.col("size")).alias("length_class"), bin_.alias("bin")), "spans")
+    spans = materialize(with_numbers(candidate_spans(found_spans(docs)), "token").select(
+        "row", "doc_id", "kind", "start", "stop", "run", length_class(F.col("size")).alias("length_class"), bin_.alias("bin")), "spans")
     thresholds = dismissal_bins(spans, rate)  # one row per class of length
     judged = spans.join(F.broadcast(thresholds), "length_class", "left").filter(
         "kind is null or kind <> 3 or dismissed_from is null or bin < dismissed_from")
+    before = Window.partitionBy("row", "kind", "run").orderBy("start", F.desc("stop")).rowsBetween(Window.unboundedPreceding, -1)
+    outer = judged.repartition("row").withColumn("reached", F.max("stop").over(before)).filter(
+        "kind is null or kind <> 3 or reached is null or reached < stop")
     one = F.struct("start", F.col("kind").alias("order"), "stop", F.get(F.array(*map(F.lit, KINDS)), F.col("kind")).alias("kind"))
-    per_doc = judged.groupBy("row", "doc_id").agg(F.array_sort(F.collect_list(F.when(F.col("kind").isNotNull(), one))).alias("all"))
-    per_doc = per_doc.withColumn("base", F.filter("all", lambda s: s["order"] < 3))
-    clear = F.filter("all", lambda s: (s["order"] < 3) | ~F.exists("base", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])))
-    return per_doc.select("doc_id", F.transform(clear, lambda s: F.struct(
+    per_doc = outer.groupBy("row", "doc_id").agg(F.array_sort(F.collect_list(F.when(F.col("kind").isNotNull(), one))).alias("all"))
+    return per_doc.select("doc_id", F.transform("all", lambda s: F.struct(
         s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"))).alias("spans"))
 
 
