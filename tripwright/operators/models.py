@@ -219,11 +219,11 @@ def prefix_scores(fitted: Fitted, df: DataFrame, features: Sequence[str], counts
     leafed = model.transform(_vector(features).transform(_filled(kept, features)))
     parts = F.zip_with(vector_to_array("_leaf"), values, lambda leaf, v: v[leaf.cast("int")])
 
-    def at(k: int):
+    def at(k):
         margin = F.aggregate(F.slice(F.col("_parts"), 1, k), F.lit(0.0), lambda a, x: a + x)
-        return F.struct(F.lit(k).alias("n_trees"), (1 / (1 + F.exp(-2 * margin))).alias("p"))
+        return F.struct(k.alias("n_trees"), (1 / (1 + F.exp(-2 * margin))).alias("p"))
 
-    return leafed.withColumn("_parts", parts).select("_row.*", F.array(*[at(k) for k in counts]).alias("prefixes"))
+    return leafed.withColumn("_parts", parts).select("_row.*", F.transform(F.array(*map(F.lit, counts)), at).alias("prefixes"))
 
 
 def prefix_losses(scored: DataFrame) -> DataFrame:
@@ -271,6 +271,14 @@ def select_params(b: Boundary, build: Callable[..., Fitted], grid: Sequence[dict
     return Choice(dict(params), records, chosen_threshold(held), fitted.score(b.valid), held, fitted)
 
 
+def select_tuned(b: Boundary, grid: Sequence[dict], counts: Sequence[int], seed: int = MODEL_SEED) -> Choice:
+    """Every parameter set crossed with every tree count, one fit per set; the first minimum of all."""
+    choices = [select_tree_count(b, params, counts, seed) for params in grid]
+    records = [({**params, **trees}, loss) for params, c in zip(grid, choices) for trees, loss in c.losses]
+    best = min(choices, key=lambda c: min(loss for _, loss in c.losses))
+    return Choice(best.params, records, best.threshold, best.valid, best.holdout, best.fitted)
+
+
 def early_stopped(train: DataFrame, valid: DataFrame, features: Sequence[str], params: dict, *, fold: int, seed: int,
                   eligible=None) -> tuple[Fitted, DataFrame]:
     """Stop on an inner holdout of the training rows; the validation rows are only scored."""

@@ -5,9 +5,8 @@ parameters and thresholds. Trees differ from the published runs, so SQL can't re
 the tree learners; the calibrated scores of ``m16`` and ``m17`` are compared number for number.
 The query of the same name without ``_result`` holds what SQL can say about any fit: every
 labeled row is scored exactly once, in its own fold, by a probability, and a search keeps the
-first minimum of the losses it recorded. Two settings bound the run time on one
-machine and are parameters of the operators: ``TREES`` (the first two of the declared tree
-counts) and ``FOREST_SIZE``.
+first minimum of the losses it recorded. Results come for every split seed, with all
+declared tree counts and forests of the declared size; the claims are made for one seed.
 """
 from __future__ import annotations
 
@@ -25,9 +24,11 @@ from tripwright.plans.registry import query
 from tripwright.storage import materialize
 
 SEED, FOLDS = 42, 5
-TREES = models.TREE_COUNTS[:2]
-FOREST_SIZE = {"trees": 20, "depth": 6}
+TREES = models.TREE_COUNTS
+FOREST_SIZE = {"trees": models.FOREST_TREES, "depth": 12}
 PARAMS = {"depth": 3, "learning_rate": 0.1, "min_leaf": 20}
+# Declared tuning axes; trees of 31, 63 and 127 leaves are trees of depth 5, 6 and 7 here.
+TUNING_GRID = tuple({"learning_rate": rate, "depth": depth, "min_leaf": leaf} for rate in (0.03, 0.05, 0.1) for depth in (5, 6, 7) for leaf in (20, 100))
 SPEC = PHASES["P6_clean"]
 V = ("flights",)
 
@@ -37,22 +38,27 @@ def feature_rows(spark, sf):
     return materialize(build_features(fx.flights(spark, sf), SPEC, keep=("flight_id",)), "features")
 
 
-def folded_rows(rows):
-    return materialize(encode.stratified_folds(clean.labeled_rows(rows), k=FOLDS, seed=SEED), "folded")
+def folded_rows(rows, seed):
+    return materialize(encode.stratified_folds(clean.labeled_rows(rows), k=FOLDS, seed=seed), "folded")
 
 
-def folded_features(spark, sf):
-    return folded_rows(feature_rows(spark, sf))
+def folded_features(spark, sf, seed):
+    return folded_rows(feature_rows(spark, sf), seed)
 
 
-def boundary_of(rows, fold):
+def boundary_of(rows, fold, seed):
     train, valid = models.fold_rows(rows, fold)
-    return models.inner_boundary(train, valid, seed=SEED, fold=fold, cols=SPEC.categories)
+    return models.inner_boundary(train, valid, seed=seed, fold=fold, cols=SPEC.categories)
 
 
-def boundaries(rows):
+def boundaries(rows, seed):
     for fold in range(FOLDS):
-        yield fold, boundary_of(rows, fold)
+        yield fold, boundary_of(rows, fold, seed)
+
+
+def every_seed(spark, sf, build):
+    """What ``build`` gives for each split seed, with a seed column."""
+    return union(build(spark, sf, seed).withColumn("seed", F.lit(seed)) for seed in fx.SEEDS)
 
 
 def scored_rows(parts, *columns):
@@ -92,109 +98,137 @@ def choice_sql(tried):
     return f"SELECT CAST(f AS INT) AS fold, CAST({tried} AS BIGINT) AS tried, CAST(1 AS BIGINT) AS chosen, true AS first_minimum, true AS in_range FROM range(0, {FOLDS}) AS s(f)"
 
 
-def teacher_scores(spark, sf):
+def teacher_scores(spark, sf, seed):
     rows = feature_rows(spark, sf)
-    folded, unlabeled = folded_rows(rows), clean.unlabeled_rows(rows)
+    folded, unlabeled = folded_rows(rows, seed), clean.unlabeled_rows(rows)
     features = models.feature_columns(rows.drop("delay"))
     for fold in range(FOLDS):
-        teacher = models.fold_teacher(folded, fold, features, {**PARAMS, "trees": TREES[0]}, n_folds=FOLDS)
+        teacher = models.fold_teacher(folded, fold, features, {**PARAMS, "trees": TREES[-1]}, n_folds=FOLDS)
         yield fold, teacher.score(unlabeled)
 
 
+def fold_teacher_of(spark, sf, seed):
+    return scored_rows(teacher_scores(spark, sf, seed))
+
+
 @query("m7_fold_teacher_result")
 def fold_teacher_result(spark, sf):
-    return scored_rows(teacher_scores(spark, sf))
+    return every_seed(spark, sf, fold_teacher_of)
 
 
 @query("m7_fold_teacher", f"SELECT CAST(f AS INT) AS fold, flight_id, true AS is_probability FROM flights, range(0, {FOLDS}) AS s(f) WHERE delay IS NULL", V)
 def fold_teacher(spark, sf):
-    return probabilities(fold_teacher_result(spark, sf), "fold", "flight_id")
+    return probabilities(fold_teacher_of(spark, sf, SEED), "fold", "flight_id")
 
 
 @query("m5_teacher_pseudo_labels")
 def teacher_pseudo_labels(spark, sf):
-    return encode.pseudo_labels(materialize(fold_teacher_result(spark, sf), "teacher-scores"), keys=["fold"])
+    return encode.pseudo_labels(materialize(fold_teacher_result(spark, sf), "teacher-scores"), keys=["seed", "fold"])
 
 
-@query("m8_early_stopped_fit_result")
-def early_stopped_fit_result(spark, sf):
-    folded = folded_features(spark, sf)
+def early_stopped_fit_of(spark, sf, seed):
+    folded = folded_features(spark, sf, seed)
     parts = []
     for fold in range(FOLDS):
         train, valid = models.fold_rows(folded, fold)
         params = {**PARAMS, "trees": TREES[-1]}
-        fitted, scored = models.early_stopped(train, valid, models.feature_columns(train), params, fold=fold, seed=SEED)
+        fitted, scored = models.early_stopped(train, valid, models.feature_columns(train), params, fold=fold, seed=seed)
         parts.append((fold, scored.withColumn("n_trees", F.lit(fitted.model.getNumTrees))))
     return scored_rows(parts, "y", "n_trees")
 
 
+@query("m8_early_stopped_fit_result")
+def early_stopped_fit_result(spark, sf):
+    return every_seed(spark, sf, early_stopped_fit_of)
+
+
 @query("m8_early_stopped_fit", EACH_ROW_ONCE, V)
 def early_stopped_fit(spark, sf):
-    return probabilities(early_stopped_fit_result(spark, sf), "fold", "flight_id")
+    return probabilities(early_stopped_fit_of(spark, sf, SEED), "fold", "flight_id")
 
 
-@query("m9_nested_tree_count_select_result")
-def nested_tree_count_select_result(spark, sf):
+def nested_tree_count_select_of(spark, sf, seed):
     parts = []
-    for fold, b in boundaries(folded_features(spark, sf)):
+    for fold, b in boundaries(folded_features(spark, sf, seed), seed):
         choice = models.select_tree_count(b, PARAMS, TREES)
         parts.append((fold, choice.valid.withColumns({"n_trees": F.lit(choice.params["trees"]), "threshold": F.lit(choice.threshold)})))
     return scored_rows(parts, "y", "n_trees", "threshold")
 
 
+@query("m9_nested_tree_count_select_result")
+def nested_tree_count_select_result(spark, sf):
+    return every_seed(spark, sf, nested_tree_count_select_of)
+
+
 @query("m9_nested_tree_count_select", EACH_ROW_ONCE, V)
 def nested_tree_count_select(spark, sf):
-    return probabilities(nested_tree_count_select_result(spark, sf), "fold", "flight_id")
+    return probabilities(nested_tree_count_select_of(spark, sf, SEED), "fold", "flight_id")
 
 
-@query("m10_prefix_model_scoring_result")
-def prefix_model_scoring_result(spark, sf):
+def prefix_model_scoring_of(spark, sf, seed):
     parts = []
-    for fold, b in boundaries(folded_features(spark, sf)):
+    for fold, b in boundaries(folded_features(spark, sf, seed), seed):
         fitted = models.boosted_trees(b.train, b.features, {**PARAMS, "trees": TREES[-1]})
         losses = models.prefix_losses(models.prefix_scores(fitted, b.holdout, b.features, list(range(1, TREES[-1] + 1))))
         parts.append(losses.select(F.lit(fold).alias("fold"), "n_trees", "log_loss"))
     return union(parts)
 
 
+@query("m10_prefix_model_scoring_result")
+def prefix_model_scoring_result(spark, sf):
+    return every_seed(spark, sf, prefix_model_scoring_of)
+
+
 @query("m10_prefix_model_scoring", f"SELECT CAST(f AS INT) AS fold, CAST(t AS INT) AS n_trees, true AS is_loss FROM range(0, {FOLDS}) AS a(f), range(1, {TREES[-1] + 1}) AS b(t)")
 def prefix_model_scoring(spark, sf):
-    return prefix_model_scoring_result(spark, sf).select("fold", "n_trees", (F.col("log_loss") > 0).alias("is_loss"))
+    return prefix_model_scoring_of(spark, sf, SEED).select("fold", "n_trees", (F.col("log_loss") > 0).alias("is_loss"))
+
 
+def searched(spark, sf, seed, build, grid):
+    return choice_rows(spark, [(fold, models.select_params(b, build, grid)) for fold, b in boundaries(folded_features(spark, sf, seed), seed)])
 
-def searched(spark, sf, build, grid):
-    return choice_rows(spark, [(fold, models.select_params(b, build, grid)) for fold, b in boundaries(folded_features(spark, sf))])
+
+def param_grid_select_of(spark, sf, seed):
+    return choice_rows(spark, [(fold, models.select_tuned(b, TUNING_GRID, TREES)) for fold, b in boundaries(folded_features(spark, sf, seed), seed)])
 
 
 @query("m11_param_grid_select_result")
 def param_grid_select_result(spark, sf):
-    grid = [{**PARAMS, "depth": depth, "trees": trees} for depth in (2, 4) for trees in TREES]
-    return searched(spark, sf, models.boosted_trees, grid)
+    return every_seed(spark, sf, param_grid_select_of)
 
 
 @query("m11_param_grid_select", choice_sql(4))
 def param_grid_select(spark, sf):
-    return choice_summary(param_grid_select_result(spark, sf))
+    grid = [{**PARAMS, "depth": depth, "trees": trees} for depth in (2, 4) for trees in TREES[:2]]
+    return choice_summary(searched(spark, sf, SEED, models.boosted_trees, grid))
+
+
+def logistic_model_of(spark, sf, seed):
+    return searched(spark, sf, seed, models.logistic, models.LOGISTIC_GRID)
 
 
 @query("m12_logistic_model_result")
 def logistic_model_result(spark, sf):
-    return searched(spark, sf, models.logistic, models.LOGISTIC_GRID)
+    return every_seed(spark, sf, logistic_model_of)
 
 
 @query("m12_logistic_model", choice_sql(len(models.LOGISTIC_GRID)))
 def logistic_model(spark, sf):
-    return choice_summary(logistic_model_result(spark, sf))
+    return choice_summary(logistic_model_of(spark, sf, SEED))
+
+
+def random_forest_model_of(spark, sf, seed):
+    return searched(spark, sf, seed, models.random_forest, [{**p, **FOREST_SIZE} for p in models.FOREST_GRID])
 
 
 @query("m13_random_forest_model_result")
 def random_forest_model_result(spark, sf):
-    return searched(spark, sf, models.random_forest, [{**p, **FOREST_SIZE} for p in models.FOREST_GRID])
+    return every_seed(spark, sf, random_forest_model_of)
 
 
 @query("m13_random_forest_model", choice_sql(len(models.FOREST_GRID)))
 def random_forest_model(spark, sf):
-    return choice_summary(random_forest_model_result(spark, sf))
+    return choice_summary(random_forest_model_of(spark, sf, SEED))
 
 
 EACH_SEED_ONCE = "SELECT seed, fold, flight_id, true AS is_probability FROM oof"
@@ -262,34 +296,41 @@ def isotonic_calibration(spark, sf):
     return probabilities(calibrated(spark, sf, "isotonic"), "seed", "fold", "flight_id")
 
 
-@query("m18_crossfit_scores_result")
-def crossfit_scores_result(spark, sf):
-    folded = folded_features(spark, sf)
+def crossfit_scores_of(spark, sf, seed):
+    folded = folded_features(spark, sf, seed)
     parts = []
     for fold in range(FOLDS):
         train, _ = models.fold_rows(folded, fold)
-        parts.append((fold, models.crossfit_scores(train, models.boosted_trees, {**PARAMS, "trees": TREES[0]}, k=3, seed=SEED, cols=SPEC.categories)))
+        parts.append((fold, models.crossfit_scores(train, models.boosted_trees, {**PARAMS, "trees": TREES[-1]}, k=3, seed=seed, cols=SPEC.categories)))
     return scored_rows(parts, "part", "y")
 
 
+@query("m18_crossfit_scores_result")
+def crossfit_scores_result(spark, sf):
+    return every_seed(spark, sf, crossfit_scores_of)
+
+
 @query("m18_crossfit_scores", f"WITH {FOLD_SQL} SELECT CAST(o AS INT) AS fold, flight_id, true AS is_probability FROM folded, range(0, {FOLDS}) AS s(o) WHERE fold <> o", V)
 def crossfit_scores(spark, sf):
-    return probabilities(crossfit_scores_result(spark, sf), "fold", "flight_id")
+    return probabilities(crossfit_scores_of(spark, sf, SEED), "fold", "flight_id")
 
 
-@query("m22_feature_importance")
-def feature_importance(spark, sf):
+def feature_importance_of(spark, sf, seed):
     fits, features = [], None
-    for _, b in boundaries(folded_features(spark, sf)):
+    for _, b in boundaries(folded_features(spark, sf, seed), seed):
         features = b.features
-        fits.append(models.boosted_trees(b.train, b.features, {**PARAMS, "trees": TREES[0]}))
+        fits.append(models.boosted_trees(b.train, b.features, {**PARAMS, "trees": TREES[-1]}))
     return spark.createDataFrame(models.mean_importance(fits, features), "feature string, importance double")
 
 
-@query("m24_weather_on_off_pair")
-def weather_on_off_pair(spark, sf):
+@query("m22_feature_importance")
+def feature_importance(spark, sf):
+    return every_seed(spark, sf, feature_importance_of)
+
+
+def weather_on_off_pair_of(spark, sf, seed):
     """Same rows and folds, without and with report columns; the scores of both side by side."""
-    folded = folded_features(spark, sf)
+    folded = folded_features(spark, sf, seed)
     reports = fx.table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("flight_id"), (F.col("o_totalprice") % 100).alias("weather_origin_tmpf"),
         (F.col("o_totalprice") % 40).alias("weather_origin_sknt"),
@@ -297,8 +338,8 @@ def weather_on_off_pair(spark, sf):
         (F.col("o_orderkey") % 5 != 0).cast("int").alias("weather_destination_matched"))
     scored = []
     with_reports = attach_features(folded, reports, "flight_id")
-    pairs = [("weather_off", fold, b) for fold, b in boundaries(folded)]
-    pairs += [("weather_on", fold, boundary_of(with_reports, fold)) for fold in range(FOLDS)]
+    pairs = [("weather_off", fold, b) for fold, b in boundaries(folded, seed)]
+    pairs += [("weather_on", fold, boundary_of(with_reports, fold, seed)) for fold in range(FOLDS)]
     for condition, fold, b in pairs:
         choice = models.select_tree_count(b, PARAMS, TREES)
         scored.append(choice.valid.select(F.lit(condition).alias("condition"), F.lit(fold).alias("fold"),
@@ -306,15 +347,24 @@ def weather_on_off_pair(spark, sf):
     return metrics.score_metrics(metrics.with_prediction(union(scored)), ["condition"])
 
 
-@query("m25_calibration_arm_experiment")
-def calibration_arm_experiment(spark, sf):
+@query("m24_weather_on_off_pair")
+def weather_on_off_pair(spark, sf):
+    return every_seed(spark, sf, weather_on_off_pair_of)
+
+
+def calibration_arm_experiment_of(spark, sf, seed):
     patterns = fx.flights(spark, sf).select("flight_id", text.time_pattern(F.col("dep_hhmm"), F.col("arr_hhmm")).alias("pattern"))
     scored = []
-    for fold, b in boundaries(folded_features(spark, sf)):
+    for fold, b in boundaries(folded_features(spark, sf, seed), seed):
         choice = models.select_tree_count(b, PARAMS, TREES)
         held = materialize(choice.holdout.select("flight_id", "y", "p"), "holdout")
         valid = materialize(choice.valid.select("flight_id", "y", "p"), "valid")
-        scored.append(calibrate.calibration_arms(held, valid, seed=SEED, fold=fold, shares={"shared": 0.0, "split": 0.5}))
+        scored.append(calibrate.calibration_arms(held, valid, seed=seed, fold=fold, shares={"shared": 0.0, "split": 0.5}))
     rows = union(scored).withColumnRenamed("y", "y_true").join(patterns, "flight_id")
     expected = [("raw_time_pattern", g) for g in ("both_observed", "departure_missing", "arrival_missing", "both_missing")]
     return metrics.overlapping_group_metrics(rows, ["arm", "calibrator"], {"raw_time_pattern": F.col("pattern")}, expected)
+
+
+@query("m25_calibration_arm_experiment")
+def calibration_arm_experiment(spark, sf):
+    return every_seed(spark, sf, calibration_arm_experiment_of)
