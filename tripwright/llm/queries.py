@@ -5,6 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tripwright.llm import byte_bpe, exact_dedup, language_id, minhash_dedup, mixing, nearest, quality, secrets, substring_dedup, token_counts
+from tripwright.llm import fill_middle, spelling, spot_signatures
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -139,3 +140,63 @@ FROM w LEFT JOIN n USING (doc_id) JOIN r ON r.doc_id = w.doc_id GROUP BY w.doc_i
 @query("op10_minhash_dedup", NEAR_SQL)
 def op10(spark, sf_dir):
     return minhash_dedup.near_duplicates(documents(spark, sf_dir), size=3, percent=85).drop("mark")
+
+
+SPOT_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n_chars,
+                  lead(coalesce(text, '')) OVER o AS onward FROM documents WINDOW o AS (ORDER BY doc_id DESC)),
+e AS (SELECT doc_id, text, n_chars, coalesce(onward, (SELECT coalesce(text, '') FROM documents ORDER BY doc_id DESC LIMIT 1)) AS onward FROM d),
+t AS (SELECT doc_id, n_chars, text, left(text, n_chars - n_chars // 3) || left(onward, n_chars // 3) AS edited, onward FROM e),
+k AS (SELECT doc_id, 1 AS kind, text FROM t UNION ALL SELECT doc_id, 2, edited FROM t UNION ALL SELECT doc_id, 3, onward FROM t),
+w AS (SELECT doc_id, kind, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS ws FROM k),
+p AS (SELECT doc_id, kind, ws[i] AS word, i, NOT list_contains({list(spot_signatures.COMMON_WORDS)}, ws[i]) AS content
+      FROM w, unnest(range(1, len(ws) + 1)) AS r(i)),
+c AS (SELECT doc_id, kind, word, content, lead(CASE WHEN content THEN word END, 1 IGNORE NULLS) OVER o AS c1,
+             lead(CASE WHEN content THEN word END, 2 IGNORE NULLS) OVER o AS c2 FROM p WINDOW o AS (PARTITION BY doc_id, kind ORDER BY i)),
+a AS (SELECT doc_id, kind, word || ' ' || c1 || ' ' || c2 AS g FROM c WHERE NOT content AND c2 IS NOT NULL),
+f AS (SELECT doc_id, kind, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) <= 2 THEN [array_to_string(ws, ' ')]
+             ELSE list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' ')) END) AS g
+      FROM w WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.doc_id = w.doc_id AND a.kind = w.kind)),
+h AS (SELECT doc_id, kind, list_sort(list_distinct(list(left(md5(g), 8)))) AS h FROM (SELECT * FROM a UNION ALL SELECT * FROM f) GROUP BY ALL),
+s AS (SELECT t.doc_id, n_chars, edited, coalesce(x.h, []) AS x, coalesce(y.h, []) AS y, coalesce(z.h, []) AS z FROM t
+      LEFT JOIN h x ON x.doc_id = t.doc_id AND x.kind = 1 LEFT JOIN h y ON y.doc_id = t.doc_id AND y.kind = 2
+      LEFT JOIN h z ON z.doc_id = t.doc_id AND z.kind = 3)
+SELECT doc_id, n_chars, sha256(edited) AS edited_sha256, array_to_string(x, '') AS fingerprint, array_to_string(y, '') AS edited_fingerprint,
+       CASE WHEN x = y THEN 1.0 ELSE len(list_intersect(x, y)) / CAST(len(list_distinct(x || y)) AS DOUBLE) END AS near_edited,
+       CASE WHEN x = z THEN 1.0 ELSE len(list_intersect(x, z)) / CAST(len(list_distinct(x || z)) AS DOUBLE) END AS near_next
+FROM s
+"""
+
+
+@query("op11_spot_signatures", SPOT_SQL)
+def op11(spark, sf_dir):
+    compared = spot_signatures.compare_edited(documents(spark, sf_dir))
+    return compared.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
+                           "near_edited", "near_next")
+
+
+MIDDLE_SQL = """
+WITH u AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+                  regexp_extract_all(coalesce(text, ''), '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+') AS us FROM documents),
+h AS (SELECT *, len(us) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2,
+             CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM u),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+             CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain'
+                  WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, array_to_string(us[1:a], '') AS prefix, array_to_string(us[a + 1:b], '') AS middle, array_to_string(us[b + 1:], '') AS suffix FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256
+FROM p
+"""
+
+
+@query("op12_fill_middle", MIDDLE_SQL)
+def op12(spark, sf_dir):
+    return fill_middle.digests(fill_middle.fill_in_middle(documents(spark, sf_dir)))
+
+
+@query("op13_spelling_variants")
+def op13(spark, sf_dir):
+    return spelling.spelling_variants(documents(spark, sf_dir))
