@@ -53,15 +53,6 @@ def test_inner_splits_of_one_is_refused(labeled):
         encode.oof_target_encode(labeled, [labeled], ["tail"], inner_splits=1)
 
 
-def test_prefix_of_all_trees_is_the_model_and_bagging_is_refused(labeled):
-    fitted = models.boosted_trees(labeled, ["x"], {"trees": 3, "depth": 2, "min_leaf": 5})
-    full = dict(rows(fitted.score(labeled), "flight_id", "p"))
-    prefixed = models.prefix_scores(fitted, labeled, ["x"], [1, 3]).select("flight_id", F.inline("prefixes")).filter("n_trees = 3")
-    assert all(full[i] == pytest.approx(p) for i, p in rows(prefixed, "flight_id", "p"))
-    with pytest.raises(ValueError):
-        models.boosted_trees(labeled, ["x"], {"trees": 3, "row_share": 0.8})
-
-
 def test_encoded_columns_are_refused_before_the_split(labeled):
     with pytest.raises(ValueError):
         models.inner_boundary(labeled.withColumn("te_tail", F.lit(1.0)), labeled, seed=1, fold=0)

@@ -33,6 +33,6 @@ def test_every_claim_has_its_result_beside_it():
 
 def test_searches_have_the_declared_size_and_all_seeds(spark):
     assert q_models.TREES == (10, 25, 50, 75, 100, 150, 300, 600)
-    assert q_models.FOREST_SIZE == {"trees": 300, "depth": 12} and len(q_models.TUNING_GRID) == 18
+    assert q_models.FOREST_SIZE == {"trees": 300, "depth": 12} and len(q_models.TUNING_GRID) == 24
     stacked = q_models.every_seed(spark, SF, lambda s, sf, seed: s.createDataFrame([(seed + 1,)], "next int"))
     assert rows(stacked, "seed", "next") == sorted([(42, 43), (1, 2), (7, 8)], key=repr)

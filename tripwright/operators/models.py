@@ -1,24 +1,24 @@
-"""Model fitting by nested validation on Spark ML.
+"""Model fitting by nested validation.
 
-A fold is split and encoded once and written to the shared folder, so that every fit of
-a search reads the same rows. Decisions (tree count, parameters, threshold) only see the
-inner holdout; the outer validation rows are scored once, without their labels.
+Boosted models of all seeds and folds are fitted together (``boosting``) from rows that are
+split, encoded and coded once. Forests are Spark ML fits of one fold each.
+Decisions (tree count, parameters, threshold) only see the inner holdout; the outer
+validation rows are scored once, without their labels.
 """
 from __future__ import annotations
 
-import json
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import (GBTClassificationModel, GBTClassifier, LogisticRegression,
-                                       RandomForestClassifier)
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from tripwright.functions.numeric import log_loss_term
-from tripwright.operators import encode, metrics
+from tripwright.operators import boosting, encode, metrics, slots
+from tripwright.schemas import CATEGORICAL
 from tripwright.storage import materialize
 
 # Columns a linear model takes as levels, the level size floor, and codes it drops.
@@ -33,7 +33,9 @@ FOREST_TREES = 300
 MODEL_SEED = 42
 
 MISSING_FILL = -999.0
-NOT_FEATURES = frozenset({"flight_id", "y", "fold", "outer_fold", "part", "delay", "yr", "is_holdout"})
+STOPPING_ROUNDS = 40
+SLOT_KEYS = ("slot", "seed", "outer_fold", "part_of", "part")
+NOT_FEATURES = frozenset({"flight_id", "y", "fold", "part", "delay", "yr", "is_holdout", "seed", "inner", *SLOT_KEYS})
 
 
 @dataclass(frozen=True)
@@ -127,15 +129,6 @@ def _tree_model(estimator, train: DataFrame, features: Sequence[str]) -> Fitted:
     return Fitted(model, score)
 
 
-def boosted_trees(train: DataFrame, features: Sequence[str], params: dict, seed: int = MODEL_SEED) -> Fitted:
-    if params.get("row_share", 1.0) != 1.0:
-        raise ValueError("row bagging would make prefixes of one fit differ from shorter fits")
-    estimator = GBTClassifier(maxIter=params["trees"], maxDepth=params.get("depth", 5),
-                              stepSize=params.get("learning_rate", 0.05), minInstancesPerNode=params.get("min_leaf", 20),
-                              maxBins=params.get("bins", 64), seed=seed)
-    return _tree_model(estimator, train, features)
-
-
 def random_forest(train: DataFrame, features: Sequence[str], params: dict, seed: int = MODEL_SEED) -> Fitted:
     estimator = RandomForestClassifier(numTrees=params.get("trees", FOREST_TREES), maxDepth=params.get("depth", 12),
                                        minInstancesPerNode=params["min_leaf"], maxBins=params.get("bins", 64),
@@ -193,48 +186,108 @@ def logistic(train: DataFrame, features: Sequence[str], params: dict, seed: int
     return Fitted(model, lambda df: _probability(model.transform(prepare(df)), df.columns))
 
 
-# ---- one boosted fit, every tree count --------------------------------------
+# ---- joint boosted fits -------------------------------------------------------
+
+@dataclass(frozen=True)
+class Learning:
+    """Coded rows of all slots (slot, seed, outer_fold, part, flight_id, y, codes) and how they were coded."""
+    coded: DataFrame
+    coding: boosting.Coding
 
-def _leaf_values(model: GBTClassificationModel) -> list[list[float]]:
-    """Weighted leaf predictions of each tree, leaves from left to right as the model numbers them."""
-    def leaves(node) -> Iterable[float]:
-        if node.subtreeDepth() == 0:
-            yield node.prediction()
-        else:
-            yield from leaves(node.leftChild())
-            yield from leaves(node.rightChild())
-    return [[weight * v for v in leaves(tree._java_obj.rootNode())]
-            for tree, weight in zip(model.trees, model.treeWeights)]
+    @property
+    def width(self) -> int:
+        return len(self.coding.features)
 
+    def part(self, name: str) -> DataFrame:
+        return self.coded.filter(F.col("part") == name)
 
-def prefix_scores(fitted: Fitted, df: DataFrame, features: Sequence[str], counts: Sequence[int]) -> DataFrame:
-    """``prefixes``: one (n_trees, p) per requested count, from the leaves of a single transform.
 
-    A boosted model's first k trees are the model a k-tree fit would give (no row bagging).
-    """
-    model = fitted.model.copy()
-    model.setLeafCol("_leaf")
-    values = F.from_json(F.lit(json.dumps(_leaf_values(fitted.model))), "array<array<double>>")
-    kept = df.withColumn("_row", F.struct(*df.columns))
-    leafed = model.transform(_vector(features).transform(_filled(kept, features)))
-    parts = F.zip_with(vector_to_array("_leaf"), values, lambda leaf, v: v[leaf.cast("int")])
+def learning_rows(rows: DataFrame, entries: DataFrame, cols: Sequence[str], **encoding) -> Learning:
+    """Encode every slot from one cube, bin features by training rows and write the codes once."""
+    present = [c for c in cols if c in rows.columns]
+    encoded = slots.encode_slots(rows, entries, present, **encoding) if present else rows.join(entries.drop("y"), "flight_id")
+    encoded = materialize(encoded, "encoded")
+    features = feature_columns(encoded)
+    coding = boosting.fit_coding(encoded.filter("part = 'train'"), features, [c for c in features if c in CATEGORICAL],
+                                 [c for c in features if c.startswith("te_")])
+    keys = [c for c in (*SLOT_KEYS, "flight_id", "y") if c in encoded.columns]
+    return Learning(materialize(boosting.coded_rows(encoded, coding, keys), "coded"), coding)
+
+
+def losses_at(models: DataFrame, counts: Sequence[int] | None = None) -> DataFrame:
+    """(slot, config, n_trees, log_loss) from the losses a fit recorded after each tree."""
+    long = models.select("slot", "config", F.posexplode("losses").alias("_at", "log_loss")).withColumn("n_trees", (F.col("_at") + 1).cast("int")).drop("_at")
+    return long if counts is None else long.filter(F.col("n_trees").isin(*counts))
+
+
+def first_minimum(losses: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The (config, n_trees) of least loss per key, the first in declared order among equals."""
+    best = F.min(F.struct("log_loss", "config", "n_trees")).alias("_b")
+    return losses.groupBy(*keys).agg(best).select(*keys, "_b.config", "_b.n_trees")
+
+
+def slot_thresholds(holdout: DataFrame) -> DataFrame:
+    """(slot, threshold) of best macro F1 on holdout scores."""
+    return metrics.best_threshold(metrics.sweep(metrics.threshold_counts(holdout, ["slot"], "y", "p"), ["slot"]), ["slot"]).select("slot", "threshold")
+
+
+@dataclass(frozen=True)
+class Chosen:
+    """Per slot the chosen configuration and tree count, with scored holdout and validation rows."""
+    losses: DataFrame
+    choices: DataFrame
+    holdout: DataFrame
+    valid: DataFrame
 
-    def at(k):
-        margin = F.aggregate(F.slice(F.col("_parts"), 1, k), F.lit(0.0), lambda a, x: a + x)
-        return F.struct(k.alias("n_trees"), (1 / (1 + F.exp(-2 * margin))).alias("p"))
 
-    return leafed.withColumn("_parts", parts).select("_row.*", F.transform(F.array(*map(F.lit, counts)), at).alias("prefixes"))
+def select_trees(learning: Learning, configs: Sequence[dict], counts: Sequence[int], **fit) -> Chosen:
+    """Every parameter set at every tree count from one fit a set; minimal holdout loss decides.
 
+    Validation rows are scored once, with the chosen model; the threshold comes from the
+    holdout scores of the same model.
+    """
+    grid = sorted(counts)
+    fitted = boosting.fit_models(learning.coded, learning.coding, [{**c, "trees": grid[-1]} for c in configs], **fit)
+    losses = losses_at(fitted, grid)
+    best = materialize(first_minimum(losses, ["slot"]), "choices")
+    of_slot = {r["slot"]: r["n_trees"] for r in best.collect()}  # a row for each slot
+    winners = fitted.join(best.select("slot", "config"), ["slot", "config"])
+    keep = (*SLOT_KEYS, "flight_id", "y")
+    held = materialize(boosting.prefix_scores(learning.part("holdout"), winners, of_slot, learning.width, keep), "held")
+    valid = boosting.prefix_scores(learning.part("valid"), winners, of_slot, learning.width, keep)
+    choices = materialize(best.join(slot_thresholds(held), "slot"), "thresholds")
+    return Chosen(losses, choices, held, valid.join(choices.select("slot", "threshold"), "slot"))
+
+
+def early_stopped(learning: Learning, params: dict, rounds: int = STOPPING_ROUNDS) -> tuple[DataFrame, DataFrame]:
+    """Models cut where their holdout loss was least when it had not improved for ``rounds`` trees, and the
+    validation rows they score."""
+    fitted = boosting.fit_models(learning.coded, learning.coding, [{**params, "stopping_rounds": rounds}])
+    of_slot = {r["slot"]: r["trees"] for r in fitted.select("slot", "trees").collect()}  # a row for each slot
+    return fitted, boosting.prefix_scores(learning.part("valid"), fitted, of_slot, learning.width, (*SLOT_KEYS, "flight_id", "y"))
+
+
+def fold_teachers(learning: Learning, params: dict, unlabeled: DataFrame, n_folds: int) -> DataFrame:
+    """Unlabeled rows scored by each fold's model, which never saw that fold's labels."""
+    if n_folds < 2:
+        raise ValueError("a teacher must not see every label")
+    fitted = boosting.fit_models(learning.coded, learning.coding, [params])
+    names = learning.coded.select("slot", "seed", "outer_fold").distinct()  # a row for each slot
+    of_slot = {r["slot"]: params["trees"] for r in names.collect()}
+    each = F.explode(F.array(*[F.lit(s) for s in sorted(of_slot)])).alias("slot")
+    coded = boosting.coded_rows(unlabeled, learning.coding, ("flight_id",)).select("flight_id", "codes", each)
+    scored = boosting.prefix_scores(coded, fitted, of_slot, learning.width, ("flight_id", "slot"))
+    return scored.join(F.broadcast(names), "slot")  # as many rows as models
 
-def prefix_losses(scored: DataFrame) -> DataFrame:
-    long = scored.select("y", F.inline("prefixes"))
-    return long.groupBy("n_trees").agg(F.avg(log_loss_term(F.col("y"), F.col("p"))).alias("log_loss"))
 
+def crossfit_scores(learning: Learning, params: dict) -> DataFrame:
+    """Out-of-fold scores inside the training rows of each outer fold, by slots of ``crossfit_slots``."""
+    fitted = boosting.fit_models(learning.coded, learning.coding, [params])
+    of_slot = {r["slot"]: r["trees"] for r in fitted.select("slot", "trees").collect()}  # a row for each slot
+    return boosting.prefix_scores(learning.part("valid"), fitted, of_slot, learning.width, (*SLOT_KEYS, "flight_id", "y"))
 
-def _with_prefix(scored: DataFrame, k: int) -> DataFrame:
-    chosen = F.filter("prefixes", lambda x: x["n_trees"] == k)[0]["p"]
-    return scored.withColumn("p", chosen).drop("prefixes")
 
+# ---- searches over single fits --------------------------------------------------
 
 def chosen_threshold(holdout: DataFrame) -> float:
     """Macro-F1 threshold from holdout scores: a search over at most 62 counts."""
@@ -242,19 +295,6 @@ def chosen_threshold(holdout: DataFrame) -> float:
     return float(best.first()["threshold"])
 
 
-def select_tree_count(b: Boundary, params: dict, grid: Sequence[int], seed: int = MODEL_SEED) -> Choice:
-    """Fit once at the largest count, score every prefix on the holdout, keep the first minimum."""
-    grid = sorted(grid)
-    fitted = boosted_trees(b.train, b.features, {**params, "trees": grid[-1]}, seed)
-    holdout = prefix_scores(fitted, b.holdout, b.features, grid)
-    losses = {r["n_trees"]: r["log_loss"] for r in prefix_losses(holdout).collect()}  # one row per count
-    best = min(grid, key=lambda k: losses[k])
-    held = _with_prefix(holdout, best)
-    valid = _with_prefix(prefix_scores(fitted, b.valid, b.features, grid), best)
-    return Choice({**params, "trees": best}, [({"trees": k}, losses[k]) for k in grid], chosen_threshold(held),
-                  valid, held, fitted)
-
-
 def select_params(b: Boundary, build: Callable[..., Fitted], grid: Sequence[dict], seed: int = MODEL_SEED) -> Choice:
     """Any declared grid: minimal holdout loss, the first of equals, every record kept."""
     if not grid:
@@ -269,52 +309,3 @@ def select_params(b: Boundary, build: Callable[..., Fitted], grid: Sequence[dict
             best = (loss, params, fitted, held)
     _, params, fitted, held = best
     return Choice(dict(params), records, chosen_threshold(held), fitted.score(b.valid), held, fitted)
-
-
-def select_tuned(b: Boundary, grid: Sequence[dict], counts: Sequence[int], seed: int = MODEL_SEED) -> Choice:
-    """Every parameter set crossed with every tree count, one fit per set; the first minimum of all."""
-    choices = [select_tree_count(b, params, counts, seed) for params in grid]
-    records = [({**params, **trees}, loss) for params, c in zip(grid, choices) for trees, loss in c.losses]
-    best = min(choices, key=lambda c: min(loss for _, loss in c.losses))
-    return Choice(best.params, records, best.threshold, best.valid, best.holdout, best.fitted)
-
-
-def early_stopped(train: DataFrame, valid: DataFrame, features: Sequence[str], params: dict, *, fold: int, seed: int,
-                  eligible=None) -> tuple[Fitted, DataFrame]:
-    """Stop on an inner holdout of the training rows; the validation rows are only scored."""
-    split = encode.inner_holdout(train, [], salt=f"holdout:{seed + fold}", eligible=eligible)
-    estimator = GBTClassifier(maxIter=params["trees"], maxDepth=params.get("depth", 5), stepSize=params.get("learning_rate", 0.1),
-                              minInstancesPerNode=params.get("min_leaf", 20), maxBins=params.get("bins", 64),
-                              validationIndicatorCol="is_holdout", seed=seed)
-    fitted = _tree_model(estimator, split, features)
-    return fitted, fitted.score(valid)
-
-
-def fold_teacher(folded: DataFrame, fold: int, features: Sequence[str], params: dict, *, n_folds: int,
-                 name: str = "fold") -> Fitted:
-    """A scoring function fitted on one fold's training rows; a split that leaves nothing out is refused."""
-    if n_folds < 2:
-        raise ValueError("a teacher must not see every label")
-    return boosted_trees(fold_rows(folded, fold, name)[0], features, params)
-
-
-def crossfit_scores(train: DataFrame, build: Callable[..., Fitted], params: dict, *, k: int, seed: int,
-                    cols: Sequence[str] = ()) -> DataFrame:
-    """Out-of-fold scores inside the training rows, encodings redone for every part."""
-    parts = materialize(encode.stratified_folds(train, k=k, seed=seed + 20_000, name="_part"), "parts")
-    out = None
-    for part in range(k):
-        rest, own = fold_rows(parts, part, "_part")
-        fit, (apply,) = encode.oof_target_encode(rest, [own], cols, seed=seed, settle=materialize)
-        features = feature_columns(apply)
-        scored = build(materialize(fit, "crossfit"), features, params).score(materialize(apply, "crossfit"))
-        scored = scored.withColumn("part", F.lit(part))
-        out = scored if out is None else out.unionByName(scored)
-    return out
-
-
-def mean_importance(fitted: Sequence[Fitted], features: Sequence[str]) -> list[tuple[str, float]]:
-    """Importances averaged over fold models: one number per feature and model."""
-    arrays = [f.model.featureImportances.toArray() for f in fitted]
-    return sorted(((c, float(sum(a[i] for a in arrays) / len(arrays))) for i, c in enumerate(features)),
-                  key=lambda x: (-x[1], x[0]))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tripwright import fixtures as fx
 from tripwright.functions import text
-from tripwright.operators import calibrate, clean, encode, metrics, models
+from tripwright.operators import boosting, calibrate, clean, encode, metrics, models, slots
 from tripwright.operators.matching import attach_features
 from tripwright.plans.phases import PHASES, build_features
 from tripwright.plans.q_scores import FOLD_SQL
@@ -27,8 +27,10 @@ SEED, FOLDS = 42, 5
 TREES = models.TREE_COUNTS
 FOREST_SIZE = {"trees": models.FOREST_TREES, "depth": 12}
 PARAMS = {"depth": 3, "learning_rate": 0.1, "min_leaf": 20}
-# Declared tuning axes; trees of 31, 63 and 127 leaves are trees of depth 5, 6 and 7 here.
-TUNING_GRID = tuple({"learning_rate": rate, "depth": depth, "min_leaf": leaf} for rate in (0.03, 0.05, 0.1) for depth in (5, 6, 7) for leaf in (20, 100))
+# Declared tuning axes; trees of 31, 63 and 127 leaves are trees of depth 5, 6 and 7 here. The last six sets bag rows.
+RATES = (0.03, 0.05, 0.1)
+TUNING_GRID = (*({"learning_rate": rate, "depth": depth, "min_leaf": leaf, "row_share": 1.0} for rate in RATES for depth in (5, 6, 7) for leaf in (20, 100)),
+               *({"learning_rate": rate, "depth": depth, "min_leaf": 20, "row_share": 0.8} for rate in RATES for depth in (6, 7)))
 SPEC = PHASES["P6_clean"]
 V = ("flights",)
 
@@ -98,27 +100,34 @@ def choice_sql(tried):
     return f"SELECT CAST(f AS INT) AS fold, CAST({tried} AS BIGINT) AS tried, CAST(1 AS BIGINT) AS chosen, true AS first_minimum, true AS in_range FROM range(0, {FOLDS}) AS s(f)"
 
 
-def teacher_scores(spark, sf, seed):
-    rows = feature_rows(spark, sf)
-    folded, unlabeled = folded_rows(rows, seed), clean.unlabeled_rows(rows)
-    features = models.feature_columns(rows.drop("delay"))
-    for fold in range(FOLDS):
-        teacher = models.fold_teacher(folded, fold, features, {**PARAMS, "trees": TREES[-1]}, n_folds=FOLDS)
-        yield fold, teacher.score(unlabeled)
+def boosted_rows(rows, seeds, *, fraction=0.2, encoded=True):
+    """Rows of every (seed, fold) slot, ready to be boosted together."""
+    labeled = clean.labeled_rows(rows)
+    entries = slots.nested_slots(labeled, seeds, k=FOLDS, fraction=fraction)
+    return models.learning_rows(labeled, entries, SPEC.categories if encoded else ())
+
+
+def named(df, *columns):
+    return df.select("seed", F.col("outer_fold").alias("fold"), *columns)
+
 
+BOOSTED = {**PARAMS, "trees": TREES[-1]}
 
-def fold_teacher_of(spark, sf, seed):
-    return scored_rows(teacher_scores(spark, sf, seed))
+
+def fold_teacher_of(spark, sf, seeds):
+    rows = feature_rows(spark, sf)
+    scored = models.fold_teachers(boosted_rows(rows, seeds, fraction=0, encoded=False), BOOSTED, clean.unlabeled_rows(rows), FOLDS)
+    return named(scored, "flight_id", "p")
 
 
 @query("m7_fold_teacher_result")
 def fold_teacher_result(spark, sf):
-    return every_seed(spark, sf, fold_teacher_of)
+    return fold_teacher_of(spark, sf, fx.SEEDS)
 
 
 @query("m7_fold_teacher", f"SELECT CAST(f AS INT) AS fold, flight_id, true AS is_probability FROM flights, range(0, {FOLDS}) AS s(f) WHERE delay IS NULL", V)
 def fold_teacher(spark, sf):
-    return probabilities(fold_teacher_of(spark, sf, SEED), "fold", "flight_id")
+    return probabilities(fold_teacher_of(spark, sf, [SEED]), "fold", "flight_id")
 
 
 @query("m5_teacher_pseudo_labels")
@@ -126,81 +135,81 @@ def teacher_pseudo_labels(spark, sf):
     return encode.pseudo_labels(materialize(fold_teacher_result(spark, sf), "teacher-scores"), keys=["seed", "fold"])
 
 
-def early_stopped_fit_of(spark, sf, seed):
-    folded = folded_features(spark, sf, seed)
-    parts = []
-    for fold in range(FOLDS):
-        train, valid = models.fold_rows(folded, fold)
-        params = {**PARAMS, "trees": TREES[-1]}
-        fitted, scored = models.early_stopped(train, valid, models.feature_columns(train), params, fold=fold, seed=seed)
-        parts.append((fold, scored.withColumn("n_trees", F.lit(fitted.model.getNumTrees))))
-    return scored_rows(parts, "y", "n_trees")
+def early_stopped_fit_of(spark, sf, seeds):
+    _, scored = models.early_stopped(boosted_rows(feature_rows(spark, sf), seeds, encoded=False), BOOSTED)
+    return named(scored, "flight_id", "y", "n_trees", "p")
 
 
 @query("m8_early_stopped_fit_result")
 def early_stopped_fit_result(spark, sf):
-    return every_seed(spark, sf, early_stopped_fit_of)
+    return early_stopped_fit_of(spark, sf, fx.SEEDS)
 
 
 @query("m8_early_stopped_fit", EACH_ROW_ONCE, V)
 def early_stopped_fit(spark, sf):
-    return probabilities(early_stopped_fit_of(spark, sf, SEED), "fold", "flight_id")
+    return probabilities(early_stopped_fit_of(spark, sf, [SEED]), "fold", "flight_id")
 
 
-def nested_tree_count_select_of(spark, sf, seed):
-    parts = []
-    for fold, b in boundaries(folded_features(spark, sf, seed), seed):
-        choice = models.select_tree_count(b, PARAMS, TREES)
-        parts.append((fold, choice.valid.withColumns({"n_trees": F.lit(choice.params["trees"]), "threshold": F.lit(choice.threshold)})))
-    return scored_rows(parts, "y", "n_trees", "threshold")
+def nested_tree_count_select_of(spark, sf, seeds):
+    chosen = models.select_trees(boosted_rows(feature_rows(spark, sf), seeds), [PARAMS], TREES)
+    return named(chosen.valid, "flight_id", "y", "n_trees", "threshold", "p")
 
 
 @query("m9_nested_tree_count_select_result")
 def nested_tree_count_select_result(spark, sf):
-    return every_seed(spark, sf, nested_tree_count_select_of)
+    return nested_tree_count_select_of(spark, sf, fx.SEEDS)
 
 
 @query("m9_nested_tree_count_select", EACH_ROW_ONCE, V)
 def nested_tree_count_select(spark, sf):
-    return probabilities(nested_tree_count_select_of(spark, sf, SEED), "fold", "flight_id")
+    return probabilities(nested_tree_count_select_of(spark, sf, [SEED]), "fold", "flight_id")
 
 
-def prefix_model_scoring_of(spark, sf, seed):
-    parts = []
-    for fold, b in boundaries(folded_features(spark, sf, seed), seed):
-        fitted = models.boosted_trees(b.train, b.features, {**PARAMS, "trees": TREES[-1]})
-        losses = models.prefix_losses(models.prefix_scores(fitted, b.holdout, b.features, list(range(1, TREES[-1] + 1))))
-        parts.append(losses.select(F.lit(fold).alias("fold"), "n_trees", "log_loss"))
-    return union(parts)
+def slot_names(learning):
+    """(slot, seed, fold): a row for each model."""
+    return named(learning.coded, "slot").distinct()
+
+
+def prefix_model_scoring_of(spark, sf, seeds):
+    learning = boosted_rows(feature_rows(spark, sf), seeds)
+    losses = models.losses_at(boosting.fit_models(learning.coded, learning.coding, [BOOSTED]))
+    return losses.join(slot_names(learning), "slot").select("seed", "fold", "n_trees", "log_loss")
 
 
 @query("m10_prefix_model_scoring_result")
 def prefix_model_scoring_result(spark, sf):
-    return every_seed(spark, sf, prefix_model_scoring_of)
+    return prefix_model_scoring_of(spark, sf, fx.SEEDS)
 
 
 @query("m10_prefix_model_scoring", f"SELECT CAST(f AS INT) AS fold, CAST(t AS INT) AS n_trees, true AS is_loss FROM range(0, {FOLDS}) AS a(f), range(1, {TREES[-1] + 1}) AS b(t)")
 def prefix_model_scoring(spark, sf):
-    return prefix_model_scoring_of(spark, sf, SEED).select("fold", "n_trees", (F.col("log_loss") > 0).alias("is_loss"))
-
-
-def searched(spark, sf, seed, build, grid):
-    return choice_rows(spark, [(fold, models.select_params(b, build, grid)) for fold, b in boundaries(folded_features(spark, sf, seed), seed)])
+    return prefix_model_scoring_of(spark, sf, [SEED]).select("fold", "n_trees", (F.col("log_loss") > 0).alias("is_loss"))
 
 
-def param_grid_select_of(spark, sf, seed):
-    return choice_rows(spark, [(fold, models.select_tuned(b, TUNING_GRID, TREES)) for fold, b in boundaries(folded_features(spark, sf, seed), seed)])
+def tuned_rows(spark, sf, seeds, configs, counts):
+    """A row per seed, fold, parameter set and tree count: the loss, whether it was chosen, and the threshold."""
+    learning = boosted_rows(feature_rows(spark, sf), seeds)
+    chosen = models.select_trees(learning, configs, counts)
+    texts = F.array(*[F.lit(",".join(f"{k}={v}" for k, v in sorted(c.items()))) for c in configs])
+    best = chosen.choices.select("slot", F.col("config").alias("_config"), F.col("n_trees").alias("_n"), "threshold")
+    place = F.col("config") * len(counts) + F.array_position(F.array(*map(F.lit, sorted(counts))), F.col("n_trees")) - 1
+    return (chosen.losses.join(best, "slot").join(slot_names(learning), "slot")
+            .select("seed", "fold", place.cast("int").alias("place"), F.get(texts, "config").alias("params"), "n_trees", "log_loss",
+                    ((F.col("config") == F.col("_config")) & (F.col("n_trees") == F.col("_n"))).alias("chosen"), "threshold"))
 
 
 @query("m11_param_grid_select_result")
 def param_grid_select_result(spark, sf):
-    return every_seed(spark, sf, param_grid_select_of)
+    return tuned_rows(spark, sf, fx.SEEDS, TUNING_GRID, TREES)
 
 
 @query("m11_param_grid_select", choice_sql(4))
 def param_grid_select(spark, sf):
-    grid = [{**PARAMS, "depth": depth, "trees": trees} for depth in (2, 4) for trees in TREES[:2]]
-    return choice_summary(searched(spark, sf, SEED, models.boosted_trees, grid))
+    return choice_summary(tuned_rows(spark, sf, [SEED], [{**PARAMS, "depth": depth} for depth in (2, 4)], TREES[:2]))
+
+
+def searched(spark, sf, seed, build, grid):
+    return choice_rows(spark, [(fold, models.select_params(b, build, grid)) for fold, b in boundaries(folded_features(spark, sf, seed), seed)])
 
 
 def logistic_model_of(spark, sf, seed):
@@ -296,75 +305,51 @@ def isotonic_calibration(spark, sf):
     return probabilities(calibrated(spark, sf, "isotonic"), "seed", "fold", "flight_id")
 
 
-def crossfit_scores_of(spark, sf, seed):
-    folded = folded_features(spark, sf, seed)
-    parts = []
-    for fold in range(FOLDS):
-        train, _ = models.fold_rows(folded, fold)
-        parts.append((fold, models.crossfit_scores(train, models.boosted_trees, {**PARAMS, "trees": TREES[-1]}, k=3, seed=seed, cols=SPEC.categories)))
-    return scored_rows(parts, "part", "y")
+def crossfit_scores_of(spark, sf, seeds):
+    labeled = clean.labeled_rows(feature_rows(spark, sf))
+    entries = slots.crossfit_slots(labeled, seeds, k=FOLDS, parts=3)
+    scored = models.crossfit_scores(models.learning_rows(labeled, entries, SPEC.categories), BOOSTED)
+    return named(scored, "flight_id", F.col("part_of").alias("part"), "y", "p")
 
 
 @query("m18_crossfit_scores_result")
 def crossfit_scores_result(spark, sf):
-    return every_seed(spark, sf, crossfit_scores_of)
+    return crossfit_scores_of(spark, sf, fx.SEEDS)
 
 
 @query("m18_crossfit_scores", f"WITH {FOLD_SQL} SELECT CAST(o AS INT) AS fold, flight_id, true AS is_probability FROM folded, range(0, {FOLDS}) AS s(o) WHERE fold <> o", V)
 def crossfit_scores(spark, sf):
-    return probabilities(crossfit_scores_of(spark, sf, SEED), "fold", "flight_id")
-
-
-def feature_importance_of(spark, sf, seed):
-    fits, features = [], None
-    for _, b in boundaries(folded_features(spark, sf, seed), seed):
-        features = b.features
-        fits.append(models.boosted_trees(b.train, b.features, {**PARAMS, "trees": TREES[-1]}))
-    return spark.createDataFrame(models.mean_importance(fits, features), "feature string, importance double")
+    return probabilities(crossfit_scores_of(spark, sf, [SEED]), "fold", "flight_id")
 
 
 @query("m22_feature_importance")
 def feature_importance(spark, sf):
-    return every_seed(spark, sf, feature_importance_of)
+    learning = boosted_rows(feature_rows(spark, sf), fx.SEEDS)
+    gains = boosting.feature_gains(boosting.fit_models(learning.coded, learning.coding, [BOOSTED]), learning.coding.features)
+    return gains.join(slot_names(learning), "slot").groupBy("seed", "feature").agg(F.avg("importance").alias("importance"))
 
 
-def weather_on_off_pair_of(spark, sf, seed):
+@query("m24_weather_on_off_pair")
+def weather_on_off_pair(spark, sf):
     """Same rows and folds, without and with report columns; the scores of both side by side."""
-    folded = folded_features(spark, sf, seed)
+    rows = feature_rows(spark, sf)
     reports = fx.table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("flight_id"), (F.col("o_totalprice") % 100).alias("weather_origin_tmpf"),
         (F.col("o_totalprice") % 40).alias("weather_origin_sknt"),
         F.when(F.col("o_orderkey") % 5 != 0, F.col("o_totalprice") % 10).alias("weather_destination_vsby"),
         (F.col("o_orderkey") % 5 != 0).cast("int").alias("weather_destination_matched"))
     scored = []
-    with_reports = attach_features(folded, reports, "flight_id")
-    pairs = [("weather_off", fold, b) for fold, b in boundaries(folded, seed)]
-    pairs += [("weather_on", fold, boundary_of(with_reports, fold, seed)) for fold in range(FOLDS)]
-    for condition, fold, b in pairs:
-        choice = models.select_tree_count(b, PARAMS, TREES)
-        scored.append(choice.valid.select(F.lit(condition).alias("condition"), F.lit(fold).alias("fold"),
-                                          F.col("y").alias("y_true"), "p", F.lit(choice.threshold).alias("threshold")))
-    return metrics.score_metrics(metrics.with_prediction(union(scored)), ["condition"])
-
-
-@query("m24_weather_on_off_pair")
-def weather_on_off_pair(spark, sf):
-    return every_seed(spark, sf, weather_on_off_pair_of)
-
-
-def calibration_arm_experiment_of(spark, sf, seed):
-    patterns = fx.flights(spark, sf).select("flight_id", text.time_pattern(F.col("dep_hhmm"), F.col("arr_hhmm")).alias("pattern"))
-    scored = []
-    for fold, b in boundaries(folded_features(spark, sf, seed), seed):
-        choice = models.select_tree_count(b, PARAMS, TREES)
-        held = materialize(choice.holdout.select("flight_id", "y", "p"), "holdout")
-        valid = materialize(choice.valid.select("flight_id", "y", "p"), "valid")
-        scored.append(calibrate.calibration_arms(held, valid, seed=seed, fold=fold, shares={"shared": 0.0, "split": 0.5}))
-    rows = union(scored).withColumnRenamed("y", "y_true").join(patterns, "flight_id")
-    expected = [("raw_time_pattern", g) for g in ("both_observed", "departure_missing", "arrival_missing", "both_missing")]
-    return metrics.overlapping_group_metrics(rows, ["arm", "calibrator"], {"raw_time_pattern": F.col("pattern")}, expected)
+    for condition, table in (("weather_off", rows), ("weather_on", attach_features(rows, reports, "flight_id"))):
+        valid = models.select_trees(boosted_rows(table, fx.SEEDS), [PARAMS], TREES).valid
+        scored.append(named(valid, F.lit(condition).alias("condition"), F.col("y").alias("y_true"), "p", "threshold"))
+    return metrics.score_metrics(metrics.with_prediction(materialize(union(scored), "scored")), ["seed", "condition"])
 
 
 @query("m25_calibration_arm_experiment")
 def calibration_arm_experiment(spark, sf):
-    return every_seed(spark, sf, calibration_arm_experiment_of)
+    patterns = fx.flights(spark, sf).select("flight_id", text.time_pattern(F.col("dep_hhmm"), F.col("arr_hhmm")).alias("pattern"))
+    chosen = models.select_trees(boosted_rows(feature_rows(spark, sf), fx.SEEDS), [PARAMS], TREES)
+    arms = calibrate.joint_calibration_arms(chosen.holdout, materialize(chosen.valid.drop("threshold"), "valid"), {"shared": 0.0, "split": 0.5})
+    rows = materialize(arms.withColumnRenamed("y", "y_true").join(patterns, "flight_id"), "arms")
+    expected = [("raw_time_pattern", g) for g in ("both_observed", "departure_missing", "arrival_missing", "both_missing")]
+    return metrics.overlapping_group_metrics(rows, ["seed", "arm", "calibrator"], {"raw_time_pattern": F.col("pattern")}, expected)
