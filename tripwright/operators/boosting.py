@@ -29,7 +29,7 @@ from tripwright.storage import materialize
 BINS, EDGES, CATEGORIES = 64, 62, 62
 UNIT = 2.0 ** 24
 LEAST_HESSIAN, CATEGORY_SMOOTH = 1e-3, 10.0
-LOCAL_ROWS, SNAPSHOT = 500_000, 20
+LOCAL_ROWS, SNAPSHOT, MOST_TASKS = 500_000, 20, 2_000
 MODEL = "slot int, config int, prior double, depth int, trees int, feature binary, mask binary, value binary, gain binary, losses array<double>"
 
 
@@ -275,10 +275,12 @@ def _boost_groups(coded: DataFrame, coding: Coding, configs: Sequence[dict]) ->
 
     rows = coded.filter("part <> 'valid'").select("slot", "part", "flight_id", "y", "codes",
                                                   F.explode(F.array(*[F.lit(i) for i in range(len(configs))])).alias("config"))
-    return rows.groupBy("slot", "config").applyInPandas(fit, MODEL)
+    # a small table would be coalesced into one task; models are spread whatever their size
+    spread = min(4 * len(configs) * coded.select("slot").distinct().count(), MOST_TASKS)
+    return rows.repartition(max(spread, 1), "slot", "config").groupBy("slot", "config").applyInPandas(fit, MODEL)
 
 
-def _summed(partials: DataFrame, keys: Sequence[str]) -> DataFrame:
+def add_partials(partials: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Packed arrays of doubles added by key, first within salts, so that no task adds all partials."""
     def add(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         total = np.sum([np.frombuffer(b, np.float64) for b in frame["sums"]], axis=0)
@@ -340,14 +342,14 @@ def _boost_levels(coded: DataFrame, coding: Coding, configs: Sequence[dict], sna
             whole, train, held = dict(growing), state.filter("part = 'train'"), state.filter("part = 'holdout'")
             while growing:
                 sent = train.mapInPandas(partial("histograms", recent(), growing, t), "slot int, salt int, sums binary")
-                for row in _summed(sent, ["slot"]).collect():  # histograms of the active nodes, bounded by the declared sizes
+                for row in add_partials(sent, ["slot"]).collect():  # histograms of the active nodes, bounded by the declared sizes
                     tree = growing[row["slot"]]
                     tree.split(np.frombuffer(row["sums"], np.float64).reshape(3, len(tree.active), width, BINS), categorical)
                 growing = {s: tree for s, tree in growing.items() if len(tree.active)}
             for s, tree in whole.items():
                 trees[s].append(tree)
             sent = held.mapInPandas(partial("losses", recent(), whole, t), "slot int, salt int, sums binary")
-            found = {r["slot"]: np.frombuffer(r["sums"], np.float64) for r in _summed(sent, ["slot"]).collect()}
+            found = {r["slot"]: np.frombuffer(r["sums"], np.float64) for r in add_partials(sent, ["slot"]).collect()}
             for s in whole:
                 losses[s].append(float(found[s][0] / found[s][1]) if s in found else float("nan"))
             running -= {s for s in running if stopped(losses[s], params.get("stopping_rounds"))}

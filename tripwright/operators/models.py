@@ -10,14 +10,13 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from tripwright.functions.numeric import log_loss_term
-from tripwright.operators import boosting, encode, metrics, slots
+from tripwright.operators import boosting, encode, logistic, metrics, slots
 from tripwright.schemas import CATEGORICAL
 from tripwright.storage import materialize
 
@@ -112,10 +111,6 @@ def _vector(features: Sequence[str]) -> VectorAssembler:
     return VectorAssembler(inputCols=list(features), outputCol="_features")
 
 
-def _probability(scored: DataFrame, original: Sequence[str]) -> DataFrame:
-    return scored.select(*original, vector_to_array("probability")[1].alias("p"))
-
-
 def _tree_model(estimator, train: DataFrame, features: Sequence[str]) -> Fitted:
     assembler = _vector(features)
     model = estimator.setFeaturesCol("_features").setLabelCol("y").fit(assembler.transform(_filled(train, features)))
@@ -136,56 +131,6 @@ def random_forest(train: DataFrame, features: Sequence[str], params: dict, seed:
     return _tree_model(estimator, train, features)
 
 
-def logistic(train: DataFrame, features: Sequence[str], params: dict, seed: int = MODEL_SEED) -> Fitted:
-    """Median fill with indicators and scaling; levels one-hot with rare ones grouped; raw codes dropped.
-
-    ``C`` follows the inverse-strength convention: regParam = 1 / (C n).
-    """
-    del seed  # the solver is deterministic
-    levels = [c for c in ONEHOT_COLUMNS if c in features]
-    for c in TARGET_ENCODED_ONLY:
-        if c in features and f"te_{c}" not in features:
-            raise ValueError(f"raw {c} is dropped but te_{c} is missing")
-    numeric = [c for c in features if c not in levels and c not in TARGET_ENCODED_ONLY]
-    entries = [F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in levels]
-    frequent = None
-    if levels:
-        sizes = train.select(F.inline(F.array(*entries))).groupBy("column", "value").agg(F.count(F.lit(1)).alias("_n"))
-        frequent = materialize(sizes.filter((F.col("_n") >= ONEHOT_MIN_FREQUENCY) & F.col("value").isNotNull()), "levels")
-    missing = [F.count(F.when(F.col(c).isNull(), 1)).alias(c) for c in numeric]
-    counts = train.agg(F.count(F.lit(1)).alias("_n"), *missing).first()
-    # a column without any value cannot be filled by its median
-    usable = [c for c in numeric if counts[c] < counts["_n"]]
-    flagged = [c for c in usable if counts[c] > 0]
-
-    def prepare(df: DataFrame) -> DataFrame:
-        out = df.withColumns({f"_x_{c}": F.col(c).cast("double") for c in usable}
-                             | {f"_m_{c}": F.col(c).isNull().cast("double") for c in flagged})
-        for c in levels:
-            kept = frequent.filter(F.col("column") == c).select(F.col("value").alias("_value"))
-            out = out.join(kept, F.col(c).cast("string") == F.col("_value"), "left").withColumn(
-                f"_l_{c}", F.coalesce(F.col("_value"), F.lit("infrequent"))).drop("_value")
-        return out
-
-    stages = [
-        Imputer(strategy="median", inputCols=[f"_x_{c}" for c in usable], outputCols=[f"_i_{c}" for c in usable],
-                relativeError=0.0005),
-        VectorAssembler(inputCols=[*[f"_i_{c}" for c in usable], *[f"_m_{c}" for c in flagged]], outputCol="_numbers"),
-        StandardScaler(inputCol="_numbers", outputCol="_scaled", withMean=True, withStd=True)]
-    inputs = ["_scaled"]
-    if levels:
-        stages += [StringIndexer(inputCols=[f"_l_{c}" for c in levels], outputCols=[f"_s_{c}" for c in levels],
-                                 handleInvalid="keep", stringOrderType="alphabetAsc"),
-                   OneHotEncoder(inputCols=[f"_s_{c}" for c in levels], outputCols=[f"_o_{c}" for c in levels],
-                                 handleInvalid="keep", dropLast=False)]
-        inputs += [f"_o_{c}" for c in levels]
-    stages += [VectorAssembler(inputCols=inputs, outputCol="_features"),
-               LogisticRegression(featuresCol="_features", labelCol="y", maxIter=params.get("max_iter", 200),
-                                  regParam=1.0 / (params["C"] * counts["_n"]), standardization=False)]
-    model = Pipeline(stages=stages).fit(materialize(prepare(train), "prepared"))
-    return Fitted(model, lambda df: _probability(model.transform(prepare(df)), df.columns))
-
-
 # ---- joint boosted fits -------------------------------------------------------
 
 @dataclass(frozen=True)
@@ -287,6 +232,34 @@ def crossfit_scores(learning: Learning, params: dict) -> DataFrame:
     return boosting.prefix_scores(learning.part("valid"), fitted, of_slot, learning.width, (*SLOT_KEYS, "flight_id", "y"))
 
 
+# ---- joint logistic fits --------------------------------------------------------
+
+def select_logistic(rows: DataFrame, entries: DataFrame, cols: Sequence[str], grid: Sequence[dict] = LOGISTIC_GRID) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Every C of every slot; (losses, choices, scored validation rows) as a boosted search gives them.
+
+    Columns whose raw codes are dropped must have an encoding.
+    """
+    encoded = materialize(slots.encode_slots(rows, entries, [c for c in cols if c in rows.columns]), "encoded")
+    features = feature_columns(encoded)
+    for c in TARGET_ENCODED_ONLY:
+        if c in features and f"te_{c}" not in features:
+            raise ValueError(f"raw {c} is dropped but te_{c} is missing")
+    levels = [c for c in ONEHOT_COLUMNS if c in features]
+    numeric = [c for c in features if c not in levels and c not in TARGET_ENCODED_ONLY]
+    design, widths = logistic.prepared(encoded, numeric, levels, ONEHOT_MIN_FREQUENCY, (*SLOT_KEYS, "flight_id", "y"))
+    weights = logistic.fit_weights(design.filter("part = 'train'"), widths, [p["C"] for p in grid])
+    holdout = design.filter("part = 'holdout'")
+    found = [(s, i, float(x)) for s, losses in logistic.mean_losses(holdout, weights).items() for i, x in enumerate(losses)]
+    spark = rows.sparkSession
+    losses = spark.createDataFrame(found, "slot int, config int, log_loss double")
+    best = {s: min(i for i, x in enumerate(own) if x == min(own)) for s, own in
+            ((s, [x for t, _, x in found if t == s]) for s in weights)}
+    chosen = {s: weights[s][i] for s, i in best.items()}
+    choices = spark.createDataFrame(list(best.items()), "slot int, config int")
+    choices = materialize(choices.join(slot_thresholds(logistic.scored(holdout, chosen)), "slot"), "thresholds")
+    return losses, choices, logistic.scored(design.filter("part = 'valid'"), chosen)
+
+
 # ---- searches over single fits --------------------------------------------------
 
 def chosen_threshold(holdout: DataFrame) -> float:

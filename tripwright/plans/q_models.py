@@ -100,10 +100,10 @@ def choice_sql(tried):
     return f"SELECT CAST(f AS INT) AS fold, CAST({tried} AS BIGINT) AS tried, CAST(1 AS BIGINT) AS chosen, true AS first_minimum, true AS in_range FROM range(0, {FOLDS}) AS s(f)"
 
 
-def boosted_rows(rows, seeds, *, fraction=0.2, encoded=True):
+def boosted_rows(rows, seeds, *, fraction=0.2, encoded=True, entries=None):
     """Rows of every (seed, fold) slot, ready to be boosted together."""
     labeled = clean.labeled_rows(rows)
-    entries = slots.nested_slots(labeled, seeds, k=FOLDS, fraction=fraction)
+    entries = slots.nested_slots(labeled, seeds, k=FOLDS, fraction=fraction) if entries is None else entries
     return models.learning_rows(labeled, entries, SPEC.categories if encoded else ())
 
 
@@ -212,18 +212,25 @@ def searched(spark, sf, seed, build, grid):
     return choice_rows(spark, [(fold, models.select_params(b, build, grid)) for fold, b in boundaries(folded_features(spark, sf, seed), seed)])
 
 
-def logistic_model_of(spark, sf, seed):
-    return searched(spark, sf, seed, models.logistic, models.LOGISTIC_GRID)
+def logistic_model_of(spark, sf, seeds):
+    labeled = clean.labeled_rows(feature_rows(spark, sf))
+    entries = slots.nested_slots(labeled, seeds, k=FOLDS)
+    losses, choices, _ = models.select_logistic(labeled, entries, SPEC.categories)
+    texts = F.array(*[F.lit(f"C={p['C']}") for p in models.LOGISTIC_GRID])
+    best = choices.select("slot", F.col("config").alias("_config"), "threshold")
+    names = named(entries, "slot").distinct()
+    return losses.join(best, "slot").join(names, "slot").select(
+        "seed", "fold", F.col("config").alias("place"), F.get(texts, "config").alias("params"), "log_loss", (F.col("config") == F.col("_config")).alias("chosen"), "threshold")
 
 
 @query("m12_logistic_model_result")
 def logistic_model_result(spark, sf):
-    return every_seed(spark, sf, logistic_model_of)
+    return logistic_model_of(spark, sf, fx.SEEDS)
 
 
 @query("m12_logistic_model", choice_sql(len(models.LOGISTIC_GRID)))
 def logistic_model(spark, sf):
-    return choice_summary(logistic_model_of(spark, sf, SEED))
+    return choice_summary(logistic_model_of(spark, sf, [SEED]))
 
 
 def random_forest_model_of(spark, sf, seed):
@@ -338,9 +345,9 @@ def weather_on_off_pair(spark, sf):
         (F.col("o_totalprice") % 40).alias("weather_origin_sknt"),
         F.when(F.col("o_orderkey") % 5 != 0, F.col("o_totalprice") % 10).alias("weather_destination_vsby"),
         (F.col("o_orderkey") % 5 != 0).cast("int").alias("weather_destination_matched"))
-    scored = []
+    scored, entries = [], slots.nested_slots(clean.labeled_rows(rows), fx.SEEDS, k=FOLDS)
     for condition, table in (("weather_off", rows), ("weather_on", attach_features(rows, reports, "flight_id"))):
-        valid = models.select_trees(boosted_rows(table, fx.SEEDS), [PARAMS], TREES).valid
+        valid = models.select_trees(boosted_rows(table, fx.SEEDS, entries=entries), [PARAMS], TREES).valid
         scored.append(named(valid, F.lit(condition).alias("condition"), F.col("y").alias("y_true"), "p", "threshold"))
     return metrics.score_metrics(metrics.with_prediction(materialize(union(scored), "scored")), ["seed", "condition"])
 
