@@ -108,12 +108,17 @@ def unpacked(codes: pd.Series, width: int) -> np.ndarray:
 
 # ---- one tree -----------------------------------------------------------------
 
-def sampled(ids: np.ndarray, tree: int, share: float) -> np.ndarray:
-    """Whether each row is in the sample of a tree: a mixed 64-bit hash of id and tree."""
+def mixed_hash(ids: np.ndarray, tree: int) -> np.ndarray:
+    """A mixed 64-bit hash of id and tree."""
     x = ids.astype(np.uint64) + np.uint64((tree + 1) * 0x9E3779B97F4A7C15 % 2 ** 64)
     for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
         x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
-    return (x ^ (x >> np.uint64(31))).astype(np.float64) < share * 2.0 ** 64
+    return x ^ (x >> np.uint64(31))
+
+
+def sampled(ids: np.ndarray, tree: int, share: float) -> np.ndarray:
+    """Whether each row is in the sample of a tree."""
+    return mixed_hash(ids, tree).astype(np.float64) < share * 2.0 ** 64
 
 
 def gradients(margin: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -132,13 +137,17 @@ def histograms(codes: np.ndarray, g: np.ndarray, h: np.ndarray, place: np.ndarra
 
 
 def best_splits(hist: np.ndarray, categorical: np.ndarray, min_leaf: int) -> list[tuple | None]:
-    """Per node (feature, mask, gain, left sums, all sums) of the largest gain, or None; the first of equals."""
+    """Per node (feature, mask, gain, left sums, all sums) of the largest gain, or None; the first of equals.
+
+    ``categorical`` says of features, or of each node's features, whether their bins have no order.
+    """
+    categorical = np.broadcast_to(categorical, hist.shape[1:3])
     total = hist[:, :, 0].sum(axis=-1)
     order = np.broadcast_to(np.arange(BINS), hist.shape[1:]).copy()
     if categorical.any():
         score = hist[0] / (hist[1] + CATEGORY_SMOOTH * UNIT)
         score = np.where(hist[2] > 0, score, np.inf)
-        order[:, categorical] = np.argsort(score[:, categorical], axis=-1, kind="stable")
+        order[categorical] = np.argsort(score[categorical], axis=-1, kind="stable")
         hist = np.take_along_axis(hist, order[None], axis=-1)
     first = np.cumsum(hist, axis=-1)[..., :-1]
     second = first - hist[..., :1]  # missing to the right; of numbers only
@@ -148,7 +157,7 @@ def best_splits(hist: np.ndarray, categorical: np.ndarray, min_leaf: int) -> lis
     with np.errstate(divide="ignore", invalid="ignore"):
         gain = g * g / h + (all_g - g) ** 2 / (all_h - h) - all_g ** 2 / all_h
     allowed = (n >= min_leaf) & (all_n - n >= min_leaf) & (h >= LEAST_HESSIAN * UNIT) & (all_h - h >= LEAST_HESSIAN * UNIT)
-    allowed[1, :, categorical] = False
+    allowed[1][categorical] = False
     gain = np.where(allowed, gain, -np.inf)
     out: list[tuple | None] = []
     for node in range(gain.shape[1]):

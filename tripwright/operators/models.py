@@ -16,7 +16,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from tripwright.functions.numeric import log_loss_term
-from tripwright.operators import boosting, encode, logistic, metrics, slots
+from tripwright.operators import boosting, forests, logistic, metrics, slots
 from tripwright.schemas import CATEGORICAL
 from tripwright.storage import materialize
 
@@ -232,6 +232,18 @@ def crossfit_scores(learning: Learning, params: dict) -> DataFrame:
     return boosting.prefix_scores(learning.part("valid"), fitted, of_slot, learning.width, (*SLOT_KEYS, "flight_id", "y"))
 
 
+# ---- joint forests ---------------------------------------------------------------
+
+def select_forest(learning: Learning, configs: Sequence[dict], **fit) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Every parameter set of every slot; (losses, choices, scored validation rows)."""
+    scored = forests.forest_scores(learning.coded, learning.coding, configs, **fit)
+    held = scored.filter("part = 'holdout'")
+    losses = materialize(held.groupBy("slot", "config").agg(F.avg(log_loss_term(F.col("y"), F.col("p"))).alias("log_loss")), "losses")
+    best = losses.groupBy("slot").agg(F.min(F.struct("log_loss", "config")).alias("_b")).select("slot", "_b.config")
+    choices = materialize(best.join(slot_thresholds(held.join(best, ["slot", "config"])), "slot"), "thresholds")
+    return losses, choices, scored.filter("part = 'valid'").join(choices, ["slot", "config"])
+
+
 # ---- joint logistic fits --------------------------------------------------------
 
 def select_logistic(rows: DataFrame, entries: DataFrame, cols: Sequence[str], grid: Sequence[dict] = LOGISTIC_GRID) -> tuple[DataFrame, DataFrame, DataFrame]:

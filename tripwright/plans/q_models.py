@@ -208,19 +208,19 @@ def param_grid_select(spark, sf):
     return choice_summary(tuned_rows(spark, sf, [SEED], [{**PARAMS, "depth": depth} for depth in (2, 4)], TREES[:2]))
 
 
-def searched(spark, sf, seed, build, grid):
-    return choice_rows(spark, [(fold, models.select_params(b, build, grid)) for fold, b in boundaries(folded_features(spark, sf, seed), seed)])
+def search_rows(losses, choices, names, configs):
+    """A row per seed, fold and parameter set: the loss, whether it was chosen, and the threshold."""
+    texts = F.array(*[F.lit(",".join(f"{k}={v}" for k, v in sorted(c.items()))) for c in configs])
+    best = choices.select("slot", F.col("config").alias("_config"), "threshold")
+    return losses.join(best, "slot").join(names, "slot").select(
+        "seed", "fold", F.col("config").alias("place"), F.get(texts, "config").alias("params"), "log_loss", (F.col("config") == F.col("_config")).alias("chosen"), "threshold")
 
 
 def logistic_model_of(spark, sf, seeds):
     labeled = clean.labeled_rows(feature_rows(spark, sf))
     entries = slots.nested_slots(labeled, seeds, k=FOLDS)
     losses, choices, _ = models.select_logistic(labeled, entries, SPEC.categories)
-    texts = F.array(*[F.lit(f"C={p['C']}") for p in models.LOGISTIC_GRID])
-    best = choices.select("slot", F.col("config").alias("_config"), "threshold")
-    names = named(entries, "slot").distinct()
-    return losses.join(best, "slot").join(names, "slot").select(
-        "seed", "fold", F.col("config").alias("place"), F.get(texts, "config").alias("params"), "log_loss", (F.col("config") == F.col("_config")).alias("chosen"), "threshold")
+    return search_rows(losses, choices, named(entries, "slot").distinct(), models.LOGISTIC_GRID)
 
 
 @query("m12_logistic_model_result")
@@ -233,18 +233,21 @@ def logistic_model(spark, sf):
     return choice_summary(logistic_model_of(spark, sf, [SEED]))
 
 
-def random_forest_model_of(spark, sf, seed):
-    return searched(spark, sf, seed, models.random_forest, [{**p, **FOREST_SIZE} for p in models.FOREST_GRID])
+def random_forest_model_of(spark, sf, seeds):
+    learning = boosted_rows(feature_rows(spark, sf), seeds)
+    grid = [{**p, **FOREST_SIZE} for p in models.FOREST_GRID]
+    losses, choices, _ = models.select_forest(learning, grid)
+    return search_rows(losses, choices, slot_names(learning), grid)
 
 
 @query("m13_random_forest_model_result")
 def random_forest_model_result(spark, sf):
-    return every_seed(spark, sf, random_forest_model_of)
+    return random_forest_model_of(spark, sf, fx.SEEDS)
 
 
 @query("m13_random_forest_model", choice_sql(len(models.FOREST_GRID)))
 def random_forest_model(spark, sf):
-    return choice_summary(random_forest_model_of(spark, sf, SEED))
+    return choice_summary(random_forest_model_of(spark, sf, [SEED]))
 
 
 EACH_SEED_ONCE = "SELECT seed, fold, flight_id, true AS is_probability FROM oof"
