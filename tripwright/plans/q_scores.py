@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tripwright import fixtures as fx
 from tripwright.functions import text
-from tripwright.operators import clean, compare, contracts, encode, metrics, report
+from tripwright.operators import clean, compare, contracts, encode, metrics, report, slots
 from tripwright.operators.metrics import CELLS, THRESHOLDS
 from tripwright.plans.registry import query
 from tripwright.storage import materialize
@@ -383,6 +383,13 @@ def smoothed_target_encode(spark, sf):
     return rounded(out, ["te_tail"]).select("outer_fold", "flight_id", "tail", "te_tail")
 
 
+def every_fold_encoded(spark, sf, part, mean=None):
+    """Rows of one part of all outer folds, encoded from one cube of label counts."""
+    rows = materialize(clean.labeled_rows(fx.flights(spark, sf)).select("flight_id", "y", "airline"), "labeled")
+    entries = slots.nested_slots(rows, [42], fraction=0)
+    return slots.encode_slots(rows, entries, ["airline"], mean=mean).filter(F.col("part") == part)
+
+
 @query("m4_oof_target_encode", f"""WITH {_OUTER_SQL},
 inner_folds AS (SELECT *, CAST((row_number() OVER (PARTITION BY outer_fold, y ORDER BY sha256(CAST(flight_id AS VARCHAR) || ':fold:42'), flight_id) - 1) % 5 AS INT) AS inner_fold FROM fit)
 SELECT a.outer_fold, a.flight_id, round(any_value(gm.g), 9) AS fold_mean, round((coalesce(sum(b.y), 0) + 20 * any_value(gm.g)) / (count(b.y) + 20), 9) AS te_airline
@@ -391,21 +398,15 @@ JOIN (SELECT f.outer_fold, f.inner_fold, avg(y) AS g FROM (SELECT DISTINCT outer
       JOIN inner_folds o ON o.outer_fold = f.outer_fold AND o.inner_fold <> f.inner_fold GROUP BY ALL) gm ON gm.outer_fold = a.outer_fold AND gm.inner_fold = a.inner_fold
 GROUP BY a.outer_fold, a.flight_id""", ("flights",))
 def oof_target_encode(spark, sf):
-    def encoded(train, _):
-        # a column without any value shows the fold mean every unseen key falls back to
-        inner = materialize(encode.stratified_folds(train, name="inner_fold").withColumn("nothing", F.lit(None).cast("string")), "inner")
-        return encode.out_of_fold_encode(inner, "inner_fold", ["airline", "nothing"])
-
-    out = outer_folds(spark, sf, encoded)
-    return rounded(out.select("outer_fold", "flight_id", F.col("te_nothing").alias("fold_mean"), "te_airline"), ["fold_mean", "te_airline"])
+    encoded = every_fold_encoded(spark, sf, "train", mean="fold_mean")
+    return rounded(encoded, ["fold_mean", "te_airline"]).select("outer_fold", "flight_id", "fold_mean", "te_airline")
 
 
 @query("m4_outer_fold_encode", f"""WITH {_OUTER_SQL}, s AS (SELECT outer_fold, airline, count(*) AS n, sum(y) AS s FROM fit WHERE airline IS NOT NULL GROUP BY ALL)
 SELECT outer_fold, flight_id, round(coalesce((s + 20 * g) / (n + 20), g), 9) AS te_airline
 FROM (SELECT *, fold AS outer_fold FROM folded) LEFT JOIN s USING (outer_fold, airline) JOIN g USING (outer_fold)""", ("flights",))
 def outer_fold_encode(spark, sf):
-    out = outer_folds(spark, sf, lambda train, valid: encode.oof_target_encode(train, [valid], ["airline"], settle=materialize)[1][0])
-    return rounded(out, ["te_airline"]).select("outer_fold", "flight_id", "te_airline")
+    return rounded(every_fold_encoded(spark, sf, "valid"), ["te_airline"]).select("outer_fold", "flight_id", "te_airline")
 
 
 @query("m5_pseudo_label_select", """WITH c AS (SELECT seed, quantile_cont(p, 0.10) AS lo, quantile_cont(p, 0.98) AS hi FROM oof GROUP BY seed)
