@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
-from tripwright.operators import audit, calibrate, compare, contracts, encode, models
+from tripwright.operators import audit, calibrate, compare, contracts, encode
 
 
 @pytest.fixture(scope="module")
@@ -53,11 +53,6 @@ def test_inner_splits_of_one_is_refused(labeled):
         encode.oof_target_encode(labeled, [labeled], ["tail"], inner_splits=1)
 
 
-def test_encoded_columns_are_refused_before_the_split(labeled):
-    with pytest.raises(ValueError):
-        models.inner_boundary(labeled.withColumn("te_tail", F.lit(1.0)), labeled, seed=1, fold=0)
-
-
 def test_platt_equals_newton_and_isotonic_is_monotone(spark):
     rng = np.random.default_rng(4)
     p = np.round(rng.uniform(0.02, 0.98, 400), 3)

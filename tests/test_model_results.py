@@ -3,7 +3,7 @@ import pytest
 
 from conftest import rows
 from tools.check import compare, connect
-from tripwright.operators.models import Choice
+from tripwright import fixtures as fx
 from tripwright.plans import load_registry, q_models
 
 SF = "/root/testdata/sf0.001"
@@ -15,24 +15,21 @@ def test_calibrated_scores_equal_sql(spark, name):
     assert status == "ok", note
 
 
-def test_a_search_returns_its_grid_losses_and_threshold(spark):
-    choice = Choice({"C": 1.0}, [({"C": 0.1}, 0.6), ({"C": 1.0}, 0.5)], 0.3, None, None, None)
-    assert rows(q_models.choice_rows(spark, [(4, choice)])) == [(4, 0, "C=0.1", 0.6, False, 0.3), (4, 1, "C=1.0", 0.5, True, 0.3)]
-
-
-def test_scored_rows_keep_scores_and_what_comes_with_them(spark):
-    scored = spark.createDataFrame([(7, 1, 0.25, 12)], "flight_id int, y int, p double, n_trees int")
-    assert rows(q_models.scored_rows([(3, scored)], "y", "n_trees")) == [(3, 7, 1, 12, 0.25)]
-
-
 def test_every_claim_has_its_result_beside_it():
     registry = load_registry()
     claimed = [n for n, q in registry.items() if q.build.__module__ == q_models.__name__ and not n.endswith("_result") and q.sql]
     assert len(claimed) == 10 and all(f"{n}_result" in registry for n in claimed)
 
 
-def test_searches_have_the_declared_size_and_all_seeds(spark):
+def test_searches_have_the_declared_size_and_all_seeds():
     assert q_models.TREES == (10, 25, 50, 75, 100, 150, 300, 600)
     assert q_models.FOREST_SIZE == {"trees": 300, "depth": 12} and len(q_models.TUNING_GRID) == 24
-    stacked = q_models.every_seed(spark, SF, lambda s, sf, seed: s.createDataFrame([(seed + 1,)], "next int"))
-    assert rows(stacked, "seed", "next") == sorted([(42, 43), (1, 2), (7, 8)], key=repr)
+    assert fx.SEEDS == (42, 1, 7)
+
+
+def test_a_search_returns_its_grid_losses_and_threshold(spark):
+    losses = spark.createDataFrame([(3, 0, 0.6), (3, 1, 0.5)], "slot int, config int, log_loss double")
+    choices = spark.createDataFrame([(3, 1, 0.3)], "slot int, config int, threshold double")
+    names = spark.createDataFrame([(3, 42, 4)], "slot int, seed int, fold int")
+    got = q_models.search_rows(losses, choices, names, [{"C": 0.1}, {"C": 1.0}])
+    assert rows(got) == [(42, 4, 0, "C=0.1", 0.6, False, 0.3), (42, 4, 1, "C=1.0", 0.5, True, 0.3)]

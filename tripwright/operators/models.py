@@ -1,18 +1,15 @@
 """Model fitting by nested validation.
 
-Boosted models of all seeds and folds are fitted together (``boosting``) from rows that are
-split, encoded and coded once. Forests are Spark ML fits of one fold each.
+Models of all seeds and folds are fitted together (``boosting``, ``forests``, ``logistic``) from
+rows that are split, encoded and coded once.
 Decisions (tree count, parameters, threshold) only see the inner holdout; the outer
 validation rows are scored once, without their labels.
 """
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from tripwright.functions.numeric import log_loss_term
@@ -29,108 +26,17 @@ TREE_COUNTS = (10, 25, 50, 75, 100, 150, 300, 600)
 LOGISTIC_GRID = tuple({"C": c} for c in (0.001, 0.01, 0.1, 1.0, 10.0))
 FOREST_GRID = tuple({"min_leaf": leaf, "features": f} for leaf in (5, 25, 100) for f in ("sqrt", "0.5"))
 FOREST_TREES = 300
-MODEL_SEED = 42
 
-MISSING_FILL = -999.0
 STOPPING_ROUNDS = 40
 SLOT_KEYS = ("slot", "seed", "outer_fold", "part_of", "part")
 NOT_FEATURES = frozenset({"flight_id", "y", "fold", "part", "delay", "yr", "is_holdout", "seed", "inner", *SLOT_KEYS})
 
 
-@dataclass(frozen=True)
-class Boundary:
-    """One outer fold: inner training rows, inner holdout, outer validation rows, all encoded."""
-    train: DataFrame
-    holdout: DataFrame
-    valid: DataFrame
-    features: tuple[str, ...]
-
-
-@dataclass(frozen=True)
-class Fitted:
-    model: object
-    score: Callable[[DataFrame], DataFrame]
-
-
-@dataclass(frozen=True)
-class Choice:
-    """What a search chose on the inner holdout, and the scored validation rows."""
-    params: dict
-    losses: list[tuple[dict, float]]
-    threshold: float
-    valid: DataFrame
-    holdout: DataFrame
-    fitted: Fitted
-    extra: dict = field(default_factory=dict)
-
-
-# ---- fold boundary ----------------------------------------------------------
-
 def feature_columns(df: DataFrame) -> tuple[str, ...]:
     return tuple(f.name for f in df.schema
                  if isinstance(f.dataType, T.NumericType) and f.name not in NOT_FEATURES)
 
 
-def inner_boundary(train: DataFrame, valid: DataFrame, *, seed: int, fold: int, cols: Sequence[str] = (),
-                   m: float = 20.0, inner_splits: int = 5, drop_original: bool = False, fraction: float = 0.2,
-                   extra: DataFrame | None = None, pseudo: Callable[[DataFrame], DataFrame] | None = None) -> Boundary:
-    """Split the outer training rows, then encode inside the inner boundary and write the result once.
-
-    ``pseudo`` builds extra training rows from the inner training rows only.
-    """
-    early = [c for c in (*train.columns, *valid.columns) if c.startswith("te_")]
-    if early:
-        raise ValueError(f"encoded columns are not allowed before the inner split: {sorted(set(early))}")
-    split = materialize(encode.inner_holdout(train, [], fraction=fraction, salt=f"holdout:{seed + fold}"), "split")
-    inner, holdout = split.filter("NOT is_holdout").drop("is_holdout"), split.filter("is_holdout").drop("is_holdout")
-    if pseudo is not None:
-        extra = pseudo(inner)
-    encoded, (encoded_holdout, encoded_valid) = encode.oof_target_encode(
-        inner, [holdout, valid], cols, m=m, inner_splits=inner_splits, seed=seed, drop_original=drop_original,
-        extra=extra, settle=materialize)
-    parts = [df.withColumn("part", F.lit(name)) for df, name in
-             ((encoded, "train"), (encoded_holdout, "holdout"), (encoded_valid, "valid"))]
-    stored = materialize(parts[0].unionByName(parts[1]).unionByName(parts[2], allowMissingColumns=True), "boundary")
-    features = feature_columns(stored)
-    pick = {name: stored.filter(F.col("part") == name).drop("part") for name in ("train", "holdout", "valid")}
-    return Boundary(pick["train"], pick["holdout"], pick["valid"], features)
-
-
-def fold_rows(folded: DataFrame, fold: int, name: str = "fold") -> tuple[DataFrame, DataFrame]:
-    return folded.filter(F.col(name) != fold).drop(name), folded.filter(F.col(name) == fold).drop(name)
-
-
-# ---- estimators -------------------------------------------------------------
-
-def _filled(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Trees take a missing value as a value of its own, far below all others."""
-    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(MISSING_FILL)) for c in features})
-
-
-def _vector(features: Sequence[str]) -> VectorAssembler:
-    return VectorAssembler(inputCols=list(features), outputCol="_features")
-
-
-def _tree_model(estimator, train: DataFrame, features: Sequence[str]) -> Fitted:
-    assembler = _vector(features)
-    model = estimator.setFeaturesCol("_features").setLabelCol("y").fit(assembler.transform(_filled(train, features)))
-
-    def score(df: DataFrame) -> DataFrame:
-        # score copies of the features so that the caller's columns keep their nulls
-        copies = df.withColumn("_row", F.struct(*df.columns))
-        scored = model.transform(assembler.transform(_filled(copies, features)))
-        return scored.select("_row.*", vector_to_array("probability")[1].alias("p"))
-
-    return Fitted(model, score)
-
-
-def random_forest(train: DataFrame, features: Sequence[str], params: dict, seed: int = MODEL_SEED) -> Fitted:
-    estimator = RandomForestClassifier(numTrees=params.get("trees", FOREST_TREES), maxDepth=params.get("depth", 12),
-                                       minInstancesPerNode=params["min_leaf"], maxBins=params.get("bins", 64),
-                                       featureSubsetStrategy=params["features"], seed=seed)
-    return _tree_model(estimator, train, features)
-
-
 # ---- joint boosted fits -------------------------------------------------------
 
 @dataclass(frozen=True)
@@ -270,27 +176,3 @@ def select_logistic(rows: DataFrame, entries: DataFrame, cols: Sequence[str], gr
     choices = spark.createDataFrame(list(best.items()), "slot int, config int")
     choices = materialize(choices.join(slot_thresholds(logistic.scored(holdout, chosen)), "slot"), "thresholds")
     return losses, choices, logistic.scored(design.filter("part = 'valid'"), chosen)
-
-
-# ---- searches over single fits --------------------------------------------------
-
-def chosen_threshold(holdout: DataFrame) -> float:
-    """Macro-F1 threshold from holdout scores: a search over at most 62 counts."""
-    best = metrics.best_threshold(metrics.sweep(metrics.threshold_counts(holdout, [], "y", "p"), []), [])
-    return float(best.first()["threshold"])
-
-
-def select_params(b: Boundary, build: Callable[..., Fitted], grid: Sequence[dict], seed: int = MODEL_SEED) -> Choice:
-    """Any declared grid: minimal holdout loss, the first of equals, every record kept."""
-    if not grid:
-        raise ValueError("empty parameter grid")
-    records, best = [], None
-    for params in grid:
-        fitted = build(b.train, b.features, params, seed)
-        held = fitted.score(b.holdout)
-        loss = held.agg(F.avg(log_loss_term(F.col("y"), F.col("p")))).first()[0]
-        records.append((dict(params), loss))
-        if best is None or loss < best[0]:
-            best = (loss, params, fitted, held)
-    _, params, fitted, held = best
-    return Choice(dict(params), records, chosen_threshold(held), fitted.score(b.valid), held, fitted)

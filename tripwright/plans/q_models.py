@@ -40,34 +40,6 @@ def feature_rows(spark, sf):
     return materialize(build_features(fx.flights(spark, sf), SPEC, keep=("flight_id",)), "features")
 
 
-def folded_rows(rows, seed):
-    return materialize(encode.stratified_folds(clean.labeled_rows(rows), k=FOLDS, seed=seed), "folded")
-
-
-def folded_features(spark, sf, seed):
-    return folded_rows(feature_rows(spark, sf), seed)
-
-
-def boundary_of(rows, fold, seed):
-    train, valid = models.fold_rows(rows, fold)
-    return models.inner_boundary(train, valid, seed=seed, fold=fold, cols=SPEC.categories)
-
-
-def boundaries(rows, seed):
-    for fold in range(FOLDS):
-        yield fold, boundary_of(rows, fold, seed)
-
-
-def every_seed(spark, sf, build):
-    """What ``build`` gives for each split seed, with a seed column."""
-    return union(build(spark, sf, seed).withColumn("seed", F.lit(seed)) for seed in fx.SEEDS)
-
-
-def scored_rows(parts, *columns):
-    """(fold, flight_id, p and more columns) of scored rows, stacked over folds."""
-    return union(scored.select(F.lit(fold).alias("fold"), "flight_id", *columns, "p") for fold, scored in parts)
-
-
 def probabilities(scored, *keys):
     """The keys of scored rows and whether the score is a probability."""
     return scored.select(*keys, F.coalesce(F.col("p").between(0, 1), F.lit(False)).alias("is_probability"))
@@ -80,13 +52,6 @@ def union(frames):
     return reduce(lambda a, b: a.unionByName(b), frames)
 
 
-def choice_rows(spark, choices):
-    """One row per fold and parameter set tried, in the order of the grid."""
-    records = [(fold, i, ",".join(f"{k}={v}" for k, v in sorted(params.items())), float(loss), params == choice.params, choice.threshold)
-               for fold, choice in choices for i, (params, loss) in enumerate(choice.losses)]
-    return spark.createDataFrame(records, "fold int, place int, params string, log_loss double, chosen boolean, threshold double")
-
-
 def choice_summary(rows):
     """Per fold: parameter sets tried, how many are marked, and whether the first minimum is."""
     best = F.min(F.struct("log_loss", "place"))["place"]
