@@ -78,6 +78,24 @@ def nested_slots(labeled: DataFrame, seeds: Sequence[int], *, k: int = 5, inner_
     return materialize(_with_inner(entries, inner_splits, label, identifier), "slots")
 
 
+def with_extra(entries: DataFrame, extra: DataFrame, *, inner_splits: int = 5, label: str = "y", identifier: str = "flight_id") -> DataFrame:
+    """Entries with further training rows, (identifier, label, seed, outer_fold): each teaches its own slot
+    only and takes part in its inner folds. They are unlabeled rows; one that has an entry already is refused."""
+    slot = entries.select("seed", "outer_fold", "slot").distinct()
+    taken = extra.join(entries.select(identifier).distinct().withColumn("_taken", F.lit(True)), identifier, "left")
+    refused = F.raise_error(F.lit("an extra training row is labeled")).cast("int")
+    fresh = taken.withColumn(label, F.when(F.col("_taken"), refused).otherwise(F.col(label))).join(slot, ["seed", "outer_fold"])
+    names = [c for c in entries.columns if c != "inner"]
+    joined = entries.select(*names).unionByName(fresh.withColumn("part", F.lit("train")).select(*names))
+    return materialize(_with_inner(joined, inner_splits, label, identifier), "slots")
+
+
+def seeing_themselves(entries: DataFrame) -> DataFrame:
+    """Entries for encodings that include a training row's own label: its counts stay with part ``train``,
+    what it sees is a second entry of part ``self``, from which nothing is subtracted."""
+    return entries.unionByName(entries.filter("part = 'train'").withColumn("part", F.lit("self")))
+
+
 def crossfit_slots(labeled: DataFrame, seeds: Sequence[int], *, k: int = 5, parts: int = 3, inner_splits: int = 5,
                    label: str = "y", identifier: str = "flight_id") -> DataFrame:
     """Slots per seed, outer fold and part of its training rows; the part itself is what gets scored."""

@@ -5,7 +5,7 @@ from importlib import import_module
 
 FAMILIES = (
     "q_sources", "q_projection", "q_functions", "q_joins", "q_aggregates",
-    "q_windows", "q_scores", "q_models", "q_contracts",
+    "q_windows", "q_scores", "q_models", "q_contracts", "q_variants",
 )
 
 
