@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tripwright.functions import clock
 from tripwright.operators.skew import carry_in
+from tripwright.storage import Settle, unsettled
 
 
 def _days(ts: Column, days: int) -> Column:
@@ -42,25 +43,34 @@ def _edges(df: DataFrame, by: str, start: str, end: str, side: str) -> DataFrame
 
 
 def subtract_intervals(target: DataFrame, covered: DataFrame, by: str, start: str = "start",
-                       end: str = "end", *, bucket_days: int = 1) -> DataFrame:
-    """Parts of the target union that no covered interval really overlaps, per station."""
+                       end: str = "end", *, bucket_days: int = 1, settle: Settle = unsettled) -> DataFrame:
+    """Parts of the target union that no covered interval really overlaps, per station.
+
+    One signed sweep: every edge opens (+1) or closes (-1) a target or a cover, and one carry
+    brings both depths into each bucket. A part begins where the state turns to wanted (inside a
+    target, under no cover) and ends where it turns back, so touching parts are one already.
+    ``settle`` may write the edges once, summed by time; both sources are then read once.
+    """
     edges = (_edges(target, by, start, end, "_target")
              .unionByName(_edges(covered, by, start, end, "_covered"), allowMissingColumns=True))
-    points = (edges.filter(F.col(by).isNotNull()).groupBy(by, "_t")
-              .agg(F.coalesce(F.sum("_target"), F.lit(0)).alias("_target"),
-                   F.coalesce(F.sum("_covered"), F.lit(0)).alias("_covered"))
-              .withColumn("_bucket", _days(F.col("_t"), bucket_days)))
+    points = settle(edges.filter(F.col(by).isNotNull()).groupBy(by, "_t")
+                    .agg(F.coalesce(F.sum("_target"), F.lit(0)).alias("_target"),
+                         F.coalesce(F.sum("_covered"), F.lit(0)).alias("_covered"))
+                    .withColumn("_bucket", _days(F.col("_t"), bucket_days)), "edges")
     points = carry_in(points, [by], {"_target_before": F.col("_target"), "_covered_before": F.col("_covered")})
-    points = carry_in(points, [by], {"_t_after": F.col("_t")}, combine="min", backward=True)
     order = Window.partitionBy(by, "_bucket").orderBy("_t")
     so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    open_targets = F.sum("_target").over(so_far) + F.coalesce("_target_before", F.lit(0))
-    open_covers = F.sum("_covered").over(so_far) + F.coalesce("_covered_before", F.lit(0))
-    pieces = points.select(by, F.col("_t").alias(start),
-                           F.coalesce(F.lead("_t").over(order), F.col("_t_after")).alias(end),
-                           open_targets.alias("_targets"), open_covers.alias("_covers"))
-    kept = pieces.filter((F.col("_targets") > 0) & (F.col("_covers") == 0) & F.col(end).isNotNull())
-    return merge_intervals(kept.select(by, start, end), by, start, end, bucket_days=bucket_days)
+
+    def depth(side: str) -> Column:
+        return F.sum(side).over(so_far) + F.coalesce(f"{side}_before", F.lit(0))
+
+    depths = points.withColumns({"_targets": depth("_target"), "_covers": depth("_covered")})
+    wanted = (F.col("_targets") > 0) & (F.col("_covers") == 0)
+    wanted_before = (F.col("_targets") > F.col("_target")) & (F.col("_covers") == F.col("_covered"))
+    turns = depths.filter(wanted != wanted_before).select(by, "_t", "_bucket", wanted.alias("_opens"))
+    turns = carry_in(turns, [by], {"_t_after": F.col("_t")}, combine="min", backward=True)
+    parts = turns.select(by, F.col("_t").alias(start), F.coalesce(F.lead("_t").over(order), F.col("_t_after")).alias(end), "_opens")
+    return parts.filter("_opens").drop("_opens")
 
 
 def split_intervals(df: DataFrame, max_hours: float, start: str = "start", end: str = "end") -> DataFrame:

@@ -99,22 +99,51 @@ def _refused(message: str) -> Column:
     return F.when(F.raise_error(F.lit(message)).isNotNull(), _bin("", 0, ""))
 
 
-def feature_bin(feature: str, value: Column, matched: Column) -> Column:
-    """Exactly one bin per row as struct(label, order, kind, lower, upper).
+def _starts(bins: Sequence[Bin], value: Column) -> list[Column]:
+    """Whether the value has reached each bin; single-point bins above zero reach a tolerance to both sides."""
+    def slack(b: Bin) -> float:
+        return POINT_TOLERANCE if b.low == b.high and b.low else 0.0
+    reached = [F.lit(True) if bins[0].low is None else value >= bins[0].low]
+    for before, b in zip(bins, bins[1:]):
+        low = F.lit(b.low + slack(before)) if b.left_open else F.lit(b.low - slack(b))
+        reached.append(value > low if b.left_open else value >= low)
+    return reached
+
+
+def bin_number(feature: str, value: Column, matched: Column) -> Column:
+    """The order of a row's one bin: how many edges its value has passed.
 
     A row is matched (1) or not (0): an unknown flag, a value on an unmatched row, and a value
-    outside every bin fail the job. Single-point bins come before the intervals around them.
+    outside every bin fail the job. One condition checks all of that for a row.
     """
-    measured = [(F.abs(value - b.low) <= POINT_TOLERANCE * (b.low > 0)) if b.low == b.high else b.holds(value)
-                for b in FIELD_BINS[feature]]
-    rules = [(matched.isNull() | ~matched.isin(0, 1), _refused(f"{feature}: unknown match flag")),
-             ((matched == 0) & value.isNotNull(), _refused(f"{feature}: an unmatched row has a value")),
-             (matched == 0, _bin("unmatched", UNMATCHED, "unmatched")),
-             (value.isNull(), _bin("field missing", FIELD_MISSING, "field_missing"))]
-    rules += [(holds, _bin(b.label, order, b.kind, b.low, b.high))
-              for order, (b, holds) in enumerate(zip(FIELD_BINS[feature], measured))]
-    return reduce(lambda rest, rule: F.when(rule[0], rule[1]).otherwise(rest), reversed(rules),
-                  _refused(f"{feature}: value outside every bin"))
+    bins = FIELD_BINS[feature]
+    reached = _starts(bins, value)
+    outside = ~reached[0]
+    if bins[-1].high is not None:
+        outside = outside | (value > bins[-1].high if bins[-1].right_closed else value >= bins[-1].high)
+    for before, b, here in zip(bins, bins[1:], reached[1:]):
+        if before.high < b.low:  # values between two bins
+            outside = outside | ((value > before.high) & ~here)
+    unknown = matched.isNull() | ~matched.isin(0, 1)
+    stray = (matched == 0) & value.isNotNull()
+    message = F.when(unknown, f"{feature}: unknown match flag").when(
+        stray, f"{feature}: an unmatched row has a value").otherwise(f"{feature}: value outside every bin")
+    number = F.when(matched == 0, F.lit(UNMATCHED)).when(value.isNull(), F.lit(FIELD_MISSING)).otherwise(
+        sum((c.cast("int") for c in reached[1:]), F.lit(0)))
+    bad = unknown | stray | F.coalesce(outside, F.lit(False))
+    return F.when(bad, F.raise_error(message).cast("int")).otherwise(number)
+
+
+def _bins_of(feature: str) -> list[tuple[str, int, str, float | None, float | None]]:
+    """(label, order, kind, lower, upper) of every bin a row can be in."""
+    measured = [(b.label, order, b.kind, b.low, b.high) for order, b in enumerate(FIELD_BINS[feature])]
+    return measured + [("field missing", FIELD_MISSING, "field_missing", None, None), ("unmatched", UNMATCHED, "unmatched", None, None)]
+
+
+def feature_bin(feature: str, value: Column, matched: Column) -> Column:
+    """Exactly one bin per row as struct(label, order, kind, lower, upper); see ``bin_number``."""
+    pairs = [item for b in _bins_of(feature) for item in (F.lit(b[1]), _bin(*b))]
+    return F.element_at(F.create_map(*pairs), bin_number(feature, value, matched))
 
 
 # Which airports have a report: label, order and kind by (origin, destination).
@@ -131,16 +160,25 @@ def bins_long(weather: DataFrame, flag: str, *, population: str, roles: Sequence
               ) -> DataFrame:
     """(role, feature, bin) counts and rates; every (role, feature) sums to the population.
 
-    Each row yields its eleven bins in the scan; one aggregate follows.
+    Each row yields the numbers of its eleven bins in the scan; one aggregate by two numbers
+    follows, and names are looked up for its few groups.
     """
-    entries = [F.struct(F.lit(role).alias("role"), F.lit(f).alias("feature"),
-                        feature_bin(f, F.col(f"weather_{role}_{f}"), F.col(f"weather_{role}_matched")).alias("b"))
-               for role in roles for f in FIELD_BINS]
-    entries.append(F.struct(F.lit("both").alias("role"), F.lit("matched_status").alias("feature"),
-                            matched_status(*[F.col(f"weather_{r}_matched") for r in roles]).alias("b")))
-    long = weather.select(F.col(flag), F.inline(F.array(*entries))).select(flag, "role", "feature", "b.*")
-    keys = ["role", "feature", "bin_order", "bin_label", "bin_kind", "bin_lower", "bin_upper"]
-    return rate_table_of_groups(long, keys, weather, population=population, flag=flag)
+    numbers, names = [], []
+    for role in roles:
+        for f in FIELD_BINS:
+            names += [(len(numbers), role, f, order, label, kind, low, high) for label, order, kind, low, high in _bins_of(f)]
+            numbers.append(bin_number(f, F.col(f"weather_{role}_{f}"), F.col(f"weather_{role}_matched")))
+    names += [(len(numbers), "both", "matched_status", order, label, kind, None, None) for label, order, kind in MATCH_BINS.values()]
+    numbers.append(matched_status(*[F.col(f"weather_{r}_matched") for r in roles])["bin_order"])
+    entries = [F.struct(F.lit(i).alias("_entry"), n.alias("bin_order")) for i, n in enumerate(numbers)]
+    long = weather.select(F.col(flag), F.inline(F.array(*entries)))
+    table = rate_table_of_groups(long, ["_entry", "bin_order"], weather, population=population, flag=flag)
+    named = weather.sparkSession.createDataFrame(
+        names, "_entry int, role string, feature string, bin_order int, bin_label string, bin_kind string, bin_lower double, bin_upper double")
+    counted = [c for c in table.columns if c not in ("_entry", "bin_order", "population", "population_rows", "population_delayed")]
+    return table.join(named, ["_entry", "bin_order"]).select(
+        "population", "population_rows", "population_delayed", "role", "feature", "bin_order", "bin_label", "bin_kind",
+        "bin_lower", "bin_upper", *counted)
 
 
 def rate_table_of_groups(long: DataFrame, keys: Sequence[str], population_rows: DataFrame, *, population: str,
@@ -311,13 +349,32 @@ def numeric_shift(df: DataFrame, labeled: Column, columns: Sequence[str]) -> Dat
     return moments.join(wide, "column")
 
 
+def _value_text(name: str, kind: str) -> Column:
+    """A text per distinct value: equal numbers and nested values have equal texts."""
+    if kind in ("double", "float"):
+        return (F.col(name) + F.lit(0.0).cast(kind)).cast("string")  # minus zero is zero
+    if kind.startswith(("array", "struct", "map")):
+        return F.when(F.col(name).isNotNull(), F.to_json(F.struct(F.col(name))))
+    return F.hex(name) if kind == "binary" else F.col(name).cast("string")
+
+
 def column_profile(df: DataFrame) -> DataFrame:
-    """Type, nulls, distinct values and constancy of every column."""
-    def rows(c: str, t: str) -> Column:
-        return F.struct(F.lit(c).alias("column"), F.lit(t).alias("dtype"), count_if(F.col(c).isNull()).alias("null_count"),
-                        F.count_distinct(F.col(c)).alias("n_distinct"), F.count(F.lit(1)).alias("n_rows"))
-    wide = df.agg(F.array(*[rows(c, t) for c, t in df.dtypes]).alias("r")).select(F.inline("r"))
-    return (wide.withColumn("null_rate", F.col("null_count") / F.col("n_rows"))
+    """Type, nulls, distinct values and constancy of every column.
+
+    One pass melts the rows to (column, value) and counts before the shuffle, so a value
+    however frequent travels once per task; everything else comes from these counts. An
+    empty table has one row per column with zero counts and no rate.
+    """
+    types = df.dtypes
+    melted = df.select(F.inline(F.array(*[
+        F.struct(F.lit(i).alias("_i"), _value_text(c, t).alias("_value")) for i, (c, t) in enumerate(types)])))
+    counts = melted.groupBy("_i", "_value").agg(F.count(F.lit(1)).alias("_n"))
+    per_column = counts.groupBy("_i").agg(
+        F.sum(F.when(F.col("_value").isNull(), F.col("_n")).otherwise(0)).alias("null_count"),
+        F.count("_value").alias("n_distinct"), F.sum("_n").alias("n_rows"))
+    named = df.sparkSession.createDataFrame([(i, c, t) for i, (c, t) in enumerate(types)], "_i int, column string, dtype string")
+    whole = named.join(per_column, "_i", "left").drop("_i").fillna(0)
+    return (whole.withColumn("null_rate", F.try_divide("null_count", "n_rows"))
             .withColumn("is_constant", (F.col("n_distinct") <= 1) & (F.col("null_count") == 0)))
 
 

@@ -181,7 +181,7 @@ SELECT station, min(s) AS start, max(e) AS "end" FROM k2 GROUP BY station, islan
 def subtract_intervals(spark, sf):
     covered = fx.table(spark, sf, "events").filter("event_type = 'click'").selectExpr(
         "user_id % 4 AS station", "ts AS start", "ts + INTERVAL 20 MINUTES AS end")
-    return intervals.subtract_intervals(targets(spark, sf), covered, "station")
+    return intervals.subtract_intervals(targets(spark, sf), covered, "station", settle=materialize)
 
 
 @query("w12_split_intervals", f"""WITH {_NARROW},
