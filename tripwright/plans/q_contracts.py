@@ -105,6 +105,35 @@ def invariant_counters(spark, sf):
         window=("window_start", "window_end"))
 
 
+# One fault a row: the changed columns by the invariant they break, every fiftieth request each.
+_FAULTS = {
+    "future_observation": {"observed_at": "prediction_at + INTERVAL 1 MINUTE"},
+    "future_availability": {"available_at": "prediction_at + INTERVAL 1 MINUTE"},
+    "age_out_of_range": {"weather_age_minutes": "91D"}, "ineligible_match": {"eligible": "false"},
+    "null_key_match": {"station": "CAST(NULL AS BIGINT)"}, "repeated_row": {},
+    "station_mismatch": {"report_station": "2L"}, "out_of_window": {"window_end": "window_start"},
+}
+
+
+@query("c6_planted_faults", f"""SELECT rule, (SELECT count(*) FROM events WHERE event_type = 'purchase' AND event_id % 50 = 0) AS violations FROM (SELECT unnest({list(_FAULTS)}) AS rule)""")
+def planted_faults(spark, sf):
+    """The same counters over matches of which each breaks one invariant, next to sound ones."""
+    sound = {"event_id": "event_id", "station": "1L", "eligible": "true", "prediction_at": "prediction_at",
+             "observed_at": "prediction_at - INTERVAL 10 MINUTES", "available_at": "prediction_at - INTERVAL 5 MINUTES",
+             "weather_age_minutes": "10D", "report_station": "1L", "window_start": "prediction_at - INTERVAL 1 HOUR",
+             "window_end": "prediction_at + INTERVAL 1 HOUR"}
+    base = fx.requests(spark, sf).selectExpr(*[f"{e} AS {c}" for c, e in sound.items()])
+    rows = base.withColumn("latency", F.lit(-1))
+    chosen = base.filter("event_id % 50 = 0")
+    for number, (rule, changes) in enumerate(_FAULTS.items()):
+        faulty = chosen.withColumns({c: F.expr(e) for c, e in changes.items()}).withColumn("latency", F.lit(number))
+        rows = rows.unionByName(faulty.unionByName(faulty) if rule == "repeated_row" else faulty)
+    return contracts.join_invariants(
+        rows, identifier=["event_id", "latency"], station="station", cutoff="prediction_at", observed="observed_at",
+        available="available_at", age="weather_age_minutes", eligible=F.col("eligible"), matched_station="report_station",
+        window=("window_start", "window_end"))
+
+
 _RESULTS_SQL = """plan AS (SELECT user_id AS id, count(*) AS n, CASE WHEN user_id % 3 = 0 THEN 'NET_A' ELSE 'NET_B' END AS network FROM events GROUP BY user_id),
 res AS (SELECT id, n, CASE WHEN id % 8 = 0 THEN 'NET_C' ELSE network END AS network FROM plan WHERE id % 10 <> 0 UNION ALL SELECT id, n, network FROM plan WHERE id % 14 = 1 UNION ALL SELECT 1000000 + id, n, network FROM plan WHERE id % 30 = 0),
 j AS (SELECT p.id AS pid, r.id AS rid, p.n AS pn, r.n AS rn, p.network AS pnet, r.network AS rnet, r.c FROM plan p FULL JOIN (SELECT id, any_value(n) AS n, max(network) AS network, count(*) AS c FROM res GROUP BY id) r ON p.id = r.id)

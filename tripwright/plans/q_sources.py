@@ -8,7 +8,7 @@ from tripwright.operators.contracts import source_rows
 from tripwright.plans.registry import query
 from tripwright.schemas import REPORT_FIELDS, SOURCE_COLUMNS
 from tripwright.sources import archives, csv_files, ledger, nested
-from tripwright.storage import fresh_path
+from tripwright.storage import fresh_path, materialize
 
 V = ("flights",)
 
@@ -58,59 +58,81 @@ _REPORTS_SQL = """raw AS (SELECT 'ST' || CAST(user_id % 4 AS VARCHAR) AS station
  CASE WHEN event_id % 4 = 0 THEN '' WHEN event_id % 9 = 0 THEN NULL ELSE 'RA' END AS wxcodes, 'req' || CAST(user_id % 4 AS VARCHAR) AS source_request_id FROM events WHERE event_type = 'view')"""
 
 
-def _written_reports(spark, sf):
-    """Report files with comment lines and 'M' tokens, one folder part per station, and their manifest."""
-    events = fx.table(spark, sf, "events").filter("event_type = 'view'")
+_HEADER = ",".join(("station", "valid", *REPORT_FIELDS))
+
+
+def _views(spark, sf):
+    return fx.table(spark, sf, "events").filter("event_type = 'view'").withColumn("batch", F.col("user_id") % 4)
+
+
+def _report_lines(events, station="concat('ST', batch)", valid="date_format(ts, 'yyyy-MM-dd HH:mm:ss')",
+                  tmpf="CASE WHEN event_id % 6 = 0 THEN 'M' WHEN event_id % 11 = 0 THEN '' ELSE CAST(round(value, 2) AS STRING) END"):
+    """The lines of report files with comments and 'M' tokens."""
     fields = {f: F.lit("M") for f in REPORT_FIELDS}
-    fields["tmpf"] = F.expr("CASE WHEN event_id % 6 = 0 THEN 'M' WHEN event_id % 11 = 0 THEN '' ELSE CAST(round(value, 2) AS STRING) END")
+    fields["tmpf"] = F.expr(tmpf)
     fields["wxcodes"] = F.expr("CASE WHEN event_id % 4 = 0 THEN '' WHEN event_id % 9 = 0 THEN 'M' ELSE 'RA' END")
-    values = [F.concat(F.lit("ST"), (F.col("user_id") % 4).cast("string")), F.date_format("ts", "yyyy-MM-dd HH:mm:ss"),
-              *[fields[f] for f in REPORT_FIELDS]]
-    path = fresh_path(spark, "reports")
-    header = ",".join(("station", "valid", *REPORT_FIELDS))
-    line = F.concat_ws(",", *values)
-    # every file starts with a comment and its header, as downloaded report files do
-    body = events.select((F.col("user_id") % 4).alias("batch"), line.alias("value"))
-    parts = body.repartition("batch").sortWithinPartitions("batch")
-
-    def with_header(batches):
-        import pandas as pd
-
-        seen = set()
-        for batch in batches:
-            for key, rows in batch.groupby("batch", sort=False):
-                if key not in seen:
-                    seen.add(key)
-                    yield pd.DataFrame({"batch": [key, key], "value": [f"# station batch {key}", header]})
-                yield rows
-
-    parts.mapInPandas(with_header, "batch bigint, value string").write.partitionBy("batch").text(path)
-    return f"{path}/*"
-
-
-def _manifest(raw):
-    """One entry per file, as a download log would list them."""
-    at = F.col("valid").cast("timestamp_ntz")
-    per_file = raw.groupBy("source_file").agg(
-        F.min("station").alias("_s"), F.count(F.lit(1)).alias("n_rows"), F.min(at).alias("_lo"), F.max(at).alias("_hi"))
-    return per_file.select(
-        "source_file", F.concat(F.lit("req"), F.substring("_s", 3, 1)).alias("request_id"), F.array("_s").alias("stations"),
-        F.col("_lo").alias("window_start"), F.col("_hi").alias("window_end"), "n_rows")
+    line = F.concat_ws(",", F.expr(station), F.expr(valid), *[fields[f] for f in REPORT_FIELDS])
+    return archives.report_file_lines(events.withColumn("line", line), "batch", "event_id", "line", _HEADER)
+
+
+def _manifest(events, lines):
+    """What was sent, from the events themselves and not from the files: one entry per file."""
+    windows = events.groupBy("batch").agg(F.date_trunc("second", F.min("ts")).cast("timestamp_ntz").alias("window_start"),
+                                          F.max("ts").cast("timestamp_ntz").alias("window_end"))
+    counts = lines.filter("position >= 0").groupBy("batch", "part").agg(F.count(F.lit(1)).alias("n_rows")).select(
+        F.expr("concat('batch=', batch, '/part=', part) AS source_file"), "n_rows")
+    return (archives.declared_files(lines).join(windows, "batch").join(counts, "source_file", "left").fillna({"n_rows": 0})
+            .withColumn("stations", F.array(F.expr("concat('ST', batch)"))).withColumn("request_id", F.expr("concat('req', batch)")))
+
+
+def _read(spark, path):
+    raw = archives.read_reports(spark, f"{path}/*/*")
+    return raw.withColumn("source_file", archives.file_name(F.col("source_file")))
 
 
 @query("s4_observation_archive_scan", f"WITH {_REPORTS_SQL} SELECT station, observed_at, tmpf, wxcodes, source_request_id FROM raw")
 def observation_archive_scan(spark, sf):
-    raw = archives.read_reports(spark, _written_reports(spark, sf))
-    return archives.typed_reports(raw, _manifest(raw)).select("station", "observed_at", "tmpf", "wxcodes", "source_request_id")
+    events, path = _views(spark, sf), fresh_path(spark, "reports")
+    lines = materialize(_report_lines(events), "report-lines")
+    archives.write_report_files(lines, path)
+    problems = archives.file_problems(archives.file_digests(spark, f"{path}/*/*"), _manifest(events, lines))
+    return archives.typed_reports(_read(spark, path), archives.sound_files(problems)).select(
+        "station", "observed_at", "tmpf", "wxcodes", "source_request_id")
+
+
+# Some reports are lost, under another station, without a time, late, or no number; the manifest knows what was sent.
+_LOST, _FOREIGN, _UNTIMED, _LATE, _JUNK = (f"event_id % {n} = 0" for n in (83, 97, 103, 101, 89))
 
 
-@query("s4_archive_violations", f"""WITH {_REPORTS_SQL}
-SELECT source_request_id AS request_id, count(*) AS rows_read, count(*) AS rows_expected, CAST(0 AS BIGINT) AS foreign_station, CAST(0 AS BIGINT) AS missing_time, CAST(0 AS BIGINT) AS out_of_window, CAST(0 AS BIGINT) AS non_numeric FROM raw GROUP BY 1""")
+@query("s4_archive_violations", f"""WITH v AS (SELECT *, user_id % 4 AS batch FROM events WHERE event_type = 'view')
+SELECT 'req' || CAST(batch AS VARCHAR) AS request_id, count(*) FILTER (NOT {_LOST}) AS rows_read, count(*) AS rows_expected, count(*) FILTER ({_FOREIGN} AND NOT {_LOST}) AS foreign_station,
+ count(*) FILTER ({_UNTIMED} AND NOT {_LOST}) AS missing_time, count(*) FILTER ({_LATE} AND NOT {_UNTIMED} AND NOT {_LOST}) AS out_of_window, count(*) FILTER ({_JUNK} AND NOT {_LOST}) AS non_numeric FROM v GROUP BY batch""")
 def archive_violations(spark, sf):
-    raw = archives.read_reports(spark, _written_reports(spark, sf))
-    manifest = _manifest(raw)
-    found = archives.archive_violations(raw, manifest)
-    return found.join(manifest.select("source_file", "request_id"), "source_file").drop("source_file")
+    events, path = _views(spark, sf), fresh_path(spark, "reports")
+    faulty = _report_lines(
+        events, f"CASE WHEN {_FOREIGN} THEN 'ST9' ELSE concat('ST', batch) END",
+        f"CASE WHEN {_UNTIMED} THEN '' ELSE date_format(CASE WHEN {_LATE} THEN ts + INTERVAL 9000 DAYS ELSE ts END, 'yyyy-MM-dd HH:mm:ss') END",
+        f"CASE WHEN {_JUNK} THEN 'warm' ELSE CAST(round(value, 2) AS STRING) END")
+    archives.write_report_files(faulty.filter(f"position < 0 OR NOT {_LOST.replace('event_id', 'position')}"), path)
+    manifest = _manifest(events, materialize(_report_lines(events), "report-lines"))
+    found = archives.archive_violations(_read(spark, path), manifest)
+    counts = ("rows_read", "rows_expected", "foreign_station", "missing_time", "out_of_window", "non_numeric")
+    return found.join(manifest.select("source_file", "request_id"), "source_file").groupBy("request_id").agg(*[F.sum(c).alias(c) for c in counts])
+
+
+@query("s4_archive_integrity", """WITH v AS (SELECT user_id % 4 AS batch, CAST(ceil(count(*) / 20000) AS BIGINT) AS files FROM events WHERE event_type = 'view' GROUP BY 1)
+SELECT problem, CAST(sum(n) AS BIGINT) AS n_files FROM (SELECT 'sound' AS problem, files - CAST(batch IN (0, 3) AS INT) AS n FROM v WHERE batch <> 1 AND batch <> 2 UNION ALL SELECT 'wrong_size', files FROM v WHERE batch = 1
+ UNION ALL SELECT 'wrong_hash', files FROM v WHERE batch = 2 UNION ALL SELECT 'missing_file', 1 FROM v WHERE batch = 3 UNION ALL SELECT 'unlisted_file', 1 FROM v WHERE batch = 0) GROUP BY problem HAVING sum(n) > 0""")
+def archive_integrity(spark, sf):
+    """Files of batch 1 got longer, those of batch 2 changed a letter, one of batch 3 was lost, and one of batch 0 is not listed."""
+    events, path = _views(spark, sf), fresh_path(spark, "reports")
+    lines = materialize(_report_lines(events), "report-lines")
+    changed = lines.withColumn("value", F.when((F.col("position") == -2) & (F.col("batch") == 1), F.concat("value", F.lit(" resent")))
+                               .when((F.col("position") == -2) & (F.col("batch") == 2), F.regexp_replace("value", "station", "statiom"))
+                               .otherwise(F.col("value")))
+    archives.write_report_files(changed.filter("NOT (batch = 3 AND part = 0)"), path)
+    problems = archives.file_problems(archives.file_digests(spark, f"{path}/*/*"), archives.declared_files(lines.filter("NOT (batch = 0 AND part = 0)")))
+    return problems.groupBy(F.coalesce("problem", F.lit("sound")).alias("problem")).agg(F.count(F.lit(1)).alias("n_files"))
 
 
 @query("s5_zip_archive_landing", "SELECT flight_id, yr, mo, dom, dep_hhmm, carrier_code, airline FROM flights", V)
@@ -130,10 +152,13 @@ def nested_json_scan(spark, sf):
         "named_struct('coordinates', CASE WHEN s_suppkey % 5 <> 0 THEN array(CAST(s_suppkey % 170 AS DOUBLE), CAST(s_suppkey % 90 AS DOUBLE))"
         " ELSE array(1D) END) AS geometry")
     path = fresh_path(spark, "stations")
-    # one small collection document per station keeps every file a complete JSON text
-    suppliers.select(F.array(F.struct("id", "properties", "geometry")).alias("features")).write.json(path)
-    raw = spark.read.schema(nested.STATION_COLLECTION).json(path)
-    return nested.explode_stations(raw).select("station", F.element_at("properties", "name").alias("name"), "longitude", "latitude")
+    # collections of a thousand stations, one indented JSON text per file
+    dealt = suppliers.withColumn("part", F.pmod(F.xxhash64("id"), F.ceil(suppliers.agg(F.count(F.lit(1)).alias("n")).scalar() / 1000)))
+    collections = dealt.groupBy("part").agg(F.collect_list(F.struct("id", "properties", "geometry")).alias("features"))
+    (collections.select("part", F.to_json(F.struct("features"), {"pretty": "true"}).alias("value"))
+     .repartition("part").write.partitionBy("part").text(path))
+    return nested.read_station_collections(spark, path).select(
+        "station", F.element_at("properties", "name").alias("name"), "longitude", "latitude")
 
 
 @query("s7_json_column_decode", """SELECT event_id, CAST(json_extract(props, '$.k') AS DOUBLE) AS k, round(CAST(json_extract(props, '$.k') AS DOUBLE) / 2 + 1, 6) AS list_sum FROM events""")

@@ -48,6 +48,65 @@ def typed_reports(raw: DataFrame, manifest: DataFrame) -> DataFrame:
         F.col("window_end").alias("source_window_end_utc"))
 
 
+def report_file_lines(rows: DataFrame, batch: str, identifier: str, line: str, header: str, *, rows_per_file: int = 20_000) -> DataFrame:
+    """(batch, part, position, value): every line of the report files of each batch, a comment and the
+    header first. Rows are dealt to files by hash, and the number of files follows the rows of the batch."""
+    sizes = rows.groupBy(batch).agg(F.ceil(F.count(F.lit(1)) / rows_per_file).cast("int").alias("_files"))
+    dealt = rows.join(sizes, batch).select(
+        F.col(batch).alias("batch"), F.pmod(F.xxhash64(identifier), F.col("_files")).cast("int").alias("part"),
+        F.col(identifier).cast("bigint").alias("position"), F.col(line).alias("value"))
+    files = sizes.select(F.col(batch).alias("batch"), F.explode(F.sequence(F.lit(0), F.col("_files") - 1)).alias("part"))
+    heads = files.select("batch", "part", F.inline(F.array(
+        F.struct(F.lit(-2).cast("bigint").alias("position"), F.concat(F.lit("# station batch "), F.col("batch").cast("string")).alias("value")),
+        F.struct(F.lit(-1).cast("bigint").alias("position"), F.lit(header).alias("value")))))
+    return heads.unionByName(dealt)
+
+
+def write_report_files(lines: DataFrame, path: str) -> None:
+    """One text file per (batch, part), its lines by position, under ``batch=../part=..``."""
+    (lines.repartition("batch", "part").sortWithinPartitions("batch", "part", "position")
+     .select("batch", "part", "value").write.partitionBy("batch", "part").text(path))
+
+
+# The part of a path that names a report file in manifests.
+REPORT_FILE = r"(batch=[^/]+/part=[^/]+)/"
+
+
+def file_name(path: Column, pattern: str = REPORT_FILE) -> Column:
+    return F.regexp_extract(path, pattern, 1)
+
+
+def declared_files(lines: DataFrame) -> DataFrame:
+    """(source_file, batch, n_bytes, sha256) that the lines of each file must give; a file is one group."""
+    text = F.concat(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "value"))), lambda x: x["value"]), "\n"), F.lit("\n"))
+    name = F.concat(F.lit("batch="), F.col("batch").cast("string"), F.lit("/part="), F.col("part").cast("string"))
+    return lines.groupBy("batch", "part").agg(text.alias("_t")).select(
+        name.alias("source_file"), "batch", F.octet_length("_t").cast("bigint").alias("n_bytes"), F.sha2("_t", 256).alias("sha256"))
+
+
+def file_digests(spark: SparkSession, path: str, pattern: str = REPORT_FILE) -> DataFrame:
+    """(source_file, n_bytes, sha256) of the files as they are; one file must fit a task's memory."""
+    files = spark.read.format("binaryFile").load(path)
+    return files.select(file_name(F.col("path"), pattern).alias("source_file"), F.col("length").alias("n_bytes"),
+                        F.sha2("content", 256).alias("sha256"))
+
+
+def file_problems(files: DataFrame, manifest: DataFrame) -> DataFrame:
+    """The manifest's columns with ``problem``: missing_file, unlisted_file, wrong_size, wrong_hash, or null
+    for a sound file. A file of the right size is wrong by its hash only."""
+    found = files.select("source_file", F.col("n_bytes").alias("_bytes"), F.col("sha256").alias("_sha256"))
+    problem = (F.when(F.col("_sha256").isNull(), "missing_file").when(F.col("sha256").isNull(), "unlisted_file")
+               .when(F.col("_bytes") != F.col("n_bytes"), "wrong_size").when(F.col("_sha256") != F.col("sha256"), "wrong_hash"))
+    return manifest.join(found, "source_file", "full_outer").select(*manifest.columns, problem.alias("problem"))
+
+
+def sound_files(problems: DataFrame) -> DataFrame:
+    """The manifest of files that are all sound; any problem fails the job before a row is typed."""
+    refused = F.raise_error(F.concat(F.lit("unsound report file: "), F.col("source_file"), F.lit(" "), F.col("problem")))
+    name = F.when(F.col("problem").isNull(), F.col("source_file")).otherwise(refused.cast("string"))
+    return problems.withColumn("source_file", name).drop("problem")
+
+
 def archive_violations(raw: DataFrame, manifest: DataFrame) -> DataFrame:
     """Per file: rows read and expected, foreign stations, times outside the window or missing, junk numbers."""
     joined = raw.join(manifest, "source_file", "full_outer")
