@@ -187,6 +187,16 @@ def extract_csv_sink(spark, sf):
     return back.withColumn("mean_distance", F.round("mean_distance", 6)).withColumn("mean_megamiles", F.round("mean_megamiles", 12))
 
 
+_EXTRACT_TEXT = "'airline,n_rows' || chr(10) || string_agg(airline || ',' || CAST(n AS VARCHAR), chr(10) ORDER BY airline) || chr(10)"
+
+
+@query("s9_extract_record", f"""WITH t AS (SELECT airline, count(*) AS n FROM flights WHERE airline IS NOT NULL GROUP BY airline), x AS (SELECT count(*) AS n_rows, {_EXTRACT_TEXT} AS body FROM t)
+SELECT n_rows, CAST(strlen(body) AS BIGINT) AS n_bytes, sha256(body) AS sha256 FROM x""", V)
+def extract_record(spark, sf):
+    table = fx.flights(spark, sf).filter("airline IS NOT NULL").groupBy("airline").agg(F.count(F.lit(1)).alias("n_rows"))
+    return csv_files.write_extract(table, fresh_path(spark, "extract"), order=["airline"])
+
+
 def _ledger(spark, sf):
     return fx.table(spark, sf, "orders").selectExpr("concat('run', o_custkey % 3) AS run_id", "concat('phase', o_orderkey) AS phase_key",
                                                     "o_totalprice AS score")

@@ -28,7 +28,7 @@ restored AS (SELECT * REPLACE (
 
 
 def restored_flights(spark, sf):
-    rows = clean.with_route(fx.flights(spark, sf))
+    rows = clean.with_route(materialize(fx.flights(spark, sf), "rows"))
     return clean.restore_times(clean.time_features(rows, keep_minute=True), settle=materialize)
 
 
@@ -269,10 +269,10 @@ def flagship(spark, sf):
     """Clean, restore, count slots, keep labeled rows, and report delay rates by origin and hour."""
     rows = clean.slot_counts(restored_flights(spark, sf), "origin_traffic", "origin", "dep_hour", settle=materialize)
     labeled = clean.labeled_rows(rows)
-    table = labeled.groupBy("origin", "dep_hour").agg(
+    table = materialize(labeled.groupBy("origin", "dep_hour").agg(
         F.count(F.lit(1)).alias("n_rows"), F.sum("y").alias("n_delayed"),
-        F.round(F.avg("origin_traffic"), 9).alias("mean_origin_traffic"))
-    total = clean.labeled_rows(fx.flights(spark, sf)).agg(F.count(F.lit(1)).alias("n"))
+        F.round(F.avg("origin_traffic"), 9).alias("mean_origin_traffic")), "rates")
+    total = table.agg(F.sum("n_rows").alias("n"))
     return table.select(
         "origin", "dep_hour", "n_rows", "n_delayed", (F.col("n_rows") - F.col("n_delayed")).alias("n_not_delayed"),
         F.round(F.col("n_delayed") / F.col("n_rows"), 9).alias("delay_rate"), "mean_origin_traffic",

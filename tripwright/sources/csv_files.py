@@ -73,11 +73,22 @@ def write_null_token(df: DataFrame, path: str, *, order: str | None = None) -> N
     guarded.write.options(**WRITE_OPTIONS).option("nullValue", CSV_NULL).option("emptyValue", "").csv(path)
 
 
-def write_extract(df: DataFrame, path: str, *, order: Sequence[str]) -> None:
-    """A small aggregated extract as one LF-only CSV file with ten significant digits."""
+def write_extract(df: DataFrame, path: str, *, order: Sequence[str]) -> DataFrame:
+    """A small aggregated extract as one LF-only CSV file with ten significant digits.
+
+    Returns the record of what was written, see ``extract_record``.
+    """
     doubles = [f.name for f in df.schema if isinstance(f.dataType, T.DoubleType)]
     shown = df.withColumns({c: F.when(F.col(c).isNotNull(), _short_decimal(F.col(c))) for c in doubles})
     (shown.orderBy(*order).coalesce(1).write.options(**WRITE_OPTIONS).option("lineSep", "\n").csv(path))
+    return extract_record(df.sparkSession, path)
+
+
+def extract_record(spark: SparkSession, path: str) -> DataFrame:
+    """(n_rows, n_bytes, sha256) of an extract's one file as it lies there, for the log of a run."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.csv").load(path)
+    rows = spark.read.options(**WRITE_OPTIONS).csv(path).agg(F.count(F.lit(1)).alias("n"))
+    return files.select(rows.scalar().alias("n_rows"), F.col("length").alias("n_bytes"), F.sha2("content", 256).alias("sha256"))
 
 
 def _short_decimal(value):
