@@ -5,11 +5,12 @@ from pyspark.sql import functions as F
 
 from tripwright import fixtures as fx
 from tripwright.operators import audit, encode, report
-from tripwright.plans import q_scores, q_windows
+from tripwright.plans import q_models, q_scores, q_windows
+from tripwright.plans.experiment import ledger_rows, nested_predictions, record
 from tripwright.plans.phases import PHASES, build_variants, encode_variants
 from tripwright.plans.q_scores import rounded
 from tripwright.plans.registry import query
-from tripwright.storage import materialize
+from tripwright.storage import fresh_path, materialize
 
 V = ("flights",)
 
@@ -137,3 +138,15 @@ def variant_cross_check(spark, sf):
         else:
             agrees = agrees & F.when(flagged, here == there).otherwise(here.isNull())
     return checked.withColumn("agrees", agrees).drop("_told")
+
+
+# ---- whole experiment ---------------------------------------------------------
+
+COMPARED = ("P4", "P6_fixed", "P6_clean")
+
+
+@query("experiment_ledger")
+def experiment_ledger(spark, sf):
+    """Three variants from raw rows to the ledger, over all seeds, folds and declared tree counts."""
+    predictions = nested_predictions(fx.flights(spark, sf), {n: PHASES[n] for n in COMPARED}, fx.SEEDS, [q_models.PARAMS], q_models.TREES)
+    return record(ledger_rows(predictions, "nested"), fresh_path(spark, "ledger"), 1)
