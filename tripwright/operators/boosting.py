@@ -128,48 +128,96 @@ def gradients(margin: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def histograms(codes: np.ndarray, g: np.ndarray, h: np.ndarray, place: np.ndarray, nodes: int) -> np.ndarray:
     """Sums of gradient, Hessian and rows by (node, feature, bin); ``place`` is -1 for rows that don't count."""
-    width = codes.shape[1]
-    own = np.flatnonzero(place >= 0) if (place < 0).any() else slice(None)
-    cells = ((place[own][:, None] * width + np.arange(width)) * BINS + codes[own]).ravel()
+    return summed_cells(feature_cells(codes), g, h, np.flatnonzero(place >= 0), place, nodes)
+
+
+def feature_cells(codes: np.ndarray) -> np.ndarray:
+    """(feature, row): the cell of each code among one node's features and bins."""
+    return codes.T + np.arange(codes.shape[1])[:, None] * BINS
+
+
+def summed_cells(cells: np.ndarray, g: np.ndarray, h: np.ndarray, own: np.ndarray, place: np.ndarray, nodes: int) -> np.ndarray:
+    """The histograms of the rows ``own``, whose nodes ``place`` counts."""
+    width = len(cells)
+    at = (cells[:, own] + place[own] * (width * BINS)).ravel()
     size = nodes * width * BINS
-    sums = [np.bincount(cells, np.repeat(v[own], width), size) for v in (g, h)]
-    return np.stack([*sums, np.bincount(cells, minlength=size)]).reshape(3, nodes, width, BINS)
+    sums = [np.bincount(at, np.broadcast_to(v[own], (width, len(own))).ravel(), size) for v in (g, h)]
+    return np.stack([*sums, np.bincount(at, minlength=size)]).reshape(3, nodes, width, BINS)
+
+
+def level_histograms(cells: np.ndarray, g: np.ndarray, h: np.ndarray, node: np.ndarray, active: np.ndarray,
+                     parents: dict[int, np.ndarray]) -> np.ndarray:
+    """Histograms of the active nodes: of two siblings only the smaller is summed, the other is what it leaves
+    of their parent. Sums are whole numbers, so both come out exactly. ``node`` is 0 for rows that don't count."""
+    sizes = np.bincount(node, minlength=int(active.max()) + 2)
+    least = [n if n == 1 or sizes[n] <= sizes[n ^ 1] else n ^ 1 for n in active.tolist()]
+    direct = sorted(set(least))
+    lookup = np.full(len(sizes), -1)
+    lookup[direct] = np.arange(len(direct))
+    place = lookup[node]
+    found = summed_cells(cells, g, h, np.flatnonzero(place >= 0), place, len(direct))
+    out = np.empty((3, len(active), *found.shape[2:]))
+    for i, (n, small) in enumerate(zip(active.tolist(), least)):
+        own = found[:, lookup[small]]
+        out[:, i] = own if n == small else parents[n // 2] - own
+    return out
 
 
 def best_splits(hist: np.ndarray, categorical: np.ndarray, min_leaf: int) -> list[tuple | None]:
     """Per node (feature, mask, gain, left sums, all sums) of the largest gain, or None; the first of equals.
 
     ``categorical`` says of features, or of each node's features, whether their bins have no order.
+    A cut after an empty bin repeats the cut before it, and without missing rows both sides
+    for them are one, so neither is looked at.
     """
     categorical = np.broadcast_to(categorical, hist.shape[1:3])
     total = hist[:, :, 0].sum(axis=-1)
     order = np.broadcast_to(np.arange(BINS), hist.shape[1:]).copy()
     if categorical.any():
-        score = hist[0] / (hist[1] + CATEGORY_SMOOTH * UNIT)
-        score = np.where(hist[2] > 0, score, np.inf)
-        order[categorical] = np.argsort(score[categorical], axis=-1, kind="stable")
-        hist = np.take_along_axis(hist, order[None], axis=-1)
-    first = np.cumsum(hist, axis=-1)[..., :-1]
-    second = first - hist[..., :1]  # missing to the right; of numbers only
-    left = np.stack([first, second], axis=1)
-    g, h, n = left
-    all_g, all_h, all_n = (t[None, :, None, None] for t in total)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        gain = g * g / h + (all_g - g) ** 2 / (all_h - h) - all_g ** 2 / all_h
-    allowed = (n >= min_leaf) & (all_n - n >= min_leaf) & (h >= LEAST_HESSIAN * UNIT) & (all_h - h >= LEAST_HESSIAN * UNIT)
-    allowed[1][categorical] = False
-    gain = np.where(allowed, gain, -np.inf)
+        some = hist[:, categorical]
+        score = np.where(some[2] > 0, some[0] / (some[1] + CATEGORY_SMOOTH * UNIT), np.inf)
+        order[categorical] = by_score = np.argsort(score, axis=-1, kind="stable")
+        hist = hist.copy()
+        hist[:, categorical] = np.take_along_axis(some, by_score[None], axis=-1)
+    nodes, width = hist.shape[1:3]
+    cells = width * BINS
+    sums, missing = np.cumsum(hist, axis=-1).reshape(3, -1), hist[..., 0].reshape(3, -1)
+    filled = hist[2] > 0
+    filled[..., -1] = False
+    sides = []
+    for variant in (0, 1):  # 1: missing to the right; of numbers only
+        at = np.flatnonzero(filled & (filled[..., :1] & ~categorical[..., None]) if variant else filled)
+        n, all_n = sums[2].take(at), total[2].take(at // cells)
+        if variant:
+            n -= missing[2].take(at // BINS)
+        large = (n >= min_leaf) & (all_n - n >= min_leaf)
+        at = at[large]
+        node = at // cells
+        g, h, all_g, all_h = sums[0].take(at), sums[1].take(at), total[0].take(node), total[1].take(node)
+        if variant:
+            g, h = g - missing[0].take(at // BINS), h - missing[1].take(at // BINS)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            gain = g * g / h + (all_g - g) ** 2 / (all_h - h) - all_g ** 2 / all_h
+        gain = np.where((h >= LEAST_HESSIAN * UNIT) & (all_h - h >= LEAST_HESSIAN * UNIT), gain, -np.inf)
+        sides.append((np.searchsorted(at, np.arange(nodes + 1) * cells), gain, at, np.stack([g, h, n[large]])))
     out: list[tuple | None] = []
-    for node in range(gain.shape[1]):
-        flat = gain[:, node].reshape(-1)
-        at = int(flat.argmax())
-        if not flat[at] > 1e-9 * UNIT:
+    for node in range(nodes):
+        best = None
+        for variant, (bounds, gain, at, left) in enumerate(sides):
+            a, b = bounds[node:node + 2]
+            if a == b:
+                continue
+            i = a + int(gain[a:b].argmax())
+            if gain[i] > (1e-9 * UNIT if best is None else best[0]):
+                best = (gain[i], variant, int(at[i]) % cells, left[:, i])
+        if best is None:
             out.append(None)
             continue
-        variant, feature, cut = np.unravel_index(at, gain[:, node].shape)
-        bins = order[node, feature, :cut + 1]
-        mask = sum(1 << int(b) for b in bins if not (variant and b == order[node, feature, 0]))
-        out.append((int(feature), mask, float(flat[at] / UNIT), left[:, variant, node, feature, cut], total[:, node]))
+        gained, variant, cell, own = best
+        feature, cut = divmod(cell, BINS)
+        bins = order[node, feature, :cut + 1].tolist()
+        mask = sum(1 << i for i in bins[variant:])
+        out.append((feature, mask, float(gained / UNIT), own, total[:, node]))
     return out
 
 
@@ -252,14 +300,16 @@ def boost(codes: np.ndarray, y: np.ndarray, ids: np.ndarray, held_codes: np.ndar
     """One model over rows in memory: prior margin, trees, and the holdout loss after each."""
     prior = prior_margin(y.sum(), len(y))
     margin, held, share = np.full(len(y), prior), np.full(len(held_y), prior), params.get("row_share", 1.0)
-    trees, losses = [], []
+    trees, losses, cells = [], [], feature_cells(codes)
     for t in range(params["trees"]):
         g, h = gradients(margin, y)
         taken = sampled(ids, t, share) if share < 1 else None
         tree, node = Tree(params["depth"], params["learning_rate"], params["min_leaf"]), np.ones(len(y), int)
+        parents: dict[int, np.ndarray] = {}
         while len(tree.active):
-            place = tree.place(node)
-            tree.split(histograms(codes, g, h, place if taken is None else np.where(taken, place, -1), len(tree.active)), categorical)
+            hist = level_histograms(cells, g, h, node if taken is None else np.where(taken, node, 0), tree.active, parents)
+            parents = {n: hist[:, i] for i, n in enumerate(tree.active.tolist())}
+            tree.split(hist, categorical)
             node = step_down(tree.feature, tree.mask, codes, node)
         margin = margin + tree.value[node]
         held = held + tree.value[leaves(tree.feature, tree.mask, held_codes, tree.depth)]
