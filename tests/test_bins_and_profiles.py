@@ -82,3 +82,17 @@ def test_interval_difference_equals_minute_marks(spark, bucket_days):
                 want.append([key, zero + timedelta(minutes=m), zero + timedelta(minutes=m + 1)])
     got = intervals.subtract_intervals(frame(targets), frame(covers), "k", bucket_days=bucket_days, settle=materialize)
     assert rows(got, "k", "start", "end") == sorted((tuple(w) for w in want), key=repr)
+
+
+@pytest.mark.parametrize("repeat", [0, 1, 5])
+def test_duplicates_are_counted_by_their_columns(spark, repeat):
+    table = [(1, "a", None, 0.0), (2, "a", None, -0.0), (3, None, "a", float("nan")), (4, None, "a", float("nan")), (4, "b", "", None)]
+    df = spark.createDataFrame(table + [table[-1]] * repeat, "id int, x string, _n string, v double")
+    assert [tuple(r) for r in report.duplicate_counts(df, "id").collect()] == [(repeat, 2 + repeat, 1 + repeat)]
+
+
+def test_duplicates_do_not_trust_hashes(spark, monkeypatch):
+    df = spark.range(20).selectExpr("id % 7 AS a", "id % 2 AS b", "id AS c")
+    monkeypatch.setattr(report.F, "xxhash64", lambda *parts: F.lit(0).cast("long"))
+    assert [tuple(r) for r in report.duplicate_counts(df, "c").collect()] == [(0, 6, 0)]
+    assert [tuple(r) for r in report.duplicate_counts(spark.range(0).selectExpr("id", "id AS a"), "id").collect()] == [(0, 0, 0)]

@@ -378,15 +378,28 @@ def column_profile(df: DataFrame) -> DataFrame:
             .withColumn("is_constant", (F.col("n_distinct") <= 1) & (F.col("null_count") == 0)))
 
 
+def repeated_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One row ``n``: how many rows repeat an earlier one in these columns, nulls being equal.
+
+    Only two 64-bit hashes of each row are shuffled; rows whose hashes occur more than once
+    are then grouped by their columns themselves, so equal hashes of different rows don't count.
+    """
+    names = [f"_{i}" for i in range(len(columns))]
+    plain = df.select(*[F.col(c).alias(name) for c, name in zip(columns, names)])
+    parts = [part for name in names for part in (F.col(name), F.col(name).isNull())]
+    keyed = plain.withColumns({"_h": F.xxhash64(*parts), "_g": F.xxhash64(F.lit(1), *parts)})
+    several = keyed.groupBy("_h", "_g").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1).select("_h", "_g")
+    groups = keyed.join(several, ["_h", "_g"], "left_semi").groupBy(*names).agg(F.count(F.lit(1)).alias("_n"))
+    return groups.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("n"))
+
+
 def duplicate_counts(df: DataFrame, identifier: str) -> DataFrame:
     """Rows that repeat an earlier row exactly, with and without the identifier, and repeated ids."""
-    def repeats(columns: Sequence[str], name: str) -> DataFrame:
-        groups = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
-        return groups.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias(name))
+    ids = df.groupBy(identifier).agg(F.count(F.lit(1)).alias("_n")).agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)))
     others = [c for c in df.columns if c != identifier]
-    return (repeats(df.columns, "duplicate_rows")
-            .withColumn("duplicate_rows_without_id", repeats(others, "x").scalar())
-            .withColumn("duplicate_ids", repeats([identifier], "x").scalar()))
+    return (repeated_rows(df, df.columns).withColumnRenamed("n", "duplicate_rows")
+            .withColumn("duplicate_rows_without_id", repeated_rows(df, others).scalar())
+            .withColumn("duplicate_ids", ids.scalar()))
 
 
 def functional_dependency(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
