@@ -95,7 +95,7 @@ def observation_archive_scan(spark, sf):
     events, path = _views(spark, sf), fresh_path(spark, "reports")
     lines = materialize(_report_lines(events), "report-lines")
     archives.write_report_files(lines, path)
-    problems = archives.file_problems(archives.file_digests(spark, f"{path}/*/*"), _manifest(events, lines))
+    problems = archives.file_problems(archives.file_digests(spark, path), _manifest(events, lines))
     return archives.typed_reports(_read(spark, path), archives.sound_files(problems)).select(
         "station", "observed_at", "tmpf", "wxcodes", "source_request_id")
 
@@ -131,16 +131,17 @@ def archive_integrity(spark, sf):
                                .when((F.col("position") == -2) & (F.col("batch") == 2), F.regexp_replace("value", "station", "statiom"))
                                .otherwise(F.col("value")))
     archives.write_report_files(changed.filter("NOT (batch = 3 AND part = 0)"), path)
-    problems = archives.file_problems(archives.file_digests(spark, f"{path}/*/*"), archives.declared_files(lines.filter("NOT (batch = 0 AND part = 0)")))
+    problems = archives.file_problems(archives.file_digests(spark, path), archives.declared_files(lines.filter("NOT (batch = 0 AND part = 0)")))
     return problems.groupBy(F.coalesce("problem", F.lit("sound")).alias("problem")).agg(F.count(F.lit(1)).alias("n_files"))
 
 
 @query("s5_zip_archive_landing", "SELECT flight_id, yr, mo, dom, dep_hhmm, carrier_code, airline FROM flights", V)
 def zip_archive_landing(spark, sf):
     rows = fx.flights(spark, sf).select("flight_id", "yr", "mo", "dom", "dep_hhmm", "carrier_code", "airline")
-    packed = archives.zip_by_month(rows.withColumn("dep_hhmm", F.col("dep_hhmm").cast("string")), "yr", "mo")
-    landed = fresh_path(spark, "schedules")
-    archives.land_partitioned(archives.unzip_members(packed, rows.schema, "yr", "mo"), landed, ["yr", "mo"])
+    packed = materialize(archives.zip_by_month(rows.withColumn("dep_hhmm", F.col("dep_hhmm").cast("string")), "yr", "mo"), "packed")
+    zipped, landed = fresh_path(spark, "zipped"), fresh_path(spark, "schedules")
+    archives.write_archives(packed, zipped)
+    archives.land_partitioned(archives.read_zipped(spark, zipped, archives.archive_digests(packed), rows.schema, "yr", "mo"), landed, ["yr", "mo"])
     return spark.read.parquet(landed).select(*rows.columns)
 
 

@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import io
+import uuid
 import zipfile
 from collections.abc import Iterator, Sequence
 
@@ -9,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tripwright.operators.report import count_if
+from tripwright.sources import file_stream
 from tripwright.sources.csv_files import READ_OPTIONS, text_with_null_token
 from tripwright.schemas import REPORT_FIELDS, REPORT_NUMERIC, REPORT_SCHEMA
 
@@ -84,11 +86,10 @@ def declared_files(lines: DataFrame) -> DataFrame:
         name.alias("source_file"), "batch", F.octet_length("_t").cast("bigint").alias("n_bytes"), F.sha2("_t", 256).alias("sha256"))
 
 
-def file_digests(spark: SparkSession, path: str, pattern: str = REPORT_FILE) -> DataFrame:
-    """(source_file, n_bytes, sha256) of the files as they are; one file must fit a task's memory."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.select(file_name(F.col("path"), pattern).alias("source_file"), F.col("length").alias("n_bytes"),
-                        F.sha2("content", 256).alias("sha256"))
+def file_digests(spark: SparkSession, folder: str, pattern: str = REPORT_FILE, **options: object) -> DataFrame:
+    """(source_file, n_bytes, sha256) of the files as they are, read block by block."""
+    files = file_stream.load(spark, file_stream.FileDigests, folder, **options)
+    return files.select(file_name(F.col("path"), pattern).alias("source_file"), "n_bytes", "sha256")
 
 
 def file_problems(files: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -126,43 +127,49 @@ def archive_violations(raw: DataFrame, manifest: DataFrame) -> DataFrame:
 
 # ---- zipped schedules -------------------------------------------------------
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """Zip files as (path, content) rows; Spark spreads the files over tasks."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("path", "content")
+# The part of a path that names an archive: what its rows' year and month must be.
+ARCHIVE_FILE = r"([^/]+_\d+_\d+\.zip)$"
 
 
-def unzip_members(archives: DataFrame, schema: T.StructType, year: str, month: str) -> DataFrame:
+def write_archives(packed: DataFrame, folder: str) -> None:
+    """The (path, content) archives as files; one that a task repeats replaces itself."""
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, place = file_stream.opened(folder)
+        system.create_dir(place)
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"]):
+                under_way = f"{place}/_{uuid.uuid4().hex}"
+                with system.open_output_stream(under_way, compression=None) as stream:
+                    stream.write(content)
+                system.move(under_way, f"{place}/{path}")
+            yield batch[["path"]]
+
+    packed.mapInPandas(write, "path string").write.format("noop").mode("overwrite").save()
+
+
+def archive_digests(packed: DataFrame) -> DataFrame:
+    """The manifest (source_file, n_bytes, sha256) of archives as they were packed."""
+    return packed.select(F.col("path").alias("source_file"), F.octet_length("content").cast("bigint").alias("n_bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def read_zipped(spark: SparkSession, folder: str, manifest: DataFrame, schema: T.StructType, year: str, month: str, **options: object) -> DataFrame:
     """Rows of each archive's single CSV member, as text columns cast to ``schema``.
 
-    Bytes that are not UTF-8 are replaced. A damaged archive, several members, or a row of
-    another year and month than the path says (``..._<year>_<month>.zip``) raises.
+    Every file is compared with the manifest by size and SHA-256; a lost, unlisted or changed one, several
+    members, or a row of another year and month than the file's name says (``..._<year>_<month>.zip``) raises.
     """
-    names = [f.name for f in schema]
-    raw_schema = T.StructType([T.StructField("_path", T.StringType())]
-                              + [T.StructField(n, T.StringType()) for n in names])
-
-    def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                    members = [m for m in archive.namelist() if m.endswith(".csv")]
-                    if archive.testzip() is not None or len(members) != 1:
-                        raise ValueError(f"not a sound archive with one CSV: {path}")
-                    with archive.open(members[0]) as stream:
-                        chunks = pd.read_csv(stream, usecols=names, dtype=str, encoding_errors="replace",
-                                             chunksize=50_000)
-                        for chunk in chunks:
-                            chunk = chunk[names].astype(object).where(chunk[names].notna(), None)
-                            chunk.insert(0, "_path", path)
-                            yield chunk
-
-    rows = archives.mapInPandas(extract, raw_schema)
-    named = F.split(F.regexp_extract("_path", r"_(\d+_\d+)\.zip$", 1), "_")
-    typed = rows.select("_path", *[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
+    problems = file_problems(file_digests(spark, folder, ARCHIVE_FILE, suffix=".zip", **options), manifest)
+    refused = F.raise_error(F.concat(F.lit("unsound archive: "), F.col("source_file"), F.lit(" "), F.col("problem"))).cast("boolean")
+    # no row comes from here, but a problem of any file, rows or not, fails the job
+    none = problems.filter(F.when(F.col("problem").isNull(), F.lit(False)).otherwise(refused)).select(
+        *[F.lit(None).cast(f.dataType).alias(f.name) for f in schema])
+    raw = file_stream.load(spark, file_stream.ZippedCsv, folder, ["path", *schema.names], suffix=".zip", **options)
+    named = F.split(F.regexp_extract("path", r"_(\d+_\d+)\.zip$", 1), "_")
+    typed = raw.select("path", *[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
     right = (F.col(year) == named[0].try_cast("int")) & (F.col(month) == named[1].try_cast("int"))
     checked = F.when(F.coalesce(right, F.lit(False)), F.lit(True)).otherwise(
-        F.raise_error(F.concat(F.lit("row outside the archive's month: "), F.col("_path"))).cast("boolean"))
-    return typed.filter(checked).drop("_path")
+        F.raise_error(F.concat(F.lit("row outside the archive's month: "), F.col("path"))).cast("boolean"))
+    return typed.filter(checked).drop("path").unionByName(none)
 
 
 def zip_by_month(df: DataFrame, year: str, month: str, rows_per_archive: int = 200_000) -> DataFrame:
@@ -177,7 +184,7 @@ def zip_by_month(df: DataFrame, year: str, month: str, rows_per_archive: int = 2
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         buffer = io.BytesIO()
         with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as archive:
-            archive.writestr("part.csv", pdf[columns].to_csv(index=False))
+            archive.writestr(zipfile.ZipInfo("part.csv", (1980, 1, 1, 0, 0, 0)), pdf[columns].to_csv(index=False), zipfile.ZIP_DEFLATED)
         name = f"part{int(pdf['_part'].iloc[0])}_{int(pdf[year].iloc[0])}_{int(pdf[month].iloc[0])}.zip"
         return pd.DataFrame({"path": [name], "content": [buffer.getvalue()]})
 
