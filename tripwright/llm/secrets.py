@@ -139,7 +139,7 @@ def with_numbers(rows: DataFrame, token: str) -> DataFrame:
     for fits, form, letters in reversed(encodings):
         plain, alphabet = F.when(fits, form).otherwise(plain), F.when(fits, F.lit(letters)).otherwise(alphabet)
     spelled = rows.withColumn("_plain", plain).withColumn("_alphabet", alphabet)
-    numbers = F.transform(F.split("_plain", "(?!^)"), lambda c: (F.instr("_alphabet", c) - 1).cast("double"))
+    numbers = F.transform(F.split("_plain", "(?!^|$)"), lambda c: (F.instr("_alphabet", c) - 1).cast("double"))
     return spelled.withColumn("numbers", numbers).withColumn("base", F.length("_alphabet").cast("double")).drop("_plain", "_alphabet")
 
 
