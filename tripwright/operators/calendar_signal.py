@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tripwright.functions import calendar
+from tripwright.storage import materialize
 
 
 def daily_counts(df: DataFrame, month: str = "mo", day: str = "dom") -> DataFrame:
@@ -39,15 +40,16 @@ def permutation_test(days: DataFrame, value: str, group: str, identifier: str, *
     """Observed share, how often random relabelling reaches it, and the null's high quantile.
 
     Each draw re-pairs the days' values with their groups by a hash order of the identifiers,
-    which must be unique; a draw holds one row per day of a year.
+    which must be unique; a draw holds one row per day of a year. Groups stand in the order of the
+    identifiers in every draw, so the days are numbered once and only they are broadcast; the drawn
+    rows are never a join's small side, though the planner takes them for one.
     """
-    drawn = days.select(identifier, value, group, F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
+    days = materialize(days.select(identifier, value, group), "days")
+    drawn = days.select(identifier, value, F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
     shuffled = Window.partitionBy("draw").orderBy(F.sha2(F.concat_ws(":", "draw", identifier, F.lit(str(seed))), 256), identifier)
-    fixed = Window.partitionBy("draw").orderBy(identifier)
-    ranked = drawn.select("draw", value, group, F.row_number().over(shuffled).alias("_to"),
-                          F.row_number().over(fixed).alias("_at"))
-    values = ranked.select("draw", F.col("_to").alias("_at"), value)
-    relabelled = ranked.select("draw", "_at", group).join(values, ["draw", "_at"])
+    dealt = drawn.select("draw", value, F.row_number().over(shuffled).alias("_at"))
+    fixed = days.select(group, F.row_number().over(Window.orderBy(identifier)).alias("_at"))  # at most 366 rows
+    relabelled = dealt.join(F.broadcast(fixed), "_at")
     null = variance_explained(relabelled, value, group, ["draw"])
     observed = variance_explained(days, value, group)
     return null.agg(F.avg((F.col("share") >= observed.scalar()).cast("double")).alias("p_value"),
