@@ -104,8 +104,7 @@ SELECT variant, {SEED} AS seed, outer_fold, part, flight_id, {", ".join(f"round(
 
 @query("m23_encoded_variants", _ENCODED_SQL, V)
 def encoded_variants(spark, sf):
-    out = encode_variants(fx.flights(spark, sf), PHASES, seeds=[SEED], extra=pseudo_rows(spark, sf))
-    return rounded(out, [f"te_{c}" for c in _TE])
+    return encode_variants(fx.flights(spark, sf), PHASES, seeds=[SEED], extra=pseudo_rows(spark, sf), digits=9)
 
 
 # ---- cross-check --------------------------------------------------------------
