@@ -62,3 +62,27 @@ def test_a_step_that_raises_the_loss_is_halved():
     first = newton.at.copy()
     newton.take(50.0, np.array([1.0, 0.0]), np.eye(2))
     assert newton.at == pytest.approx(first / 2) and newton.loss == 1.0
+
+
+def test_hessians_by_level_equal_those_of_the_whole_design():
+    rng = np.random.default_rng(1)
+    n, wide, levels = 50, 3, ((3, 7), (7, 9))
+    dense = np.column_stack([np.full(n, wide), rng.normal(size=(n, wide - 1))])
+    at = np.column_stack([rng.integers(a, b, n) for a, b in levels])
+    x = logistic.Rows(pd.Series([r.tobytes() for r in np.column_stack([dense, at]).astype(float)]))
+    plain = np.zeros((n, 9))
+    plain[:, :wide] = np.column_stack([np.ones(n), dense[:, 1:]])
+    plain[np.arange(n)[:, None], at] = 1
+    w, r = rng.normal(size=9), rng.random(n)
+    assert x.probability(w) == pytest.approx(1 / (1 + np.exp(-plain @ w)))
+    assert x.gradient(r, 9) == pytest.approx(r @ plain)
+    assert x.hessian(r, 9) == pytest.approx((plain * r[:, None]).T @ plain)
+
+
+def test_hessians_are_summed_in_few_passes_only(encoded, monkeypatch):
+    _, df = encoded
+    rows, widths = logistic.prepared(df, ["a", "b", "nothing"], ["mo"], 20, ("slot", "part", "flight_id", "y"))
+    taken, plain = [], logistic.Newton.take
+    monkeypatch.setattr(logistic.Newton, "take", lambda self, loss, gradient, hessian: taken.append(hessian is not None) or plain(self, loss, gradient, hessian))
+    logistic.fit_weights(rows.filter("part = 'train'"), widths, [0.01, 10.0])
+    assert 0 < sum(taken) < len(taken) < 4 * 15
