@@ -29,7 +29,7 @@ def nested_predictions(raw: DataFrame, variants: Mapping[str, Variant], seeds: S
             raise ValueError(f"{name} does not average labels out of fold beside its codes")
     lattice = Lattice(raw, list(variants.values()))
     labels = materialize(clean.labeled_rows(lattice.rows).select("flight_id", "y"), "labels")
-    entries = slots.nested_slots(labels, seeds, k=k)
+    entries = slots.packed_slots(labels, seeds, k=k)
     scored = []
     for name, spec in variants.items():
         labeled = clean.labeled_rows(lattice.features(spec, keep=("flight_id",)))
