@@ -23,7 +23,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tripwright.llm.common import pick, text_or_empty
+from tripwright.llm.common import by_shuffle, pick, text_or_empty
 from tripwright.storage import materialize
 
 CHUNK, OVERLAP = 32768, 512
@@ -135,7 +135,7 @@ def encode_long(rows: DataFrame, path: str, pattern: str, chunk: int, overlap: i
     ranges = piece_ranges(pretokenise(chunks, pattern, chunk, overlap), chunk)
     base = F.col("n") * chunk
     length = F.when(F.col("stop") < 0, F.length("text")).otherwise((F.col("stop") - F.col("start")).cast("int"))
-    parts = chunks.join(ranges, ["row", "n"]).select(
+    parts = chunks.join(by_shuffle(ranges), ["row", "n"]).select(
         "row", "doc_id", "piece", "n", F.substring("text", (F.col("start") - base + 1).cast("int"), length).alias("part"))
     in_order = F.array_sort(F.collect_list(F.struct("n", "part")))
     pieces = parts.groupBy("row", "doc_id", "piece").agg(F.array_join(F.transform(in_order, lambda p: p["part"]), "").alias("text"))

@@ -28,6 +28,12 @@ def place(df: DataFrame, name: str) -> str:
     raise ValueError(f"no column {name!r} among {df.columns}")
 
 
+def by_shuffle(side: DataFrame) -> DataFrame:
+    """A side of a join that grows with the documents, never broadcast: Spark sizes it by compressed files and
+    short arrays, and leaves out what an explode adds, so it may look small to the planner and not fit the driver."""
+    return side.hint("merge")
+
+
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, whatever else the table holds."""
     return positional(df).select(*[F.col(place(df, n)).alias(n) for n in names])
@@ -63,7 +69,7 @@ def apply_copies(docs: DataFrame, decisions: DataFrame) -> DataFrame:
     doc_id, text = place(docs, "doc_id"), place(docs, "text")
     keyed = flat.select("*", F.coalesce(doc_id, F.lit(0)).alias("_k"), F.col(doc_id).isNull().alias("_n"),
                         text_mark(text).alias("_m"))
-    joined = keyed.join(wanted, ["_k", "_n", "_m"])
+    joined = keyed.join(by_shuffle(wanted), ["_k", "_n", "_m"])
     once = Window.partitionBy("_k", "_n", "_m").orderBy(text)
     kept = (joined.withColumn("_once", F.row_number().over(once)).filter("_once = 1")
             .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))))

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from tripwright.llm.common import by_shuffle
 from tripwright.storage import materialize
 
 
@@ -22,13 +23,13 @@ def components(edges: DataFrame) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hooked = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "hooks")
         above = hooked.select(F.col("node").alias("root"), F.col("root").alias("top"))
-        hooked = materialize(hooked.join(above, "root").select("node", F.col("top").alias("root")), "roots")
+        hooked = materialize(hooked.join(by_shuffle(above), "root").select("node", F.col("top").alias("root")), "roots")
         if labels is None:
             labels = hooked
         else:
             later = hooked.select(F.col("node").alias("root"), F.col("root").alias("top"))
-            labels = materialize(labels.join(later, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "labels")
-        ends = {end: hooked.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root")) for end in ("a", "b")}
+            labels = materialize(labels.join(by_shuffle(later), "root", "left").select("node", F.coalesce("top", "root").alias("root")), "labels")
+        ends = {end: by_shuffle(hooked.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"))) for end in ("a", "b")}
         edges = contracted(edges.join(ends["a"], "a").join(ends["b"], "b").select(
             F.col("a_root").alias("a"), F.col("b_root").alias("b")))
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")) if labels is None else labels

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tripwright.llm.common import apply_copies, pick, text_mark, text_or_empty
+from tripwright.llm.common import apply_copies, by_shuffle, pick, text_mark, text_or_empty
 from tripwright.storage import materialize
 
 COUNTERS = 1024
@@ -54,7 +54,7 @@ def exact_dedup(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
     hot = rows.join(F.broadcast(frequent), "digest")
     rest = rows.join(F.broadcast(frequent.select("digest")), "digest", "left_anti")
     groups = rest.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"), F.min(F.expr(WINNER)).alias("winner"))
-    settled = hot.unionByName(rest.join(groups, "digest"))
+    settled = hot.unionByName(rest.join(by_shuffle(groups), "digest"))
     return settled.select("doc_id", F.col("winner.doc_id").alias("keep_id"), "group_size",
                           (F.col("winner.row") == F.col("row")).alias("kept"),
                           F.lower(F.hex("digest")).alias("text_sha256"), "mark")

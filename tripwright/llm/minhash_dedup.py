@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tripwright.llm.common import apply_copies, multipliers, pick, text_mark, text_or_empty, utf8_slices, word_codes
+from tripwright.llm.common import apply_copies, by_shuffle, multipliers, pick, text_mark, text_or_empty, utf8_slices, word_codes
 from tripwright.llm.components import components
 from tripwright.storage import materialize
 
@@ -119,7 +119,7 @@ def postings(classes: DataFrame, least: int) -> DataFrame:
     posted = classes.select("node", F.posexplode("signature").alias("at", "value")).select(
         "node", F.xxhash64("at", "value").alias("key"))
     shared = posted.groupBy("key").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
-    lists = posted.join(shared, "key").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("times", "key"))).alias("keys"))
+    lists = posted.join(by_shuffle(shared), "key").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("times", "key"))).alias("keys"))
     prefix = F.slice("keys", 1, F.size("keys") - (least - 1))
     return lists.filter(F.size("keys") >= least).select("node", F.explode(prefix).alias("k")).select("node", F.col("k.key").alias("key"))
 
@@ -135,7 +135,7 @@ def blocks(rows: DataFrame, key: str, block: int, per_group: int, weight: Column
     total = sizes.agg(F.coalesce(F.sum("_weight"), F.lit(0))).first()[0]
     groups = max(1, int(total // per_group))
     parts = F.ceil(F.col("_rows") / block).cast("int")
-    dealt = rows.join(sizes.select(key, parts.alias("_parts")), key)
+    dealt = rows.join(by_shuffle(sizes.select(key, parts.alias("_parts"))), key)
     dealt = dealt.withColumn("part", F.pmod(F.xxhash64(tie), F.col("_parts")).cast("int"))
     dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
     dealt = dealt.withColumn("left", F.least("part", "_other")).withColumn("right", F.greatest("part", "_other"))
@@ -201,7 +201,7 @@ def across(rows: pd.DataFrame) -> np.ndarray:
 
 def matches(classes: DataFrame, percent: int, least: int) -> DataFrame:
     """(a, b): spanning forests of the signature matches in every posting list."""
-    posted = postings(classes, least).join(classes.select("node", "n", "signature"), "node")
+    posted = postings(classes, least).join(by_shuffle(classes.select("node", "n", "signature")), "node")
     dealt = blocks(posted, "key", LIST_BLOCK, GROUP_ROWS, F.lit(1), F.col("node"))
 
     def count(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
@@ -240,12 +240,12 @@ def linked_sets(sets: list[np.ndarray], percent: int, allowed: np.ndarray) -> np
 
 def confirmed(docs: DataFrame, classes: DataFrame, families: DataFrame, size: int, percent: int) -> DataFrame:
     """(a, b): spanning forests of the true links inside every family."""
-    members = families.withColumnRenamed("root", "family").join(classes.select("node", "doc_id", "mark"), "node").select(
+    members = families.withColumnRenamed("root", "family").join(by_shuffle(classes.select("node", "doc_id", "mark")), "node").select(
         "family", "node", F.coalesce("doc_id", F.lit(0)).alias("_k"), F.col("doc_id").isNull().alias("_n"), "mark")
     texts = pick(docs, "doc_id", "text").select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_k"), F.col("doc_id").isNull().alias("_n"),
         text_mark().alias("mark"), text_or_empty().alias("text"))
-    found = texts.join(members, ["_k", "_n", "mark"]).select("family", "node", "text")
+    found = texts.join(by_shuffle(members), ["_k", "_n", "mark"]).select("family", "node", "text")
 
     def shingled(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, batch in texts_in_batches(source, 2):
@@ -279,10 +279,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, coordinat
     classes = classes_of(sketched)
     families = components(matches(classes, percent, least_matches(coordinates, percent)))
     linked = components(confirmed(docs, classes, families, size, percent))
-    rooted = classes.join(linked, "node", "left").select("print", "doc_id", F.coalesce("root", "node").alias("root"))
+    rooted = classes.join(by_shuffle(linked), "node", "left").select("print", "doc_id", F.coalesce("root", "node").alias("root"))
     named = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    of_class = rooted.join(named, "root").select("print", "component_id")
-    joined = sketched.select("doc_id", "mark", "n", "print").join(of_class, "print", "left")
+    of_class = rooted.join(by_shuffle(named), "root").select("print", "component_id")
+    joined = sketched.select("doc_id", "mark", "n", "print").join(by_shuffle(of_class), "print", "left")
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
                          F.col("doc_id").eqNullSafe(component).alias("kept"), "mark")

@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tripwright.llm.common import WORD, apply_copies, pick, text_mark, text_or_empty
+from tripwright.llm.common import WORD, apply_copies, by_shuffle, pick, text_mark, text_or_empty
 from tripwright.operators.skew import BUCKET, carry_in, running_totals
 from tripwright.storage import materialize
 
@@ -86,7 +86,7 @@ def mix_sources(docs: DataFrame, repeats: int = REPEATS, seed: str = SEED) -> Da
     spent = running_totals(sendings, [], order, {"spent": F.col("size")})
     taken = (spent.filter(F.col("spent") <= F.col("budget"))
              .groupBy("row").agg(F.sum("size").alias("taken"), F.count(F.lit(1)).alias("copies")))
-    return rows.join(taken, "row", "left").select(
+    return rows.join(by_shuffle(taken), "row", "left").select(
         "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"),
         F.when(F.col("size") > 0, F.coalesce("copies", F.lit(0))).otherwise(F.lit(0)).alias("copies"), "mark")
 

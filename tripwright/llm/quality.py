@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tripwright.llm.common import doc_remainder, pick, place, positional
+from tripwright.llm.common import by_shuffle, doc_remainder, pick, place, positional
 from tripwright.storage import materialize
 
 FEATURES = ("log_words", "mean_word", "distinct_words", "top_word", "symbols", "capitals", "digits", "stops",
@@ -180,7 +180,7 @@ def learn(measured: DataFrame, labels: DataFrame, modulus: int = 5, held_out: in
           fit_rows: int = FIT_ROWS) -> AdditiveModel:
     """Fit on the labelled rows outside the held-out fold, ``fit_rows`` at most."""
     marked = pick(labels, "doc_id", "quality").filter("quality is not null and doc_id is not null")
-    rows = (measured.filter(doc_remainder(modulus) != held_out).join(marked, "doc_id")
+    rows = (measured.filter(doc_remainder(modulus) != held_out).join(by_shuffle(marked), "doc_id")
             .orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "x").limit(fit_rows).select("x", "quality").collect())
     x = np.array([r.x for r in rows], np.float64).reshape(-1, len(FEATURES))
     return fit(x, np.array([float(r.quality > 0) for r in rows]))
