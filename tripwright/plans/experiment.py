@@ -30,10 +30,10 @@ def nested_predictions(raw: DataFrame, variants: Mapping[str, Variant], seeds: S
     lattice = Lattice(raw, list(variants.values()))
     labels = materialize(clean.labeled_rows(lattice.rows).select("flight_id", "y"), "labels")
     entries = slots.packed_slots(labels, seeds, k=k)
+    learnings = [models.learning_rows(clean.labeled_rows(lattice.features(spec, keep=("flight_id",))), entries, spec.categories)
+                 for spec in variants.values()]
     scored = []
-    for name, spec in variants.items():
-        labeled = clean.labeled_rows(lattice.features(spec, keep=("flight_id",)))
-        chosen = models.select_trees(models.learning_rows(labeled, entries, spec.categories), configs, counts)
+    for name, chosen in zip(variants, models.select_each(learnings, configs, counts)):
         scored.append(chosen.valid.select(F.lit(name).alias("phase_key"), "seed", F.col("outer_fold").alias("fold"), "flight_id",
                                           F.col("y").alias("y_true"), "p", "n_trees", "threshold"))
     rows = metrics.with_prediction(reduce(lambda a, b: a.unionByName(b), scored))
