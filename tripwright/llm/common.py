@@ -8,6 +8,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tripwright.operators.skew import by_shuffle
+
 # Words are runs of anything but these six ASCII characters.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -28,12 +30,6 @@ def place(df: DataFrame, name: str) -> str:
     raise ValueError(f"no column {name!r} among {df.columns}")
 
 
-def by_shuffle(side: DataFrame) -> DataFrame:
-    """A side of a join that grows with the documents, never broadcast: Spark sizes it by compressed files and
-    short arrays, and leaves out what an explode adds, so it may look small to the planner and not fit the driver."""
-    return side.hint("merge")
-
-
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, whatever else the table holds."""
     return positional(df).select(*[F.col(place(df, n)).alias(n) for n in names])
